@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 CHUNK = 1 << 21  #: code points handled at once; longer texts are one chunk of their own
 CACHE_ENTRIES = 300_000  #: distinct pieces kept encoded in a Python worker
-CACHED_LENGTH = 64  #: longer pieces are encoded each time
+_WIDTHS = (8, 12, 16, 24, 32, 64)  # pieces of up to so many bytes are merged together; longer ones alone
+_NONE = 1 << 40  # rank of a pair that doesn't join
 
 _LETTER, _NUMBER, _SPACE, _BLANK, _OTHER, _END = 0, 1, 2, 3, 4, 5  # _BLANK: U+0020; _END: between texts
 #: Scan symbols beyond "any": X leaves runs of other characters, O is in one, A2/A3 an apostrophe before 1/2 contraction letters.
@@ -142,38 +143,75 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Pair merging by rank, with a bounded cache of encoded pieces."""
+    """Pair merging by rank, many pieces at a time, with a bounded cache of encoded pieces."""
 
     def __init__(self, ranks: dict[bytes, int], entries: int = CACHE_ENTRIES):
         self.ranks, self.entries = ranks, entries
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
+        pairs: list[tuple[int, int, int]] = []
+        for token, rank in ranks.items():
+            self.widths[rank] = len(token)
+            for cut in range(1, len(token)):
+                if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None:
+                    pairs.append((a, b, rank))
+        table = np.array(pairs, np.int64).reshape(-1, 3)
+        key = table[:, 0] * len(self.widths) + table[:, 1]
+        order = np.argsort(key)
+        self.pair_keys, self.pair_ranks = key[order], table[order, 2]
         self.reset()
 
     def reset(self) -> None:
+        """Forget all encoded pieces: number of a piece -> flat[base[k] : base[k] + count[k]]."""
         self.number: dict[str, int] = {}
-        self.encoded: list[np.ndarray] = []
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Token ids of one piece: repeatedly join the leftmost pair of lowest rank."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        n = len(piece)
-        if n > 200:
-            return self._merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(n)]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
-
-    def _merge_long(self, piece: bytes) -> list[int]:
-        """The same for long pieces, with a heap of pairs over a linked list: n log n."""
+        self.flat, self.base, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens, _NONE where they don't join."""
+        key = a * len(self.widths) + b
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ranks[at], _NONE)
+
+    def _merge_many(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
+        """Ids of pieces of at most `width` bytes: each round joins the leftmost pair of lowest rank in every row."""
+        if not len(self.pair_keys):
+            return [self.single[np.frombuffer(p, np.uint8)] for p in pieces]
+        m = len(pieces)
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        column = np.arange(width)
+        filled = column[None, :] < lengths[:, None]
+        ids = np.full((m, width), -1, np.int64)
+        ids[filled] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        rank = np.full((m, width), _NONE, np.int64)
+        rank[:, :-1] = self._pair_rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(m, width - 1)
+        done, row = [np.empty(0)] * m, np.arange(m)
+        while len(row):
+            at = rank.argmin(1)
+            best = rank[np.arange(len(row)), at]
+            ended = best == _NONE
+            if ended.any():
+                for i in np.flatnonzero(ended).tolist():
+                    done[row[i]] = ids[i, : lengths[i]]
+                go = ~ended
+                ids, rank, row, at, best, lengths = ids[go], rank[go], row[go], at[go], best[go], lengths[go]
+                if not len(row):
+                    break
+            each = np.arange(len(row))
+            later = column[None, :-1] > at[:, None]
+            ids[:, :-1] = np.where(later, ids[:, 1:], ids[:, :-1])
+            rank[:, :-1] = np.where(later, rank[:, 1:], rank[:, :-1])
+            ids[:, -1], rank[:, -1] = -1, _NONE
+            ids[each, at] = best
+            lengths -= 1
+            right = np.minimum(at + 1, width - 1)
+            rank[each, at] = np.where(at + 1 < width, self._pair_rank(best, ids[each, right]), _NONE)
+            left = np.flatnonzero(at > 0)
+            rank[left, at[left] - 1] = self._pair_rank(ids[left, at[left] - 1], best[left])
+        return done
+
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece of any length, with a heap of pairs over a linked list: n log n."""
         ranks, n = self.ranks, len(piece)
         end, nxt, prv, alive = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -189,22 +227,39 @@ class Encoder:
                     heapq.heappush(heap, (r, i, end[nxt[i]]))
             if prv[i] >= 0 and (r := ranks.get(piece[prv[i] : end[i]])) is not None:
                 heapq.heappush(heap, (r, prv[i], end[i]))
-        return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+        return np.array([ranks[piece[i : end[i]]] for i in range(n) if alive[i]], np.int64)
+
+    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Token ids of each piece."""
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(pieces)
+        by_width: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            if (whole := self.ranks.get(p)) is not None:
+                out[i] = np.array([whole], np.int64)
+            else:
+                by_width.setdefault(next((w for w in _WIDTHS if len(p) <= w), 0), []).append(i)
+        for w, members in by_width.items():
+            found = self._merge_many([pieces[i] for i in members], w) if w else [self._merge_long(pieces[i]) for i in members]
+            for i, ids in zip(members, found, strict=True):
+                out[i] = ids
+        return out
 
-    def index(self, piece: str) -> int:
-        """Number of the piece in self.encoded."""
-        ids = np.array(self.merge(piece.encode("utf-8", "surrogatepass")), np.int32)
-        self.encoded.append(ids)
-        k = len(self.encoded) - 1
-        if len(piece) <= CACHED_LENGTH:
-            self.number[piece] = k
-        return k
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces and give them numbers."""
+        ids = self.merge([p.encode("utf-8", "surrogatepass") for p in pieces])
+        count = np.array([len(x) for x in ids], np.int64)
+        at = len(self.base)
+        self.base = np.concatenate([self.base, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, np.concatenate(ids).astype(np.int32)])
+        self.number.update(zip(pieces, range(at, at + len(pieces)), strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, byte offset of each token) per text."""
+        if len(self.base) > self.entries or len(self.flat) > 16 * self.entries:
+            self.reset()
         joined = "\0".join(texts) + "\0"
-        lengths = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(lengths + 1) - 1
+        ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64)) - 1
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         points[ends] = 0x110000
         starts = np.flatnonzero(piece_starts(points))
@@ -214,33 +269,17 @@ class Encoder:
         stops = np.empty(len(starts), np.int64)
         stops[:-1] = starts[1:]
         stops[last[last > first] - 1] = ends[last > first]
-        number, index = self.number, self.index
         pieces = [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
-        known = np.fromiter((k if (k := number.get(p, -1)) >= 0 else index(p) for p in pieces), np.int64, len(pieces))
-        encoded = self.encoded
-        used, where = np.unique(known, return_inverse=True)
-        sizes = np.array([len(encoded[k]) for k in used], np.int64)
-        flat = np.concatenate([encoded[k] for k in used]) if len(used) else np.empty(0, np.int32)
-        base = np.cumsum(sizes) - sizes
-        count = sizes[where]
+        if new := [p for p in dict.fromkeys(pieces) if p not in self.number]:
+            self._learn(new)
+        known = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        count = self.count[known]
         to = np.cumsum(count)
-        take = np.arange(to[-1] if len(to) else 0) - np.repeat(to - count, count) + np.repeat(base[where], count)
-        ids = flat[take]
-        widths = self.widths[ids] if len(ids) else np.empty(0, np.int64)
-        reach = np.concatenate([[0], np.cumsum(widths)])
+        take = np.arange(to[-1] if len(to) else 0) + np.repeat(self.base[known] - to + count, count)
+        ids = self.flat[take]
+        reach = np.concatenate([[0], np.cumsum(self.widths[ids])])
         bounds = np.concatenate([[0], to])
-        out = [(ids[a:b], reach[a:b] - reach[a]) for a, b in zip(bounds[first].tolist(), bounds[last].tolist(), strict=True)]
-        if len(self.encoded) > self.entries:
-            self.reset()
-        return out
-
-    @property
-    def widths(self) -> np.ndarray:
-        if not hasattr(self, "_widths"):
-            self._widths = np.zeros(max(self.ranks.values()) + 1, np.int64)
-            for token, rank in self.ranks.items():
-                self._widths[rank] = len(token)
-        return self._widths
+        return [(ids[a:b], reach[a:b] - reach[a]) for a, b in zip(bounds[first].tolist(), bounds[last].tolist(), strict=True)]
 
 
 _encoders: dict[int, Encoder] = {}
