@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .chat import format_chats, read_chats
 from .exact_dedup import exact_dedup
+from .licenses import license_report
 from .mixing import mix, taken_words
 from .sharding import shard
 
@@ -58,6 +59,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = taken_words(mix(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_chat_format": op5_chat_format,
+    "op6_license_scan": op6_license_scan,
     "op7_mix_sources": op7_mix_sources,
 }
 
