@@ -12,7 +12,9 @@ from .chat import format_chats, read_chats
 from .exact_dedup import exact_dedup
 from .licenses import license_report
 from .mixing import mix, taken_words
+from .scratch import folder
 from .sharding import shard
+from .warc import read_archives, write_archives
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,6 +70,15 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "warc")
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    read = read_archives(spark, path).where("quarantined is null")
+    return read.select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_byte_bpe": op3_byte_bpe,
@@ -75,9 +86,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_license_scan": op6_license_scan,
     "op7_mix_sources": op7_mix_sources,
+    "op10_warc_archives": op10_warc_archives,
 }
 
 ORACLES: dict[str, str] = {
+    "op10_warc_archives": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex FROM p),
+        g AS (SELECT hex, max(page_id) AS keep FROM d GROUP BY hex)
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(hex, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> keep THEN keep END AS refers_to
+        FROM d JOIN g USING (hex)""",
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UP}', '{_LOW}')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
