@@ -12,7 +12,8 @@ from .chat import format_chats, read_chats
 from .exact_dedup import exact_dedup
 from .licenses import license_report
 from .mixing import mix, taken_words
-from .scratch import folder
+from .quality import fit, fold, scored, with_statistics
+from .scratch import folder, materialise
 from .sharding import shard
 from .warc import read_archives, write_archives
 
@@ -70,6 +71,13 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = materialise(with_statistics(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality-stats")
+    model = fit(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = scored(measured, model)
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -86,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_license_scan": op6_license_scan,
     "op7_mix_sources": op7_mix_sources,
+    "op8_quality": op8_quality,
     "op10_warc_archives": op10_warc_archives,
 }
 
