@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .chat import format_chats, read_chats
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_components
 from .licenses import license_report
 from .mixing import mix, taken_words
 from .quality import fit, fold, scored, with_statistics
@@ -30,7 +31,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     tokens = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks)
-    back = decode(tokens, ranks)
+    back = decode(tokens.select("doc_id", "ids"), ranks)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -78,6 +79,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": op6_license_scan,
     "op7_mix_sources": op7_mix_sources,
     "op8_quality": op8_quality,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_warc_archives": op10_warc_archives,
 }
 
