@@ -14,16 +14,18 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 21  #: code points handled at once; longer texts are one chunk of their own
-CACHE_ENTRIES = 300_000  #: distinct pieces kept encoded in a Python worker
+CHUNK = 1 << 19  #: code points handled at once; longer texts are one chunk of their own
+CACHE_ENTRIES = 250_000  #: distinct pieces kept encoded in a Python worker
 _WIDTHS = (8, 12, 16, 24, 32, 64)  # pieces of up to so many bytes are merged together; longer ones alone
 _NONE = 1 << 40  # rank of a pair that doesn't join
 
@@ -149,13 +151,13 @@ class Encoder:
         self.ranks, self.entries = ranks, entries
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
-        pairs: list[tuple[int, int, int]] = []
+        pairs = array("q")
         for token, rank in ranks.items():
             self.widths[rank] = len(token)
             for cut in range(1, len(token)):
                 if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None:
-                    pairs.append((a, b, rank))
-        table = np.array(pairs, np.int64).reshape(-1, 3)
+                    pairs.extend((a, b, rank))
+        table = np.frombuffer(pairs, np.int64).reshape(-1, 3)
         key = table[:, 0] * len(self.widths) + table[:, 1]
         order = np.argsort(key)
         self.pair_keys, self.pair_ranks = key[order], table[order, 2]
@@ -254,8 +256,8 @@ class Encoder:
         self.flat = np.concatenate([self.flat, np.concatenate(ids).astype(np.int32)])
         self.number.update(zip(pieces, range(at, at + len(pieces)), strict=True))
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, byte offset of each token) per text."""
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of all texts, the byte offset of each token in its text, and where each text's tokens begin (one more: the end)."""
         if len(self.base) > self.entries or len(self.flat) > 16 * self.entries:
             self.reset()
         joined = "\0".join(texts) + "\0"
@@ -279,7 +281,14 @@ class Encoder:
         ids = self.flat[take]
         reach = np.concatenate([[0], np.cumsum(self.widths[ids])])
         bounds = np.concatenate([[0], to])
-        return [(ids[a:b], reach[a:b] - reach[a]) for a, b in zip(bounds[first].tolist(), bounds[last].tolist(), strict=True)]
+        begin = np.append(bounds[first], len(ids))
+        offsets = reach[:-1] - np.repeat(reach[begin[:-1]], np.diff(begin))
+        return ids, offsets, begin
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, byte offset of each token) per text."""
+        ids, offsets, begin = self.encode_flat(texts)
+        return [(ids[a:b], offsets[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -294,53 +303,62 @@ def _worker_encoder(shared) -> Encoder:
     return _encoders[key]
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
-            yield texts[at:k]
-            at, size = k, 0
-        size += len(t) + 1
-    if at < len(texts):
-        yield texts[at:]
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of about CHUNK bytes of text; a longer text is a range of its own."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > CHUNK:
+            yield at, k
+            at, held = k, 0
+        held += n + 1
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 def encode(docs: DataFrame, ranks_path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, ids array<int> and offsets array<bigint> (byte offset of each token in the UTF-8 text).
 
     ranks_path: a rank file that the driver reads; the ranks (bounded by the vocabulary) are broadcast.
-    A null or empty text has no tokens. Texts are encoded whole, in chunks of CHUNK code points when
-    short; an empty table gives no rows; repeated rows are encoded each; other columns are ignored.
+    A null or empty text has no tokens. Texts are encoded whole, several at a time when short; an empty
+    table gives no rows; repeated rows are encoded each; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    slim = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     kept = [f"k{i}" for i in range(len(keep))]
+    slim = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(shared)
-        for frame in frames:
-            at = 0
-            for texts in _chunks(frame["text"].tolist()):
-                done = encoder.encode(texts)
-                part = frame[kept].iloc[at : at + len(texts)].reset_index(drop=True)
-                yield part.assign(ids=[a for a, _ in done], offsets=[b for _, b in done])
-                at += len(texts)
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in _chunks(texts):
+                ids, offsets, begin = encoder.encode_flat(texts.slice(a, b - a).to_pylist())
+                lists = [pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(v)) for v in (ids.astype(np.int32), offsets)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in kept], *lists], names=[*kept, "ids", "offsets"])
 
-    schema = ", ".join([f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["ids array<int>", "offsets array<bigint>"])
-    out = slim.mapInPandas(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", "offsets")
+    schema = ", ".join([f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep, strict=True)] + ["ids array<int>", "offsets array<bigint>"])
+    return slim.mapInArrow(run, schema).select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], "ids", "offsets")
 
 
-def decode(tokens: DataFrame, ranks_path: str, *, ids: str = "ids") -> DataFrame:
-    """tokens with a column decoded (binary): the bytes of the ids; no ids give empty bytes."""
+def decode(tokens: DataFrame, ranks_path: str, *, ids: str = "ids", rows: int = 256) -> DataFrame:
+    """tokens with a column decoded (binary): the bytes of the ids; no ids give empty bytes. rows: decoded at once."""
     shared = tokens.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    place = tokens.columns.index(ids)
 
-    @F.pandas_udf("binary")
-    def join(column: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _tables(shared)
-        return pd.Series([b"".join(table[np.asarray(x, np.int64)].tolist()) if x is not None and len(x) else b"" for x in column], dtype=object)
-
-    return tokens.withColumn("decoded", join(F.col(f"`{ids}`")))
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                column = part.column(place)
+                begin = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64).tolist()
+                pieces = table[column.flatten().to_numpy(zero_copy_only=False)].tolist()
+                decoded = pa.array([b"".join(pieces[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*[f"c{i}" for i in range(part.num_columns)], "decoded"])
+
+    named = tokens.toDF(*[f"c{i}" for i in range(len(tokens.columns))])
+    schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(tokens.schema)] + ["decoded binary"])
+    return named.mapInArrow(run, schema).toDF(*tokens.columns, "decoded")
 
 
 _decoders: dict[int, tuple[dict, np.ndarray]] = {}
