@@ -1,11 +1,77 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: quality, exact and near copies, source mixture, tokens.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns as
+Parquet to the shared folder and reads it again as the next stage's docs, so a stage starts from a
+table that survives lost executors and works on all that its predecessor kept.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from peakweave.llm import quality as _quality
+from peakweave.llm.bpe import decode, encode
+from peakweave.llm.exact_dedup import drop_copies
+from peakweave.llm.jaccard import drop_near_copies
+from peakweave.llm.mixing import mixed_documents
+from peakweave.llm.scratch import folder, materialise
+
+LEAST_QUALITY = 0.3
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose probability of being marked good is at least LEAST_QUALITY."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    measured = materialise(_quality.with_statistics(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), "quality-stats")
+    model = _quality.fit(measured, labels)
+    return docs.where(_quality.score_of(model, F.col("text")) >= LEAST_QUALITY)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that agree but for the case of A-Z: the one with the largest doc_id."""
+    return drop_copies(spark, docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shingle links join: the one with the smallest doc_id."""
+    return drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture by source weights: a row per document and epoch that takes words of it, cut to those words."""
+    return mixed_documents(docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and offsets of each row, and whether decoding them gives the text back."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = encode(docs.withColumn("text_sha256", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)), ranks, keep=("doc_id", "lang", "source", "n_chars", "text_sha256"))
+    back = decode(tokens.select("doc_id", "lang", "source", "n_chars", "text_sha256", "ids"), ranks)
+    return back.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", tokenise),
+]
+
+#: SQL can express neither the fitted classifier nor the draws and the tokeniser; tests compare with brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = folder(spark, "stage-" + name.split()[0])
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .chat import format_chats, read_chats
+from .embed_dedup import near_duplicates
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .licenses import license_report
@@ -26,6 +27,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -95,6 +101,7 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_chat_format": op5_chat_format,
@@ -106,6 +113,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        ok AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+            WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+        link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+        reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+        c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+        n AS (SELECT x, count(*) AS n_links FROM link GROUP BY x)
+        SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+        FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id""",
+    "op9_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+        i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS meet FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * meet >= 80 * (p.k + q.k - meet)),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+        c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+        SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_shingles, component_id FROM documents d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op10_warc_archives": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex FROM p),
