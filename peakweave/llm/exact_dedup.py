@@ -14,8 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import ascii_lower, folder, materialise
+from .scratch import ascii_lower, broadcast_if_small, folder, materialise
 
+BROADCAST_HITS = 100_000  #: hits (about 300 bytes each) up to which their keys are broadcast to the texts, shuffled beyond
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -113,7 +114,8 @@ def exact_dedup(
 
     # Full bytes of the hits only: rows of digests that were seen more than once.
     seen_again = state.where("n > 1").select("digest", F.col("at").alias("keep"))
-    hits = scan.select("digest", "at").join(seen_again, "digest").select("at", "keep", "digest")
+    hits = materialise(scan.select("digest", "at").join(seen_again, "digest").select("at", "keep", "digest"), "dedup-hit-keys")
+    hits = broadcast_if_small(hits, BROADCAST_HITS)
     bodies = materialise(scan.select(F.col("at").alias("at"), normal(F.col("text")).alias("body")).join(hits, "at").select("digest", "at", "keep", "body"), "dedup-hits")
     stays = bodies.where("at = keep").select("digest", F.col("body").alias("keep_body"))
     unequal = bodies.join(stays, "digest").where("body <> keep_body").select("digest").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -58,7 +59,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there and survives lost executors."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that materialise() wrote and nothing reads any more, and let Spark drop unreferenced shuffle files."""
+    for df in frames:
+        spark = df.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if frames:
+        gc.collect()
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """df with a broadcast hint if it has at most most_rows rows (counted), else as it is."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
 def ascii_lower(text: Column) -> Column:
