@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import discard, materialise
 
 
 def union_find(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -58,7 +58,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Small star: u and its smaller neighbours are tied to the smallest of them.
         tied = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(tied, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(small.union(tied.select("a", F.col("m").alias("b"))).distinct(), "cc-round")
+        last, e = e, materialise(small.union(tied.select("a", F.col("m").alias("b"))).distinct(), "cc-round")
+        discard(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break

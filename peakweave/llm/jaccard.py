@@ -2,8 +2,8 @@
 
 1. Texts become sets of hashed word shingles; equal sets are one class and meet no more.
 2. A pair over the threshold shares a shingle among the first n - ceil(0.8 n) + 1 of either set, in any
-   fixed order of shingles. The order puts shingles that repeat within some partition last (a bounded
-   list), so passages that many documents share stay out of the prefixes. Classes that share a prefix
+   fixed order of shingles. The order puts shingles that repeat within some partition last (a list
+   and a filter of bounded size), so passages that many documents share stay out of the prefixes. Classes that share a prefix
    shingle form candidate groups: connected components, no pairs.
 3. In a group, inverted lists answer "which sets share at least T shingles with this one": DivideSkip
    heap-merges the short lists and binary-probes the long ones. Large groups first compare all members
@@ -21,19 +21,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import materialise
+from .scratch import broadcast_if_small, discard, materialise
 
 WORDS = 5
 SHARE = (4, 5)  #: least Jaccard similarity as a fraction
-REPEATED = 1 << 20  #: most shingles in the broadcast list of repeated ones: a bound on memory, not on results
+RANKED = 1 << 16  #: most shingles in the broadcast list of repeated ones with counts: a bound on memory, not on results
+MARKS = 1 << 25  #: bits of the broadcast filter that marks all repeated shingles: likewise
 WINDOW = 4_000_000  #: shingles that a task counts at once to find repeated ones
 CHUNK, CHUNKS, LARGEST_CHUNK = 128, 64, 65_536  #: a group is searched in chunks of m / CHUNKS sets, within these bounds
 QUERIES = 4_096  #: queries that meet one chunk in one piece of work
 PIVOTS = 4
+BROADCAST_MEMBERS = 500_000  #: classes in candidate groups (40 bytes each) up to which they are broadcast to the texts
 _MU = 0.01  #: cost of a probe against a merge step in the choice of long lists
 
 _MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -124,66 +126,96 @@ def _survey(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "kind int, id bigint, n bigint, a bigint, b bigint")
 
 
-def _repeated_shingles(survey: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most repeated shingles, sorted, and their counts; at most `most`, chosen by count."""
+def _mark_bits(tokens: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three bit positions of each shingle."""
+    mask = np.uint64(bits - 1)
+    return [(tokens >> np.uint64(k)) & mask for k in (0, 19, 38)]
+
+
+def _repeated_shingles(survey: DataFrame, ranked: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(most repeated shingles, sorted; their counts; a filter that marks all repeated ones).
+
+    The filter is put together on the executors, word by word; at most `ranked` shingles and bits / 64
+    words reach the driver.
+    """
     counts = materialise(survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")), "jaccard-repeated")
     levels = counts.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).collect()
     total, least = 0, None
-    for level in levels:  # at most a million levels, in practice hundreds
+    for level in levels:  # distinct counts: few
         total += level["k"]
-        if total > most:
+        if total > ranked:
             break
         least = level["c"]
-    if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    found = counts.where(F.col("c") >= least).toPandas()
+    found = counts.where(F.col("c") >= (least if least is not None else 1 << 62)).toPandas()
     tokens = found["a"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], found["c"].to_numpy(np.int64)[order]
+    place = F.explode(F.array(*[F.shiftrightunsigned("a", k).bitwiseAND(F.lit(bits - 1).cast("long")) for k in (0, 19, 38)]))
+    words = counts.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    filter_ = np.zeros(bits // 64, np.uint64)
+    filter_[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    discard(counts)
+    return tokens[order], found["c"].to_numpy(np.int64)[order], filter_
+
+
+def _ranks(s: np.ndarray, hot: np.ndarray, count: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """0 for shingles not known to repeat, 1 for marked ones, more for those with a count."""
+    rank = np.ones(len(s), bool)
+    for p in _mark_bits(s, len(marks) * 64):
+        rank &= (marks[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    out = rank.astype(np.int64)
+    if len(hot):
+        at = np.searchsorted(hot, s)
+        at[at == len(hot)] = 0
+        out = np.where(hot[at] == s, 1 + count[at], out)
+    return out
 
 
 def _prefixes(docs: DataFrame, shared) -> DataFrame:
-    """(token, cls, hot) for the prefix of each set; a partition sends equal sets once."""
+    """(token, cls, n, hot) for the prefix of each set of n; a partition sends equal sets once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot, count = shared.value
+        hot, count, marks = shared.value
         seen: set[tuple[int, int]] = set()
         for frame in frames:
-            tokens, cls, flags = [], [], []
+            tokens, cls, size, flags = [], [], [], []
             for text in frame["text"]:
                 s = shingles(text)
                 if not len(s) or (d := digest(s)) in seen:
                     continue
                 seen.add(d)
-                rank = np.zeros(len(s), np.int64)
-                if len(hot):
-                    at = np.searchsorted(hot, s)
-                    at[at == len(hot)] = 0
-                    rank = np.where(hot[at] == s, count[at], 0)
+                rank = _ranks(s, hot, count, marks)
                 first = np.lexsort((s, rank))[: prefix_length(len(s))]
                 tokens.append(s[first].view(np.int64))
                 cls.append(np.full(len(first), d[0]))
+                size.append(np.full(len(first), len(s)))
                 flags.append(rank[first] > 0)
             if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "cls": np.concatenate(cls), "hot": np.concatenate(flags)})
+                yield pd.DataFrame({"token": np.concatenate(tokens), "cls": np.concatenate(cls), "n": np.concatenate(size), "hot": np.concatenate(flags)})
+
+    return docs.mapInPandas(run, "token bigint, cls bigint, n bigint, hot boolean")
 
-    return docs.mapInPandas(run, "token bigint, cls bigint, hot boolean")
+
+def band(n: Column) -> Column:
+    """Sizes in steps of 1 / SHARE: sets that can reach the threshold are at most one band apart."""
+    p, q = SHARE
+    return F.floor(F.ln(n.cast("double")) / F.lit(float(np.log(q / p)) - 1e-9)).cast("long")
 
 
 def _candidate_edges(rows: DataFrame) -> DataFrame:
-    """Star edges between classes that share a prefix shingle.
+    """Edges that connect the classes that share a prefix shingle and are near enough in size.
 
-    A shingle that is not hot occurs in at most one set of each partition (more would have made it
-    hot), or fell past the bound of the hot list: its rows meet in a window. Hot ones are aggregated
-    before the shuffle and joined back, where adaptive execution can split them.
+    A shingle that isn't marked occurs in at most one set of each partition, else the survey had
+    marked it: its rows meet in a window, and neighbours in size are tied. Marked ones are aggregated
+    before the shuffle, by bands of size (a set is in its own and the next), and joined back, where
+    adaptive execution can split them.
     """
-    from pyspark.sql import Window
-
-    each = Window.partitionBy("token")
-    cold = rows.where("not hot").select("cls", F.min("cls").over(each).alias("m")).where("cls <> m")
-    hot = rows.where("hot").select("token", "cls")
-    least = hot.groupBy("token").agg(F.min("cls").alias("m"))
-    warm = hot.join(least, "token").where("cls <> m").select("cls", "m")
+    p, q = SHARE
+    by_size = Window.partitionBy("token").orderBy("n", "cls")
+    cold = rows.where("not hot").select("cls", "n", F.lag("cls").over(by_size).alias("m"), F.lag("n").over(by_size).alias("k"))
+    cold = cold.where((F.col("cls") != F.col("m")) & (q * F.col("k") >= p * F.col("n"))).select("cls", "m")
+    hot = rows.where("hot").select("token", "cls", F.explode(F.array(band(F.col("n")), band(F.col("n")) + 1)).alias("band"))
+    least = hot.groupBy("token", "band").agg(F.min("cls").alias("m"), F.max("cls").alias("z")).where("m <> z").select("token", "band", "m")
+    warm = hot.join(least, ["token", "band"]).where("cls <> m").select("cls", "m")
     return cold.union(warm).select(F.col("cls").alias("a"), F.col("m").alias("b")).distinct()
 
 
@@ -301,7 +333,6 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 def _links(sets: DataFrame) -> DataFrame:
     """Links (a, b) that join the similar sets of each group. sets: grp, id, tokens, m (members of the group)."""
     spark = sets.sparkSession
-    chunk = F.greatest(F.lit(CHUNK), F.least(F.lit(LARGEST_CHUNK), F.expr(f"m div {CHUNKS}")))
     large = F.col("m") > CHUNK
     # One pivot for each large group: of a few drawn by hash, the one with most links.
     big = sets.where(large)
@@ -319,23 +350,26 @@ def _links(sets: DataFrame) -> DataFrame:
     best = tally.groupBy("grp").agg(F.max(F.struct("k", "pivot")).alias("x")).select("grp", F.col("x.pivot").alias("pivot"))
     around = tested.join(best, ["grp", "pivot"]).select("id").union(best.select(F.col("pivot").alias("id")))
     settled = materialise(around.distinct(), "jaccard-settled")
-    # Everything else of a large group is searched against all chunks of the group.
-    rest = big.join(settled, "id", "left_anti")
-    rest_size = rest.groupBy("grp").agg(F.count(F.lit(1)).alias("r"))
-    rest = rest.join(rest_size, "grp")
-    parts = lambda r: F.expr(f"({r} + {QUERIES} - 1) div {QUERIES}")
-    n_chunks = F.ceil(F.col("m") / chunk)
-    base = ["grp", "id", "tokens"]
-    asking = rest.select(*base, F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)).alias("chunk"), F.pmod(F.xxhash64("id", F.lit("ask")), parts("r")).alias("part"), F.lit(1).alias("asks"))
-    placed = big.join(rest_size, "grp").select(*base, F.pmod(F.xxhash64("id"), n_chunks).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), parts("r") - 1)).alias("part"), F.lit(0).alias("asks"))
-    small = sets.where(~large).select(*base, F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("part"), F.lit(2).alias("asks"))
-    work = small.union(asking).union(placed)
+    # Everything else of a large group is searched against the chunks of its own and the neighbouring bands.
+    slim = big.select("grp", "id", band(F.octet_length("tokens") / 8).alias("band"))
+    rest = slim.join(settled, "id", "left_anti").select("grp", "id", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    sizes = slim.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("m")).join(rest.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("r")), ["grp", "band"])
+    chunk = F.greatest(F.lit(CHUNK), F.least(F.lit(LARGEST_CHUNK), F.expr(f"m div {CHUNKS}")))
+    sizes = materialise(sizes.select("grp", "band", F.ceil(F.col("m") / chunk).alias("chunks"), F.expr(f"(r + {QUERIES} - 1) div {QUERIES}").alias("parts")), "jaccard-bands")
+    place = F.col("band") * F.lit(1 << 32)
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    asking = rest.join(sizes, ["grp", "band"]).select("id", "grp", place.alias("place"), every("chunks").alias("chunk"), F.pmod(F.xxhash64("id", F.lit("ask")), F.col("parts")).alias("part"), F.lit(1).alias("asks"))
+    placed = slim.join(sizes, ["grp", "band"]).select("id", "grp", place.alias("place"), F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), every("parts").alias("part"), F.lit(0).alias("asks"))
+    keys = asking.union(placed).select("id", "grp", (F.col("place") + F.col("chunk")).alias("chunk"), "part", "asks")
+    large_work = keys.join(big.select("id", "tokens"), "id").select("grp", "id", "tokens", "chunk", "part", "asks")
+    zero = F.lit(0).cast("long")
+    small = sets.where(~large).select("grp", "id", "tokens", zero.alias("chunk"), zero.alias("part"), F.lit(2).alias("asks"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = work.repartition(n, "grp", "chunk", "part").sortWithinPartitions("grp", "chunk", "part").mapInPandas(_search, "a bigint, b bigint")
+    found = small.union(large_work).repartition(n, "grp", "chunk", "part").sortWithinPartitions("grp", "chunk", "part").mapInPandas(_search, "a bigint, b bigint")
     return found.union(tested.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
 
 
-def jaccard_components(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", repeated: int = REPEATED) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", ranked: int = RANKED, marks: int = MARKS) -> DataFrame:
     """(id, n_shingles, component) for every row of docs.
 
     Sets hold the distinct shingles of WORDS words of the whole text, A-Z lower-cased, words parted by
@@ -348,9 +382,12 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", ident: str = "doc
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{ident}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     survey = materialise(_survey(slim), "jaccard-survey")
-    shared = spark.sparkContext.broadcast(_repeated_shingles(survey, repeated))
-    edges = materialise(_candidate_edges(_prefixes(slim.select("text"), shared)), "jaccard-candidates")
+    shared = spark.sparkContext.broadcast(_repeated_shingles(survey, ranked, marks))
+    prefixes = materialise(_prefixes(slim.select("text"), shared), "jaccard-prefixes")
+    edges = materialise(_candidate_edges(prefixes), "jaccard-candidates")
+    discard(prefixes)
     groups = materialise(components(edges), "jaccard-groups")
+    discard(edges)
 
     rows = survey.where("kind = 0")
     classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("rep"))
@@ -363,10 +400,11 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", ident: str = "doc
             same = np.array([digest(s) == (a, b) for s, a, b in zip(sets, frame["a"], frame["b"], strict=True)], bool)
             yield pd.DataFrame({"grp": frame["grp"], "id": frame["rep"], "tokens": [s.tobytes() for s in sets], "m": frame["m"]})[same]
 
-    fetched = slim.join(sized, F.col("id") == F.col("rep")).select("text", "a", "b", "rep", "grp", "m")
+    fetched = slim.join(broadcast_if_small(sized, BROADCAST_MEMBERS), F.col("id") == F.col("rep")).select("text", "a", "b", "rep", "grp", "m")
     sets = fetched.mapInPandas(collect_sets, "grp bigint, id bigint, tokens binary, m bigint")
     sets = materialise(sets, "jaccard-sets")
     links = materialise(_links(sets), "jaccard-links")
+    discard(sets)
     labels = components(links)
 
     labelled = classes.join(labels, F.col("rep") == F.col("id"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
