@@ -2,8 +2,8 @@
 
 1. Texts become sets of hashed word shingles; equal sets are one class and meet no more.
 2. A pair over the threshold shares a shingle among the first n - ceil(0.8 n) + 1 of either set, in any
-   fixed order of shingles. The order puts shingles that repeat within some partition last (a list
-   and a filter of bounded size), so passages that many documents share stay out of the prefixes. Classes that share a prefix
+   fixed order of shingles. The order puts shingles that several sets hold last (a list and a
+   filter of bounded size say which), so passages that many documents share stay out of the prefixes. Classes that share a prefix
    shingle form candidate groups: connected components, no pairs.
 3. In a group, inverted lists answer "which sets share at least T shingles with this one": DivideSkip
    heap-merges the short lists and binary-probes the long ones. Large groups first compare all members
@@ -29,9 +29,11 @@ from .scratch import broadcast_if_small, discard, materialise
 
 WORDS = 5
 SHARE = (4, 5)  #: least Jaccard similarity as a fraction
-RANKED = 1 << 16  #: most shingles in the broadcast list of repeated ones with counts: a bound on memory, not on results
-MARKS = 1 << 25  #: bits of the broadcast filter that marks all repeated shingles: likewise
-WINDOW = 4_000_000  #: shingles that a task counts at once to find repeated ones
+COUNTED_BITS = 1  #: document frequencies are counted for hashes below 2**(64 - COUNTED_BITS): prefixes seldom reach beyond
+REPEATED_FROM = 3  #: sets from which a shingle counts as repeated
+MARKS = 1 << 26  #: bits of the broadcast filter of repeated shingles: a bound on memory, not on results
+RANKED = 1 << 16  #: the most repeated shingles are broadcast with their counts, at most so many: likewise
+WINDOW = 4_000_000  #: shingles that a task holds at once
 CHUNK, CHUNKS, LARGEST_CHUNK = 128, 64, 65_536  #: a group is searched in chunks of m / CHUNKS sets, within these bounds
 QUERIES = 4_096  #: queries that meet one chunk in one piece of work
 PIVOTS = 4
@@ -89,18 +91,29 @@ def prefix_length(n: int) -> int:
     return n - -(-p * n // q) + 1
 
 
-def _survey(docs: DataFrame) -> DataFrame:
-    """kind 0: id, n and digest of each row; kind 1: shingles (a) that several sets of one partition hold, with how many (b)."""
+def _survey(docs: DataFrame, buckets: int) -> DataFrame:
+    """kind 0: id, n and digest (a, b) of each row; kind 1: for each bucket of hashes (a) the shingles of the distinct
+    sets of a window, packed: six bytes each, and for those of several sets four more with how many besides."""
+    bits = buckets.bit_length() - 1
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         seen: set[tuple[int, int]] = set()
         size = 0
 
-        def repeated() -> pd.DataFrame:
-            tokens, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, int))
-            again = count > 1
-            return pd.DataFrame({"kind": 1, "id": pd.array([None] * int(again.sum()), "Int64"), "n": 0, "a": tokens[again].view(np.int64), "b": count[again].astype(np.int64)})
+        def packed() -> pd.DataFrame:
+            every = np.concatenate(held)
+            tokens, count = np.unique(every[every < np.uint64(1 << (64 - COUNTED_BITS))], return_counts=True)
+            bucket = (tokens >> np.uint64(64 - COUNTED_BITS - bits)).astype(np.int64)
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            six = tokens.view(np.uint8).reshape(-1, 8)[:, :6]
+            rows = []
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                part = slice(cut[k], cut[k + 1])
+                more = np.flatnonzero(count[part] > 1)
+                extra = np.concatenate([six[part][more], (count[part][more] - 1).astype(np.uint32).view(np.uint8).reshape(-1, 4)], 1)
+                rows.append((k, six[part].tobytes(), extra.tobytes()))
+            return pd.DataFrame({"kind": 1, "id": pd.array([None] * len(rows), "Int64"), "n": 0, "a": [r[0] for r in rows], "b": 0, "once": [r[1] for r in rows], "more": [r[2] for r in rows]})
 
         for frame in frames:
             n, a, b = [], [], []
@@ -115,58 +128,79 @@ def _survey(docs: DataFrame) -> DataFrame:
                     held.append(tokens)
                     size += len(tokens)
                     if size > WINDOW:
-                        yield repeated()
+                        yield packed()
                         held.clear()
-                        seen.clear()
                         size = 0
-            yield pd.DataFrame({"kind": 0, "id": frame["id"].astype("Int64"), "n": n, "a": a, "b": b})
+            yield pd.DataFrame({"kind": 0, "id": frame["id"].astype("Int64"), "n": n, "a": a, "b": b, "once": None, "more": None})
         if held:
-            yield repeated()
+            yield packed()
 
-    return docs.mapInPandas(run, "kind int, id bigint, n bigint, a bigint, b bigint")
+    return docs.mapInPandas(run, "kind int, id bigint, n bigint, a bigint, b bigint, once binary, more binary")
 
 
-def _mark_bits(tokens: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Three bit positions of each shingle."""
-    mask = np.uint64(bits - 1)
-    return [(tokens >> np.uint64(k)) & mask for k in (0, 19, 38)]
+def _slots(six: np.ndarray, size: int) -> list[np.ndarray]:
+    """Two places of each shingle in a bucket's slice of the filter, from its low 48 bits."""
+    return [(six >> np.uint64(k)) % np.uint64(size) for k in (0, 17)]
 
 
-def _repeated_shingles(survey: DataFrame, ranked: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(most repeated shingles, sorted; their counts; a filter that marks all repeated ones).
+def _wide(six: bytes, step: int) -> np.ndarray:
+    """Six-byte numbers at the start of records of `step` bytes."""
+    raw = np.frombuffer(six, np.uint8).reshape(-1, step)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw[:, :6]
+    return out.view(np.uint64)[:, 0]
 
-    The filter is put together on the executors, word by word; at most `ranked` shingles and bits / 64
-    words reach the driver.
+
+def _repeated_shingles(survey: DataFrame, buckets: int, marks: int, ranked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low 48 bits of the most repeated shingles, sorted; their counts; filter slices by bucket).
+
+    Each bucket of hashes is counted by itself; what reaches the driver are the filter and the list,
+    of fixed sizes.
     """
-    counts = materialise(survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")), "jaccard-repeated")
-    levels = counts.groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c")).collect()
-    total, least = 0, None
-    for level in levels:  # distinct counts: few
-        total += level["k"]
-        if total > ranked:
-            break
-        least = level["c"]
-    found = counts.where(F.col("c") >= (least if least is not None else 1 << 62)).toPandas()
-    tokens = found["a"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    place = F.explode(F.array(*[F.shiftrightunsigned("a", k).bitwiseAND(F.lit(bits - 1).cast("long")) for k in (0, 19, 38)]))
-    words = counts.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
-    filter_ = np.zeros(bits // 64, np.uint64)
-    filter_[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    discard(counts)
-    return tokens[order], found["c"].to_numpy(np.int64)[order], filter_
+    size, top = marks // buckets, max(1, ranked // buckets)
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        tokens, n = np.unique(np.concatenate([_wide(x, 6) for x in frame["once"]]), return_counts=True)
+        extra = b"".join(frame["more"])
+        if extra:
+            plus = np.frombuffer(extra, np.uint8).reshape(-1, 10)[:, 6:].copy().view(np.uint32)[:, 0]
+            np.add.at(n, np.searchsorted(tokens, _wide(extra, 10)), plus)
+        again = n >= REPEATED_FROM
+        tokens, n = tokens[again], n[again]
+        bits = np.zeros(size, bool)
+        for place in _slots(tokens, size):
+            bits[place] = True
+        best = np.argsort(-n, kind="stable")[:top]
+        return pd.DataFrame({"a": frame["a"].iloc[:1], "marks": [np.packbits(bits).tobytes()], "tokens": [tokens[best].tobytes()], "counts": [n[best].astype(np.int64).tobytes()]})
+
+    found = survey.where("kind = 1").groupBy("a").applyInPandas(count, "a bigint, marks binary, tokens binary, counts binary").collect()
+    filter_ = np.zeros((buckets, size // 8), np.uint8)
+    keys, counts = [], []
+    for r in found:
+        filter_[r["a"]] = np.frombuffer(r["marks"], np.uint8)
+        keys.append(np.frombuffer(r["tokens"], np.uint64))
+        counts.append(np.frombuffer(r["counts"], np.int64))
+    key, n = (np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    order = np.argsort(key, kind="stable")
+    return key[order], n[order], filter_
 
 
 def _ranks(s: np.ndarray, hot: np.ndarray, count: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """0 for shingles not known to repeat, 1 for marked ones, more for those with a count."""
-    rank = np.ones(len(s), bool)
-    for p in _mark_bits(s, len(marks) * 64):
-        rank &= (marks[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-    out = rank.astype(np.int64)
+    """0 for shingles not known to repeat, 1 for marked ones, more for those with a count. Any function of the shingle alone is right."""
+    buckets, size = len(marks), marks.shape[1] * 8
+    inside = s < np.uint64(1 << (64 - COUNTED_BITS))
+    bucket = (s >> np.uint64(64 - COUNTED_BITS - (buckets.bit_length() - 1))).astype(np.int64)
+    bucket[~inside] = 0
+    six = s & np.uint64((1 << 48) - 1)
+    marked = inside
+    for place in _slots(six, size):
+        at = place.astype(np.int64)
+        marked = marked & ((marks[bucket, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+    out = marked.astype(np.int64)
     if len(hot):
-        at = np.searchsorted(hot, s)
+        at = np.searchsorted(hot, six)
         at[at == len(hot)] = 0
-        out = np.where(hot[at] == s, 1 + count[at], out)
+        out = np.where(marked & (hot[at] == six), 1 + count[at], out)
     return out
 
 
@@ -204,8 +238,8 @@ def band(n: Column) -> Column:
 def _candidate_edges(rows: DataFrame) -> DataFrame:
     """Edges that connect the classes that share a prefix shingle and are near enough in size.
 
-    A shingle that isn't marked occurs in at most one set of each partition, else the survey had
-    marked it: its rows meet in a window, and neighbours in size are tied. Marked ones are aggregated
+    A shingle that isn't marked occurs in fewer than REPEATED_FROM sets, or has a hash that wasn't
+    counted: its rows meet in a window, and neighbours in size are tied. Marked ones are aggregated
     before the shuffle, by bands of size (a set is in its own and the next), and joined back, where
     adaptive execution can split them.
     """
@@ -369,7 +403,7 @@ def _links(sets: DataFrame) -> DataFrame:
     return found.union(tested.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
 
 
-def jaccard_components(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", ranked: int = RANKED, marks: int = MARKS) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", buckets: int = 1024, marks: int = MARKS, ranked: int = RANKED) -> DataFrame:
     """(id, n_shingles, component) for every row of docs.
 
     Sets hold the distinct shingles of WORDS words of the whole text, A-Z lower-cased, words parted by
@@ -381,15 +415,17 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", ident: str = "doc
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{ident}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    survey = materialise(_survey(slim), "jaccard-survey")
-    shared = spark.sparkContext.broadcast(_repeated_shingles(survey, ranked, marks))
+    survey = materialise(_survey(slim, buckets), "jaccard-survey")
+    shared = spark.sparkContext.broadcast(_repeated_shingles(survey, buckets, marks, ranked))
+    rows = survey.where("kind = 0").select("id", "n", "a", "b")
+    rows, packed = materialise(rows, "jaccard-rows"), survey
+    discard(packed)
     prefixes = materialise(_prefixes(slim.select("text"), shared), "jaccard-prefixes")
     edges = materialise(_candidate_edges(prefixes), "jaccard-candidates")
     discard(prefixes)
     groups = materialise(components(edges), "jaccard-groups")
     discard(edges)
 
-    rows = survey.where("kind = 0")
     classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("rep"))
     members = classes.where("rep is not null").join(groups, F.col("a") == F.col("id")).select("a", "b", "rep", F.col("component").alias("grp"))
     sized = materialise(members.join(members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "grp").where("m > 1"), "jaccard-members")
