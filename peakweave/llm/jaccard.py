@@ -33,7 +33,7 @@ COUNTED_BITS = 1  #: document frequencies are counted for hashes below 2**(64 -
 REPEATED_FROM = 3  #: sets from which a shingle counts as repeated
 MARKS = 1 << 26  #: bits of the broadcast filter of repeated shingles: a bound on memory, not on results
 RANKED = 1 << 16  #: the most repeated shingles are broadcast with their counts, at most so many: likewise
-WINDOW = 4_000_000  #: shingles that a task holds at once
+WINDOW = 1_500_000  #: shingles that a task holds at once
 CHUNK, CHUNKS, LARGEST_CHUNK = 128, 64, 65_536  #: a group is searched in chunks of m / CHUNKS sets, within these bounds
 QUERIES = 4_096  #: queries that meet one chunk in one piece of work
 PIVOTS = 4
@@ -47,7 +47,7 @@ class _Words(dict):
     """Word -> 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
