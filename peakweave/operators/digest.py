@@ -9,6 +9,7 @@ from itertools import combinations, product
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.masses import WATER, residue_mass
 
@@ -169,7 +170,7 @@ def variable(peptides: DataFrame, mods: list[Modification], most_mods: int = 3,
     modified forms per peptide keeps the least modified ones. The unmodified form always stays.
     """
     chosen = [m for m in mods if m.kind in kinds]
-    schema = peptides.drop("mods").schema.add("mods", "map<int,string>")
+    schema = peptides.drop("mods").schema.add("mods", T.MapType(T.IntegerType(), T.StringType()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

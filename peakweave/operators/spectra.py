@@ -54,7 +54,7 @@ def isotope_clusters(peaks: DataFrame, spectrum: list[str], most_charge: Column
     """Isotope series of each spectrum: key, cluster_id, charge, peak (index by m/z), place (0 is monoisotopic), mz, intensity.
 
     Peaks are visited upwards; for each charge a series goes on while a peak stands k steps of the C13
-    difference over charge above the first one. A first step that is most_ratio times as intense starts none. A series
+    difference over charge above the first one, and the longest series (of equals the lowest charge) counts. A first step that is most_ratio times as intense starts none. A series
     that older series had masked from below is extended downwards. split_factor: with 5 peaks or more, a
     series is cut where intensities differ from the averagine expectation by that factor. The scan is
     order dependent, so a spectrum is one group.
@@ -77,24 +77,26 @@ def isotope_clusters(peaks: DataFrame, spectrum: list[str], most_charge: Column
         for i in range(len(x) - 1):
             if taken[i] or x[i + 1] - x[i] > 1.1:
                 continue
+            best: tuple[list[int], int] = ([], 0)
             for z in range(1, top + 1):
                 step = C13_DIFF / z
                 series, k = [i], 1
                 while (j := at(x[i] + k * step)) > i and not (k == 1 and y[j] >= most_ratio * y[i]):
                     series.append(j)
                     k += 1
-                if len(series) < 2:
-                    continue
-                taken[series] = True
-                k = 1
-                while (j := at(x[i] - k * step)) >= 0 and j < i:
-                    series.insert(0, j)
-                    taken[j] = True
-                    k += 1
-                for part in _split(series, x, y, z, split_factor):
-                    rows += [(number, z, j, p, x[j], y[j]) for p, j in enumerate(part)]
-                    number += 1
-                break
+                if len(series) > max(1, len(best[0])):
+                    best = series, z
+            series, z = best
+            if not series:
+                continue
+            k = 1
+            while (j := at(x[i] - k * C13_DIFF / z)) >= 0 and j < i:
+                series.insert(0, j)
+                k += 1
+            taken[series] = True
+            for part in _split(series, x, y, z, split_factor):
+                rows += [(number, z, j, p, x[j], y[j]) for p, j in enumerate(part)]
+                number += 1
         out = pd.DataFrame(rows, columns=["cluster_id", "charge", "peak", "place", "mz", "intensity"])
         for c in spectrum:
             out[c] = frame[c].iloc[0]
