@@ -94,6 +94,16 @@ def test_isotope_series(spark):
     assert [round(r.mz, 1) for r in merged] == [500.0, 700.3]
 
 
+def test_isotope_query_keeps_every_row_and_grows(spark, tmp_path):
+    from peakweave.plans.queries import QUERIES
+
+    rows = [(k + extra, price, 3.0) for extra in (0, 500, 1000) for k in (1, 2) for price in (1000.0, 1001.0, 1011.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_extendedprice double, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES["isotope_clusters"].run(spark, str(tmp_path)).where("charge = 2").collect()
+    assert sorted({r.spectrum for r in got}) == [0, 16, 33]
+    assert sorted((r.place, r.intensity) for r in got) == [(0, 12.0)] * 3 + [(1, 6.0)] * 3
+
+
 def test_variable_modifications_prefer_few_changes(spark):
     df = seqs(spark, "MSM").withColumnRenamed("residues", "peptide")
     mods = [digest.Modification("Mox", "M", 15.99)]
