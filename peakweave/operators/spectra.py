@@ -50,13 +50,15 @@ def rebase(spectra: DataFrame, peaks: str = "peaks", origin: str = "origin_peaks
     return spectra.withColumn(origin, F.col(peaks))
 
 
-def isotope_clusters(peaks: DataFrame, spectrum: list[str], most_charge: Column | int, tolerance: Tolerance, mz: str = "mz", intensity: str = "intensity", most_ratio: float = 8.0, split_factor: float | None = None) -> DataFrame:
+def isotope_clusters(peaks: DataFrame, spectrum: list[str], most_charge: Column | int, tolerance: Tolerance, mz: str = "mz", intensity: str = "intensity", most_ratio: float = 8.0, split_factor: float | None = None, every: bool = False) -> DataFrame:
     """Isotope series of each spectrum: key, cluster_id, charge, peak (index by m/z), place (0 is monoisotopic), mz, intensity.
 
     Peaks are visited upwards; for each charge a series goes on while a peak stands k steps of the C13
-    difference over charge above the first one, and the longest series (of equals the lowest charge) counts. A first step that is most_ratio times as intense starts none. A series
-    that older series had masked from below is extended downwards. split_factor: with 5 peaks or more, a
-    series is cut where intensities differ from the averagine expectation by that factor. The scan is
+    difference over charge above the first one. A first step that is most_ratio times as intense starts none.
+    every: each charge with a second peak gives a cluster, and where older series had masked peaks below, the
+    series extended downwards is another one; deisotoped() then chooses. Otherwise only the longest series of
+    a start (of equals the lowest charge) counts, and only its extended form. split_factor: with 5 peaks or
+    more, a series is cut where intensities differ from the averagine expectation by that factor. The scan is
     order dependent, so a spectrum is one group.
     """
     schema = ", ".join(f"{c} {peaks.schema[c].dataType.simpleString()}" for c in spectrum) + ", cluster_id int, charge int, peak int, place int, mz double, intensity double"
@@ -65,38 +67,9 @@ def isotope_clusters(peaks: DataFrame, spectrum: list[str], most_charge: Column
     def scan(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("mz", kind="stable")
         x, y = frame["mz"].to_numpy(float), frame["intensity"].to_numpy(float)
-        top = int(frame["__z"].iloc[0] or 1)
-        taken = np.zeros(len(x), bool)
-        wide = (lambda v: v * tolerance.value * 1e-6) if tolerance.relative else (lambda v: tolerance.value)
-
-        def at(v: float) -> int:
-            lo, hi = np.searchsorted(x, [v - wide(v), v + wide(v)])
-            return int(lo + np.argmin(np.abs(x[lo:hi] - v))) if hi > lo else -1
-
-        rows, number = [], 0
-        for i in range(len(x) - 1):
-            if taken[i] or x[i + 1] - x[i] > 1.1:
-                continue
-            best: tuple[list[int], int] = ([], 0)
-            for z in range(1, top + 1):
-                step = C13_DIFF / z
-                series, k = [i], 1
-                while (j := at(x[i] + k * step)) > i and not (k == 1 and y[j] >= most_ratio * y[i]):
-                    series.append(j)
-                    k += 1
-                if len(series) > max(1, len(best[0])):
-                    best = series, z
-            series, z = best
-            if not series:
-                continue
-            k = 1
-            while (j := at(x[i] - k * C13_DIFF / z)) >= 0 and j < i:
-                series.insert(0, j)
-                k += 1
-            taken[series] = True
-            for part in _split(series, x, y, z, split_factor):
-                rows += [(number, z, j, p, x[j], y[j]) for p, j in enumerate(part)]
-                number += 1
+        rows = []
+        for number, (z, part) in enumerate(_series(x, y, int(frame["__z"].iloc[0] or 1), tolerance, most_ratio, split_factor, every)):
+            rows += [(number, z, j, p, x[j], y[j]) for p, j in enumerate(part)]
         out = pd.DataFrame(rows, columns=["cluster_id", "charge", "peak", "place", "mz", "intensity"])
         for c in spectrum:
             out[c] = frame[c].iloc[0]
@@ -105,6 +78,42 @@ def isotope_clusters(peaks: DataFrame, spectrum: list[str], most_charge: Column
     return held.groupBy(*spectrum).applyInPandas(scan, schema)
 
 
+def _series(x: np.ndarray, y: np.ndarray, top: int, tolerance: Tolerance, most_ratio: float, split_factor: float | None, every: bool) -> list[tuple[int, list[int]]]:
+    """Charge and peaks of the isotope series of one spectrum, whose m/z x ascend; see isotope_clusters()."""
+    taken = np.zeros(len(x), bool)
+    wide = (lambda v: v * tolerance.value * 1e-6) if tolerance.relative else (lambda v: tolerance.value)
+
+    def at(v: float) -> int:
+        lo, hi = np.searchsorted(x, [v - wide(v), v + wide(v)])
+        return int(lo + np.argmin(np.abs(x[lo:hi] - v))) if hi > lo else -1
+
+    out: list[tuple[int, list[int]]] = []
+    for i in range(len(x) - 1):
+        if taken[i] or x[i + 1] - x[i] > 1.1:
+            continue
+        found: list[tuple[int, list[int]]] = []
+        for z in range(1, top + 1):
+            step = C13_DIFF / z
+            series, k = [i], 1
+            while (j := at(x[i] + k * step)) > i and not (k == 1 and y[j] >= most_ratio * y[i]):
+                series.append(j)
+                k += 1
+            if len(series) > 1:
+                found.append((z, series))
+        if not every and found:
+            found = [max(found, key=lambda f: len(f[1]))]
+        for z, series in found:
+            below, k = [], 1
+            while (j := at(x[i] - k * C13_DIFF / z)) >= 0 and j < i:
+                below.insert(0, j)
+                k += 1
+            taken[below + series] = True
+            forms = [series] if every or not below else []
+            for form in forms + ([below + series] if below else []):
+                out += [(z, part) for part in _split(form, x, y, z, split_factor)]
+    return out
+
+
 def averagine_share(mass: float, k: int) -> float:
     """Expected share of isotope k for a peptide of this mass (Poisson in the number of C13)."""
     mean = mass / 111.1254 * 4.9384 * 0.0118

@@ -506,7 +506,7 @@ def peaks_in_scans(spark, sf_dir):
 def isotope_clusters(spark, sf_dir):
     """Peaks of a spectrum squeezed together so that isotope series occur; 30 orders are a spectrum, so spectra grow with the table."""
     peaks = _t(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 30").alias("spectrum"), (500 + F.floor(F.col("l_extendedprice") / 10) * 1.0033548 / 2).alias("mz"), F.col("l_quantity").alias("intensity"))
-    return S.isotope_clusters(A.merge_intensity(peaks, ["spectrum"], "mz", "intensity"), ["spectrum"], 3, Tolerance(10.0))
+    return S.isotope_clusters(A.merge_intensity(peaks, ["spectrum"], "mz", "intensity"), ["spectrum"], 3, Tolerance(10.0), every=True)
 
 
 @query(None)

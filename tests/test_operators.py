@@ -104,6 +104,21 @@ def test_isotope_query_keeps_every_row_and_grows(spark, tmp_path):
     assert sorted((r.place, r.intensity) for r in got) == [(0, 12.0)] * 3 + [(1, 6.0)] * 3
 
 
+def test_isotope_series_of_every_charge(spark):
+    step = M.C13_DIFF / 2
+    rows = [(1, 500.0 + k * step, 100.0) for k in range(5)]
+    # in spectrum 2 the third peak is 9 times as intense as the second, which starts no series; the third one extends downwards
+    rows += [(2, 500.0, 1.0), (2, 500.0 + M.C13_DIFF, 9.0), (2, 500.0 + 2 * M.C13_DIFF, 8.0)]
+    peaks = spark.createDataFrame(rows, "s int, mz double, intensity double")
+    clusters = spectra.isotope_clusters(peaks, ["s"], 2, Tolerance(10), every=True).cache()
+    got = {}
+    for r in clusters.orderBy("s", "cluster_id", "place").collect():
+        got.setdefault((r.s, r.cluster_id, r.charge), []).append(r.peak)
+    assert got == {(1, 0, 1): [0, 2, 4], (1, 1, 2): [0, 1, 2, 3, 4], (2, 0, 1): [1, 2], (2, 1, 1): [0, 1, 2]}
+    merged = spectra.deisotoped(peaks, clusters, ["s"]).where("s = 1").collect()
+    assert [(r.mz, r.charge, r.intensity) for r in merged] == [(500.0, 2, 500.0)]
+
+
 def test_variable_modifications_prefer_few_changes(spark):
     df = seqs(spark, "MSM").withColumnRenamed("residues", "peptide")
     mods = [digest.Modification("Mox", "M", 15.99)]
