@@ -180,29 +180,49 @@ def linearised(peaks: DataFrame, spectrum: list[str], precursor_mass: str, mz: s
     return out.groupBy(*spectrum, mz).agg(F.sum(intensity).alias(intensity))
 
 
-def denoised(peaks: DataFrame, spectrum: list[str], n: int, window: float, keep: str | None = None, mz: str = "mz", intensity: str = "intensity") -> DataFrame:
-    """Rolling top-n: from the most intense peak on, the weakest peaks of an overfull window around it are deleted.
+def denoised(peaks: DataFrame, spectrum: list[str], n: int, window: float, most_charge: Column | int, tolerance: Tolerance, keep: str | None = None, least_mz: float = 0.0, most_mz: float = float("inf"), mz: str = "mz", intensity: str = "intensity", most_ratio: float = 8.0, split_factor: float | None = None) -> DataFrame:
+    """Rolling top-n over isotope series: from the most intense on, the weakest of an overfull window around it are deleted.
 
-    Deletions change later windows, so a spectrum is one group. keep: a boolean column of peaks that centre no window.
+    Peaks below least_mz or from most_mz on go first. Then a series counts as one peak at its monoisotopic m/z,
+    with its summed intensity, and rows of equal m/z as one peak. In the end every series (of any charge) of
+    which a peak is left comes back whole. Deletions change later windows, so a spectrum is one group.
+    keep: a boolean column of peaks that centre no window and that the limits spare.
     """
     schema = peaks.schema
+    held = peaks.withColumn("__z", F.lit(most_charge) if isinstance(most_charge, int) else most_charge)
 
     def roll(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(mz, kind="stable").reset_index(drop=True)
-        x, y = frame[mz].to_numpy(float), frame[intensity].to_numpy(float)
-        there = np.ones(len(x), bool)
-        done = frame[keep].to_numpy(bool).copy() if keep else np.zeros(len(x), bool)
-        for i in np.argsort(-y, kind="stable"):
+        top = int(frame["__z"].iloc[0] or 1)
+        frame = frame.drop(columns="__z").sort_values(mz, kind="stable")
+        kept = frame[keep].fillna(False).to_numpy(bool) if keep else np.zeros(len(frame), bool)
+        inside = kept | (frame[mz].to_numpy(float) >= least_mz) & (frame[mz].to_numpy(float) < most_mz)
+        frame, kept = frame[inside], kept[inside]
+        x, peak = np.unique(frame[mz].to_numpy(float), return_inverse=True)
+        y = np.bincount(peak, frame[intensity].to_numpy(float), len(x))
+        done = np.bincount(peak, kept, len(x)) > 0
+        clusters = [part for _, part in _series(x, y, top, tolerance, most_ratio, split_factor, True)]
+        there, longest = np.ones(len(x), bool), {}
+        for part in clusters:
+            there[part] = False
+            longest[part[0]] = max(longest.get(part[0], []), part, key=lambda p: (len(p), y[p].sum()))
+        level = y.copy()
+        for first, part in longest.items():
+            there[first], level[first] = True, y[part].sum()
+        for i in np.flatnonzero(there)[np.argsort(-level[there], kind="stable")]:
             if done[i]:
                 continue
             lo, hi = np.searchsorted(x, [x[i] - window / 2, x[i] + window / 2])
-            inside = np.flatnonzero(there[lo:hi]) + lo
-            if len(inside) > n:
-                weakest = inside[np.argsort(y[inside], kind="stable")][: len(inside) - n]
+            near = np.flatnonzero(there[lo:hi]) + lo
+            if len(near) > n:
+                weakest = near[np.argsort(level[near], kind="stable")][: len(near) - n]
                 there[weakest], done[weakest] = False, True
-        return frame[there]
+        back = there.copy()
+        for part in clusters:
+            if there[part].any():
+                back[part] = True
+        return frame[back[peak]]
 
-    return peaks.groupBy(*spectrum).applyInPandas(roll, schema)
+    return held.groupBy(*spectrum).applyInPandas(roll, schema)
 
 
 def without_single_peaks(peaks: DataFrame, clusters: DataFrame, spectrum: list[str], mz: str = "mz") -> DataFrame:

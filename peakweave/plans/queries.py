@@ -512,7 +512,7 @@ def isotope_clusters(spark, sf_dir):
 @query(None)
 def rolling_denoise(spark, sf_dir):
     peaks = _t(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"))
-    return S.denoised(peaks, ["l_suppkey"], 10, 5000.0)
+    return S.denoised(peaks, ["l_suppkey"], 10, 5000.0, 3, Tolerance(10.0))
 
 
 @query(None)

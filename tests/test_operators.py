@@ -119,6 +119,49 @@ def test_isotope_series_of_every_charge(spark):
     assert [(r.mz, r.charge, r.intensity) for r in merged] == [(500.0, 2, 500.0)]
 
 
+def test_rolling_denoise_counts_series_once_and_refills(spark):
+    one, half = M.C13_DIFF, M.C13_DIFF / 2
+    rows = [(500.0, 50.0, False), (500.0 + one, 30.0, False), (500.0 + 2 * one, 10.0, False), (510.3, 60.0, False), (515.7, 20.0, False), (99.0, 500.0, False), (98.0, 7.0, True), (900.0, 500.0, False)]
+    rows += [(700.0 + k * half, 10.0 - k, False) for k in range(4)] + [(705.2, 20.0, False), (706.4, 21.0, False)]
+    peaks = spark.createDataFrame([(1, *r) for r in rows], "s int, mz double, intensity double, keep boolean")
+    got = {round(r.mz, 4) for r in spectra.denoised(peaks, ["s"], 2, 100.0, 2, Tolerance(10), keep="keep", least_mz=100.0, most_mz=900.0).collect()}
+    # of three series around 500 the two best stay, one of them with its isotopes; the series at 700 (summed 34) beats 705.2
+    assert got == {round(x, 4) for x in (98.0, 500.0, 500.0 + one, 500.0 + 2 * one, 510.3, 706.4, *(700.0 + k * half for k in range(4)))}
+
+
+def brute_denoise(clusters, peaks, n, window):
+    """By dictionaries, with windows looked through peak by peak; clusters as lists of m/z."""
+    series = {}
+    for c in clusters:
+        if len(c) > len(series.get(c[0], [])) or len(c) == len(series[c[0]]) and sum(peaks[m] for m in c) > sum(peaks[m] for m in series[c[0]]):
+            series[c[0]] = c
+    members = {m for c in clusters for m in c}
+    level = {m: i for m, i in peaks.items() if m not in members} | {m: sum(peaks[p] for p in c) for m, c in series.items()}
+    gone = set()
+    for m in sorted(level, key=lambda m: (-level[m], m)):
+        near = [k for k in level if k not in gone and m - window / 2 <= k < m + window / 2]
+        if m not in gone:
+            gone |= set(sorted(near, key=lambda k: (level[k], k))[: max(0, len(near) - n)])
+    left = set(level) - gone
+    return left | {m for c in clusters if left & set(c) for m in c}
+
+
+def test_rolling_denoise_equals_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(s, 400 + rng.randrange(400) * M.C13_DIFF / 6 + rng.choice([0, 0.31]), float(rng.randrange(1, 500))) for s in range(6) for _ in range(150)]
+    rows = list({(s, m): (s, m, i) for s, m, i in rows}.values())
+    peaks = spark.createDataFrame(rows, "s int, mz double, intensity double")
+    clusters, want = {}, {}
+    for r in spectra.isotope_clusters(peaks, ["s"], 3, Tolerance(10), every=True).orderBy("s", "cluster_id", "place").collect():
+        clusters.setdefault(r.s, {}).setdefault(r.cluster_id, []).append(r.mz)
+    for s in range(6):
+        want[s] = brute_denoise(list(clusters[s].values()), {m: i for t, m, i in rows if t == s}, 4, 12.0)
+    got = {s: set() for s in range(6)}
+    for r in spectra.denoised(peaks, ["s"], 4, 12.0, 3, Tolerance(10)).collect():
+        got[r.s].add(r.mz)
+    assert got == want and any(len(w) < 150 for w in want.values())
+
+
 def test_variable_modifications_prefer_few_changes(spark):
     df = seqs(spark, "MSM").withColumnRenamed("residues", "peptide")
     mods = [digest.Modification("Mox", "M", 15.99)]
