@@ -1,15 +1,17 @@
 """WARC archives: a writer with revisit records and a reader that salvages damaged files.
 
-The reader checks every record (gzip checksum, version line, lengths, block digest). After a failed
-check it searches for the next place where a whole record passes, goes on there, and logs the bytes
-between as a quarantined gap. The same search lets tasks start inside a file, so one large archive is
-read by many tasks.
+The reader checks every record (gzip checksum, version line, lengths, digests of known algorithms).
+After a failed check it searches for the next place where a whole record passes, goes on there, and logs
+the bytes between as a quarantined gap. The same search lets tasks start inside a file, so one large
+archive is read by many tasks, and goes through gzip members that hold more than one record.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import itertools
 import re
 import uuid
 import zlib
@@ -26,7 +28,9 @@ STEP = 1 << 20  #: bytes read at once
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
 _END = b"\r\n\r\n"
-_HEAD_LIMIT = 1 << 20  #: a record header longer than this is damage
+_HELD = 32 << 20  #: a gzip member that is larger, packed or inflated, is inflated twice instead of held
+_PIECE = 1 << 16  #: bytes of a gzip member inflated at once
+_DIGESTS = ("sha1", "sha256", "sha512", "sha384", "sha224", "md5")
 
 RECORD_SCHEMA = "file string, offset bigint, length bigint, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary, quarantined string"
 
@@ -119,11 +123,11 @@ class _Window:
 
     def __init__(self, handle, size: int, at: int):
         self.handle, self.size, self.base, self.data = handle, size, at, bytearray()
-        handle.seek(at)
 
     def upto(self, stop: int) -> bytearray:
         """Bytes from base to at least stop, or the end of the file."""
         while self.base + len(self.data) < min(stop, self.size):
+            self.handle.seek(self.base + len(self.data))
             more = self.handle.read(max(STEP, min(stop, self.size) - self.base - len(self.data)))
             if not more:
                 break
@@ -131,79 +135,190 @@ class _Window:
         return self.data
 
     def drop(self, to: int) -> None:
+        """Let base be `to`; a place before it is read again."""
+        if to < self.base:
+            self.data.clear()
         del self.data[: to - self.base]
         self.base = to
 
 
+class _Stream:
+    """Pieces of bytes as a file that is read once from its start."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces = pieces
+
+    def seek(self, at: int) -> None:
+        pass
+
+    def read(self, n: int) -> bytes:
+        out = bytearray()
+        while len(out) < n and (piece := next(self.pieces, None)) is not None:
+            out += piece
+        return bytes(out)
+
+
 class _Bad(Exception):
     pass
 
 
-def _header_end(data: bytes) -> int:
-    at = data.find(_END, 0, _HEAD_LIMIT)
-    return at + 4 if at >= 0 else -1
+def _digest_holds(stated: str, data: bytes) -> bool | None:
+    """Whether data has the stated digest, in base 32, hex or base 64; None where none of a known algorithm is stated."""
+    name, sep, value = stated.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip().rstrip("=")
+    if not sep or name not in _DIGESTS:
+        return None
+    found = hashlib.new(name, data).digest()
+    return value.upper() == base64.b32encode(found).decode().rstrip("=") or value.lower() == found.hex() or value == base64.b64encode(found).decode().rstrip("=")
+
+
+def _payload(fields: dict[str, str], block: bytes) -> bytes:
+    """The body of an HTTP message, of other blocks all."""
+    kind = fields.get("content-type", "application/http" if block.startswith(b"HTTP/") else "")
+    return block.partition(_END)[2] if kind.lower().startswith("application/http") else block
+
+
+def _unchunked(block: bytes) -> bytes | None:
+    """The body of an HTTP message in chunks, put together; None where it isn't one."""
+    head, _, body = block.partition(_END)
+    if not re.search(rb"(?im)^transfer-encoding:.*chunked", head):
+        return None
+    out, at = [], 0
+    while m := re.compile(rb"([0-9a-fA-F]+)[^\r\n]*\r\n").match(body, at):
+        if not (n := int(m[1], 16)):
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + n])
+        at = m.end() + n + 2
+    return None
+
+
+def _payload_holds(fields: dict[str, str], block: bytes) -> bool | None:
+    """Whether the payload has its digest; None where the record states none, or one of bytes that it doesn't hold."""
+    if fields.get("warc-type") in ("revisit", "continuation") or "warc-truncated" in fields or "warc-segment-number" in fields:
+        return None
+    stated = fields.get("warc-payload-digest", "")
+    holds = _digest_holds(stated, _payload(fields, block))
+    if holds is False and (body := _unchunked(block)) is not None:
+        holds = _digest_holds(stated, body)
+    return holds
 
 
 def _parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Fields and block of one whole record; _Bad says which check failed."""
     if not data.startswith(_VERSION):
         raise _Bad("no version line")
-    if (end := _header_end(data)) < 0:
+    if (end := data.find(_END) + 4) < 4:
         raise _Bad("header without end")
-    fields = {}
+    fields, k = {}, b""
     for line in data[: end - 4].split(b"\r\n")[1:]:
+        if k and line[:1] in (b" ", b"\t"):
+            fields[k] += " " + line.strip().decode("utf-8", "replace")
+            continue
         k, sep, v = line.partition(b":")
         if not sep:
             raise _Bad("malformed header line")
-        fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+        k = k.strip().lower().decode("latin-1")
+        fields[k] = v.strip().decode("utf-8", "replace")
     if not fields.get("content-length", "").isdecimal():
         raise _Bad("no content length")
     block = data[end : end + int(fields["content-length"])]
     if data[end + int(fields["content-length"]) :] != _END:
         raise _Bad("length differs from content length")
-    want = fields.get("warc-block-digest", "")
-    if want.startswith("sha1:") and want[5:] != digest32(block):
+    if _digest_holds(fields.get("warc-block-digest", ""), block) is False:
         raise _Bad("block digest differs")
     return fields, block
 
 
-def _member(window: _Window, at: int) -> tuple[bytes, int]:
-    """Inflate the gzip member at `at`; its content and the offset after it."""
-    z, out, pos = zlib.decompressobj(31), [], at
+def _inflated(window: _Window, at: int, end: list) -> Iterator[bytes]:
+    """Pieces of the gzip member at `at`; then the offset after it and what is wrong with it go to end."""
+    z, pos, wrong = zlib.decompressobj(31), at, ""
+    while not z.eof and not wrong:
+        if pos - at > _HELD:
+            window.drop(pos)
+        chunk = bytes(window.upto(pos + _PIECE)[pos - window.base : pos - window.base + _PIECE])
+        pos += len(chunk)
+        if not chunk:
+            yield z.flush()
+            wrong = "" if z.eof else "cut off"
+        while chunk and not z.eof:
+            before = z.copy()
+            try:
+                piece = z.decompress(chunk, STEP)
+            except zlib.error as e:
+                wrong, piece = "gzip: " + str(e)[:60], _sound(before, chunk)
+            yield piece
+            chunk = b"" if wrong else z.unconsumed_tail
+    end += [pos - len(z.unused_data), wrong]
+
+
+def _sound(z, chunk: bytes) -> bytes:
+    """What z inflates of chunk before it fails."""
+    out = []
     try:
-        while not z.eof:
-            data = window.upto(pos + STEP)
-            chunk = bytes(data[pos - window.base : pos - window.base + STEP])
-            if not chunk:
-                raise _Bad("cut off")
-            out.append(z.decompress(chunk))
-            pos += len(chunk)
-            if len(out) == 1 and not out[0].startswith(_VERSION[: max(1, len(out[0]))]) and out[0]:
-                raise _Bad("no version line")
-    except zlib.error as e:
-        raise _Bad("gzip: " + str(e)[:60]) from None
-    return b"".join(out), pos - len(z.unused_data)
-
-
-def _plain(window: _Window, at: int) -> tuple[bytes, int]:
+        for i in range(len(chunk)):
+            out.append(z.decompress(chunk[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _member(window: _Window, at: int) -> tuple[Iterator[tuple[dict | None, bytes, str]], int, str]:
+    """Records and gaps in the gzip member at `at`, the offset after it, and what is wrong with the member.
+
+    Of a member whose gzip data fail, only records that a digest confirms are returned, of one that is cut
+    off all whole records.
+    """
+    if window.upto(at + 3)[at - window.base : at - window.base + 3] != _MAGIC:
+        raise _Bad("no gzip header")
+    out, total, end = [], 0, []
+    for piece in _inflated(window, at, end):
+        total += len(piece)
+        if total <= _HELD:
+            out.append(piece)
+        else:
+            out.clear()
+    after, wrong = end
+    source = io.BytesIO(b"".join(out)) if total <= _HELD else _Stream(_inflated(_Window(window.handle, window.size, at), at, []))
+
+    def rows() -> Iterator[tuple[dict | None, bytes, str]]:
+        for offset, n, fields, block, why in read_range(source, total, 0, total, False):
+            if fields is None:
+                if not wrong:
+                    yield None, b"", why if n == total else f"bytes {offset} to {offset + n} of the inflated member: {why}"
+            elif wrong in ("", "cut off") or _digest_holds(fields.get("warc-block-digest", ""), block) or _payload_holds(fields, block):
+                yield fields, block, ""
+
+    found, held = rows(), []
+    for row in found:
+        held.append(row)
+        if row[0] is not None:
+            return itertools.chain(held, found), after, wrong
+    raise _Bad(wrong or (held[0][2] if held else "no version line"))
+
+
+def _plain(window: _Window, at: int) -> tuple[Iterator[tuple[dict | None, bytes, str]], int, str]:
     """The uncompressed record at `at` and the offset after it."""
-    stop = at + STEP
+    stop, seen = at + _PIECE, 0
     while True:
-        data = bytes(window.upto(stop)[at - window.base :])
-        if not data.startswith(_VERSION):
+        data, first = window.upto(stop), at - window.base
+        if not re.compile(rb"WARC/1\.\d+[ \t]*\r\n").match(data, first):
             raise _Bad("no version line")
-        if (end := _header_end(data)) >= 0:
+        if (end := data.find(_END, first + seen)) >= 0:
             break
-        if window.base + len(window.data) >= window.size or len(data) > _HEAD_LIMIT:
+        if window.base + len(data) >= window.size:
             raise _Bad("header without end")
-        stop += STEP
-    found = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", data[:end].replace(b"\r\n", b"\n"))
+        lines = bytes(data[first + seen :]).split(b"\r\n")[1:-1]
+        if any(b":" not in line and line[:1] not in (b" ", b"\t") for line in lines):
+            raise _Bad("malformed header line")
+        seen, stop = max(seen, data.rfind(b"\r\n", first) - first), max(stop + STEP, at + 2 * (stop - at))
+    found = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", bytes(data[first:end]).replace(b"\r\n", b"\n"))
     if not found:
         raise _Bad("no content length")
-    total = end + int(found[1]) + 4
+    total = end + 4 - first + int(found[1]) + 4
     if at + total > window.size:
         raise _Bad("cut off")
-    return bytes(window.upto(at + total)[at - window.base : at - window.base + total]), at + total
+    fields, block = _parse(bytes(window.upto(at + total)[first : first + total]))
+    return iter([(fields, block, "")]), at + total, ""
 
 
 def read_range(handle, size: int, start: int, stop: int, compressed: bool) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
@@ -211,15 +326,15 @@ def read_range(handle, size: int, start: int, stop: int, compressed: bool) -> It
 
     A gap is logged by the range in which the record before it begins (the first range for a gap at the
     file's start), so the ranges of a file together tell every byte once. A later range first searches
-    silently for a record of its own.
+    silently for a record of its own. Records of one gzip member have its offset; the first has its length,
+    the others 0. Records saved from a member that fails have length 0, and the member is logged as a gap.
     """
     take, mark = (_member, _MAGIC) if compressed else (_plain, _VERSION)
     window, at, reason = _Window(handle, size, start), start, ""
     ended = None if start else 0  # where the last own record ended
     while at < size:
         try:
-            data, after = take(window, at)
-            fields, block = _parse(data)
+            records, after, wrong = take(window, at)
         except _Bad as e:
             if ended is None and at >= stop:
                 return
@@ -231,9 +346,16 @@ def read_range(handle, size: int, start: int, stop: int, compressed: bool) -> It
             yield ended, at - ended, None, b"", reason
         if at >= stop:
             return
-        yield at, after - at, fields, block, ""
-        at = ended = after
-        window.drop(at)
+        n = 0 if wrong else after - at
+        for fields, block, why in records:
+            yield at, n, fields, block, why
+            n = 0
+        if wrong:
+            ended, reason = at, wrong
+            at = _next_mark(window, at, mark)
+        else:
+            at = ended = after
+            window.drop(at)
     if ended is not None and ended < size:
         yield ended, size - ended, None, b"", reason
 
@@ -242,7 +364,7 @@ def _next_mark(window: _Window, at: int, mark: bytes) -> int:
     """Offset of the next mark after `at`, or the file's end."""
     at += 1
     while True:
-        window.drop(min(at, window.base + len(window.data)))
+        window.drop(at)
         found = window.upto(at + STEP).find(mark, at - window.base)
         if found >= 0:
             return window.base + found
@@ -286,16 +408,16 @@ def read_archives(spark: SparkSession, path: str, *, split_bytes: int = SPLIT) -
 def _row(name: str, offset: int, n: int, fields: dict | None, block: bytes, why: str) -> tuple:
     if fields is None:
         return (name, offset, n, None, None, None, None, None, None, None, why)
-    head, _, payload = block.partition(_END)
     kind = fields.get("warc-type", "")
-    stated = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head.replace(b"\r\n", b"\n"))
     revisit = kind == "revisit"
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if not revisit and digest != digest32(payload):
+    if _payload_holds(fields, block) is False:
         return (name, offset, n, None, None, None, None, None, None, None, "payload digest differs")
+    payload = _payload(fields, block)
+    stated = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", block.partition(_END)[0].replace(b"\r\n", b"\n")) if revisit else None
+    digest = fields.get("warc-payload-digest")
     ident = lambda k: (m[1] if (m := re.fullmatch(r"<urn:page:(.*)>", fields.get(k, ""))) else fields.get(k))
-    size = int(stated[1]) if revisit and stated else len(payload)
-    return (name, offset, n, kind, ident("warc-record-id"), fields.get("warc-target-uri"), ident("warc-refers-to"), digest, size, None if revisit else payload, None)
+    size = int(stated[1]) if stated else len(payload)
+    return (name, offset, n, kind, ident("warc-record-id"), fields.get("warc-target-uri"), ident("warc-refers-to"), digest and digest.removeprefix("sha1:"), size, None if revisit else payload, None)
 
 
 def payload_of(column: Column) -> Column:

@@ -268,6 +268,58 @@ def test_warc_salvage(compressed):
         assert [(a, n) for a, n, _ in gaps] == [(offset, length)] and gaps[0][2]
 
 
+def foreign(kind, block, *fields, content="text/plain"):
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:{kind}>"), ("Content-Type", content), *fields, ("Content-Length", str(len(block)))]
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def foreign_archive():
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nbody"
+    chunks = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nbody\r\n0\r\n\r\n"
+    sha256, http = "sha256:" + hashlib.sha256(b"body").hexdigest(), "application/http;msgtype=response"
+    records = [
+        (foreign("warcinfo", b"software: x\r\n\r\nmore"), b"software: x\r\n\r\nmore"),
+        (foreign("request", b"GET / HTTP/1.1\r\n\r\n", content="application/http;msgtype=request"), b""),
+        (foreign("response", page, ("WARC-Payload-Digest", sha256), content=http), b"body"),
+        (foreign("response", page, content=http), b"body"),
+        (foreign("response", chunks, ("WARC-Payload-Digest", "sha1:" + warc.digest32(b"body")), content=http), chunks.partition(b"\r\n\r\n")[2]),
+        (foreign("metadata", b"a\r\n\r\nb", ("X-Long", "y" * (3 << 19)), ("X-Folded", "a\r\n b")), b"a\r\n\r\nb"),
+        (foreign("conversion", b"text"), b"text"),
+    ]
+    wrong = foreign("response", page, ("WARC-Payload-Digest", "sha256:" + "0" * 64), content=http)
+    return records, wrong
+
+
+@pytest.mark.parametrize("form", ["plain", "whole", "each"])
+@pytest.mark.parametrize("held", [warc._HELD, 1000])
+def test_warc_foreign_records(form, held, monkeypatch):
+    monkeypatch.setattr(warc, "_HELD", held)
+    records, wrong = foreign_archive()
+    parts = [r for r, _ in records] + [wrong]
+    data = b"".join(parts) if form == "plain" else warc.gzip_member(b"".join(parts)) if form == "whole" else b"".join(map(warc.gzip_member, parts))
+    for split in (1 << 30, 700):
+        got = [row for start in range(0, len(data), split) for row in warc.read_range(io.BytesIO(data), len(data), start, min(len(data), start + split), form != "plain")]
+        rows = [warc._row("f", *row) for row in got]
+        assert [r[9] for r in rows] == [p for _, p in records] + [None]
+        assert [r[10] for r in rows] == [None] * len(records) + ["payload digest differs"]
+        assert sum(r[2] for r in rows) == len(data)
+
+
+def test_warc_salvage_inside_a_member():
+    records, _ = foreign_archive()
+    texts = [r for r, _ in records]
+    inner = warc.gzip_member(texts[0] + b"junk WARC/1.0\r\njunk" + texts[6])
+    got = list(warc.read_range(io.BytesIO(inner), len(inner), 0, len(inner), True))
+    assert [r[2] and r[2]["warc-type"] for r in got] == ["warcinfo", None, "conversion"] and "inflated" in got[1][4]
+    whole = warc.gzip_member(b"".join(warc.record("response", str(i), "u", bytes(random.Random(i).randbytes(3000)), warc.digest32(random.Random(i).randbytes(3000)), None) for i in range(9)), 0)
+    broken = bytearray(whole)
+    broken[len(whole) // 2] ^= 255
+    for data, want in ((whole[: len(whole) // 2], [0, 1, 2, 3]), (bytes(broken), [0, 1, 2, 3, 5, 6, 7, 8])):
+        got = list(warc.read_range(io.BytesIO(data), len(data), 0, len(data), True))
+        assert [r[2]["warc-record-id"] for r in got if r[2]] == [f"<urn:page:{i}>" for i in want]
+        assert [r[:2] for r in got if r[2] is None] == [(0, len(data))] and sum(r[1] for r in got) == len(data)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a", "same"), (2, None, "same"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "é" * 2000), (2, None, "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("id", F.lit("clash"))
