@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import io
+import shutil
+import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -35,7 +39,7 @@ def _peaks(block: Column) -> Column:
 
 
 def _numbers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
 
 
 def parse_mgf(blocks: DataFrame, run_pattern: str | None = None, scan_pattern: str | None = None, block: str = "value", file: str = "peak_file") -> DataFrame:
@@ -71,7 +75,11 @@ def read_mgf(spark: SparkSession, path: str | list[str], **options) -> DataFrame
 
 def read_apl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Andromeda peak lists: blocks from "peaklist start" to "peaklist end"."""
-    text = spark.read.option("lineSep", "peaklist end").text(path).withColumn("peak_file", F.col("_metadata.file_path"))
+    return parse_apl(spark.read.option("lineSep", "peaklist end").text(path).withColumn("peak_file", F.col("_metadata.file_path")))
+
+
+def parse_apl(text: DataFrame) -> DataFrame:
+    """Spectra of text blocks that end before "peaklist end"."""
     b = F.substring_index("value", "peaklist start", -1)
     header = _key(b, "header")
     return text.where(F.col("value").contains("peaklist start")).select(
@@ -93,7 +101,12 @@ CV = {"level": "MS:1000511", "time": "MS:1000016", "mz": "MS:1000744", "charge":
 
 def read_mzml(spark: SparkSession, path: str, level: int = 2) -> DataFrame:
     """Spectra of one MS level of mzML files; binary arrays are decoded in Arrow batches."""
-    text = spark.read.option("lineSep", "</spectrum>").text(path).withColumn("peak_file", F.col("_metadata.file_path")).where(F.col("value").contains("<spectrum "))
+    return parse_mzml(spark.read.option("lineSep", "</spectrum>").text(path).withColumn("peak_file", F.col("_metadata.file_path")), level)
+
+
+def parse_mzml(blocks: DataFrame, level: int = 2) -> DataFrame:
+    """Spectra of one MS level of text blocks that end before "</spectrum>"."""
+    text = blocks.where(F.col("value").contains("<spectrum "))
     b = F.substring_index("value", "<spectrum ", -1)
     cv = lambda acc: F.nullif(F.regexp_extract(b, rf'accession="{acc}"[^>]*?value="([^"]*)"', 1), F.lit(""))
     arrays = F.filter(F.split(b, "<binaryDataArray "), lambda x: x.contains("<binary>"))
@@ -115,27 +128,88 @@ def read_mzml(spark: SparkSession, path: str, level: int = 2) -> DataFrame:
     return rows.withColumn("peaks", F.array_sort(F.arrays_zip(F.col("__m").alias("mz"), F.col("__i").alias("intensity")))).drop("__m", "__i", "level")
 
 
-def read_zip(spark: SparkSession, path: str, suffix: str = ".mgf") -> DataFrame:
-    """Spectra of the MGF members of zip files; a zip is one task's input, its members are streamed block by block."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: What ends a spectrum, by format.
+_ENDS = {"mgf": "END IONS", "apl": "peaklist end", "mzml": "</spectrum>"}
+
+
+def _format(name: str) -> str:
+    """Format of a zip's member, by suffix; what has no suffix of its own is MGF."""
+    bare = name.lower().removesuffix(".gz")
+    return "zip" if bare.endswith(".zip") else "apl" if bare.endswith(".apl") else "mzml" if bare.endswith(".mzml") else "mgf"
+
+
+def _members(z: zipfile.ZipFile, suffix: str) -> list[str]:
+    names = [i.filename for i in z.infolist() if not i.is_dir()]
+    junk = lambda n: n.startswith("__MACOSX") or n.rpartition("/")[2].startswith(("._", ".DS_Store"))
+    return [n for n in names if not junk(n) and (n.lower().endswith(suffix) or _format(n) == "zip")]
+
+
+def _blocks(z: zipfile.ZipFile, member: str, name: str, kind: str, suffix: str) -> Iterator[tuple[str, str]]:
+    """Blocks of one format in a member, nested zips too, each with the file it is from."""
+    found = _format(member)
+    if found not in ("zip", kind):
+        return
+    with z.open(member) as packed, gzip.open(packed) if member.lower().endswith(".gz") else packed as f:
+        if found == "zip":
+            with tempfile.TemporaryFile() as copy:
+                shutil.copyfileobj(f, copy)
+                with zipfile.ZipFile(copy) as inner:
+                    for m in _members(inner, suffix):
+                        yield from _blocks(inner, m, f"{name}!{m}", kind, suffix)
+            return
+        if member.lower().endswith((".list", ".msmlist")):
+            raise ValueError(f"{name} lists files, which a zip can't name")
+        held, text = "", io.TextIOWrapper(f, "utf-8", errors="replace")
+        while more := text.read(1 << 20):
+            if "\0" in more:
+                raise ValueError(f"{name} is not a peak list")
+            *whole, held = (held + more).split(_ENDS[kind])
+            yield from ((block, name) for block in whole)
+        if held.strip():
+            yield held, name
+
+
+def read_zip(spark: SparkSession, path: str, suffix: str = "", **options) -> DataFrame:
+    """Spectra of the members of zip files whose names end in suffix: by their own suffix APL, mzML or nested zips, else MGF.
+
+    Each member is a row, and many tasks unpack them, block by block; a nested zip is one row. Where only Spark
+    can open the store, a zip is one task's input and held whole. A member that is no text, or a list, is an error.
+    """
+    from pyarrow import ArrowInvalid, fs
+
+    def opened(name: str):
+        store, inner = fs.FileSystem.from_uri(quote(name, safe="/:@"))
+        return store.open_input_file(inner)
+
+    files = spark.read.format("binaryFile").load(path)
+    try:
+        fs.FileSystem.from_uri(quote((files.select("path").first() or [""])[0], safe="/:@"))
+        seekable = True
+    except ArrowInvalid:
+        seekable = False
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        if not member.lower().endswith(suffix) or member.startswith("__MACOSX") or "/._" in member:
-                            continue
-                        with z.open(member) as f:
-                            held: list[str] = []
-                            for line in io.TextIOWrapper(f, "utf-8", errors="replace"):
-                                if line.strip() == "END IONS":
-                                    yield pd.DataFrame({"value": ["".join(held)], "peak_file": [f"{name}!{member}"]})
-                                    held = []
-                                else:
-                                    held.append(line)
-
-    return parse_mgf(files.mapInPandas(unpack, "value string, peak_file string"))
+            for name in frame["path"]:
+                with opened(name) as f, zipfile.ZipFile(f) as z:
+                    yield pd.DataFrame({"path": name, "member": _members(z, suffix)})
+
+    def unpack(kind: str):
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for name, what in zip(frame["path"], frame[frame.columns[1]], strict=True):
+                    with opened(name) if seekable else io.BytesIO(what) as f, zipfile.ZipFile(f) as z:
+                        for member in [what] if seekable else _members(z, suffix):
+                            for block, file in _blocks(z, member, f"{name}!{member}", kind, suffix):
+                                yield pd.DataFrame({"value": [block], "peak_file": [file]})
+
+        return each
+
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = files.select("path").mapInPandas(listed, "path string, member string").repartition(parts) if seekable else files.select("path", "content")
+    mgf, apl, mzml = (rows.mapInPandas(unpack(kind), "value string, peak_file string") for kind in _ENDS)
+    out = parse_mgf(mgf, **options).unionByName(parse_apl(apl), allowMissingColumns=True)
+    return out.unionByName(parse_mzml(mzml), allowMissingColumns=True)
 
 
 def read_spectra(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -150,7 +224,7 @@ def read_spectra(spark: SparkSession, path: str, **options) -> DataFrame:
             out = out.unionByName(read_spectra(spark, p, **options), allowMissingColumns=True)
         return out
     if bare.endswith(".zip"):
-        return read_zip(spark, path)
+        return read_zip(spark, path, **options)
     if bare.endswith(".apl"):
         return read_apl(spark, path)
     if bare.endswith(".mzml"):

@@ -188,6 +188,37 @@ def test_mgf_and_fasta(spark, tmp_path):
     assert spark.range(1).select(sinks.number(F.lit(1.50))).first()[0] == "1.5"
 
 
+def test_zip_members_of_every_format(spark, tmp_path):
+    import gzip
+    import io
+    import zipfile
+
+    from peakweave.sources import peaklists
+
+    mgf = lambda scan: f"BEGIN IONS\nTITLE=run1.{scan}.{scan}.2\nPEPMASS=500.5 1.5e4\nCHARGE=2+\n100.1 5\nEND IONS\n"
+    apl = "peaklist start\nmz=600.25\ncharge=3\nheader=RawFile: run2 Index: 7\n100.5\t10\n200.5\t20\npeaklist end\n"
+    nested = io.BytesIO()
+    with zipfile.ZipFile(nested, "w") as z:
+        z.writestr("deep/e.msm", mgf(5))
+        z.writestr("f.apl", apl.replace("Index: 7", "Index: 8"))
+    with zipfile.ZipFile(tmp_path / "all of it.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.mgf", mgf(1) + mgf(2))
+        z.writestr("b.txt", mgf(3))
+        z.writestr("c.mgf.gz", gzip.compress(mgf(4).encode()))
+        z.writestr("d.apl", apl)
+        z.writestr("g.zip", nested.getvalue())
+        z.writestr("__MACOSX/._a.mgf", b"\0junk")
+        z.writestr("h.mzML", '<mzML><spectrum id="scan=9"><cvParam accession="MS:1000511" value="2"/><cvParam accession="MS:1000744" value="700.5"/></spectrum></mzML>')
+    got = peaklists.read_spectra(spark, str(tmp_path / "all of it.zip")).collect()
+    assert sorted(r.scan for r in got) == [1, 2, 3, 4, 5, 7, 8, 9]
+    assert {r.precursor_intensity for r in got if r.precursor_mz == 500.5} == {15000.0}
+    assert {len(r.peaks) for r in got if r.precursor_charge == 3} == {2}
+    with zipfile.ZipFile(tmp_path / "raw.zip", "w") as z:
+        z.writestr("a.raw", b"\0\1\2")
+    with pytest.raises(Exception, match="not a peak list"):
+        peaklists.read_spectra(spark, str(tmp_path / "raw.zip")).collect()
+
+
 def test_guess_delimiter():
     from peakweave.sources.tables import guess_format
 
