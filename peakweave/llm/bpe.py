@@ -24,8 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import own_name, worker_table
+
 CHUNK = 1 << 19  #: code points handled at once; longer texts are one chunk of their own
-CACHE_ENTRIES = 250_000  #: distinct pieces kept encoded in a Python worker
+CACHE_ENTRIES = 100_000  #: distinct pieces kept encoded in a Python worker
 _WIDTHS = (8, 12, 16, 24, 32, 64)  # pieces of up to so many bytes are merged together; longer ones alone
 _NONE = 1 << 40  # rank of a pair that doesn't join
 
@@ -291,18 +293,6 @@ class Encoder:
         return [(ids[a:b], offsets[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
 
 
-_encoders: dict[int, Encoder] = {}
-
-
-def _worker_encoder(shared) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    key = id(shared.value)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[key]
-
-
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about CHUNK bytes of text; a longer text is a range of its own."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
@@ -316,60 +306,88 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
-def encode(docs: DataFrame, ranks_path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+class Decoder:
+    """The bytes of token ids, gathered from one array of all tokens' bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.widths = np.array([len(t) for t in tokens], np.int64)
+        self.base = np.cumsum(self.widths) - self.widths
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode_flat(self, ids: np.ndarray, offsets: np.ndarray, begin: np.ndarray) -> pa.Array:
+        """One binary value per text: its tokens' bytes, each at its own offset. begin: as of encode_flat.
+
+        Offsets that leave a gap or overlap don't belong to these ids, and raise.
+        """
+        width = self.widths[ids]
+        total = np.concatenate([[0], np.cumsum(width)])
+        start = total[begin]  # where each text begins
+        at = offsets + np.repeat(start[:-1], np.diff(begin))
+        if not np.array_equal(at, total[:-1]):
+            raise ValueError("offsets don't fit the token ids")
+        data = np.empty(total[-1], np.uint8)
+        for k in range(0, len(ids), CHUNK):
+            a, b, w = total[k], total[min(k + CHUNK, len(ids))], width[k : k + CHUNK]
+            data[a:b] = self.bytes[np.arange(a, b) + np.repeat(self.base[ids[k : k + CHUNK]] - at[k : k + CHUNK], w)]
+        if total[-1] < 1 << 31:
+            return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(data)])
+        return pa.array([data[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())
+
+
+def encode(docs: DataFrame, ranks_path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """keep columns, ids array<int> and offsets array<bigint> (byte offset of each token in the UTF-8 text).
 
-    ranks_path: a rank file that the driver reads; the ranks (bounded by the vocabulary) are broadcast.
-    A null or empty text has no tokens. Texts are encoded whole, several at a time when short; an empty
-    table gives no rows; repeated rows are encoded each; other columns are ignored.
+    decoded: also a column decoded (binary), what decode() gives for the ids and offsets, without a second
+    stage of Python workers. ranks_path: a rank file that the driver reads; the ranks (bounded by the
+    vocabulary) are broadcast. A null or empty text has no tokens. Texts are encoded whole, several at a
+    time when short; an empty table gives no rows; repeated rows are encoded each; other columns are
+    ignored. keep must not name ids, offsets or decoded.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    ranks = read_ranks(ranks_path)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    key = ("bpe", hash(frozenset(ranks.items())))
     kept = [f"k{i}" for i in range(len(keep))]
     slim = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker_encoder(shared)
+        encoder, decoder = worker_table(key, lambda: (Encoder(shared.value), Decoder(shared.value)))
         for batch in batches:
             texts = batch.column("text")
             for a, b in _chunks(texts):
                 ids, offsets, begin = encoder.encode_flat(texts.slice(a, b - a).to_pylist())
-                lists = [pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(v)) for v in (ids.astype(np.int32), offsets)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in kept], *lists], names=[*kept, "ids", "offsets"])
+                columns = [pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(v)) for v in (ids.astype(np.int32), offsets)]
+                columns += [decoder.decode_flat(ids, offsets, begin)] * decoded
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in kept], *columns], names=[*kept, "ids", "offsets", "decoded"][: len(kept) + len(columns)])
 
-    schema = ", ".join([f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep, strict=True)] + ["ids array<int>", "offsets array<bigint>"])
-    return slim.mapInArrow(run, schema).select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], "ids", "offsets")
+    made = ["ids array<int>", "offsets array<bigint>", "decoded binary"][: 2 + decoded]
+    schema = ", ".join([f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep, strict=True)] + made)
+    return slim.mapInArrow(run, schema).select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], *[c.split()[0] for c in made])
 
 
-def decode(tokens: DataFrame, ranks_path: str, *, ids: str = "ids", rows: int = 256) -> DataFrame:
-    """tokens with a column decoded (binary): the bytes of the ids; no ids give empty bytes. rows: decoded at once."""
-    shared = tokens.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    place = tokens.columns.index(ids)
+def decode(tokens: DataFrame, ranks_path: str, *, ids: str = "ids", offsets: str = "offsets", rows: int = 256) -> DataFrame:
+    """tokens with one more column decoded (binary; another name if tokens has one): the bytes of the ids, each token at its offset.
+
+    Null or no ids give empty bytes; repeated rows are decoded each, an empty table gives no rows; all
+    columns of tokens are kept. An offset that doesn't fit the ids raises. rows: decoded at once.
+    """
+    ranks = read_ranks(ranks_path)
+    shared = tokens.sparkSession.sparkContext.broadcast(ranks)
+    key = ("bpe-decoder", hash(frozenset(ranks.items())))
+    place, where = tokens.columns.index(ids), tokens.columns.index(offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _tables(shared)
+        decoder = worker_table(key, lambda: Decoder(shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 column = part.column(place)
-                begin = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64).tolist()
-                pieces = table[column.flatten().to_numpy(zero_copy_only=False)].tolist()
-                decoded = pa.array([b"".join(pieces[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*[f"c{i}" for i in range(part.num_columns)], "decoded"])
+                begin = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                flat = [part.column(k).flatten().to_numpy(zero_copy_only=False) for k in (place, where)]
+                yield pa.RecordBatch.from_arrays([*part.columns, decoder.decode_flat(*flat, begin)], names=[*[f"c{i}" for i in range(part.num_columns)], "decoded"])
 
     named = tokens.toDF(*[f"c{i}" for i in range(len(tokens.columns))])
     schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(tokens.schema)] + ["decoded binary"])
-    return named.mapInArrow(run, schema).toDF(*tokens.columns, "decoded")
-
-
-_decoders: dict[int, tuple[dict, np.ndarray]] = {}
-
-
-def _tables(shared) -> np.ndarray:
-    key = id(shared.value)
-    if key not in _decoders:
-        _decoders.clear()
-        table = np.empty(max(shared.value.values()) + 1, object)
-        for token, rank in shared.value.items():
-            table[rank] = token
-        _decoders[key] = shared.value, table  # the ranks stay referenced, so their id stays theirs
-    return _decoders[key][1]
+    return named.mapInArrow(run, schema).toDF(*tokens.columns, own_name(tokens, "decoded"))

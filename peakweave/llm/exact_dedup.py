@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from .scratch import ascii_lower, broadcast_if_small, folder, materialise
 
-BROADCAST_HITS = 100_000  #: hits (about 300 bytes each) up to which their keys are broadcast to the texts, shuffled beyond
+SALTED = 4096  #: bodies of one digest that are compared in one place
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's store pre-allocates megabytes
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
@@ -58,31 +58,36 @@ def _streamable(spark: SparkSession, path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]" if single else path
 
 
-def keyed_state(spark: SparkSession, path: str, text: str, ident: str, digest: Callable[[Column], Column], max_bytes: int, at: str | None = None) -> DataFrame:
-    """Run the stream over what lies at path until nothing new is there; digest, at (of the row that stays), n.
+def keyed_state(spark: SparkSession, path: str, text: str, ident: str, digest: Callable[[Column], Column], max_bytes: int, home: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run the streams over what lies at path until nothing new is there: (keys, state).
 
-    at: folder of the state; a second call with the same folder adds only new files.
+    The first stream writes digest and locator (at) of every row once, the second keeps the keyed state
+    over those; state: digest, at (of the row that stays), n. home: folder of both; a second call with the
+    same folder reads and adds only new files.
     """
-    home = at or folder(spark, "dedup-state")
+    home = home or folder(spark, "dedup-state")
     before = {k: spark.conf.get(k, None) for k in _STATE_CONF}
     for k, v in _STATE_CONF.items():
         spark.conf.set(k, v)
     try:
-        schema = spark.read.parquet(path).schema
-        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes)).parquet(_streamable(spark, path))
-        state = _located(stream, text, ident, digest).groupBy("digest").agg(F.max("at").alias("at"), F.count(F.lit(1)).alias("n"))
+        source = spark.read.parquet(path)
+        read = lambda schema, at: spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes)).parquet(at)
+        run = lambda writer, name: writer.option("checkpointLocation", f"{home}/checkpoint-{name}").trigger(availableNow=True).start().awaitTermination()
+        located = _located(read(source.schema, _streamable(spark, path)), text, ident, digest).select("digest", "at")
+        run(located.writeStream.format("parquet").option("path", f"{home}/keys"), "keys")
+        state = read(located.schema, f"{home}/keys").groupBy("digest").agg(F.max("at").alias("at"), F.count(F.lit(1)).alias("n"))
 
         def save(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{home}/updates/batch={number}")  # a repeated batch replaces itself
 
-        query = state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+        run(state.writeStream.outputMode("update").foreachBatch(save), "state")
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    updates = "digest string, at struct<id:{}, file:string, row:bigint>, n bigint, batch long".format(schema[ident].dataType.simpleString())
+    updates = "digest string, at struct<id:{}, file:string, row:bigint>, n bigint, batch long".format(source.schema[ident].dataType.simpleString())
     last = F.max(F.struct("batch", "at", "n"))
-    return spark.read.schema(updates).parquet(f"{home}/updates").groupBy("digest").agg(last.alias("last")).select("digest", "last.at", "last.n")
+    state = spark.read.schema(updates).parquet(f"{home}/updates").groupBy("digest").agg(last.alias("last")).select("digest", "last.at", "last.n")
+    return spark.read.schema(located.schema).parquet(f"{home}/keys"), state
 
 
 def exact_dedup(
@@ -110,16 +115,18 @@ def exact_dedup(
     if spark.read.parquet(path).isEmpty():
         at = scan.schema["at"].dataType.simpleString()
         return spark.createDataFrame([], f"id {scan.select('at.id').schema[0].dataType.simpleString()}, digest string, keep_id {scan.select('at.id').schema[0].dataType.simpleString()}, group_size long, kept boolean, at {at}")
-    state = materialise(keyed_state(spark, path, text, ident, digest, max_bytes_per_trigger), "dedup-keys")
-
-    # Full bytes of the hits only: rows of digests that were seen more than once.
-    seen_again = state.where("n > 1").select("digest", F.col("at").alias("keep"))
-    hits = materialise(scan.select("digest", "at").join(seen_again, "digest").select("at", "keep", "digest"), "dedup-hit-keys")
-    hits = broadcast_if_small(hits, BROADCAST_HITS)
-    bodies = materialise(scan.select(F.col("at").alias("at"), normal(F.col("text")).alias("body")).join(hits, "at").select("digest", "at", "keep", "body"), "dedup-hits")
-    stays = bodies.where("at = keep").select("digest", F.col("body").alias("keep_body"))
-    unequal = bodies.join(stays, "digest").where("body <> keep_body").select("digest").distinct()
-    slim = scan.select("digest", "at").join(state.select("digest", F.col("at").alias("keep"), "n"), "digest")
+    keys, state = keyed_state(spark, path, text, ident, digest, max_bytes_per_trigger)
+    state = materialise(state, "dedup-keys")
+
+    # Full bytes of the hits only: rows of digests that were seen more than once. A digest of very many
+    # rows is compared in several places, each with a copy of the row that stays.
+    seen_again = state.where("n > 1").select("digest", F.col("at").alias("keep"), F.expr(f"n div {SALTED} + 1").alias("salts"))
+    hits = materialise(keys.join(seen_again, "digest").select("at", "keep", "digest", "salts"), "dedup-hit-keys")
+    bodies = materialise(scan.select("at", normal(F.col("text")).alias("body")).join(broadcast_if_small(hits), "at").select("digest", "at", "keep", "salts", "body"), "dedup-hits")
+    stays = bodies.where("at = keep").select("digest", F.col("body").alias("keep_body"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    salted = bodies.withColumn("salt", F.pmod(F.xxhash64("at"), F.col("salts")))
+    unequal = salted.join(stays, ["digest", "salt"]).where("body <> keep_body").select("digest").distinct()
+    slim = keys.join(state.select("digest", F.col("at").alias("keep"), "n"), "digest")
     if not unequal.isEmpty():
         # Different texts under one digest: those digests are grouped by the text itself.
         unequal = materialise(unequal, "dedup-collisions")
@@ -131,12 +138,16 @@ def exact_dedup(
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, *, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all its columns."""
+    """The rows of docs that stay, with all its columns; one row of each group of equal texts, as exact_dedup says.
+
+    Only locators are shuffled unless very many rows go. An empty table gives no rows.
+    """
     path = _source_folder(docs)
     if path is None:
         docs = materialise(docs, "dedup-input")
         path = _source_folder(docs)
+    gone = exact_dedup(spark, path, text=text, ident=ident).where("not kept").select(F.col("at.file").alias("file"), F.col("at.row").alias("row"))
+    gone = broadcast_if_small(materialise(gone, "dedup-gone"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = exact_dedup(spark, path, text=text, ident=ident).where("kept").select(F.col("at.file").alias("file"), F.col("at.row").alias("row"))
     full = spark.read.parquet(path).select(F.struct(*columns).alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return full.join(kept, ["file", "row"], "left_semi").select("doc.*")
+    return full.join(gone, ["file", "row"], "left_anti").select("doc.*")

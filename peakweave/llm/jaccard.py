@@ -2,21 +2,24 @@
 
 1. Texts become sets of hashed word shingles; equal sets are one class and meet no more.
 2. A pair over the threshold shares a shingle among the first n - ceil(0.8 n) + 1 of either set, in any
-   fixed order of shingles. The order puts shingles that several sets hold last (a list and a
-   filter of bounded size say which), so passages that many documents share stay out of the prefixes. Classes that share a prefix
-   shingle form candidate groups: connected components, no pairs.
+   fixed order of shingles. The order puts shingles that several sets hold last (a list and a filter,
+   sized by the data, say which), and after them those that aren't counted, so passages that many
+   documents share stay out of the prefixes. Classes that share a prefix shingle form candidate groups:
+   connected components, no pairs.
 3. In a group, inverted lists answer "which sets share at least T shingles with this one": DivideSkip
-   heap-merges the short lists and binary-probes the long ones. Large groups first compare all members
-   with one well-connected pivot; what links to it is one component, so only the rest is searched,
-   against the group in chunks.
+   heap-merges the short lists and binary-probes the long ones. In a large group all members first ask
+   a small index of a few of them; what links to the member with most links is one component, so only
+   the rest asks the index of the whole group, in chunks. Every link comes from a search.
 All steps are lossless: any pair with Jaccard >= threshold ends in one component.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,43 +28,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import broadcast_if_small, discard, materialise
+from .scratch import broadcast_if_small, discard, materialise, worker_table
 
 WORDS = 5
 SHARE = (4, 5)  #: least Jaccard similarity as a fraction
 COUNTED_BITS = 1  #: document frequencies are counted for hashes below 2**(64 - COUNTED_BITS): prefixes seldom reach beyond
 REPEATED_FROM = 3  #: sets from which a shingle counts as repeated
-MARKS = 1 << 26  #: bits of the broadcast filter of repeated shingles: a bound on memory, not on results
-RANKED = 1 << 16  #: the most repeated shingles are broadcast with their counts, at most so many: likewise
 WINDOW = 1_500_000  #: shingles that a task holds at once
-CHUNK, CHUNKS, LARGEST_CHUNK = 128, 64, 65_536  #: a group is searched in chunks of m / CHUNKS sets, within these bounds
-QUERIES = 4_096  #: queries that meet one chunk in one piece of work
+CHUNK, CHUNKS, CHUNK_BYTES = 128, 64, 8 << 20  #: a group of m sets is searched in chunks of m / CHUNKS sets, CHUNK at least, of about CHUNK_BYTES at most
+QUERIES = 512  #: queries that meet one chunk in one piece of work
 PIVOTS = 4
-BROADCAST_MEMBERS = 500_000  #: classes in candidate groups (40 bytes each) up to which they are broadcast to the texts
 _MU = 0.01  #: cost of a probe against a merge step in the choice of long lists
 
 _MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class _Words(dict):
-    """Word -> 64-bit hash."""
+    """Word -> 64-bit hash, of as many words as a worker should hold."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_words = _Words()
-
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a whole text; A-Z lower-cased; fewer words are one shingle."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, parts), np.uint64, len(parts))
+    w = np.fromiter(map(worker_table("words", _Words).__getitem__, parts), np.uint64, len(parts))
     k = min(words, len(w))
     m = len(w) - k + 1
     h = np.full(m, k, np.uint64)
@@ -186,7 +184,8 @@ def _repeated_shingles(survey: DataFrame, buckets: int, marks: int, ranked: int)
 
 
 def _ranks(s: np.ndarray, hot: np.ndarray, count: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """0 for shingles not known to repeat, 1 for marked ones, more for those with a count. Any function of the shingle alone is right."""
+    """0 for shingles of fewer than REPEATED_FROM sets, 1 for marked ones, more for those with a count, most for those
+    that aren't counted. Any function of the shingle alone is right."""
     buckets, size = len(marks), marks.shape[1] * 8
     inside = s < np.uint64(1 << (64 - COUNTED_BITS))
     bucket = (s >> np.uint64(64 - COUNTED_BITS - (buckets.bit_length() - 1))).astype(np.int64)
@@ -201,7 +200,7 @@ def _ranks(s: np.ndarray, hot: np.ndarray, count: np.ndarray, marks: np.ndarray)
         at = np.searchsorted(hot, six)
         at[at == len(hot)] = 0
         out = np.where(marked & (hot[at] == six), 1 + count[at], out)
-    return out
+    return np.where(inside, out, np.iinfo(np.int64).max)
 
 
 def _prefixes(docs: DataFrame, shared) -> DataFrame:
@@ -232,16 +231,16 @@ def _prefixes(docs: DataFrame, shared) -> DataFrame:
 def band(n: Column) -> Column:
     """Sizes in steps of 1 / SHARE: sets that can reach the threshold are at most one band apart."""
     p, q = SHARE
-    return F.floor(F.ln(n.cast("double")) / F.lit(float(np.log(q / p)) - 1e-9)).cast("long")
+    return F.floor(F.ln(n.cast("double")) / F.lit(float(np.log(q / p)) + 1e-9)).cast("long")
 
 
 def _candidate_edges(rows: DataFrame) -> DataFrame:
     """Edges that connect the classes that share a prefix shingle and are near enough in size.
 
-    A shingle that isn't marked occurs in fewer than REPEATED_FROM sets, or has a hash that wasn't
-    counted: its rows meet in a window, and neighbours in size are tied. Marked ones are aggregated
-    before the shuffle, by bands of size (a set is in its own and the next), and joined back, where
-    adaptive execution can split them.
+    A shingle that isn't hot occurs in fewer than REPEATED_FROM sets: its few rows meet in a window, and
+    neighbours in size are tied. Hot ones (marked or not counted) are aggregated before the shuffle, by
+    bands of size (a set is in its own and the next), and joined back, where adaptive execution can split
+    them.
     """
     p, q = SHARE
     by_size = Window.partitionBy("token").orderBy("n", "cls")
@@ -263,7 +262,7 @@ class Index:
         order = np.argsort(flat, kind="stable")
         self.tokens, start = np.unique(flat[order], return_index=True)
         self.bounds = np.append(start, len(flat)).tolist()
-        self.postings = owner[order].tolist()
+        self.postings = array("i", owner[order].astype(np.int32).tobytes())
 
     def search(self, query: np.ndarray) -> list[int]:
         """Members whose overlap with query reaches the least overlap of their sizes (T-occurrence by DivideSkip)."""
@@ -306,49 +305,55 @@ class Index:
         return out
 
 
-def _search_block(index_ids: list[int], index_sets: list[np.ndarray], query_ids: list[int], query_sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Spanning links between the queries and the members of one block; a query whose links can't join anything new is skipped."""
-    index = Index(index_sets)
-    parent: dict[int, int] = {x: x for x in [*index_ids, *query_ids]}
-    parts = len(parent)
+def _search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) from rows sorted by (grp, chunk, part, asks); asks: 0 is in the index, 1 asks it, 2 both.
+
+    Links are those that span what a piece of work joins; a member that asks pivots (chunk < 0) gets its
+    links to all of them. The index of a piece is held in memory, the sets that ask it pass by.
+    """
+    out: list[tuple[int, int]] = []
+    key, ids, sets, index, parent = None, [], [], None, {}
 
     def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
             x = parent[x]
         return x
 
-    links = []
-    for i, s in zip(query_ids, query_sets, strict=True):
-        if parts == 1:
-            break
+    def ask(i: int, s: np.ndarray) -> int:
+        joined = 0
         for member in index.search(s):
-            a, b = root(i), root(index_ids[member])
+            a, b = root(i), root(ids[member])
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                parts -= 1
-                links.append((i, index_ids[member]))
-    return links
-
-
-def _search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (grp, chunk, part): asks 0 is in the index, 1 asks, 2 both."""
-    key, ids, sets, asks = None, [], [], []
-    out: list[tuple[int, int]] = []
+                joined += 1
+            if a != b or key[1] < 0 and i != ids[member]:
+                out.append((i, ids[member]))
+        return joined
 
     def close() -> None:
-        if len(ids) > 1 and any(asks):
-            put, ask = [k for k, x in enumerate(asks) if x != 1], [k for k, x in enumerate(asks) if x]
-            out.extend(_search_block([ids[k] for k in put], [sets[k] for k in put], [ids[k] for k in ask], [sets[k] for k in ask]))
-
+        """Let the members of a whole small group ask each other, until all are joined."""
+        nonlocal index
+        if both and len(ids) > 1:
+            index, parts = Index(sets), len(ids)
+            for i, s in zip(ids, sets, strict=True):
+                if parts > 1:
+                    parts -= ask(i, s)
+
+    both = False
     for frame in frames:
         for g, c, p, i, s, x in zip(frame["grp"], frame["chunk"], frame["part"], frame["id"], frame["tokens"], frame["asks"], strict=True):
             if (g, c, p) != key:
                 close()
-                key, ids, sets, asks = (g, c, p), [], [], []
-            ids.append(i)
-            sets.append(np.frombuffer(s, np.uint64))
-            asks.append(x)
+                key, ids, sets, index, parent, both = (g, c, p), [], [], None, {}, x == 2
+            tokens = np.frombuffer(s, np.uint64)
+            if x != 1:
+                ids.append(i)
+                sets.append(tokens)
+            else:
+                index = index or Index(sets)
+                sets = []
+                ask(i, tokens)
         if len(out) > 50_000:
             yield pd.DataFrame(out, columns=["a", "b"])
             out = []
@@ -356,54 +361,54 @@ def _search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: bytes, y: bytes) -> bool:
-        s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        return len(np.intersect1d(s, t, assume_unique=True)) >= least_overlap(len(s), len(t))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+def _searched(work: DataFrame) -> DataFrame:
+    """Links of pieces of work (grp, chunk, part, id, tokens, asks)."""
+    n = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["grp", "chunk", "part"]
+    return work.repartition(n, *key).sortWithinPartitions(*key, "asks").select(*key, "id", "tokens", "asks").mapInPandas(_search, "a bigint, b bigint")
 
 
 def _links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join the similar sets of each group. sets: grp, id, tokens, m (members of the group)."""
-    spark = sets.sparkSession
-    large = F.col("m") > CHUNK
-    # One pivot for each large group: of a few drawn by hash, the one with most links.
-    big = sets.where(large)
-    drawn = []
-    for k in range(PIVOTS):
-        drawn.append(big.groupBy("grp").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)), F.col("id").alias("id"))).alias("x")).select("grp", F.col("x.id").alias("pivot")))
-    pivots = drawn[0]
-    for d in drawn[1:]:
-        pivots = pivots.union(d)
-    pivots = pivots.distinct().join(big.select("id", F.col("tokens").alias("pivot_tokens")), F.col("pivot") == F.col("id")).select("grp", "pivot", "pivot_tokens")
-    pivots = materialise(pivots, "jaccard-pivots")
-    tested = big.select("grp", "id", "tokens").join(pivots, "grp").where(F.col("id") != F.col("pivot"))
-    tested = materialise(tested.withColumn("similar", F.pandas_udf(_similar, "boolean")("tokens", "pivot_tokens")).where("similar").select("grp", "pivot", "id"), "jaccard-pivot-links")
-    tally = tested.groupBy("grp", "pivot").agg(F.count(F.lit(1)).alias("k"))
-    best = tally.groupBy("grp").agg(F.max(F.struct("k", "pivot")).alias("x")).select("grp", F.col("x.pivot").alias("pivot"))
-    around = tested.join(best, ["grp", "pivot"]).select("id").union(best.select(F.col("pivot").alias("id")))
-    settled = materialise(around.distinct(), "jaccard-settled")
-    # Everything else of a large group is searched against the chunks of its own and the neighbouring bands.
-    slim = big.select("grp", "id", band(F.octet_length("tokens") / 8).alias("band"))
+    """Links (a, b) that join the similar sets of each group. sets: grp, id, tokens, m (members of the group), large."""
+    big = sets.where("large")
+    zero = F.lit(0).cast("long")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    # The pivots of a large group are a few members drawn by hash; all members ask them.
+    drawn = [big.groupBy("grp", "m").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)), F.col("id").alias("id"))).alias("x")).select("grp", "m", F.col("x.id").alias("id")) for k in range(PIVOTS)]
+    pivots = materialise(reduce(DataFrame.union, drawn).distinct().withColumn("parts", F.expr(f"(m + {QUERIES} - 1) div {QUERIES}")), "jaccard-pivots")
+    part = F.pmod(F.xxhash64("id", F.lit("pivot")), F.expr(f"(m + {QUERIES} - 1) div {QUERIES}"))
+    held = pivots.select("id", every("parts").alias("part")).join(big.select("grp", "id", "tokens"), "id")
+    asking = big.select("grp", "id", "tokens", part.alias("part"), F.lit(1).alias("asks")).unionByName(held.select("grp", "id", "tokens", "part", F.lit(0).alias("asks")))
+    tested = materialise(_searched(asking.withColumn("chunk", F.lit(-1).cast("long"))), "jaccard-pivot-links")
+    # What links to the pivot with most links is one component.
+    tally = tested.groupBy("b").agg(F.count(F.lit(1)).alias("k")).join(pivots.select("grp", F.col("id").alias("b")), "b")
+    best = tally.groupBy("grp").agg(F.max(F.struct("k", "b")).alias("x")).select(F.col("x.b").alias("b"))
+    settled = materialise(tested.join(best, "b").select(F.col("a").alias("id")).union(best.select(F.col("b").alias("id"))).distinct(), "jaccard-settled")
+    # Everything else of a large group asks the chunks of its own and the neighbouring bands.
+    slim = big.select("grp", "id", band(F.octet_length("tokens") / 8).alias("band"), F.octet_length("tokens").alias("bytes"))
     rest = slim.join(settled, "id", "left_anti").select("grp", "id", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    sizes = slim.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("m")).join(rest.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("r")), ["grp", "band"])
-    chunk = F.greatest(F.lit(CHUNK), F.least(F.lit(LARGEST_CHUNK), F.expr(f"m div {CHUNKS}")))
-    sizes = materialise(sizes.select("grp", "band", F.ceil(F.col("m") / chunk).alias("chunks"), F.expr(f"(r + {QUERIES} - 1) div {QUERIES}").alias("parts")), "jaccard-bands")
+    sizes = slim.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes")).join(rest.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("r")), ["grp", "band"])
+    chunks = F.greatest(F.least(F.ceil(F.col("m") / CHUNK), F.lit(CHUNKS).cast("long")), F.ceil(F.col("bytes") / CHUNK_BYTES))
+    sizes = materialise(sizes.select("grp", "band", chunks.alias("chunks"), F.expr(f"(r + {QUERIES} - 1) div {QUERIES}").alias("parts")), "jaccard-bands")
     place = F.col("band") * F.lit(1 << 32)
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     asking = rest.join(sizes, ["grp", "band"]).select("id", "grp", place.alias("place"), every("chunks").alias("chunk"), F.pmod(F.xxhash64("id", F.lit("ask")), F.col("parts")).alias("part"), F.lit(1).alias("asks"))
     placed = slim.join(sizes, ["grp", "band"]).select("id", "grp", place.alias("place"), F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), every("parts").alias("part"), F.lit(0).alias("asks"))
     keys = asking.union(placed).select("id", "grp", (F.col("place") + F.col("chunk")).alias("chunk"), "part", "asks")
     large_work = keys.join(big.select("id", "tokens"), "id").select("grp", "id", "tokens", "chunk", "part", "asks")
-    zero = F.lit(0).cast("long")
-    small = sets.where(~large).select("grp", "id", "tokens", zero.alias("chunk"), zero.alias("part"), F.lit(2).alias("asks"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = small.union(large_work).repartition(n, "grp", "chunk", "part").sortWithinPartitions("grp", "chunk", "part").mapInPandas(_search, "a bigint, b bigint")
-    return found.union(tested.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    small = sets.where("not large").select("grp", "id", "tokens", zero.alias("chunk"), zero.alias("part"), F.lit(2).alias("asks"))
+    return _searched(small.union(large_work)).union(tested)
+
+
+def _plan(docs: DataFrame) -> tuple[int, int, int]:
+    """Buckets of hashes (of about two million shingles), bits of the filter of repeated shingles, and entries of
+    the list of the most repeated ones, from the bytes of all texts. The bounds (256 MB, 32 MB) bound what is
+    broadcast; a filter that is too small makes candidate groups larger, never results different."""
+    shingles_ = max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
+    two = lambda x, least, most: min(most, max(least, 1 << int(x).bit_length()))
+    return two(shingles_ >> 22, 64, 1 << 16), two(shingles_ >> 3, 1 << 20, 1 << 31), two(shingles_ >> 12, 1 << 12, 1 << 21)
 
 
-def jaccard_components(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", buckets: int = 1024, marks: int = MARKS, ranked: int = RANKED) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component) for every row of docs.
 
     Sets hold the distinct shingles of WORDS words of the whole text, A-Z lower-cased, words parted by
@@ -415,6 +420,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", ident: str = "doc
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{ident}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    buckets, marks, ranked = _plan(slim)
     survey = materialise(_survey(slim, buckets), "jaccard-survey")
     shared = spark.sparkContext.broadcast(_repeated_shingles(survey, buckets, marks, ranked))
     rows = survey.where("kind = 0").select("id", "n", "a", "b")
@@ -426,18 +432,20 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", ident: str = "doc
     groups = materialise(components(edges), "jaccard-groups")
     discard(edges)
 
-    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("rep"))
-    members = classes.where("rep is not null").join(groups, F.col("a") == F.col("id")).select("a", "b", "rep", F.col("component").alias("grp"))
-    sized = materialise(members.join(members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "grp").where("m > 1"), "jaccard-members")
+    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    members = classes.where("rep is not null").join(groups, F.col("a") == F.col("id")).select("a", "b", "n", "rep", F.col("component").alias("grp"))
+    tally = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum(8 * F.col("n")).alias("bytes")).where("m > 1")
+    tally = tally.select("grp", "m", ((F.col("m") > CHUNK) | (F.col("bytes") > CHUNK_BYTES)).alias("large"))
+    sized = materialise(members.drop("n").join(tally, "grp"), "jaccard-members")
 
     def collect_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = [shingles(t) for t in frame["text"]]
             same = np.array([digest(s) == (a, b) for s, a, b in zip(sets, frame["a"], frame["b"], strict=True)], bool)
-            yield pd.DataFrame({"grp": frame["grp"], "id": frame["rep"], "tokens": [s.tobytes() for s in sets], "m": frame["m"]})[same]
+            yield pd.DataFrame({"grp": frame["grp"], "id": frame["rep"], "tokens": [s.tobytes() for s in sets], "m": frame["m"], "large": frame["large"]})[same]
 
-    fetched = slim.join(broadcast_if_small(sized, BROADCAST_MEMBERS), F.col("id") == F.col("rep")).select("text", "a", "b", "rep", "grp", "m")
-    sets = fetched.mapInPandas(collect_sets, "grp bigint, id bigint, tokens binary, m bigint")
+    fetched = slim.join(broadcast_if_small(sized), F.col("id") == F.col("rep")).select("text", "a", "b", "rep", "grp", "m", "large")
+    sets = fetched.mapInPandas(collect_sets, "grp bigint, id bigint, tokens binary, m bigint, large boolean")
     sets = materialise(sets, "jaccard-sets")
     links = materialise(_links(sets), "jaccard-links")
     discard(sets)
@@ -449,8 +457,12 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", ident: str = "doc
 
 
 def drop_near_copies(docs: DataFrame, *, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is the smallest of their component; rows with a null id stay."""
-    found = jaccard_components(docs, text=text, ident=ident)
-    kept = found.where("id = component").select(F.col("id").alias("__kept")).distinct()
-    key: Column = F.col(f"`{ident}`")
-    return docs.where(key.isNotNull()).join(kept, key.cast("long") == F.col("__kept"), "left_semi").unionByName(docs.where(key.isNull()))
+    """The rows of docs whose id is the smallest of their component, with all columns.
+
+    Rows with a null id stay, and so do all rows of an id that one of its components is named by. Empty
+    texts stay, an empty table gives no rows. Only identifiers are shuffled unless very many rows go.
+    """
+    found = jaccard_components(docs, text=text, ident=ident).where("id is not null")
+    gone = found.groupBy("id").agg(F.max((F.col("id") == F.col("component")).cast("int")).alias("named")).where("named = 0").select(F.col("id").alias("__gone"))
+    gone = broadcast_if_small(materialise(gone, "jaccard-gone"))
+    return docs.join(gone, F.col(f"`{ident}`").cast("long") == F.col("__gone"), "left_anti")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import materialise, own_name
 
 _SYMBOLS = np.frombuffer(b"#$%&*+/<=>@[\\]^_`{|}~", np.uint8)
 _ENDS = np.frombuffer(b".!?", np.uint8)
@@ -61,14 +61,18 @@ def statistics(text: str | None) -> np.ndarray:
     return out
 
 
-def with_statistics(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns and stats array<double>, one row per row."""
+def with_statistics(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "stats") -> DataFrame:
+    """keep columns and stats array<double> (under name), one row per row.
+
+    A null text counts as empty; empty texts have statistics of 0, repeated rows each have theirs, an empty
+    table gives no rows. name must not be one of keep; columns that keep doesn't name are ignored.
+    """
 
     @F.pandas_udf("array<double>")
     def measure(column: pd.Series) -> pd.Series:
         return pd.Series([statistics(t) for t in column])
 
-    return docs.select(*[F.col(f"`{c}`").alias(c) for c in keep], measure(F.col(f"`{text}`")).alias("stats"))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], measure(F.col(f"`{text}`")).alias(name))
 
 
 @dataclass
@@ -96,8 +100,11 @@ def _features(x: np.ndarray, projection: np.ndarray, phase: np.ndarray) -> np.nd
     return np.concatenate([z, np.ones((len(x), 1))], 1)
 
 
-def _summed(rows: DataFrame, partial, size: int, groups: int = 16) -> np.ndarray:
-    """Sum over all rows of partial(stats, label), a vector of fixed size, by partition and then in a few groups."""
+FAN_IN = 64  #: partial sums that one task adds up
+
+
+def _summed(rows: DataFrame, partial, size: int) -> np.ndarray:
+    """Sum over all rows of partial(stats, label), a vector of fixed size: by partition, then in two levels of FAN_IN."""
 
     def per_partition(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -106,13 +113,21 @@ def _summed(rows: DataFrame, partial, size: int, groups: int = 16) -> np.ndarray
         for frame in frames:
             if len(frame):
                 total += partial(np.stack(frame["stats"].to_list()), frame["label"].to_numpy(float))
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId() % groups], "sums": [total.tobytes()]})
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId() // FAN_IN], "sums": [total.tobytes()]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sums": [np.sum([np.frombuffer(b) for b in frame["sums"]], 0).tobytes()]})
+        total = np.zeros(size)
+        for b in frame["sums"]:
+            total += np.frombuffer(b)
+        return pd.DataFrame({"part": frame["part"].iloc[:1] // FAN_IN, "sums": [total.tobytes()]})
 
-    parts = rows.mapInPandas(per_partition, "part int, sums binary").groupBy("part").applyInPandas(add, "sums binary").collect()
-    return np.sum([np.frombuffer(r["sums"]) for r in parts], 0) if parts else np.zeros(size)
+    parts = rows.mapInPandas(per_partition, "part int, sums binary")
+    for _ in range(2):
+        parts = parts.groupBy("part").applyInPandas(add, "part int, sums binary")
+    total = np.zeros(size)
+    for r in parts.collect():
+        total += np.frombuffer(r["sums"])
+    return total
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,21 +190,29 @@ def fit(measured: DataFrame, labels: DataFrame, *, ident: str = "doc_id", label:
     return model
 
 
-def scored(measured: DataFrame, model: Model) -> DataFrame:
-    """measured with a column score."""
+def score_of(model: Model, stats: Column) -> Column:
+    """Score (0 to 1) of a column of statistics; equal statistics have equal scores."""
 
     @F.pandas_udf("double")
     def score(column: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.stack(column.to_list())) if len(column) else [], dtype=float)
 
-    return measured.withColumn("score", score("stats"))
+    return score(stats)
 
 
-def score_of(model: Model, text: Column) -> Column:
-    """Score of a text column."""
+def scored(measured: DataFrame, model: Model) -> DataFrame:
+    """measured (with stats) and a column score; every row has one, those of empty and null texts too."""
+    return measured.withColumn("score", score_of(model, F.col("stats")))
 
-    @F.pandas_udf("double")
-    def score(column: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack([statistics(t) for t in column])) if len(column) else [], dtype=float)
 
-    return score(text)
+def keep_good(docs: DataFrame, labels: DataFrame, least: float, *, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """The rows of docs that score at least `least`, with all columns; the model is fitted on their labels.
+
+    The statistics are measured once and stored beside the rows, so no text is shuffled. Rows without a
+    label are scored like all others; null and empty texts have the score of empty ones; repeated rows
+    fare alike; without labels every score is 0.5. An empty table gives no rows.
+    """
+    stats = own_name(docs, "stats")
+    measured = materialise(with_statistics(docs, text=text, keep=tuple(docs.columns), name=stats), "quality-stats")
+    model = fit(measured.select(F.col(f"`{ident}`"), F.col(stats).alias("stats")), labels, ident=ident)
+    return measured.where(score_of(model, F.col(stats)) >= least).drop(stats)

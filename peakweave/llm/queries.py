@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode, encode
+from .bpe import encode
 from .chat import format_chats, read_chats
 from .embed_dedup import near_duplicates
 from .exact_dedup import exact_dedup
@@ -36,9 +36,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks)
-    back = decode(tokens.select("doc_id", "ids"), ranks)
-    return back.select(
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), " "), "UTF-8"), 256).alias("ids_sha256"),

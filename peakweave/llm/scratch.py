@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _registered: set[str] = set()
 _local: list[str] = []
+_worker: dict[Hashable, object] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -75,9 +77,20 @@ def discard(*frames: DataFrame) -> None:
         frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most most_rows rows (counted), else as it is."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def worker_table[T](key: Hashable, build: Callable[[], T]) -> T:
+    """What build() makes, kept in a Python worker for its next tasks. A worker holds one at a time: workers
+    serve the tasks of all operators in turn, and would else hold the tables of all of them."""
+    if key not in _worker:
+        _worker.clear()
+        gc.collect()
+        _worker[key] = build()
+    return _worker[key]
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if its rows, written as JSON, have at most most_bytes bytes (measured), else as it is."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df
 
 
 def ascii_lower(text: Column) -> Column:
