@@ -18,10 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, union_find
+from .components import components
 from .scratch import materialise
 
-BLOCK = 512  #: vectors of a bucket that are compared at once
+BLOCK = 2048  #: vectors of a bucket that meet in one piece of work
+STRIP = 256  #: of those, rows that are multiplied at once
 
 
 def plan_tables(n: int, threshold: float, miss: float, bucket: int = 256) -> tuple[int, int]:
@@ -35,6 +36,13 @@ def _planes(seed: int, dim: int, count: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).normal(size=(dim, count))
 
 
+def _units(vectors: list) -> np.ndarray:
+    """Vectors of length 1 in double precision; scaled first, so that no square overflows or vanishes."""
+    x = np.stack(vectors).astype(float)
+    x /= np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def _codes(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     """id, weight, vec, dim and codes (one integer per table)."""
 
@@ -47,41 +55,49 @@ def _codes(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
                 part = frame[dims == dim]
                 if dim not in planes:
                     planes[dim] = _planes(seed, dim, bits * tables)
-                signs = np.stack(part["vec"].to_list()).astype(float) @ planes[dim] >= 0
+                signs = _units(part["vec"].to_list()) @ planes[dim] >= 0
                 codes = signs.reshape(len(part), tables, bits) @ powers
                 yield pd.DataFrame({"id": part["id"], "weight": part["weight"], "vec": part["vec"], "dim": dim, "codes": list(codes.astype(np.int32))})
 
-    return vectors.mapInPandas(run, "id bigint, weight bigint, vec array<float>, dim int, codes array<int>")
+    return vectors.mapInPandas(run, f"id bigint, weight bigint, vec {vectors.schema['vec'].dataType.simpleString()}, dim int, codes array<int>")
+
+
+def _spanning(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Smallest position that each of n positions reaches, after joining label (of earlier links) by the links (i, j)."""
+    while True:
+        least = np.minimum(label[i], label[j])
+        after = label.copy()
+        for ends in (i, j, label[i], label[j]):
+            np.minimum.at(after, ends, least)
+        after = after[after]
+        if np.array_equal(after, label):
+            return label
+        label = after
 
 
 def _block(t: int, same: bool, left: list[tuple], right: list[tuple], threshold: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Link counts and spanning links of the pairs of one block; (id, weight, vec, codes) rows."""
-
-    def unit(rows: list[tuple]) -> np.ndarray:
-        x = np.stack([r[2] for r in rows]).astype(float)
-        return x / np.sqrt((x * x).sum(1))[:, None]
-
-    a = unit(left)
-    b = a if same else unit(right)
-    right = left if same else right
-    i, j = np.nonzero(a @ b.T >= threshold)
-    if same:
-        i, j = i[i < j], j[i < j]
-    if t and len(i):
-        ca, cb = np.stack([r[3][:t] for r in left]), np.stack([r[3][:t] for r in right])
-        first = np.concatenate([~(ca[i[k : k + 100_000]] == cb[j[k : k + 100_000]]).any(1) for k in range(0, len(i), 100_000)])
-        i, j = i[first], j[first]
-    if not len(i):
-        return {}, []
-    wa, wb = np.array([r[1] for r in left]), np.array([r[1] for r in right])
-    na, nb = np.bincount(i, wb[j], len(left)), np.bincount(j, wa[i], len(right))
-    counts: dict[int, int] = {}
-    for rows, n in ((left, na), (right, nb)):
-        for k in np.flatnonzero(n).tolist():
-            counts[rows[k][0]] = counts.get(rows[k][0], 0) + int(n[k])
-    ids_a, ids_b = np.array([r[0] for r in left]), np.array([r[0] for r in right])
-    roots = union_find(zip(ids_a[i].tolist(), ids_b[j].tolist(), strict=True))
-    return counts, [(x, r) for x, r in roots.items() if x != r]
+    """Link counts and spanning links of the pairs of one block; (id, weight, vec, codes) rows.
+
+    A pair is counted in the first table in which it meets. Rows are compared a strip at a time.
+    """
+    rows = left if same else [*left, *right]
+    first = 0 if same else len(left)
+    unit, codes, weight = _units([r[2] for r in rows]), np.stack([r[3][: max(t, 1)] for r in rows]), np.array([r[1] for r in rows], float)
+    n = np.zeros(len(rows))
+    label = np.arange(len(rows))
+    for at in range(0, len(left), STRIP):
+        i, j = np.nonzero(unit[at : min(at + STRIP, len(left))] @ unit[first:].T >= threshold)
+        i, j = i + at, j + first
+        if same:
+            i, j = i[i < j], j[i < j]
+        if t and len(i):
+            new = np.concatenate([~(codes[i[k : k + 100_000]] == codes[j[k : k + 100_000]]).any(1) for k in range(0, len(i), 100_000)])
+            i, j = i[new], j[new]
+        if len(i):
+            n += np.bincount(i, weight[j], len(rows)) + np.bincount(j, weight[i], len(rows))
+            label = _spanning(len(rows), i, j, label)
+    ids = [r[0] for r in rows]
+    return {ids[k]: int(n[k]) for k in np.flatnonzero(n).tolist()}, [(ids[k], ids[label[k]]) for k in np.flatnonzero(label != np.arange(len(rows))).tolist()]
 
 
 def _compare(threshold: float):
@@ -126,37 +142,40 @@ def near_duplicates(table: DataFrame, *, ident: str = "vec_id", vector: str = "e
     reachable, kept says that a row is its component's. Vectors that are null, empty, zero or hold null
     or non-finite components link with nothing; so do vectors of different lengths with each other. No
     pair under the threshold is linked; a pair exactly at it is missed with probability `miss`, a closer
-    one far more rarely. Rows repeated with one id count as rows; a null id counts but names no component.
+    one far more rarely. Rows repeated with one id count as rows; a null id counts but names no component, so a
+    component without any id has a null name, and rows with a null id are kept. Ties of cosine at the
+    threshold link. Vectors of other types than float are compared as doubles, huge and tiny values too.
     An empty table gives no rows, other columns are ignored.
     """
     spark = table.sparkSession
-    v = F.col(f"`{vector}`").cast("array<float>")
+    v = F.col(f"`{vector}`")
+    v = v if dict(table.dtypes)[vector] in ("array<float>", "array<double>") else v.cast("array<double>")
     rows = table.select(F.col(f"`{ident}`").cast("long").alias("id"), v.alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce((F.size("vec") > 0) & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
-    rows = materialise(rows.withColumn("usable", usable), "vectors")
-    # One class per distinct vector; a class without any id gets none of its own and stays apart below.
-    classes = rows.where("usable").groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
-    classes = materialise(classes.where("id is not null"), "vector-classes")
+    rows = materialise(rows.withColumn("usable", usable).withColumn("number", F.monotonically_increasing_id()), "vectors")
+    # One class per distinct vector, named by the number of one of its rows: ids may be null.
+    classes = rows.where("usable").groupBy("vec").agg(F.min("number").alias("id"), F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    classes = materialise(classes, "vector-classes")
     n = classes.count()
     bits, tables = plan_tables(n, threshold, miss)
-    coded = materialise(_codes(classes, bits, tables, seed), "vector-codes")
+    coded = materialise(_codes(classes.drop("least"), bits, tables, seed), "vector-codes")
     places = coded.select("dim", F.posexplode("codes").alias("t", "code"))
     sizes = materialise(places.groupBy("dim", "t", "code").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1), "vector-buckets")
     met = coded.select("id", "weight", "vec", "dim", "codes", F.posexplode("codes").alias("t", "code")).join(sizes, ["dim", "t", "code"])
     chunks = F.expr(f"(m + {BLOCK} - 1) div {BLOCK}").cast("int")
     met = met.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id", "t"), F.col("chunks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    work = met.select("dim", "t", "code", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "weight", "vec", "codes", "chunk")
+    work = met.select("dim", "t", "code", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "weight", "vec", F.slice("codes", 1, F.greatest("t", F.lit(1))).alias("codes"), "chunk")
     order = ["dim", "t", "code", "i", "j"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = work.repartition(parts, *order).sortWithinPartitions(*order).mapInPandas(_compare(threshold), "a bigint, b bigint, n bigint")
     found = materialise(found, "vector-links")
     counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("links"))
-    labels = components(found.where("b is not null").select("a", "b"))
-    known = classes.select("vec", "weight", F.col("id").alias("rep"))
-    known = known.join(counts, F.col("rep") == F.col("a"), "left").join(labels, F.col("rep") == F.col("id"), "left")
-    known = materialise(known.select("vec", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "vector-labels")
-    linked = rows.where("usable").join(known, "vec", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "node")
+    known = classes.join(counts, F.col("id") == F.col("a"), "left").join(labels, F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "id"))
+    names = known.groupBy("group").agg(F.min("least").alias("name"))
+    known = known.join(names, "group").select("vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("name").alias("component"))
+    linked = rows.where("usable").join(materialise(known, "vector-labels"), "vec").select("id", "n_links", "component")
     alone = rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
