@@ -91,10 +91,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    read = read_archives(spark, path).where("quarantined is null")
-    return read.select(
-        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
-    )
+    read = materialise(read_archives(spark, path).drop("payload"), "warc-records")
+    if not read.where("quarantined is not null").isEmpty():
+        raise RuntimeError(f"bytes of {path} could not be read back")
+    return read.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

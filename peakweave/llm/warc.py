@@ -2,8 +2,10 @@
 
 The reader checks every record (gzip checksum, version line, lengths, digests of known algorithms).
 After a failed check it searches for the next place where a whole record passes, goes on there, and logs
-the bytes between as a quarantined gap. The same search lets tasks start inside a file, so one large
-archive is read by many tasks, and goes through gzip members that hold more than one record.
+the bytes between as a quarantined gap. The same search goes through gzip members that hold more than one
+record. A large plain archive is read by many tasks: a walk over its headers finds where records begin,
+so a record quoted in a payload is not taken for one. A gzip archive is read by one task, unless the
+caller knows that it quotes no gzip members.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .scratch import folder
 
-SPLIT = 32 << 20  #: bytes of an archive that one task reads
+SPLIT = 32 << 20  #: bytes of a plain archive that one task reads
 STEP = 1 << 20  #: bytes read at once
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
@@ -84,6 +86,11 @@ def write_archives(pages: DataFrame, path: str, *, ident: str = "page_id", uri:
 
         part = TaskContext.get().partitionId()
         store, root = _filesystem(path)
+        from pyarrow import fs
+
+        for old in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if old.base_name.startswith(f"part-{part:05d}-"):
+                store.delete_file(old.path)
         out, name, done, n, size, number = None, "", [], 0, 0, 0
 
         def close() -> None:
@@ -374,26 +381,64 @@ def _next_mark(window: _Window, at: int, mark: bytes) -> int:
         at = max(at, end - len(mark) + 1)
 
 
-def read_archives(spark: SparkSession, path: str, *, split_bytes: int = SPLIT) -> DataFrame:
+def record_starts(handle, size: int, split: int) -> list[int]:
+    """Where tasks may begin to read a plain archive: 0, and the first record that begins in each further piece of
+    `split` bytes, found by a walk over the headers that skips the blocks. The walk ends at damage, so what follows
+    is one task's."""
+    window, out, at = _Window(handle, size, 0), [0], 0
+    while at < size:
+        window.drop(at)
+        seen = 0
+        while (end := window.data.find(_END, max(0, seen - 3))) < 0 and at + len(window.data) < size:
+            seen = len(window.data)
+            window.upto(at + seen + _PIECE)
+        found = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", bytes(window.data[: max(end, 0)]))
+        if not window.data.startswith(_VERSION) or end < 0 or not found:
+            break
+        after = at + end + 4 + int(found[1])
+        if after + 4 > size:
+            break
+        window.drop(after)
+        if bytes(window.upto(after + 4)[:4]) != _END:
+            break
+        at = after + 4
+        if at // split > out[-1] // split and at < size:
+            out.append(at)
+    return out
+
+
+def read_archives(spark: SparkSession, path: str, *, split_bytes: int = SPLIT, split_gzip: bool = False) -> DataFrame:
     """Records of all .warc and .warc.gz files under path, and the gaps (rows with quarantined set), as RECORD_SCHEMA.
 
     payload is null for revisits; payload_bytes is then the length their HTTP head states. Spark lists
-    the files; tasks open them by byte range, hold one record at a time and read nothing twice but the
-    overlap of a range's last record.
+    the files; tasks open them by byte range and hold one record at a time. Plain archives are split where
+    their records begin; gzip archives only with split_gzip, which searches for members and so is for archives
+    whose payloads hold no gzip members of records. A folder without archives gives no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc*").load(path).select("path", "length")
-    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranges = ranges.repartition(parts, "path", "start")
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, length in zip(frame["path"], frame["length"], strict=True):
+                if name.endswith(".gz"):
+                    starts = list(range(0, max(length, 1), split_bytes)) if split_gzip else [0]
+                else:
+                    store, inner = _filesystem(name)
+                    with store.open_input_file(inner) as handle:
+                        starts = record_starts(handle, length, split_bytes)
+                yield pd.DataFrame({"path": name, "length": length, "start": starts, "stop": [*starts[1:], length]})
+
+    ranges = files.repartition(parts, "path").mapInPandas(cut, "path string, length bigint, start bigint, stop bigint").repartition(parts, "path", "start")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.strip().split(" ")[0] for c in RECORD_SCHEMA.split(",")]
         for frame in frames:
-            for name, length, start in zip(frame["path"], frame["length"], frame["start"], strict=True):
+            for name, length, start, stop in zip(frame["path"], frame["length"], frame["start"], frame["stop"], strict=True):
                 store, inner = _filesystem(name)
                 rows, held = [], 0
                 with store.open_input_file(inner) as handle:
-                    for offset, n, fields, block, why in read_range(handle, length, start, min(length, start + split_bytes), name.endswith(".gz")):
+                    for offset, n, fields, block, why in read_range(handle, length, start, stop, name.endswith(".gz")):
                         rows.append(_row(name, offset, n, fields, block, why))
                         held += len(block) + 200
                         if held > 8 * STEP:
