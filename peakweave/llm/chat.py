@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END, PART, HEAD, COLON = "</turn>\n", "<part/>", "### ", ": "
@@ -33,48 +33,32 @@ def format_chats(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
     defined place; every row counts. A null text or role is empty; rows with a null conversation form
     one conversation. The spans cover the escaped texts of trained_role, one span per turn, without
     headers, separators and ends. An empty table gives no rows; other columns are ignored. A
-    conversation is one output row by definition, so its turns meet in one task; the aggregation
-    sends only their structs.
+    conversation is one output row by definition, so its turns meet in one task: sorted on disk if need
+    be, with running sums for the positions, so long conversations take time in proportion.
     """
     col = lambda name: F.col(f"`{name}`")
-    rows = turns.select(
-        col(conv).alias("conv_id"),
-        F.struct(col(turn).alias("turn"), F.coalesce(col(role), F.lit("")).alias("role"), F.coalesce(col(text), F.lit("")).alias("text")).alias("t"),
-    )
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    # Merge: a block is (role, parts); a turn joins the last block when the roles agree.
-    block = "struct<role:string,parts:array<string>>"
-    merged = F.expr(
-        f"""aggregate(turns, cast(array() as array<{block}>), (acc, t) ->
-            if(size(acc) > 0 and element_at(acc, -1).role = t.role,
-               concat(slice(acc, 1, size(acc) - 1), array(named_struct('role', t.role, 'parts', concat(element_at(acc, -1).parts, array(t.text))))),
-               concat(acc, array(named_struct('role', t.role, 'parts', array(t.text))))))"""
-    )
-    blocks = F.transform(
-        merged,
-        lambda b: F.struct(
-            (b["role"] == F.lit(trained_role)).alias("trained"),
-            F.concat(F.lit(HEAD), escape(b["role"], role=True), F.lit(COLON)).alias("head"),
-            F.transform(b["parts"], lambda p: escape(p)).alias("parts"),
-        ),
-    )
-    chats = chats.select("conv_id", blocks.alias("blocks"))
-    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["parts"], PART), F.lit(END))), "")
-    # Walk over the blocks with the position so far; a span per part of a trained block.
-    spans = F.expr(
-        f"""aggregate(blocks, named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,length:int>>)), (acc, b) ->
-            aggregate(b.parts, named_struct('at', acc.at + length(b.head), 'spans', acc.spans, 'first', true), (a, p) ->
-                named_struct('at', a.at + if(a.first, 0, {len(PART)}) + length(p),
-                    'spans', if(b.trained, concat(a.spans, array(named_struct('start', a.at + if(a.first, 0, {len(PART)}), 'length', length(p)))), a.spans),
-                    'first', false),
-                a -> named_struct('at', a.at + {len(END)}, 'spans', a.spans)),
-            acc -> acc.spans)"""
-    )
+    rows = turns.select(col(conv).alias("conv_id"), col(turn).alias("turn"), F.coalesce(col(role), F.lit("")).alias("role"), F.coalesce(col(text), F.lit("")).alias("text"))
+    line = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    # A turn opens a block unless its role is that of the turn before: then it joins that turn's block.
+    place, before = F.row_number().over(line), F.lag("role").over(line)
+    head = F.concat(F.lit(HEAD), escape(F.col("role"), role=True), F.lit(COLON))
+    opening = F.when(F.col("place") == 1, head).when(F.col("role") == F.col("before"), F.lit(PART)).otherwise(F.concat(F.lit(END), head))
+    rows = rows.withColumns({"place": place, "before": before}).select("conv_id", "place", (F.col("role") == F.lit(trained_role)).alias("trained"), opening.alias("opening"), escape(F.col("text")).alias("body"))
+    upto = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("opening") + F.length("body")).over(upto), F.lit(0)) + F.length("opening")
+    rows = rows.withColumn("start", start.cast("int"))
+    turn_struct = F.struct("place", "trained", "opening", "body", "start")
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn_struct)).alias("turns"))
+    formatted = F.concat(F.array_join(F.transform("turns", lambda t: F.concat(t["opening"], t["body"])), ""), F.lit(END))
+    spans = F.transform(F.filter("turns", lambda t: t["trained"]), lambda t: F.struct(t["start"].alias("start"), F.length(t["body"]).alias("length")))
     return chats.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
-    """Read formatted conversations back: conv_id, formatted, turns (role, text) and loss_text, from the string and the spans alone."""
+    """Read formatted conversations back: conv_id, formatted, turns (role, text) and loss_text, from the string and the spans alone.
+
+    Equal rows give equal rows, a null conv_id stays null, an empty table gives no rows; other columns are ignored.
+    """
     blocks = F.filter(F.split("formatted", END, -1), lambda b: b != "")
     turns = F.flatten(
         F.transform(
