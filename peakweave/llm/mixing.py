@@ -1,13 +1,11 @@
-"""Mixing sources to target weights: fixed-length word blocks, per-shard source draws, index joins.
+"""Mixing sources to target weights: fixed-length word blocks, multinomial draws per shard, index joins.
 
 The words of a source, documents in hashed order, form one stream that is cut into blocks of
-block_words. Every output slot draws its source, and the ordinal of the draw picks a block through a
-pseudorandom permutation of that source's block indices; blocks and slots meet in a join by index.
-All of it is DataFrame expressions.
-
-The draws are multinomial with stratified uniforms: the slots take the uniforms (p + 0.5) / N in
-pseudorandom order, so a shard's source counts vary as multinomial counts do while the totals over
-all shards are the targets themselves, not targets plus sampling noise.
+block_words. Every slot of an output shard draws its source by a uniform of its own, so a shard's counts of
+sources are multinomial. What a source draws over its number of blocks to give goes to the sources that
+drew too few (the slots to give up picked pseudorandomly over all shards), so the totals meet the targets.
+The ordinal of a draw picks a block through a pseudorandom permutation of that source's block indices;
+blocks and slots meet in a join by index. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -42,6 +40,13 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = 24) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), x.cast("long"), swap)
 
 
+def _in_interval(rows: DataFrame, spans: DataFrame, at: str, n: int) -> DataFrame:
+    """rows joined to the span (lo <= at < hi) that holds their number; the spans part 0 .. n-1. The join is keyed by cell."""
+    cell = lambda c: F.expr(f"{c} * {GRID} div {n}")
+    wide = spans.where("lo < hi").withColumn("cell", F.explode(F.sequence(cell("lo"), cell("(hi - 1)"))))
+    return rows.withColumn("cell", cell(at)).join(wide, "cell").where(f"{at} >= lo and {at} < hi").drop("cell")
+
+
 @dataclass
 class Mixture:
     rows: DataFrame  #: uid, id, sid, size: one row per input row
@@ -94,11 +99,11 @@ def mix(
     uid: a column that numbers the rows, if docs has one. Null and empty texts have no words: they get a
     row and are never drawn. A null source is a source of its own, last in order. Repeated identifiers
     are separate rows. Very long texts span many blocks. An empty table gives empty frames. Other
-    columns are ignored. Reruns agree: order and draws depend on seed, identifiers and sizes alone
+    columns are ignored. Reruns agree: order and draws depend on seed, identifiers and texts alone
     (equal rows are interchangeable).
     """
     number = F.col(f"`{uid}`") if uid else F.monotonically_increasing_id()
-    rows = materialise(docs.select(number.alias("uid"), F.col(f"`{ident}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size")), "mix-rows")
+    rows = materialise(docs.select(number.alias("uid"), F.col(f"`{ident}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sizes, weights, ceiling)
     b = F.lit(block_words).cast("long")
@@ -112,14 +117,32 @@ def mix(
     sources = materialise(sources.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("n_slots")), "mix-sources")
     total = sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
 
-    # Draw: slot -> p, its place among the stratified uniforms -> the source whose interval holds p.
+    # Draw: slot -> a uniform p in 0 .. total-1 -> the source whose interval holds p.
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, total)
-    slot = spark.range(0, total, 1, parts).select(F.col("id").alias("slot"), permuted(F.col("id"), F.lit(n).cast("long"), F.lit(seed), F.lit("slots")).alias("p"))
-    slot = slot.withColumn("cell", F.expr(f"p * {GRID} div {n}"))
-    spans = sources.where("n_slots > 0").select("sid", "lo", "hi", "n_blocks", "epochs", "rest", "rest_slots", F.explode(F.sequence(F.expr(f"lo * {GRID} div {n}"), F.expr(f"(hi - 1) * {GRID} div {n}"))).alias("cell"))
-    drawn = slot.join(spans, "cell").where("p >= lo and p < hi").withColumn("i", F.col("p") - F.col("lo"))
+    slot = spark.range(0, total, 1, parts).select(F.col("id").alias("slot"), F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), F.lit(n).cast("long")).alias("p"))
+    given = sources.where("n_slots > 0").select("sid", "lo", "hi", "n_slots", "n_blocks", "epochs", "rest", "rest_slots")
+    drawn = _in_interval(slot, given.select("sid", "lo", "hi"), "p", n).select("slot", F.expr(f"slot div {slots_per_shard}").alias("shard"), "sid")
+    # The draw's ordinal i in its source: draws of earlier shards, and earlier ones in the shard.
+    counts = materialise(drawn.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("k")), "mix-draws")
+    earlier = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("shard", "sid", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("earlier"))
+    drawn = drawn.withColumn("i", F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")) - 1).join(counts, ["shard", "sid"])
+    drawn = drawn.select("slot", "sid", (F.col("i") + F.col("earlier")).cast("long").alias("i"))
+    # Settle: a source keeps n_slots of its draws, any of them; the others fill what other sources lack.
+    totals = given.join(drawn.groupBy("sid").agg(F.count(F.lit(1)).alias("got")), "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    over, lack = F.greatest(F.col("got") - F.col("n_slots"), F.lit(0)), F.greatest(F.col("n_slots") - F.col("got"), F.lit(0))
+    upto_source = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)  # one row per source
+    totals = totals.withColumns({"over_hi": F.sum(over).over(upto_source), "lack_hi": F.sum(lack).over(upto_source), "over": over, "lack": lack})
+    totals = materialise(totals, "mix-totals")
+    placed_draws = drawn.join(totals.select("sid", "got", "n_slots", (F.col("over_hi") - F.col("over")).alias("over_lo")), "sid")
+    placed_draws = placed_draws.withColumn("i", F.when(F.col("got") > F.col("n_slots"), permuted(F.col("i"), F.col("got"), F.lit(seed), F.lit("over"), F.col("sid"))).otherwise(F.col("i")))
+    placed_draws = materialise(placed_draws.select("slot", "sid", "i", F.when(F.col("i") >= F.col("n_slots"), F.col("over_lo") + F.col("i") - F.col("n_slots")).alias("spare")), "mix-placed")
+    moved = max(1, int(totals.agg(F.coalesce(F.max("lack_hi"), F.lit(0))).first()[0]))
+    takers = totals.where("lack > 0").select("sid", (F.col("lack_hi") - F.col("lack")).alias("lo"), F.col("lack_hi").alias("hi"), "got")
+    filled = _in_interval(placed_draws.where("spare is not null").select("slot", "spare"), takers, "spare", moved).select("slot", "sid", (F.col("got") + F.col("spare") - F.col("lo")).alias("i"))
+    drawn = placed_draws.where("spare is null").select("slot", "sid", "i").unionByName(filled).join(given.drop("lo", "hi"), "sid")
     drawn = drawn.withColumns({"epoch": F.expr("i div n_blocks"), "k": F.expr("i % n_blocks")})
     partial = F.col("epoch") >= F.col("epochs")
     # The last, short block stays out of the partial epoch until all whole blocks are used.
@@ -130,12 +153,12 @@ def mix(
     slots = materialise(slots, "mix-slots")
 
     # Pack: offset of each document in its source's stream = earlier buckets + earlier rows of its bucket.
-    numbered = rows.join(sources.select("sid", F.col("source").alias("name")), F.col("source").eqNullSafe(F.col("name"))).select("uid", "id", "sid", "size")
-    hashed = numbered.withColumn("hash", F.xxhash64(F.lit(seed), "id")).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
+    numbered = rows.join(sources.select("sid", F.col("source").alias("name")), F.col("source").eqNullSafe(F.col("name"))).select("uid", "id", "sid", "size", "text_hash")
+    hashed = numbered.withColumn("hash", F.xxhash64(F.lit(seed), "id", "text_hash")).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
     sums = hashed.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
     upto = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("bucket_size").over(upto), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("hash", "id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "bucket").orderBy("hash", "id", "text_hash", "uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = hashed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["sid", "bucket"])
     placed = placed.where("size > 0").select("uid", "sid", "size", (F.col("base") + F.col("before")).alias("start"))
     parts_ = placed.select("uid", "sid", "start", "size", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block"))
@@ -146,7 +169,7 @@ def mix(
 
 
 def taken_words(m: Mixture) -> DataFrame:
-    """uid, id, size, source_size, target, taken for every input row."""
+    """uid, id, size, source_size, target, taken for every input row; rows without words take 0, repeated rows each their own."""
     taken = m.pieces.groupBy("uid").agg(F.sum("n_words").alias("taken"))
     rows = m.rows.join(taken, "uid", "left").join(m.sources.select("sid", "source_size", "target"), "sid")
     return rows.select("uid", "id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -155,6 +178,7 @@ def taken_words(m: Mixture) -> DataFrame:
 def mixed_documents(docs: DataFrame, *, text: str = "text", ident: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The mixture as rows with the columns of docs: one row per document and epoch that takes words of it.
 
+    Null, empty and blank texts are in no row; repeated rows each have theirs; an empty table gives no rows.
     A document taken whole keeps its text byte for byte; one taken in part holds the taken words with
     the white space after each. A column n_chars, if there, is brought up to date.
     """
