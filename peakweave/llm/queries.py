@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .bpe import encode
 from .chat import format_chats, read_chats
@@ -16,7 +17,7 @@ from .licenses import license_report
 from .mixing import mix, taken_words
 from .quality import fit, fold, scored, with_statistics
 from .scratch import folder, materialise
-from .sharding import shard
+from .sharding import write_shards
 from .warc import read_archives, write_archives
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,8 +47,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    placed = shard(docs, shards=8, dims=["source", "lang", "n_chars"], law="rows")
-    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+    path = folder(spark, "shards")
+    part, slot, curve = write_shards(docs, path, shards=8, dims=["source", "lang", "n_chars"], law="rows")
+    schema = StructType([*docs.schema, StructField(slot, LongType()), StructField(curve, LongType()), StructField(part, IntegerType())])
+    body = F.coalesce("text", F.lit(""))
+    return spark.read.schema(schema).parquet(path).select(
+        "doc_id", (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"),
+        F.col(part).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col(curve).alias("hilbert"),
+    )
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import materialise, own_name
+from .scratch import broadcast_if_small, materialise, own_name
 
 BITS = 5  #: bits of each quantised dimension
 IMAGE_BYTES = 7  #: bytes of a string, after the prefix that all values share, that make its numeric image
@@ -106,6 +106,25 @@ def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
     return out
 
 
+def _checksums(text: Column) -> tuple[Column, Column]:
+    """size (UTF-8 bytes plus 1) and CRC-32 of a text; null as empty."""
+    body = F.coalesce(text, F.lit(""))
+    return F.octet_length(body).cast("long") + 1, F.crc32(F.encode(body, "UTF-8"))
+
+
+def _ordered(keyed: DataFrame, order: list[str], partitions: int | None) -> tuple[DataFrame, DataFrame]:
+    """keyed in the given order, stored, with part and place (rank = rows of earlier parts + place), and the parts' rows and bytes before."""
+    parts = partitions or int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.monotonically_increasing_id()
+    # Generated once, where the sorted rows are written; nothing below depends on their being generated again.
+    placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"part": F.shiftright(number, 33), "place": number.bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = materialise(placed, "shard-order")
+    tally = placed.groupBy("part").agg(F.count(F.lit(1)).alias("part_rows"), F.sum("size").alias("part_bytes"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    tally = tally.select("part", F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("part_bytes").over(before), F.lit(0)).alias("bytes_before"))
+    return placed, materialise(tally, "shard-parts")
+
+
 def shard(
     docs: DataFrame,
     *,
@@ -116,11 +135,13 @@ def shard(
     ident: str = "doc_id",
     bits: int = BITS,
     partitions: int | None = None,
+    keep: bool = False,
 ) -> DataFrame:
-    """Metadata of every row (no text) with its Hilbert position, shard and slot.
+    """Every row with its Hilbert position, shard and slot.
 
     Returns id, size (UTF-8 bytes of the text, null none, plus 1), text_crc32 (of empty for null), the
-    dimensions, hilbert, rank (gapless over all rows), shard and slot (gapless from 0 in each shard).
+    dimensions, hilbert, rank (gapless over all rows), shard and slot (gapless from 0 in each shard);
+    with keep also row, a struct of all columns of docs, in files that are sorted along the curve.
     law "rows": shard sizes differ by one row at most. law "bytes": a row goes to the shard in which the
     middle of its bytes falls, so sizes differ by less than two rows' bytes.
     Ties on the curve are ordered by id, checksum and size, so reruns agree; fully equal rows are
@@ -129,28 +150,14 @@ def shard(
     """
     if law not in ("rows", "bytes"):
         raise ValueError("law is rows or bytes")
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    slim = docs.select(
-        F.col(f"`{ident}`").alias("id"),
-        (F.octet_length(body).cast("long") + 1).alias("size"),
-        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        *[F.col(f"`{d}`").alias(f"dim{i}") for i, d in enumerate(dims)],
-    )
-    slim = materialise(slim, "shard-rows")
+    size, crc = _checksums(F.col(f"`{text}`"))
     names = [f"dim{i}" for i in range(len(dims))]
-    keyed = slim.withColumn("hilbert", hilbert_index(quantised(slim, names, bits), bits))
-    parts = partitions or int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["hilbert", "id", "text_crc32", "size"]
-    # Range partitions are cut by order, so position = rows in earlier partitions + place in one's own.
-    # The identifiers are generated once and stored; nothing below depends on their being generated again.
-    placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("mark", F.monotonically_increasing_id())
-    placed = materialise(placed.withColumns({"part": F.shiftright("mark", 33), "place": F.col("mark").bitwiseAND(F.lit((1 << 33) - 1))}), "shard-order")
-    tally = placed.groupBy("part").agg(F.count(F.lit(1)).alias("part_rows"), F.sum("size").alias("part_bytes"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
-    tally = tally.select("part", F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("part_bytes").over(before), F.lit(0)).alias("bytes_before"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
+    cells = quantised(docs, dims, bits)
+    slim = docs.select(F.col(f"`{ident}`").alias("id"), size.alias("size"), crc.alias("text_crc32"), *[F.col(f"`{d}`").alias(n) for d, n in zip(dims, names, strict=True)], *row, hilbert_index(cells, bits).alias("hilbert"))
+    placed, tally = _ordered(slim, ["hilbert", "id", "text_crc32", "size"], partitions)
     total = placed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    ranked = placed.join(F.broadcast(tally), "part") if parts <= 100_000 else placed.join(tally, "part")
-    ranked = ranked.withColumn("rank", F.col("rows_before") + F.col("place"))
+    ranked = placed.join(broadcast_if_small(tally), "part").withColumn("rank", F.col("rows_before") + F.col("place"))
     if law == "rows":
         rows = max(1, total["rows"])
         ranked = ranked.withColumn("shard", F.expr(f"rank * {shards} div {rows}").cast("int"))
@@ -161,18 +168,21 @@ def shard(
         ranked = ranked.withColumn("offset", F.col("bytes_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         middle = F.expr(f"cast((cast(2 * offset + size as decimal(38,0)) * {shards}) div (2 * cast({max(1, total['bytes'])} as decimal(38,0))) as int)")
         ranked = materialise(ranked.withColumn("shard", F.least(middle, F.lit(shards - 1))), "shard-cuts")
-        starts = ranked.groupBy("shard").agg(F.min("rank").alias("shard_start"))
+        starts = ranked.groupBy("shard").agg(F.min("rank").alias("shard_start"))  # one row per shard
         ranked = ranked.join(F.broadcast(starts), "shard").withColumn("slot", F.col("rank") - F.col("shard_start"))
-    return ranked.select("id", "size", "text_crc32", *[F.col(n).alias(d) for n, d in zip(names, dims, strict=True)], "hilbert", "rank", "shard", "slot")
+    return ranked.select("id", "size", "text_crc32", *[F.col(n).alias(d) for n, d in zip(names, dims, strict=True)], *["row"] * keep, "hilbert", "rank", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, *, ident: str = "doc_id", rows_per_file: int = 1_000_000) -> None:
+def write_shards(docs: DataFrame, path: str, *, shards: int, dims: list[str], rows_per_file: int = 1_000_000, **options) -> tuple[str, str, str]:
     """Write docs as one folder per shard, rows in curve order, so that file statistics prune on every dimension.
 
-    Needs unique identifiers.
+    Returns the names of the columns added: shard (the folders), slot and the position on the curve; they
+    are new names where docs has such columns. Each row is written once, whatever its id; options and odd
+    inputs are those of shard(). The texts are shuffled once, by position; the files of a shard are what
+    each range of the curve holds of it.
     """
-    key, run = own_name(docs, "shard"), own_name(docs, "curve_rank")
-    where = placed.select(F.col("id").alias("__id"), F.col("shard").alias(key), F.col("rank").alias(run))
-    joined = docs.join(where, F.col(f"`{ident}`") == F.col("__id")).drop("__id")
-    shards = placed.agg(F.max("shard")).first()[0] or 0
-    joined.repartitionByRange(max(1, 4 * (shards + 1)), key, run).sortWithinPartitions(key, run).write.option("maxRecordsPerFile", rows_per_file).partitionBy(key).parquet(path)
+    placed = shard(docs, shards=shards, dims=dims, keep=True, **options)
+    added = tuple(own_name(docs, c) for c in ("shard", "slot", "hilbert"))
+    out = placed.select("row.*", *[F.col(c).alias(n) for c, n in zip(("shard", "slot", "hilbert"), added, strict=True)])
+    out.write.option("maxRecordsPerFile", rows_per_file).partitionBy(added[0]).parquet(path)
+    return added

@@ -69,10 +69,13 @@ def write_archives(pages: DataFrame, path: str, *, ident: str = "page_id", uri:
     Of records with equal payloads of at least least_bytes bytes, the one with the largest identifier is
     the response and the others revisit it; equal (payload, identifier) rows count as equal identifiers,
     of which each is a response. A null payload is empty, a null url too. Tasks write under a temporary
-    name and rename, and their names depend on the partition alone, so a task that is run again replaces
-    its files. An empty table writes nothing; other columns are ignored.
+    name and rename, and their names depend on the partition alone; a task that is run again first deletes
+    what it wrote. path must be one that pyarrow's filesystems open too (local, HDFS, S3, GCS). An empty
+    table makes an empty folder; other columns are ignored.
     """
     spark = pages.sparkSession
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(home)
     col = lambda c: F.col(f"`{c}`")
     body = F.encode(F.coalesce(col(payload), F.lit("")), "UTF-8") if dict(pages.dtypes)[payload] == "string" else F.coalesce(col(payload), F.lit(b""))
     rows = pages.select(col(ident).alias("id"), F.coalesce(col(uri), F.lit("")).alias("uri"), body.alias("payload")).withColumn("sha1", F.sha1("payload"))
