@@ -36,7 +36,8 @@ COUNTED_BITS = 1  #: document frequencies are counted for hashes below 2**(64 -
 REPEATED_FROM = 3  #: sets from which a shingle counts as repeated
 WINDOW = 1_500_000  #: shingles that a task holds at once
 CHUNK, CHUNKS, CHUNK_BYTES = 128, 64, 8 << 20  #: a group of m sets is searched in chunks of m / CHUNKS sets, CHUNK at least, of about CHUNK_BYTES at most
-QUERIES = 512  #: queries that meet one chunk in one piece of work
+QUERIES = 256  #: queries that meet one chunk in one piece of work
+SPREAD = 4  #: tasks of the search for each shuffle partition, so that few pieces of work meet in one
 PIVOTS = 4
 _MU = 0.01  #: cost of a probe against a merge step in the choice of long lists
 
@@ -365,7 +366,7 @@ def _searched(work: DataFrame) -> DataFrame:
     """Links of pieces of work (grp, chunk, part, id, tokens, asks)."""
     n = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["grp", "chunk", "part"]
-    return work.repartition(n, *key).sortWithinPartitions(*key, "asks").select(*key, "id", "tokens", "asks").mapInPandas(_search, "a bigint, b bigint")
+    return work.repartition(SPREAD * n, *key).sortWithinPartitions(*key, "asks").select(*key, "id", "tokens", "asks").mapInPandas(_search, "a bigint, b bigint")
 
 
 def _links(sets: DataFrame) -> DataFrame:
