@@ -15,9 +15,12 @@ def product_score(df: DataFrame, group: list[str], factor: Column, name: str = "
 
 
 def alpha_scores(pairs: DataFrame, probe: list[str], entry: list[str], total: int | Column) -> DataFrame:
-    """Each probe that meets k of `total` index entries gives its entries the factor k / total; scores per entry."""
-    size = pairs.groupBy(*probe).agg(F.count(F.lit(1)).alias("__k"))
-    return product_score(pairs.join(size, probe), entry, F.col("__k") / (F.lit(total) if isinstance(total, int) else total))
+    """Each probe that meets k of `total` index entries gives its entries the factor k / total; scores per entry.
+
+    k is counted in a window over the pairs, so the range join behind them runs once.
+    """
+    k = F.count(F.lit(1)).over(Window.partitionBy(*probe))
+    return product_score(pairs.withColumn("__k", k), entry, F.col("__k") / (F.lit(total) if isinstance(total, int) else total))
 
 
 def merge_scores(parts: list[DataFrame], key: list[str], score: str, how: str = "sum") -> DataFrame:
@@ -29,8 +32,12 @@ def merge_scores(parts: list[DataFrame], key: list[str], score: str, how: str =
     return all_.groupBy(*key).agg(f(score).alias(score))
 
 
-def statistics(df: DataFrame, group: list[str], value: str, exact: bool = True) -> DataFrame:
-    """n, min, max, mean, population std, median and MAD of value. exact=False takes approximate quantiles (bounded sketches)."""
+def statistics(df: DataFrame, group: list[str], value: str, exact: bool = False) -> DataFrame:
+    """n, min, max, mean, population std, median and MAD of value.
+
+    The quantiles are approximate, from bounded sketches; exact ones hold all distinct values of a group in
+    one task and are for groups of bounded size.
+    """
     median = F.median(value) if exact else F.percentile_approx(value, 0.5).cast("double")
     base = [F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), median.alias("median")]
     first = df.groupBy(*group).agg(*base)
@@ -40,10 +47,10 @@ def statistics(df: DataFrame, group: list[str], value: str, exact: bool = True)
     return first.join(mad, group) if group else first.join(F.broadcast(mad))
 
 
-def score_statistics(df: DataFrame, scores: list[str]) -> DataFrame:
+def score_statistics(df: DataFrame, scores: list[str], exact: bool = False) -> DataFrame:
     """statistics() of many score columns at once: one row per score."""
     long = df.unpivot([], scores, "score_name", "score_value").where(F.col("score_value").isNotNull() & ~F.isnan("score_value"))
-    return statistics(long, ["score_name"], "score_value")
+    return statistics(long, ["score_name"], "score_value", exact)
 
 
 def class_counts(df: DataFrame, by: str, kind: str, kinds: list[str]) -> DataFrame:

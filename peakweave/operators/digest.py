@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations, product
+from itertools import combinations, islice, product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -188,14 +188,14 @@ def variable(peptides: DataFrame, mods: list[Modification], most_mods: int = 3,
                     ]
                     if here:
                         sites.append((i, here))
-                forms = [{}]
-                for k in range(1, min(most_mods, len(sites)) + 1):
-                    for places in combinations(sites, k):
-                        for symbols in product(*[s for _, s in places]):
-                            if len(forms) > most_forms:
-                                break
-                            forms.append(dict(zip([p for p, _ in places], symbols, strict=True)))
-                for form in forms[: most_forms + 1]:
+                changed = (
+                    dict(zip([p for p, _ in places], symbols, strict=True))
+                    for k in range(1, min(most_mods, len(sites)) + 1)
+                    for places in combinations(sites, k)
+                    for symbols in product(*[s for _, s in places])
+                )
+                forms = [{}, *islice(changed, most_forms)]
+                for form in forms:
                     d = row._asdict() | {"peptide": [form.get(i, r) for i, r in enumerate(residues)], "mods": form}
                     rows.append(d)
             yield pd.DataFrame(rows, columns=[f.name for f in schema])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.tolerance import Tolerance
 
 _BIN, _LOW, _HIGH = "__bin", "__low", "__high"
+MOST_BINS = 64  #: bins that a window of a left, semi or anti join may span
 
 
 def window_join(windows: DataFrame, points: DataFrame, low: Column, high: Column, point: Column, bin_width: float, how: str = "inner", relative: bool = False) -> DataFrame:
@@ -21,26 +22,26 @@ def window_join(windows: DataFrame, points: DataFrame, low: Column, high: Column
     bin_width should be about the usual window: a window spans about two bins. relative: bins are equal
     steps of ln(x) (for positive values and windows that grow with x), else equal steps of x. Null bounds
     or points match nothing. The join key is the bin alone, so adaptive execution can split hot bins.
+    Inner joins repeat a window for the bins it spans. The others repeat each point for the bins from which
+    a window may reach it, so a window stays one row and the join itself decides what becomes of it.
     """
     bin_of = (lambda c: F.floor(F.ln(c) / F.lit(bin_width))) if relative else (lambda c: F.floor(c / F.lit(bin_width)))
     right = points.withColumn("__point", point.cast("double"))
     right = right.withColumn("__rbin", bin_of(F.col("__point")))
     left = windows.withColumn(_LOW, low.cast("double")).withColumn(_HIGH, high.cast("double"))
-    if how in ("left", "left_semi", "left_anti"):
-        # an exploded row may match in any of its bins: decide per original row
-        left = left.withColumn("__row", F.monotonically_increasing_id())
-        pairs = window_join(left.drop(_LOW, _HIGH), points, low, high, point, bin_width, "inner", relative)
-        if how != "left":
-            hit = pairs.select(F.col("__row").alias("__hit")).distinct()
-            return left.drop(_LOW, _HIGH).join(hit, F.col("__row") == F.col("__hit"), how).drop("__row")
-        found = pairs.select(F.col("__row").alias("__hit"), *[F.col(f"`{c}`") for c in points.columns])
-        return left.drop(_LOW, _HIGH).join(found, F.col("__row") == F.col("__hit"), "left").drop("__row", "__hit")
-    floor_low = F.greatest(F.col(_LOW), F.lit(1e-300)) if relative else F.col(_LOW)
-    high_ok = F.col(_HIGH) > (F.lit(0.0) if relative else F.col(_LOW))
-    left = left.where(high_ok & (F.col(_HIGH) > F.col(_LOW)))
-    left = left.withColumn(_BIN, F.explode(F.sequence(bin_of(floor_low), bin_of(F.col(_HIGH)))))
-    joined = left.join(right, (F.col(_BIN) == F.col("__rbin")) & (F.col("__point") >= F.col(_LOW)) & (F.col("__point") < F.col(_HIGH)))
-    return joined.drop(_BIN, _LOW, _HIGH, "__point", "__rbin")
+    first = bin_of(F.greatest(F.col(_LOW), F.lit(1e-300)) if relative else F.col(_LOW))
+    last = bin_of(F.col(_HIGH))
+    inside = (F.col(_BIN) == F.col("__rbin")) & (F.col("__point") >= F.col(_LOW)) & (F.col("__point") < F.col(_HIGH))
+    if how == "inner":
+        high_ok = F.col(_HIGH) > (F.lit(0.0) if relative else F.col(_LOW))
+        left = left.where(high_ok & (F.col(_HIGH) > F.col(_LOW))).withColumn(_BIN, F.explode(F.sequence(first, last)))
+    else:
+        span = max(0, left.where(F.col(_HIGH) > F.col(_LOW)).agg(F.max(last - first)).first()[0] or 0)
+        if span > MOST_BINS:
+            raise ValueError(f"a window spans {span} bins; take wider bins")
+        left = left.withColumn(_BIN, first)
+        right = right.where("__rbin is not null").withColumn("__rbin", F.explode(F.sequence(F.col("__rbin") - span, F.col("__rbin"))))
+    return left.join(right, inside, how).drop(_BIN, _LOW, _HIGH, "__point", "__rbin")
 
 
 def tolerance_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, tolerance: Tolerance, how: str = "inner", reference: Column | None = None) -> DataFrame:

@@ -72,7 +72,7 @@ def precursor_found(peaks: DataFrame, spectra: DataFrame, spectrum: str, precurs
     near = (F.col(mz) >= tolerance.lower(p)) & (F.col(mz) < tolerance.upper(p))
     joined = peaks.join(spectra.select(spectrum, precursor), spectrum)
     out = joined.groupBy(spectrum).agg(F.coalesce(F.max(F.when(near, F.col(intensity))), F.lit(0.0)).alias("precursor_absolute"), F.max(intensity).alias("__base"))
-    return out.select(spectrum, "precursor_absolute", (F.col("precursor_absolute") / F.col("__base")).alias("precursor_relative"))
+    return out.select(spectrum, "precursor_absolute", F.try_divide("precursor_absolute", "__base").alias("precursor_relative"))
 
 
 @register("library", 20)
@@ -89,13 +89,13 @@ def spectrum_coverage(peaks: DataFrame, match: str = "match_id", explained: str
     """Share of intensity and of peaks that is explained, also by intact fragments, and of the most intense peaks."""
     w = Window.partitionBy(match).orderBy(F.desc(intensity), "mz")
     ranked = peaks.withColumn("__r", F.row_number().over(w))
-    part = lambda c: F.sum(F.when(c, F.col(intensity)).otherwise(F.lit(0.0))) / F.sum(intensity)
+    part = lambda c: F.try_divide(F.sum(F.when(c, F.col(intensity)).otherwise(F.lit(0.0))), F.sum(intensity))
     top = [(F.sum(F.when(F.col(explained) & (F.col("__r") <= n), 1).otherwise(0)) / F.sum(F.when(F.col("__r") <= n, 1).otherwise(0))).alias(f"top{n}_matched") for n in tops]
     return ranked.groupBy(match).agg(part(F.col(explained)).alias("intensity_coverage"), part(F.col(intact)).alias("intensity_coverage_intact"), F.avg(F.col(explained).cast("double")).alias("peak_coverage"), *top)
 
 
 def conservative_coverage(peaks: DataFrame, match: str = "match_id", conservative: str = "conservative", intensity: str = "intensity") -> DataFrame:
-    return peaks.groupBy(match).agg((F.sum(F.when(F.col(conservative), F.col(intensity)).otherwise(F.lit(0.0))) / F.sum(intensity)).alias("conservative_intensity"))
+    return peaks.groupBy(match).agg(F.try_divide(F.sum(F.when(F.col(conservative), F.col(intensity)).otherwise(F.lit(0.0))), F.sum(intensity)).alias("conservative_intensity"))
 
 
 @register("charge", 10)
@@ -103,7 +103,7 @@ def fragment_charge(matched: DataFrame, match: str = "match_id", precursor_charg
     """Highest and mean charge of matched fragments, also relative to the precursor's."""
     z = "match_charge"
     out = matched.groupBy(match).agg(F.max(z).alias("max_charge"), F.avg(z).alias("mean_charge"), F.median(z).alias("median_charge"), F.max(precursor_charge).alias("__p"))
-    return out.select(match, "max_charge", "mean_charge", "median_charge", (F.col("max_charge") / F.col("__p")).alias("relative_max_charge"), (F.col("mean_charge") / F.col("__p")).alias("relative_mean_charge"))
+    return out.select(match, "max_charge", "mean_charge", "median_charge", F.try_divide("max_charge", "__p").alias("relative_max_charge"), F.try_divide("mean_charge", "__p").alias("relative_mean_charge"))
 
 
 @register("error", 10)
@@ -134,7 +134,7 @@ def loss_coverage(matched: DataFrame, match: str = "match_id") -> DataFrame:
     """Lossy over all matched fragments, and lossy ones whose intact form is there over all lossy ones."""
     intact = F.max((F.col("loss_count") == 0).cast("int")).over(Window.partitionBy(match, "base_fragment"))
     lossy = F.col("loss_count") > 0
-    return matched.withColumn("__i", intact).groupBy(match).agg(F.avg(lossy.cast("double")).alias("loss_share"), (F.sum(F.when(lossy & (F.col("__i") == 1), 1).otherwise(0)) / F.sum(lossy.cast("int"))).alias("supported_losses"))
+    return matched.withColumn("__i", intact).groupBy(match).agg(F.avg(lossy.cast("double")).alias("loss_share"), F.try_divide(F.sum(F.when(lossy & (F.col("__i") == 1), 1).otherwise(0)), F.sum(lossy.cast("int"))).alias("supported_losses"))
 
 
 def combined(scores: dict[str, float]) -> Column:
@@ -153,12 +153,11 @@ def normalised_score(long: DataFrame, parameters: DataFrame, match: str = "match
     by its normalised split times the direction (by the direction alone where the split is 0). A value
     that gives no number counts as `missing`, if that is set.
     """
-    # Numbers of scores are bounded by what a configuration names.
     p = parameters.where("weight is not null and weight <> 0 and not isnan(weight)")
-    rows = long.join(F.broadcast(p), "score_name").where(F.col("score_value") < 999999)
-    z = (F.col("score_value") - F.col("average")) / F.col("stdev")
+    rows = long.join(p, "score_name").where(F.col("score_value") < 999999)
+    z = F.try_divide(F.col("score_value") - F.col("average"), F.col("stdev"))
     split, d, w = F.col("normalised_split"), F.col("direction"), F.col("weight")
-    part = F.when(split == 0, z / d * w).otherwise(z / split * d * w)
+    part = F.when(split == 0, F.try_divide(z, d) * w).otherwise(F.try_divide(z, split) * d * w)
     good = part.isNotNull() & ~F.isnan(part) & (F.abs(part) < float("inf")) & (d != 0)
     value = F.when(good, part)
     if missing is not None:
@@ -170,8 +169,8 @@ def normalised_score(long: DataFrame, parameters: DataFrame, match: str = "match
 
 def mean_z_score(long: DataFrame, parameters: DataFrame, match: str = "match_id") -> DataFrame:
     """The older normalisation: mean of weighted z-scores."""
-    rows = long.join(F.broadcast(parameters), "score_name")
-    z = (F.col("score_value") - F.col("average")) / F.col("stdev") * F.col("direction") * F.col("weight")
+    rows = long.join(parameters, "score_name")
+    z = F.try_divide(F.col("score_value") - F.col("average"), F.col("stdev")) * F.col("direction") * F.col("weight")
     return rows.withColumn("__z", z).where("__z is not null and not isnan(__z)").groupBy(match).agg(F.avg("__z").alias("match_score"))
 
 

@@ -241,10 +241,11 @@ def detect_precursors(clusters: DataFrame, spectra: DataFrame, spectrum: str, pr
 # Calibration: errors are measured - expected; each returns rows with a corrected m/z.
 
 
-def calibrate_shift(rows: DataFrame, run: list[str], measured: str, expected: str, relative: bool = False) -> DataFrame:
-    """Subtract the run's median error, absolute or relative."""
+def calibrate_shift(rows: DataFrame, run: list[str], measured: str, expected: str, relative: bool = False, exact: bool = False) -> DataFrame:
+    """Subtract the run's median error, absolute or relative; the median is a sketch's, or exact for runs of bounded size."""
     error = F.col(measured) - F.col(expected)
-    shift = rows.groupBy(*run).agg(F.median(error / F.col(expected) if relative else error).alias("shift"))
+    error = error / F.col(expected) if relative else error
+    shift = rows.groupBy(*run).agg((F.median(error) if exact else F.percentile_approx(error, 0.5)).alias("shift"))
     fixed_ = F.col(measured) / (1 + F.col("shift")) if relative else F.col(measured) - F.col("shift")
     return rows.join(shift, run).withColumn("calibrated", fixed_)
 
@@ -261,9 +262,9 @@ def calibrate_regression(rows: DataFrame, spectrum: list[str], run: list[str], m
     return out.withColumn("calibrated", F.col(measured) - (slope * F.col(measured) + intercept)).drop(*[f"{p}_{k}" for p in ("own", "run") for k in ("slope", "intercept", "n")])
 
 
-def calibrate_two_groups(rows: DataFrame, run: list[str], measured: str, expected: str, split: float) -> DataFrame:
+def calibrate_two_groups(rows: DataFrame, run: list[str], measured: str, expected: str, split: float, exact: bool = False) -> DataFrame:
     """Separate median shifts below and above an m/z."""
-    return calibrate_shift(rows.withColumn("__g", F.col(measured) < split), [*run, "__g"], measured, expected).drop("__g")
+    return calibrate_shift(rows.withColumn("__g", F.col(measured) < split), [*run, "__g"], measured, expected, exact=exact).drop("__g")
 
 
 def peak_arrays(peaks: DataFrame, spectrum: list[str], mz: str = "mz", intensity: str = "intensity") -> DataFrame:

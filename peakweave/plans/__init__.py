@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Search configurations, searches and registered queries."""
+
+from . import match_queries, queries, spectrum_queries  # noqa: F401
