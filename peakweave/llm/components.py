@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from .scratch import discard, materialise
 
 
+ROWS_A_FILE = 50_000
+
+
 def union_find(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
     """Root (smallest member) of every node named in pairs."""
     parent: dict[int, int] = {}
@@ -49,8 +52,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): smallest id reachable, for every node of edges (a, b: bigint); rows with nulls and loops are left out."""
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = materialise(e.mapInPandas(_contracted, "a bigint, b bigint").distinct(), "cc-start")
-    mark = None
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, mark = e.count(), None
     for _ in range(most_rounds):
+        files = min(parts, rows // ROWS_A_FILE + 1)  # rounds over few edges shouldn't write hundreds of files
         # Large star: every larger neighbour of u is tied to the smallest node around u.
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -58,12 +63,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Small star: u and its smaller neighbours are tied to the smallest of them.
         tied = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(tied, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        last, e = e, materialise(small.union(tied.select("a", F.col("m").alias("b"))).distinct(), "cc-round")
+        last, e = e, materialise(small.union(tied.select("a", F.col("m").alias("b"))).distinct().coalesce(files), "cc-round")
         discard(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break
-        mark = now
+        mark, rows = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
