@@ -19,9 +19,19 @@ from pyspark.sql import functions as F
 
 _NUMBER = r"([0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?)"
 
-#: Run and scan in spectrum titles, tried in order.
-TITLE_RUN = (r"RawFile: (\S+)", r"File:\s*\"?([^\",]+?)(?:\.raw|\.mzML|\.d)?\"?,", r"^([^.\s]+)\.\d+\.\d+\.", r"^(\S+)\s", r"^(.*)$")
-TITLE_SCAN = (r"Index: (\d+)", r"scan[:=\s]+(\d+)", r"FinneganScanNumber: (\d+)", r"\.(\d+)\.\d+\.\d*", r"Scan (\d+)", r"(\d+)\s*$")
+# Forms of spectrum titles, tried in order; the groups of a pattern are named by role.
+TITLES = (
+    {"name": "MaxQuant", "pattern": r"RawFile:\s*(.+?)\s+FinneganScanNumber:\s+(\d+)", "run": 1, "scan": 2},
+    {"name": "Andromeda", "pattern": r"RawFile: (\S+) Index: (\d+)", "run": 1, "scan": 2},
+    {"name": "Mascot", "pattern": r"^\d+: (?:Scan|Sum of \d+ scans in range) (\d+) \(rt=([\d.]+)\).*\[(?:.*[/\\])?([^/\\]*)\]", "scan": 1, "rt": 2, "run": 3},
+    {"name": "QEX", "pattern": r"^(.+?)\s+Spectrum\d+\s*scans: (\d+)", "run": 1, "scan": 2},
+    {"name": "MassMatrix", "pattern": r"^File:(.*?)\s*Scans:(\d+)\s*RT:.+?Charge:(\d+)\+", "run": 1, "scan": 2, "charge": 3},
+    {"name": "MSConvert", "pattern": r"^(.*)\.(\d+)\.\d+\.(\d*)(?:\s.*)?$", "run": 1, "scan": 2, "charge": 3},
+    {"name": "OpenMS", "pattern": r"\s(?:scan|index)=(\d+)_(.*)$", "scan": 1, "run": 2},
+    {"name": "run", "pattern": r"^([^\s.]*)", "run": 1},
+    {"name": "scan", "pattern": r"scans?[:=\s]+(\d+)", "scan": 1},
+    {"name": "number", "pattern": r"^[^\s.]*?(\d{3,10})", "scan": 1},
+)
 
 
 def first_match(text: Column, patterns: tuple[str, ...], group: int = 1) -> Column:
@@ -29,8 +39,14 @@ def first_match(text: Column, patterns: tuple[str, ...], group: int = 1) -> Colu
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, group), F.lit("")) for p in patterns])
 
 
+def of_title(title: Column, role: str, own: str | None = None) -> Column:
+    """Run, scan, rt or charge that the first fitting form of a title states, as text; own: a pattern that is tried first."""
+    found = [F.nullif(F.regexp_extract(title, f["pattern"], f[role]), F.lit("")) for f in TITLES if role in f]
+    return F.coalesce(*([F.nullif(F.regexp_extract(title, own, 1), F.lit(""))] if own else []), *found)
+
+
 def _key(block: Column, name: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(block, rf"(?im)^{name}\s*=\s*(.*)$", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(block, rf"(?im)^{name}[ \t]*=[ \t]*(.*)$", 1)), F.lit(""))
 
 
 def _peaks(block: Column) -> Column:
@@ -38,8 +54,10 @@ def _peaks(block: Column) -> Column:
     return F.array_sort(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, rf"^\s*{_NUMBER}", 1).cast("double").alias("mz"), F.regexp_extract(x, rf"^\s*{_NUMBER}[\s;,]+{_NUMBER}", 2).cast("double").alias("intensity"))))
 
 
-def _numbers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+def _numbers(text: Column, signed: bool = True) -> Column:
+    """Numbers in a text; unsigned ones may be parted by a hyphen (a range)."""
+    pattern = r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)" if signed else r"(\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)), lambda x: x.cast("double"))
 
 
 def parse_mgf(blocks: DataFrame, run_pattern: str | None = None, scan_pattern: str | None = None, block: str = "value", file: str = "peak_file") -> DataFrame:
@@ -47,18 +65,19 @@ def parse_mgf(blocks: DataFrame, run_pattern: str | None = None, scan_pattern: s
     b = F.substring_index(F.col(block), "BEGIN IONS", -1)
     title = _key(b, "TITLE")
     charges = F.transform(_numbers(_key(b, "CHARGE")), lambda x: x.cast("int"))
-    rt = _numbers(_key(b, "RTINSECONDS"))
+    rt = _numbers(_key(b, "RTINSECONDS"), signed=False)
     mass = _numbers(_key(b, "PEPMASS"))
+    stated_rt = of_title(title, "rt").try_cast("double")
     return blocks.where(F.col(block).contains("BEGIN IONS")).select(
         F.col(file),
         title.alias("scan_title"),
-        first_match(title, ((run_pattern,) if run_pattern else ()) + TITLE_RUN).alias("run"),
-        F.coalesce(F.regexp_extract(_key(b, "SCANS"), r"(\d+)", 1).try_cast("int"), first_match(title, ((scan_pattern,) if scan_pattern else ()) + TITLE_SCAN).cast("int")).alias("scan"),
-        F.get(rt, F.lit(0)).alias("rt_start"),
-        F.coalesce(F.get(rt, F.lit(1)), F.get(rt, F.lit(0))).alias("rt_end"),
+        of_title(title, "run", run_pattern).alias("run"),
+        F.coalesce(F.regexp_extract(_key(b, "SCANS"), r"(\d+)", 1).try_cast("int"), of_title(title, "scan", scan_pattern).try_cast("int")).alias("scan"),
+        F.coalesce(F.get(rt, F.lit(0)), stated_rt).alias("rt_start"),
+        F.coalesce(F.get(rt, F.lit(1)), F.get(rt, F.lit(0)), stated_rt).alias("rt_end"),
         F.get(mass, F.lit(0)).alias("precursor_mz"),
         F.get(mass, F.lit(1)).alias("precursor_intensity"),
-        F.when(F.size(charges) == 1, charges[0]).otherwise(-1).alias("precursor_charge"),
+        F.when(F.size(charges) == 1, charges[0]).when(F.size(charges) == 0, F.coalesce(of_title(title, "charge").cast("int"), F.lit(-1))).otherwise(-1).alias("precursor_charge"),
         F.when(F.size(charges) > 1, charges).otherwise(F.array().cast("array<int>")).alias("charge_alternatives"),
         _numbers(_key(b, "ADDITIONALMZ")).alias("additional_mz"),
         F.transform(_numbers(_key(b, "ADDITIONALCHARGES")), lambda x: x.cast("int")).alias("additional_charge"),
@@ -85,8 +104,8 @@ def parse_apl(text: DataFrame) -> DataFrame:
     return text.where(F.col("value").contains("peaklist start")).select(
         "peak_file",
         header.alias("scan_title"),
-        first_match(header, TITLE_RUN).alias("run"),
-        first_match(header, TITLE_SCAN).cast("int").alias("scan"),
+        of_title(header, "run").alias("run"),
+        of_title(header, "scan").try_cast("int").alias("scan"),
         F.nullif(F.regexp_extract(header, r"(?i)elution(?:time)?[:=\s]*([\d.]+)", 1), F.lit("")).cast("double").alias("rt_start"),
         _key(b, "mz").cast("double").alias("precursor_mz"),
         F.nullif(F.regexp_extract(header, r"(?i)intensity[:=\s]*([\d.eE+]+)", 1), F.lit("")).cast("double").alias("precursor_intensity"),

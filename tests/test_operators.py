@@ -188,6 +188,45 @@ def test_mgf_and_fasta(spark, tmp_path):
     assert spark.range(1).select(sinks.number(F.lit(1.50))).first()[0] == "1.5"
 
 
+TITLES = [
+    ("RawFile: my run FinneganScanNumber: 123 _sil_", "my run", 123, None, -1),
+    ("RawFile: raw_1 Index: 77 Precursor", "raw_1", 77, None, -1),
+    ("12: Scan 4711 (rt=13.25) [D:\\data\\sub\\run_7.raw]", "run_7.raw", 4711, 13.25, -1),
+    ("12: Sum of 3 scans in range 4711 (rt=13.25) [D:\\data\\run_7.raw]", "run_7.raw", 4711, 13.25, -1),
+    ("some file.raw Spectrum9 scans: 815", "some file.raw", 815, None, -1),
+    ("File:run_A Scans:99 RT:1.5min Charge:3+ Fragmentation:hcd", "run_A", 99, None, 3),
+    ("my.run.100.101.2", "my.run", 100, None, 2),
+    ("my.run.100.101. extra words", "my.run", 100, None, -1),
+    ("spectrum scan=42_run_x", "run_x", 42, None, -1),
+    ("plain12345 other", "plain12345", 12345, None, -1),
+]
+
+
+def test_title_forms(spark, tmp_path):
+    from peakweave.sources import peaklists
+
+    block = "BEGIN IONS\nTITLE={}\nPEPMASS=500.5 1e4\nRTINSECONDS={}\n100.1 5\nEND IONS\n"
+    (tmp_path / "t.mgf").write_text("".join(block.format(t[0], "" if t[3] else "60.5-61.2") for t in TITLES))
+    got = {r.scan_title: r for r in peaklists.read_mgf(spark, str(tmp_path / "t.mgf")).collect()}
+    for title, run, scan, rt, charge in TITLES:
+        r = got[title]
+        assert (r.run, r.scan, r.precursor_charge, r.precursor_intensity) == (run, scan, charge, 10000.0), title
+        assert (r.rt_start, r.rt_end) == ((rt, rt) if rt else (60.5, 61.2))
+
+
+def test_range_joins_after_a_shuffle(spark):
+    from peakweave.operators.range_join import window_join
+
+    left = spark.createDataFrame([(float(i % 7), 1) for i in range(60)] + [(None, 1)], "x double, k int").repartition(5)
+    right = spark.createDataFrame([(1.2,), (1.3,), (5.0,)], "y double")
+    rows = lambda how: window_join(left, right, F.col("x"), F.col("x") + 0.5, F.col("y"), 0.25, how)
+    n = sum(i % 7 in (1, 5) for i in range(60))
+    twice = sum(i % 7 == 1 for i in range(60))
+    assert (rows("left_semi").count(), rows("left_anti").count(), rows("left").count(), rows("inner").count()) == (n, 61 - n, 61 + twice, n + twice)
+    with pytest.raises(ValueError, match="bins"):
+        window_join(left, right, F.col("x"), F.col("x") + 500, F.col("y"), 0.25, "left_semi")
+
+
 def test_zip_members_of_every_format(spark, tmp_path):
     import gzip
     import io
