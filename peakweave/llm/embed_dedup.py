@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import materialise
 
-BLOCK = 2048  #: vectors of a bucket that meet in one piece of work
+BLOCK = 1024  #: vectors of a bucket that meet in one piece of work
 STRIP = 256  #: of those, rows that are multiplied at once
 
 
