@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from itertools import combinations, islice, product
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,6 +136,34 @@ def deduplicated(peptides: DataFrame, key: list[str], position: Column, decoy: s
     return kept.drop("__target", "__decoy", "__any_decoy"), discarded
 
 
+def readded_decoys(discarded: DataFrame, kept: DataFrame, peptide: str = "peptide", tries: int = 20) -> DataFrame:
+    """Decoys that a target ousted, permuted until they are new: discarded with `peptide` replaced and `attempt`.
+
+    The last residue stays, as the cleavage site. Of the permutations (drawn by hash, so reruns agree) the first that is no
+    kept peptide counts; where two decoys draw the same, the smaller original has it. Peptides without a new
+    permutation are left out.
+    """
+    from .decoys import shuffle
+
+    body = F.slice(peptide, 1, F.size(peptide) - 1)
+    turned = F.concat(F.reverse(shuffle(F.reverse(body), F.concat_ws(",", F.col(peptide), F.col("attempt").cast("string")))), F.slice(peptide, F.size(peptide), 1))
+    drawn = discarded.where(F.size(peptide) > 2).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(tries)))).withColumn("__new", turned)
+    fresh = drawn.join(kept.select(F.col(peptide).alias("__new")).distinct(), "__new", "left_anti")
+    first = fresh.withColumn("__k", F.row_number().over(Window.partitionBy(peptide).orderBy("attempt"))).where("__k = 1")
+    one = first.withColumn("__k", F.row_number().over(Window.partitionBy("__new").orderBy(peptide))).where("__k = 1").drop("__k")
+    return one.select(*[F.col("__new").alias(c) if c == peptide else F.col(c) for c in discarded.columns], "attempt")
+
+
+def unique_peptides(peptides: DataFrame, key: list[str], protein: str) -> DataFrame:
+    """One row per peptide, with the number of its proteins."""
+    return peptides.groupBy(*key).agg(F.count_distinct(protein).alias("proteins"))
+
+
+def containing(peptides: DataFrame, residue: str, peptide: str = "peptide") -> DataFrame:
+    """How many peptides there are, and how many of them hold a residue."""
+    return peptides.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.array_contains(peptide, residue), 1)).alias("n_with"))
+
+
 def cleaned(peptides: DataFrame, most_proteins: int = 10, shortest: int = 1, protein: str = "positions.protein_id") -> DataFrame:
     """Drop peptides of more than most_proteins proteins, and short ones."""
     return peptides.where((F.size(F.array_distinct(F.col(protein))) <= most_proteins) & (F.size("peptide") >= shortest))

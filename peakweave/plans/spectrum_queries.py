@@ -345,9 +345,9 @@ def charged_fragments(spark, sf_dir):
 
 
 @query(f"""WITH {_SEQ}, e AS (SELECT p_partkey, left(seq, length(seq) - 1) AS s, seq FROM q), o AS (SELECT p_partkey - 1 AS p_partkey, s AS t FROM e)
-    SELECT p_partkey, (contains(s, 'K') AND regexp_matches(t, '[DE]')) OR (regexp_matches(s, '[DE]') AND contains(t, 'K')) AS can_pair FROM e JOIN o USING (p_partkey)""")
+    SELECT p_partkey, (contains(s, 'N') AND regexp_matches(t, '[DH]')) OR (regexp_matches(s, '[DH]') AND contains(t, 'N')) AS can_pair FROM e JOIN o USING (p_partkey)""")
 def asymmetric_pairs(spark, sf_dir):
-    linker = X.Crosslinker("edc", -18.01, X.Side({"K": 0.0}), X.Side({"D": 0.0, "E": 0.0}), "asymmetric")
+    linker = X.Crosslinker("edc", -18.01, X.Side({"N": 0.0}), X.Side({"D": 0.0, "H": 0.0}), "asymmetric")
     seqs = _sequences(spark, sf_dir).select("p_partkey", "residues")
     other = seqs.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("residues").alias("other"))
     return seqs.join(other, "p_partkey").select("p_partkey", linker.can_pair(F.col("residues"), F.col("other")).alias("can_pair"))
@@ -361,3 +361,42 @@ def terminal_link_sites(spark, sf_dir):
     r = F.col("residues")
     sites = _sequences(spark, sf_dir).select("p_partkey", "residues", F.explode(linker.sites_of(r, linker.first, F.lit(True), F.lit(True))).alias("site"))
     return sites.select("p_partkey", F.col("site").cast("long").alias("site"), linker.first.weight(F.get(r, F.col("site"))).alias("weight"))
+
+
+# More fragments and sequences
+
+
+@query(f"""WITH {_SEQ}, i AS (SELECT p_partkey, seq, unnest(range(1, length(seq))) AS n FROM q), w AS (SELECT *, {_MASS.format('left(seq, n::INT)')} AS l FROM i)
+    SELECT p_partkey, n, '' AS loss_name, round(l, 6) AS neutral_mass FROM w UNION ALL SELECT p_partkey, n, '_COx1', round(l - {I.CARBON + I.OXYGEN}, 6) FROM w
+    UNION ALL SELECT p_partkey, n, '_H2Ogainx1', round(l + {M.WATER}, 6) FROM w UNION ALL SELECT p_partkey, n, '_COx1_H2Ogainx1', round(l - {I.CARBON + I.OXYGEN} + {M.WATER}, 6) FROM w""")
+def b_ion_changes(spark, sf_dir):
+    seqs = _sequences(spark, sf_dir)
+    out = I.with_losses(I.ions(seqs, ["p_partkey"], "residues", "b"), seqs, ["p_partkey"], [I.A_ION_LOSS, I.B_WATER_GAIN], "residues")
+    return out.select("p_partkey", F.col("n").cast("long").alias("n"), "loss_name", F.round("neutral_mass", 6).alias("neutral_mass"))
+
+
+@query(f"""WITH {_SEQ}, i AS (SELECT p_partkey, seq, unnest(range(1, length(seq))) AS n FROM q WHERE length(seq) > 6), w AS (SELECT *, {_MASS.format('left(seq, n::INT)')} AS l FROM i)
+    SELECT p_partkey, n, n > 4 AS has_loop, round(l + CASE WHEN n > 4 THEN 138.068 ELSE 0 END, 6) AS neutral_mass FROM w WHERE n <= 1 OR n > 4""")
+def loop_linked_ions(spark, sf_dir):
+    out = I.loop_linked_ions(I.ions(_sequences(spark, sf_dir).where("size(residues) > 6"), ["p_partkey"], "residues", "b"), F.lit(1), F.lit(4), 138.068)
+    return out.select("p_partkey", F.col("n").cast("long").alias("n"), "has_loop", F.round("neutral_mass", 6).alias("neutral_mass"))
+
+
+@query(f"""WITH {_SEQ}, i AS (SELECT p_partkey, seq, unnest(range(1, length(seq))) AS n FROM q), w AS (SELECT p_partkey, n, {_MASS.format('right(seq, n::INT)')} AS r FROM i WHERE contains(right(seq, n::INT), 'S'))
+    SELECT p_partkey, n, round(r + {M.WATER} + 156.079, 6) AS neutral_mass FROM w""")
+def linker_modified_ions(spark, sf_dir):
+    seqs = _sequences(spark, sf_dir)
+    y = I.ions(seqs, ["p_partkey"], "residues", "y").join(seqs.select("p_partkey", "residues"), "p_partkey")
+    sites = F.filter(F.sequence(F.lit(0), F.size("residues") - 1), lambda i: F.get("residues", i) == "S")
+    return I.linker_modified_ions(y, sites, 156.079).select("p_partkey", F.col("n").cast("long").alias("n"), F.round("neutral_mass", 6).alias("neutral_mass"))
+
+
+@query(f"""WITH {_SEQ}, c AS (SELECT p_partkey, unnest({_PIECES.format('seq')}) AS peptide FROM q) SELECT peptide, count(DISTINCT p_partkey) AS proteins FROM c GROUP BY 1""")
+def unique_peptides(spark, sf_dir):
+    out = D.pieces(_sequences(spark, sf_dir), "residues", D.TRYPSIN, 0, methionine_loss=False)
+    return D.unique_peptides(out.withColumn("peptide", F.array_join("peptide", "")), ["peptide"], "p_partkey")
+
+
+@query(f"""WITH {_SEQ}, c AS (SELECT unnest({_PIECES.format('seq')}) AS peptide FROM q) SELECT count(*) AS n, count(*) FILTER (contains(peptide, 'C')) AS n_with FROM c""")
+def cysteine_peptides(spark, sf_dir):
+    return D.containing(D.pieces(_sequences(spark, sf_dir), "residues", D.TRYPSIN, 0, methionine_loss=False), "C")

@@ -214,6 +214,31 @@ def test_title_forms(spark, tmp_path):
         assert (r.rt_start, r.rt_end) == ((rt, rt) if rt else (60.5, 61.2))
 
 
+def test_readded_and_directed_decoys(spark):
+    from peakweave.operators import decoys
+
+    kept = spark.createDataFrame([(list("AGVK"),), (list("GAVK"),), (list("VGAK"),)], "peptide array<string>")
+    gone = spark.createDataFrame([(list("GAVK"), 1), (list("TSLMK"), 2), (list("AK"), 3), (list("AAAK"), 4)], "peptide array<string>, n int")
+    got = {r.n: "".join(r.peptide) for r in digest.readded_decoys(gone, kept).collect()}
+    assert sorted(got) in ([1, 2, 4], [2, 4]) and all(p.endswith("K") for p in got.values()) and sorted(got[2]) == sorted("TSLMK")
+    assert not set(got.values()) & {"AGVK", "GAVK", "VGAK"} and len(set(got.values())) == len(got)
+    proteins = spark.createDataFrame([(i, f"p{i}", list("MAKGDEWWKLR")) for i in range(20)], "protein_id long, header string, residues array<string>")
+    weight = lambda rs: sum(M.RESIDUES[r] for r in rs)
+    near = {}
+    for mode in ("random", "random_directed"):
+        made = decoys.with_decoys(proteins, "residues", mode, ["K", "R"]).where("is_decoy").collect()
+        assert all(r.header.startswith("RAN_") and [x for x in r.residues if x in "KR"] == ["K", "K", "R"] and r.residues[0] == "M" for r in made)
+        near[mode] = sum(abs(weight(r.residues) - weight("MAKGDEWWKLR")) for r in made)
+    assert near["random_directed"] < near["random"]
+
+
+def test_sorted_by_several_keys(spark):
+    from peakweave.sources import tables
+
+    df = spark.createDataFrame([("b", "10"), ("a", "9"), ("a", "100"), ("a", None), ("b", "x")], "k string, v string")
+    assert [tuple(r) for r in tables.sorted_by(df, ["k", "-#v"]).collect()] == [("a", "100"), ("a", "9"), ("a", None), ("b", "10"), ("b", "x")]
+
+
 def test_range_joins_after_a_shuffle(spark):
     from peakweave.operators.range_join import window_join
 
