@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,19 @@ def registered() -> list[tuple[str, Callable[..., DataFrame]]]:
     return [(n, f) for n, (_, f) in sorted(_registry.items(), key=lambda x: (x[1][0], x[0]))]
 
 
+def run_registered(inputs: dict[str, object], names: list[str] | None = None) -> dict[str, DataFrame]:
+    """Tables of the registered scores (or those named), in their order; each takes of `inputs` what its parameters are called.
+
+    A score is left out when a parameter without default has no input.
+    """
+    out = {}
+    for name, f in registered():
+        parameters = signature(f).parameters
+        if (names is None or name in names) and all(p in inputs or x.default is not x.empty for p, x in parameters.items()):
+            out[name] = f(**{p: inputs[p] for p in parameters if p in inputs})
+    return out
+
+
 @register("coverage", 10)
 def fragment_coverage(matched: DataFrame, matches: DataFrame, match: str = "match_id", length: str = "length", least_losses: int = 3) -> DataFrame:
     """Counts of distinct fragmentation sites of a peptide: all, lossy, intact, conservative, primary, and the coverages n / (2 (len - 1)).

@@ -232,6 +232,16 @@ def test_readded_and_directed_decoys(spark):
     assert near["random_directed"] < near["random"]
 
 
+def test_registered_scores_run_in_order(spark):
+    from peakweave.operators import scores
+
+    matched = spark.createDataFrame([(1, "b", 1, 5, 50, 0, True, False, 0.1, 2, 3), (1, "b", 2, 6, 60, 1, False, False, 0.2, 1, 3)], "match_id long, ion_type string, n int, base_fragment long, fragment_id long, loss_count int, is_primary boolean, is_crosslinked boolean, error double, match_charge int, precursor_charge int")
+    matches = spark.createDataFrame([(1, 5)], "match_id long, length int")
+    got = scores.run_registered({"matched": matched, "matches": matches})
+    assert list(got) == ["charge", "coverage", "error", "sequence_tag"] and got["coverage"].first().matched == 2 and got["charge"].first().max_charge == 2
+    assert list(scores.run_registered({"matched": matched, "matches": matches}, ["error"])) == ["error"]
+
+
 def test_sorted_by_several_keys(spark):
     from peakweave.sources import tables
 
