@@ -15,6 +15,7 @@ from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .licenses import license_report
 from .mixing import mix, taken_words
+from .negatives import hard_negatives
 from .quality import fit, fold, scored, with_statistics
 from .scratch import folder, materialise
 from .sharding import write_shards
@@ -104,6 +105,13 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = (F.col("label").cast("decimal(20,0)") + 1) % 10
+    label = F.when(F.col("vec_id") % 7 == 0, moved.cast("long")).otherwise(F.col("label").cast("long"))
+    return hard_negatives(table, anchors=F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -115,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc_archives": op10_warc_archives,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -149,6 +158,16 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> keep THEN keep END AS refers_to
         FROM d JOIN g USING (hex)""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+            FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+        n AS (SELECT p.anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+                row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UP}', '{_LOW}')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
