@@ -19,6 +19,7 @@ from .negatives import hard_negatives
 from .quality import fit, fold, scored, with_statistics
 from .scratch import folder, materialise
 from .sharding import write_shards
+from .trie import ordered_turns, prefix_trie, with_shared_heads
 from .warc import read_archives, write_archives
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,6 +113,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table, anchors=F.col("vec_id") % 100 == 0, label=label)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*with_shared_heads(ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc_archives": op10_warc_archives,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -168,6 +174,24 @@ ORACLES: dict[str, str] = {
                 row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank
             FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op12_prefix_trie": r"""
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda y: ascii(y)::BIGINT)),
+            lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) % 4 AS h,
+            (SELECT count(*) FROM t WHERE t.c = d.c - d.c % 20) AS base_n FROM (SELECT DISTINCT c FROM t) d),
+        rebuilt AS (SELECT i.c, p AS d, r, x FROM ids i JOIN t ON t.c = i.c - i.c % 20 AND p <= h
+            UNION ALL SELECT i.c, least(h, base_n) + p - h, r, x FROM ids i JOIN t ON t.c = i.c AND p > h),
+        s AS (SELECT i.c, coalesce(list({'r': r, 'x': x} ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS turns FROM ids i LEFT JOIN rebuilt b ON b.c = i.c GROUP BY i.c),
+        e AS (SELECT c, d, d = len(turns) AS ends, md5(to_json(turns[1:d])::VARCHAR) AS k, CASE WHEN d > 0 THEN md5(to_json(turns[1:d - 1])::VARCHAR) END AS up,
+            CASE WHEN d > 0 THEN len(regexp_extract_all(turns[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM s)),
+        n AS (SELECT k, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+            sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM e GROUP BY k, d),
+        kids AS (SELECT up AS k, count(*) AS n_children FROM n GROUP BY up),
+        m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids ON kids.k = n.k),
+        below AS (SELECT e.k, sum((m.n_children = 0)::INT)::BIGINT AS n_leaves, sum(m.saved)::BIGINT AS saved_tokens FROM m JOIN e ON e.c = m.conv_id AND e.d <= m.d GROUP BY e.k)
+        SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+        FROM m JOIN below ON below.k = m.k LEFT JOIN m u ON u.k = m.up""",
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UP}', '{_LOW}')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
