@@ -19,6 +19,7 @@ from .negatives import hard_negatives
 from .quality import fit, fold, scored, with_statistics
 from .scratch import folder, materialise
 from .sharding import write_shards
+from .suffix_tree import lm_scores
 from .trie import ordered_turns, prefix_trie, with_shared_heads
 from .warc import read_archives, write_archives
 
@@ -117,6 +118,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*with_shared_heads(ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    train = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 != 1
+    return lm_scores(docs, train=train).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -130,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_archives": op10_warc_archives,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_lm_scores": op13_lm_scores,
 }
 
 ORACLES: dict[str, str] = {
