@@ -21,6 +21,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -69,7 +70,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def _tokenised(block_tokens: int) -> Callable:
-    """Blocks of texts: tokens as places in the block's word list, which is ordered by CRC-32; the empty word is the end."""
+    """Blocks of texts: their tokens, and their words in the order of CRC-32; the empty word is the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -82,13 +83,16 @@ def _tokenised(block_tokens: int) -> Callable:
             words = list(ids)
             crc = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
             order = np.argsort(crc, kind="stable")
-            place = np.empty(len(words), np.int32)
-            place[order] = np.arange(len(words), dtype=np.int32)
             lens = np.array([len(t) for t in tokens], np.int64)
-            flat = place[np.concatenate(tokens)]
+            flat = np.concatenate(tokens)
             train = np.repeat((np.array(flags) & HELD) == 0, lens)
-            state = _pack(doc=np.array(docs, np.int64), flags=np.array(flags, np.uint8), lens=lens, toks=_small(flat))
-            asked = _pack(words=b"\n".join(words[i] for i in order), crc=crc[order], n=_small(np.bincount(flat[train], minlength=len(words))))
+            learned = np.bincount(flat[train], minlength=len(words))
+            # Tokens are stored by rank of frequency, which packs well; place says where a rank's word stands in the request.
+            ranked = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            rank, place = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+            rank[ranked], place[order] = np.arange(len(words)), np.arange(len(words))
+            state = _pack(doc=np.array(docs, np.int64), flags=np.array(flags, np.uint8), lens=lens, toks=_small(rank[flat]), place=_small(place[ranked]))
+            asked = _pack(words=b"\n".join(words[i] for i in order), crc=crc[order], n=_small(learned[order]))
             return pa.RecordBatch.from_pydict({"block": [block], "tokens": [len(flat)], "words": [asked], "data": [state]}, schema=pa.schema([("block", pa.int64()), ("tokens", pa.int64()), ("words", pa.binary()), ("data", pa.binary())]))
 
         for batch in batches:
@@ -182,8 +186,20 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((mixed * _MIX) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return np.argsort(_bucket(keys, buckets), kind="stable")
+
+
+class _Grams(NamedTuple):
+    at: np.ndarray  #: positions that have a context
+    keys: np.ndarray  #: distinct n-grams: context and symbol
+    inverse: np.ndarray  #: n-gram of each of the positions
+    contexts: np.ndarray  #: distinct contexts
+    owner: np.ndarray  #: context of each n-gram
+
+
 class _Block:
-    """A block's state of a round, with what its positions know by now."""
+    """A block's state of a round, with what its positions know by now. What is found per n-gram or context is stored so, in their order."""
 
     def __init__(self, frame: pd.DataFrame, weight: float, divergence: float, buckets: int) -> None:
         self.block = int(frame["block"].iloc[0])
@@ -191,6 +207,7 @@ class _Block:
         self.state = _unpack(frame["data"].iloc[0])
         self.answers = [_unpack(d) for d in frame["data"].iloc[1:]]
         self.weight, self.divergence, self.buckets = weight, divergence, buckets
+        self.known: dict[int, _Grams] = {}
 
     def answer(self, name: str) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.int64), *[a[name] for a in self.answers]])
@@ -205,83 +222,85 @@ class _Block:
     def symbols(self) -> np.ndarray:
         return self.state["number"][self.state["sym"]].astype(np.int64)
 
-    def contexts(self, level: int) -> np.ndarray:
-        """Number of the context of `level` words before each position, -1 where none is known."""
-        if level > 1:
-            return self.state[f"ctx{level}"].astype(np.int64)
-        before = np.roll(self.symbols(), 1)
-        return np.where(self.within() & (before > 0), before, -1)
+    def grams(self, level: int) -> "_Grams":
+        """The n-grams of `level` words and a symbol."""
+        if level not in self.known:
+            if level == 1:
+                before = np.roll(self.symbols(), 1)
+                ctx = np.where(self.within() & (before > 0), before, -1)
+            else:
+                below = self.grams(level - 1)
+                longer = np.full(len(self.state["sym"]), -1, np.int64)
+                longer[below.at] = np.where(self.symbols()[below.at] > 0, self.state[f"number{level - 1}"][below.inverse], -1)
+                ctx = np.where(self.within(), np.roll(longer, 1), -1)
+            at = np.flatnonzero(ctx >= 0)
+            keys, inverse = np.unique((ctx[at] << 32) | self.symbols()[at], return_inverse=True)
+            new = np.r_[True, np.diff(keys >> 32) > 0][: len(keys)]
+            self.known[level] = _Grams(at, keys, inverse, (keys >> 32)[new], np.cumsum(new) - 1)
+        return self.known[level]
+
+    def counts(self, level: int) -> np.ndarray:
+        """How often the training texts hold each position's n-gram of `level` words and a symbol; 0 where there is none."""
+        g, out = self.grams(level), np.zeros(len(self.state["sym"]), np.int64)
+        out[g.at] = self.state[f"n{level}"][g.inverse]
+        return out
 
     def seen(self, level: int) -> np.ndarray:
         """How often the training texts hold the context of `level` words before each position."""
-        n = self.state["count"][self.state["sym"]] if level == 1 else self.state[f"n{level - 1}"]
-        return np.roll(n.astype(np.int64), 1)
+        return np.roll(self.state["count"][self.state["sym"]] if level == 1 else self.counts(level - 1), 1)
+
+    def kept(self, level: int) -> np.ndarray:
+        """Whether the context of `level` words before a position is retained."""
+        g, out = self.grams(level), np.zeros(len(self.state["sym"]), bool)
+        out[g.at] = self.state[f"kept{level}"].view(bool)[g.owner[g.inverse]]
+        return out
 
     def probability(self, levels: int) -> np.ndarray:
         """Of each position's symbol in its longest retained context of up to `levels` words."""
         p = self.state["p0"][self.state["sym"]]
         for k in range(1, levels + 1):
-            kept = self.state[f"kept{k}"].view(bool)
-            p = np.where(kept, (self.state[f"n{k}"] + self.weight * p) / (self.seen(k) + self.weight), p)
+            p = np.where(self.kept(k), (self.counts(k) + self.weight * p) / (self.seen(k) + self.weight), p)
         return p
 
-    def keyed(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions with a context, their distinct n-grams, each position's n-gram, and the n-grams' order by bucket."""
-        ctx = self.contexts(level)
-        at = np.flatnonzero(ctx >= 0)
-        keys, inverse = np.unique((ctx[at] << 32) | self.symbols()[at], return_inverse=True)
-        return at, keys, inverse, np.argsort(_bucket(keys, self.buckets), kind="stable")
-
     def train(self) -> np.ndarray:
         return np.repeat((self.state["flags"] & HELD) == 0, self.state["lens"])
 
     def take_counts(self, level: int) -> None:
-        """Totals of the n-grams asked for in the last round, and the next longer contexts."""
-        at, keys, inverse, order = self.keyed(level)
-        n, number = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        """Totals of the n-grams asked for in the last round, and the numbers of those that are contexts themselves."""
+        order = _by_bucket(self.grams(level).keys, self.buckets)
+        n, number = np.zeros(len(order), np.int64), np.full(len(order), -1, np.int64)
         n[order], number[order] = self.answer("n"), self.answer("number")
-        counts, ctx = np.zeros(len(self.state["sym"]), np.int64), np.full(len(self.state["sym"]), -1, np.int64)
-        counts[at] = n[inverse]
-        ctx[at] = np.where(self.symbols()[at] > 0, number[inverse], -1)
-        self.state[f"n{level}"] = _small(counts)
-        self.state.pop(f"ctx{level}", None)
-        self.state[f"ctx{level + 1}"] = _small(np.where(self.within(), np.roll(ctx, 1), -1))
+        self.state[f"n{level}"], self.state[f"number{level}"] = _small(n), _small(number)
 
     def take_gains(self, level: int) -> None:
         """Which contexts are retained, from the ratios handed in in the last round."""
-        ctx = self.state[f"had{level}"].astype(np.int64) if level > 1 else self.contexts(1)
-        at = np.flatnonzero(ctx >= 0)
-        names, inverse = np.unique(ctx[at], return_inverse=True)
-        order = np.argsort(_bucket(names, self.buckets), kind="stable")
-        gain = np.zeros(len(names))
+        g = self.grams(level)
+        order = _by_bucket(g.contexts, self.buckets)
+        gain, seen = np.zeros(len(order)), np.zeros(len(order), np.int64)
         gain[order] = self.answer("gain")
-        kept = np.zeros(len(ctx), bool)
-        kept[at] = gain[inverse] >= self.divergence * self.seen(level)[at]
-        self.state[f"kept{level}"] = kept.view(np.uint8)
-        self.state.pop(f"had{level}", None)
-
-    def gains(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts of the block and the summed log-likelihood ratios of their training occurrences, each left out of its count."""
-        ctx = self.state[f"had{level}"].astype(np.int64) if level > 1 else self.contexts(1)
-        at = np.flatnonzero(ctx >= 0)
-        names, inverse = np.unique(ctx[at], return_inverse=True)
-        below = self.probability(level - 1)[at]
-        own = (self.state[f"n{level}"][at] - 1 + self.weight * below) / (self.seen(level)[at] - 1 + self.weight)
-        learned = self.train()[at]
-        return names, np.bincount(inverse[learned], np.log(own[learned] / below[learned]), len(names))
+        seen[g.owner[g.inverse]] = self.seen(level)[g.at]
+        self.state[f"kept{level}"] = (gain >= self.divergence * seen).view(np.uint8)
+
+    def gains(self, level: int) -> np.ndarray:
+        """Of each context of the block, the summed log-likelihood ratios of its training occurrences, each left out of its count."""
+        g = self.grams(level)
+        below = self.probability(level - 1)[g.at]
+        own = (self.counts(level)[g.at] - 1 + self.weight * below) / (self.seen(level)[g.at] - 1 + self.weight)
+        learned = self.train()[g.at]
+        return np.bincount(g.owner[g.inverse[learned]], np.log(own[learned] / below[learned]), len(g.contexts))
 
     def requests(self, counts: int, gains: int) -> list[tuple]:
         """Rows that ask for the totals of n-grams after contexts of `counts` words and hand in ratios of contexts of `gains` words (0: none)."""
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if counts:
-            at, keys, inverse, order = self.keyed(counts)
-            n = np.bincount(inverse[self.train()[at]], minlength=len(keys))[order]
-            keys = keys[order]
+            g = self.grams(counts)
+            order = _by_bucket(g.keys, self.buckets)
+            keys, n = g.keys[order], np.bincount(g.inverse[self.train()[g.at]], minlength=len(g.keys))[order]
         names, ratio = np.zeros(0, np.int64), np.zeros(0)
         if gains:
-            names, ratio = self.gains(gains)
-            order = np.argsort(_bucket(names, self.buckets), kind="stable")
-            names, ratio = names[order], ratio[order]
+            names = self.grams(gains).contexts
+            order = _by_bucket(names, self.buckets)
+            names, ratio = names[order], self.gains(gains)[order]
         edges = np.arange(self.buckets + 1)
         cut, cut2 = np.searchsorted(_bucket(keys, self.buckets), edges).tolist(), np.searchsorted(_bucket(names, self.buckets), edges).tolist()
         return [
@@ -299,7 +318,8 @@ def _first_step(sums: tuple[int, int, int, int], weight: float, divergence: floa
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b = _Block(frame, weight, divergence, buckets)
-        c, number, toks = b.answer("n"), b.answer("number"), b.state.pop("toks")
+        place, toks = b.state.pop("place"), b.state.pop("toks")
+        c, number = b.answer("n")[place], b.answer("number")[place]
         size = n_all + 0.5 * (v_all + 1)
         starts = np.cumsum(b.state["lens"]) - b.state["lens"]
         b.state["base"] = np.add.reduceat(np.log10((c + 0.5) / size)[toks], starts)
@@ -322,10 +342,7 @@ def _step(level: int, depth: int, weight: float, divergence: float, buckets: int
         b = _Block(frame, weight, divergence, buckets)
         if level > 1:
             b.take_gains(level - 1)
-            b.state[f"had{level}"] = b.state[f"ctx{level}"]
         b.take_counts(level)
-        if level == depth:
-            b.state.pop(f"ctx{level + 1}")
         return b.rows(b.requests(level + 1 if level < depth else 0, level))
 
     return run
@@ -344,7 +361,7 @@ def _last_step(depth: int, weight: float, divergence: float, buckets: int) -> Ca
         ratio = np.log10(b.probability(depth) / s["p0"][s["sym"]])
         inside = np.zeros(len(s["sym"]), bool)
         for k in range(1, depth + 1):
-            inside |= s[f"kept{k}"].view(bool)
+            inside |= b.kept(k)
         return pd.DataFrame(
             {
                 "doc": pd.arrays.IntegerArray(s["doc"].copy(), (s["flags"] & NAMELESS) > 0), "held_out": (s["flags"] & HELD) > 0, "n_tokens": s["lens"], "n_known": s["known"],
