@@ -13,35 +13,36 @@ from pyspark.sql import functions as F
 from ..functions.tolerance import Tolerance
 
 _BIN, _LOW, _HIGH = "__bin", "__low", "__high"
-MOST_BINS = 64  #: bins that a window of a left, semi or anti join may span
 
 
 def window_join(windows: DataFrame, points: DataFrame, low: Column, high: Column, point: Column, bin_width: float, how: str = "inner", relative: bool = False) -> DataFrame:
     """Rows of windows with the rows of points where low <= point < high; how: inner, left, left_semi, left_anti.
 
-    bin_width should be about the usual window: a window spans about two bins. relative: bins are equal
-    steps of ln(x) (for positive values and windows that grow with x), else equal steps of x. Null bounds
+    bin_width should be about the usual window: a window spans about two bins, and any number is right. relative: bins are
+    equal steps of ln(x) (for positive values and windows that grow with x), else equal steps of x. Null bounds
     or points match nothing. The join key is the bin alone, so adaptive execution can split hot bins.
-    Inner joins repeat a window for the bins it spans. The others repeat each point for the bins from which
-    a window may reach it, so a window stays one row and the join itself decides what becomes of it.
+    Whether a window meets a point depends on its bounds alone: semi and anti joins look up the distinct bounds
+    that meet one, a left join is the inner one and the rows that the anti join leaves.
     """
     bin_of = (lambda c: F.floor(F.ln(c) / F.lit(bin_width))) if relative else (lambda c: F.floor(c / F.lit(bin_width)))
-    right = points.withColumn("__point", point.cast("double"))
-    right = right.withColumn("__rbin", bin_of(F.col("__point")))
+    right = points.withColumn("__point", point.cast("double")).withColumn("__rbin", bin_of(F.col("__point")))
     left = windows.withColumn(_LOW, low.cast("double")).withColumn(_HIGH, high.cast("double"))
     first = bin_of(F.greatest(F.col(_LOW), F.lit(1e-300)) if relative else F.col(_LOW))
-    last = bin_of(F.col(_HIGH))
     inside = (F.col(_BIN) == F.col("__rbin")) & (F.col("__point") >= F.col(_LOW)) & (F.col("__point") < F.col(_HIGH))
+    open_ = (F.col(_HIGH) > (F.lit(0.0) if relative else F.col(_LOW))) & (F.col(_HIGH) > F.col(_LOW))
+
+    def binned(rows: DataFrame) -> DataFrame:
+        return rows.where(open_).withColumn(_BIN, F.explode(F.sequence(first, bin_of(F.col(_HIGH)))))
+
     if how == "inner":
-        high_ok = F.col(_HIGH) > (F.lit(0.0) if relative else F.col(_LOW))
-        left = left.where(high_ok & (F.col(_HIGH) > F.col(_LOW))).withColumn(_BIN, F.explode(F.sequence(first, last)))
-    else:
-        span = max(0, left.where(F.col(_HIGH) > F.col(_LOW)).agg(F.max(last - first)).first()[0] or 0)
-        if span > MOST_BINS:
-            raise ValueError(f"a window spans {span} bins; take wider bins")
-        left = left.withColumn(_BIN, first)
-        right = right.where("__rbin is not null").withColumn("__rbin", F.explode(F.sequence(F.col("__rbin") - span, F.col("__rbin"))))
-    return left.join(right, inside, how).drop(_BIN, _LOW, _HIGH, "__point", "__rbin")
+        return binned(left).join(right, inside).drop(_BIN, _LOW, _HIGH, "__point", "__rbin")
+    met = binned(left.select(_LOW, _HIGH).distinct()).join(right.select("__point", "__rbin"), inside, "left_semi").select(_LOW, _HIGH).distinct()
+    if how in ("left_semi", "left_anti"):
+        return left.join(met, [_LOW, _HIGH], how).select(*[F.col(f"`{c}`") for c in windows.columns])
+    if how != "left":
+        raise ValueError(f"unknown join {how}")
+    none = left.join(met, [_LOW, _HIGH], "left_anti").select(*[F.col(f"`{c}`") for c in windows.columns], *[F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema])
+    return binned(left).join(right, inside).drop(_BIN, _LOW, _HIGH, "__point", "__rbin").union(none)
 
 
 def tolerance_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, tolerance: Tolerance, how: str = "inner", reference: Column | None = None) -> DataFrame:
@@ -59,14 +60,16 @@ def tolerance_join(left: DataFrame, right: DataFrame, left_on: str, right_on: st
 
 
 def nearest_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, key: list[str], tolerance: Tolerance, right_columns: list[str]) -> DataFrame:
-    """For each (key, left_on) of left the nearest row of right inside the window, ties to the smaller right_on; rows without one are left out.
+    """key, left_on and right_columns of the nearest row of right inside the window of each row of left; rows without one are left out.
 
-    One aggregation: the candidates are never sorted as a whole.
+    Ties go to the smaller right_on, then to the smallest right_columns. Equal values are looked up once and every row of left
+    keeps its own result, so repeated keys lose nothing. One aggregation: the candidates are never sorted as a whole.
     """
-    pairs = tolerance_join(left, right, left_on, right_on, tolerance)
-    order = F.struct(F.abs(F.col(right_on) - F.col(left_on)).alias("d"), F.col(right_on).alias("v"))
-    best = F.min_by(F.struct(*[F.col(c) for c in right_columns]), order).alias("best")
-    return pairs.groupBy(*key, left_on).agg(best).select(*key, left_on, "best.*")
+    values = left.select(F.col(left_on).alias("__v")).distinct()
+    pairs = tolerance_join(values, right, "__v", right_on, tolerance)
+    found = F.struct(*[F.col(c) for c in right_columns])
+    best = pairs.groupBy("__v").agg(F.min(F.struct(F.abs(F.col(right_on) - F.col("__v")).alias("d"), F.col(right_on).alias("v"), found.alias("f"))).alias("__best"))
+    return left.select(*key, left_on).join(best, F.col(left_on) == F.col("__v")).select(*key, left_on, "__best.f.*")
 
 
 def distance_lookup(left: DataFrame, right: DataFrame, left_on: str, right_on: str, key: list[str], tolerance: Tolerance) -> DataFrame:

@@ -57,12 +57,12 @@ def cleaned_matches(spark, sf_dir):
     return K.clean_matches(held, "match_id").select("match_id", F.col("line").alias("peak_id"))
 
 
-@query("""WITH c AS (SELECT l_suppkey AS spectrum, l_partkey % 5 AS id, l_quantity::BIGINT % 12 AS peak FROM lineitem WHERE l_orderkey < 60), d AS (SELECT DISTINCT * FROM c), z AS (SELECT spectrum, id, count(*) AS n FROM d GROUP BY 1, 2),
+@query("""WITH c AS (SELECT l_orderkey AS spectrum, l_partkey % 3 AS id, l_quantity::BIGINT % 4 AS peak FROM lineitem), d AS (SELECT DISTINCT * FROM c), z AS (SELECT spectrum, id, count(*) AS n FROM d GROUP BY 1, 2),
     s AS (SELECT a.spectrum, a.id, b.id AS other, count(*) AS n FROM d a JOIN d b ON a.spectrum = b.spectrum AND a.peak = b.peak AND a.id <> b.id GROUP BY 1, 2, 3),
     gone AS (SELECT DISTINCT s.spectrum, s.id FROM s JOIN z x ON x.spectrum = s.spectrum AND x.id = s.id JOIN z y ON y.spectrum = s.spectrum AND y.id = s.other WHERE s.n = x.n AND (x.n < y.n OR (x.n = y.n AND s.id > s.other)))
     SELECT spectrum, id AS cluster_id, peak FROM c ANTI JOIN gone USING (spectrum, id)""")
 def without_redundant_clusters(spark, sf_dir):
-    c = _t(spark, sf_dir, "lineitem").where("l_orderkey < 60").select(F.col("l_suppkey").alias("spectrum"), (F.col("l_partkey") % 5).alias("cluster_id"), (F.col("l_quantity").cast("long") % 12).alias("peak"))
+    c = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("spectrum"), (F.col("l_partkey") % 3).alias("cluster_id"), (F.col("l_quantity").cast("long") % 4).alias("peak"))
     return K.redundant_clusters(c, ["spectrum"]).select("spectrum", "cluster_id", "peak")
 
 

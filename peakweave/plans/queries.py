@@ -91,13 +91,13 @@ def range_left_join(spark, sf_dir):
     return J.tolerance_join(_peaks(spark, sf_dir), _masses(spark, sf_dir), "mz", "mass", Tolerance(20.0), "left").select("l_orderkey", "l_linenumber", "o_orderkey")
 
 
-@query(f"""WITH {_PEAKS}, {_MASSES}, c AS (SELECT l_orderkey, l_linenumber, mass, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, mz ORDER BY abs(mass - mz), mass) AS r FROM p JOIN m ON {_window(100.0)})
+@query(f"""WITH {_PEAKS}, {_MASSES}, k AS (SELECT *, row_number() OVER () AS row FROM p), c AS (SELECT l_orderkey, l_linenumber, mass, row_number() OVER (PARTITION BY row ORDER BY abs(mass - mz), mass) AS r FROM k AS p JOIN m ON {_window(100.0)})
     SELECT l_orderkey, l_linenumber, mass FROM c WHERE r = 1""")
 def nearest_within_tolerance(spark, sf_dir):
     return J.nearest_join(_peaks(spark, sf_dir), _masses(spark, sf_dir), "mz", "mass", ["l_orderkey", "l_linenumber"], Tolerance(100.0), ["mass"]).select("l_orderkey", "l_linenumber", "mass")
 
 
-@query(f"""WITH {_PEAKS}, {_MASSES}, c AS (SELECT l_orderkey, l_linenumber, mass - mz AS distance, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, mz ORDER BY abs(mass - mz), mass) AS r FROM p JOIN m ON {_window(100.0)})
+@query(f"""WITH {_PEAKS}, {_MASSES}, k AS (SELECT *, row_number() OVER () AS row FROM p), c AS (SELECT l_orderkey, l_linenumber, mass - mz AS distance, row_number() OVER (PARTITION BY row ORDER BY abs(mass - mz), mass) AS r FROM k AS p JOIN m ON {_window(100.0)})
     SELECT l_orderkey, l_linenumber, round(distance, 4) AS distance FROM c WHERE r = 1""")
 def distance_lookup(spark, sf_dir):
     return J.distance_lookup(_peaks(spark, sf_dir), _masses(spark, sf_dir), "mz", "mass", ["l_orderkey", "l_linenumber"], Tolerance(50.0)).select("l_orderkey", "l_linenumber", F.round("distance", 4).alias("distance"))
@@ -436,10 +436,10 @@ def weighted_normalise(spark, sf_dir):
     return Q.normalised_score(Q.to_long(rows, "match_id", ["l_quantity", "l_discount", "l_tax"]), parameters).withColumn("match_score", F.round("match_score", 6))
 
 
-@query("""WITH s AS (SELECT DISTINCT l_suppkey AS match_id, l_returnflag AS ion_type, l_quantity::BIGINT AS n FROM lineitem WHERE l_discount > 0.07), g AS (SELECT *, n - row_number() OVER (PARTITION BY match_id, ion_type ORDER BY n) AS run FROM s),
+@query("""WITH s AS (SELECT DISTINCT l_suppkey AS match_id, l_returnflag AS ion_type, l_quantity::BIGINT AS n FROM lineitem), g AS (SELECT *, n - row_number() OVER (PARTITION BY match_id, ion_type ORDER BY n) AS run FROM s),
     k AS (SELECT match_id, ion_type, run, count(*) AS k FROM g GROUP BY 1, 2, 3) SELECT match_id, sum(CASE WHEN k >= 3 THEN k ELSE 0 END)::BIGINT AS tagged, round(sum(CASE WHEN k >= 3 THEN k ELSE 0 END) / sum(k), 9) AS tag_share FROM k GROUP BY 1""")
 def sequence_tag(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").where("l_discount > 0.07").select(F.col("l_suppkey").alias("match_id"), F.col("l_returnflag").alias("ion_type"), F.col("l_quantity").cast("long").alias("n"))
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("match_id"), F.col("l_returnflag").alias("ion_type"), F.col("l_quantity").cast("long").alias("n"))
     return Q.sequence_tag(rows).withColumn("tag_share", F.round("tag_share", 9))
 
 

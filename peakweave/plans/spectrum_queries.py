@@ -175,7 +175,7 @@ def table_lookup(spark, sf_dir):
 
 
 @query(f"""WITH {_PEAKS}, t AS (SELECT DISTINCT p_retailprice * 30 AS target FROM part),
-    c AS (SELECT l_orderkey, l_linenumber, target, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY abs(target - mz), target) AS k FROM p JOIN t ON target >= mz - mz * 0.000001 * 100 AND target < mz + mz * 0.000001 * 100)
+    r AS (SELECT *, row_number() OVER () AS row FROM p), c AS (SELECT l_orderkey, l_linenumber, target, row_number() OVER (PARTITION BY row ORDER BY abs(target - mz), target) AS k FROM r AS p JOIN t ON target >= mz - mz * 0.000001 * 100 AND target < mz + mz * 0.000001 * 100)
     SELECT l_orderkey, l_linenumber, target FROM c WHERE k = 1""")
 def exclusive_lookup(spark, sf_dir):
     targets = _t(spark, sf_dir, "part").select((F.col("p_retailprice") * 30).alias("target")).distinct()

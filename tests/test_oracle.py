@@ -5,16 +5,16 @@ import pytest
 
 from peakweave.plans.queries import QUERIES
 
-SF = "/root/testdata/sf0.001"
+SIZES = ("sf0.001", "sf0.01")  # keys that are unique in the small tables repeat in the larger ones
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
 
-@pytest.fixture(scope="module")
-def duck():
-    con = duckdb.connect()
+@pytest.fixture(scope="module", params=SIZES)
+def tables(request):
+    con, path = duckdb.connect(), f"/root/testdata/{request.param}"
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return con
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
+    return path, con
 
 
 def rows(found):
@@ -22,8 +22,9 @@ def rows(found):
 
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
-def test_query(spark, duck, name):
-    df = QUERIES[name].run(spark, SF)
+def test_query(spark, tables, name):
+    path, duck = tables
+    df = QUERIES[name].run(spark, path)
     columns = sorted(df.columns)
     want = duck.sql(QUERIES[name].sql)
     assert sorted(want.columns) == columns
