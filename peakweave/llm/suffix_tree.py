@@ -201,11 +201,8 @@ class _Grams(NamedTuple):
 class _Block:
     """A block's state of a round, with what its positions know by now. What is found per n-gram or context is stored so, in their order."""
 
-    def __init__(self, frame: pd.DataFrame, weight: float, divergence: float, buckets: int) -> None:
-        self.block = int(frame["block"].iloc[0])
-        frame = frame.sort_values("bucket")
-        self.state = _unpack(frame["data"].iloc[0])
-        self.answers = [_unpack(d) for d in frame["data"].iloc[1:]]
+    def __init__(self, block: int, state: bytes, answers: list[bytes], weight: float, divergence: float, buckets: int) -> None:
+        self.block, self.state, self.answers = block, _unpack(state), [_unpack(d) for d in answers]
         self.weight, self.divergence, self.buckets = weight, divergence, buckets
         self.known: dict[int, _Grams] = {}
 
@@ -309,15 +306,34 @@ class _Block:
             if cut[b] < cut[b + 1] or cut2[b] < cut2[b + 1]
         ]
 
-    def rows(self, requests: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(self.block, -1, _pack(**self.state)), *requests], columns=["block", "bucket", "data"])
+    def stored(self) -> pd.DataFrame:
+        return pd.DataFrame([(self.block, -1, _pack(**self.state))], columns=["block", "bucket", "data"])
 
 
-def _first_step(sums: tuple[int, int, int, int], weight: float, divergence: float, buckets: int, depth: int) -> Callable:
+def _met(frame: pd.DataFrame, *options) -> _Block:
+    """A block's state with the answers of all buckets, in their order."""
+    frame = frame.sort_values("bucket")
+    data = frame["data"].to_list()
+    return _Block(int(frame["block"].iloc[0]), data[0], data[1:], *options)
+
+
+def _asked(level: int, depth: int, *options) -> Callable:
+    """Requests of blocks that know n-grams of up to `level` words: totals of longer n-grams, and ratios of contexts of `level` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch["block"].to_pylist(), batch["data"], strict=True):
+                rows = _Block(block, data.as_py(), [], *options).requests(level + 1 if level < depth else 0, level)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+
+    return run
+
+
+def _first_step(sums: tuple[int, int, int, int], *options) -> Callable:
     n_all, v_all, n_rare, v_rare = sums
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        b = _Block(frame, weight, divergence, buckets)
+        b = _met(frame, *options)
         place, toks = b.state.pop("place"), b.state.pop("toks")
         c, number = b.answer("n")[place], b.answer("number")[place]
         size = n_all + 0.5 * (v_all + 1)
@@ -330,20 +346,20 @@ def _first_step(sums: tuple[int, int, int, int], weight: float, divergence: floa
         place[often] = np.arange(1, len(often) + 1)
         b.state |= {"sym": _small(place[toks]), "number": np.concatenate([[0], number[often]]), "count": np.concatenate([[0], c[often]])}
         b.state["p0"] = np.concatenate([[(n_rare + 0.5 * v_rare + 0.5) / size], (c[often] + 0.5) / size])
-        return b.rows(b.requests(1, 0) if depth else [])
+        return b.stored()
 
     return run
 
 
-def _step(level: int, depth: int, weight: float, divergence: float, buckets: int) -> Callable:
-    """After the answers on n-grams of level + 1 words: hand in ratios of contexts of `level` words and ask for longer n-grams."""
+def _step(level: int, *options) -> Callable:
+    """Takes the answers on n-grams of `level` words and on the contexts one shorter."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        b = _Block(frame, weight, divergence, buckets)
+        b = _met(frame, *options)
         if level > 1:
             b.take_gains(level - 1)
         b.take_counts(level)
-        return b.rows(b.requests(level + 1 if level < depth else 0, level))
+        return b.stored()
 
     return run
 
@@ -351,9 +367,9 @@ def _step(level: int, depth: int, weight: float, divergence: float, buckets: int
 _SCORES = "doc bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, in_context bigint"
 
 
-def _last_step(depth: int, weight: float, divergence: float, buckets: int) -> Callable:
+def _last_step(depth: int, *options) -> Callable:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        b = _Block(frame, weight, divergence, buckets)
+        b = _met(frame, *options)
         if depth:
             b.take_gains(depth)
         s = b.state
@@ -408,15 +424,15 @@ def lm_scores(
     asked = blocks.select("block", "words").mapInArrow(_word_requests(buckets), _ROWS)
     answers = materialise(asked.groupBy("bucket").applyInPandas(_merge_words(buckets, frequent), _ROWS), "lm-answers")
     sums = np.sum([_unpack(bytes(r["data"]))["sums"] for r in answers.where("block < 0").select("data").toLocalIterator()], axis=0).tolist()  # a row for each bucket
-    state = blocks.select("block", F.lit(-1).alias("bucket"), "data")
-    held = [blocks]
-    steps = [_first_step(tuple(sums), weight, divergence, buckets, depth), *[_step(k, depth, weight, divergence, buckets) for k in range(1, depth + 1)]]
-    for k, step in enumerate(steps):
-        both = state.unionByName(answers.where("block >= 0"))
-        done = materialise(both.groupBy("block").applyInPandas(step, _ROWS), f"lm-step{k}")
-        discard(*held, answers)
-        state, held = done.where("bucket < 0"), [done]
-        answers = materialise(done.where("bucket >= 0").groupBy("bucket").applyInPandas(_merge_counts(buckets, least), _ROWS), "lm-answers")
-    scored = materialise(state.unionByName(answers).groupBy("block").applyInPandas(_last_step(depth, weight, divergence, buckets), _SCORES), "lm-scores")
-    discard(*held, answers)
+    options = (weight, divergence, buckets)
+    state, held = blocks.select("block", F.lit(-1).alias("bucket"), "data"), blocks
+    for level, step in enumerate([_first_step(tuple(sums), *options), *[_step(k, *options) for k in range(1, depth + 1)]]):
+        done = materialise(state.unionByName(answers.where("block >= 0")).groupBy("block").applyInPandas(step, _ROWS), f"lm-step{level}")
+        discard(held, answers)
+        state = held = done
+        # Requests are made from the stored state where they are sent, and are not stored themselves.
+        asked = done.select("block", "data").mapInArrow(_asked(level, depth, *options), _ROWS)
+        answers = materialise(asked.groupBy("bucket").applyInPandas(_merge_counts(buckets, least), _ROWS), "lm-answers")
+    scored = materialise(state.unionByName(answers).groupBy("block").applyInPandas(_last_step(depth, *options), _SCORES), "lm-scores")
+    discard(held, answers)
     return scored.select(F.col("doc").alias("id"), "held_out", "n_tokens", "n_known", F.lit(int(sums[0])).cast("long").alias("train_tokens"), "base_score", "score", "in_context")
