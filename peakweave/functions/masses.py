@@ -46,13 +46,14 @@ def residue_map(extra: dict[str, float] | None = None) -> Column:
 
 
 def tokens(sequence: Column) -> Column:
-    """Residues of a sequence: an upper-case letter with the lower-case or bracketed modification after it."""
-    return F.regexp_extract_all(sequence, F.lit(r"([A-Z](?:[a-z0-9_]+|\[[^\]]*\])*)"), F.lit(1))
+    """Residues of a sequence: an upper-case letter with the lower-case or bracketed modification, or the (a|b) alternatives, after it."""
+    return F.regexp_extract_all(sequence, F.lit(r"([A-Z](?:[a-z0-9_]+|\[[^\]]*\]|\([^A-Z()]*\))*)"), F.lit(1))
 
 
 def residue_mass(residue: Column, extra: dict[str, float] | None = None) -> Column:
-    """Mass of one residue token; unknown residues are infinite."""
-    return F.coalesce(F.element_at(residue_map(extra), residue), F.lit(float("inf")))
+    """Mass of one residue token; X[12.3] weighs 12.3 more than X, and unknown residues are infinite."""
+    custom = F.element_at(residue_map(extra), F.substring(residue, 1, 1)) + F.regexp_extract(residue, r"\[([^\]]+)\]$", 1).try_cast("double")
+    return F.coalesce(F.element_at(residue_map(extra), residue), custom, F.lit(float("inf")))
 
 
 def peptide_mass(residues: Column, extra: dict[str, float] | None = None) -> Column:
@@ -78,7 +79,7 @@ def formula_mass(formula: Column) -> Column:
 
 
 def prefix_sums(values: Column) -> Column:
-    """Running sums of an array of doubles."""
+    """Running sums of an array of doubles, added from the left; a fold that copies, for arrays as short as peptides."""
     zero = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
     return F.aggregate(values, zero, lambda acc, v: F.struct((acc["s"] + v).alias("s"), F.array_append(acc["out"], acc["s"] + v).alias("out")), lambda acc: acc["out"])
 

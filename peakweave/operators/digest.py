@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import bound
 from ..functions.masses import WATER, residue_mass
 
 
@@ -231,6 +232,53 @@ def variable(peptides: DataFrame, mods: list[Modification], most_mods: int = 3,
     return peptides.drop("mods").mapInPandas(run, schema)
 
 
-def expected_modifications(residues: Column) -> Column:
-    """Alternatives of each residue written as X(a|b): an array of arrays of tokens; other residues have one."""
-    return F.transform(residues, lambda r: F.when(r.rlike(r"^[A-Z]\(.*\)$"), F.transform(F.split(F.regexp_extract(r, r"\((.*)\)", 1), r"\|"), lambda m: F.concat(F.substring(r, 1, 1), m))).otherwise(F.array(r)))
+def base_residues(residues: Column) -> Column:
+    """Residue tokens without the alternatives that X(a|b) lists."""
+    return F.transform(residues, lambda r: F.regexp_replace(r, r"\([^)]*\)$", ""))
+
+
+def embedded_sites(residues: Column, known: list[str] | None = None) -> Column:
+    """Residues written as X(a|b) with their alternatives: an array of (at, options), at from 0.
+
+    An option is the token Xa, or X[12.3] for a mass of one's own, written [12.3] or name=[12.3]; X(a|) also lists the bare X. Tokens
+    that are neither in `known` (if given) nor masses are left out.
+    """
+    def options(r: Column) -> Column:
+        listed = F.split(F.regexp_extract(r, r"\(([^)]*)\)$", 1), r"\|")
+        tokens_ = F.transform(listed, lambda m: F.concat(F.substring(r, 1, 1), F.trim(m)))
+        return F.filter(tokens_, lambda t: t.isin(*known) | (F.length(t) == 1) | t.rlike(r"\[[-+]?[0-9.]+\]$")) if known is not None else tokens_
+
+    every = F.transform(residues, lambda r, i: F.struct(i.alias("at"), F.when(r.rlike(r"^[A-Z]\([^)]+\)$"), options(r)).otherwise(F.array().cast("array<string>")).alias("options")))
+    return F.filter(every, lambda s: F.size(s["options"]) > 0)
+
+
+def embedded_forms(peptides: DataFrame, sites: str = "embedded", most_mods: int = 3, most_forms: int = 20) -> DataFrame:
+    """peptides and their forms by the sites of the protein that lie in them: `peptide` replaced and `changes` (their number) added; sites is dropped.
+
+    Forms come by how many sites they change, up to most_mods. A number of changes is taken whole, and no larger one once
+    most_forms are reached, so what is made of a peptide is bounded by its sites and that limit.
+    """
+    form = "array<struct<at:int,token:string>>"
+    none = F.array().cast(f"array<{form}>")
+
+    def longer(shorter: Column, own: Column) -> Column:
+        def extended(f: Column) -> Column:
+            last = F.coalesce(F.get(F.transform(f, lambda c: c["at"]), F.size(f) - 1), F.lit(-1))
+            later = F.filter(own, lambda s: s["at"] > last)
+            return F.flatten(F.transform(later, lambda s: F.transform(s["options"], lambda o: F.concat(f, F.array(F.struct(s["at"].alias("at"), o.alias("token")))))))
+
+        return F.flatten(F.transform(shorter, extended))
+
+    def level(own: Column, done: Column, last: Column, k: int) -> Column:
+        if k > most_mods:
+            return done
+        grown = F.when(F.size(done) < most_forms, longer(last, own)).otherwise(none)
+        return bound(grown, lambda new: level(own, F.concat(done, new), new, k + 1))
+
+    inside = F.filter(F.col(sites), lambda s: (s["at"] >= F.col("start")) & (s["at"] < F.col("stop")))
+    own = F.transform(inside, lambda s: F.struct((s["at"] - F.col("start")).alias("at"), s["options"].alias("options")))
+    empty = F.array(F.array().cast(form))
+    forms = F.when(F.size(own) > 0, bound(own, lambda o: F.concat(empty, bound(longer(empty, o), lambda first: level(o, first, first, 2))))).otherwise(empty)
+    out = peptides.withColumn("__form", F.explode(forms))
+    changed = F.transform("peptide", lambda r, i: F.coalesce(F.get(F.transform(F.filter("__form", lambda c: c["at"] == i), lambda c: c["token"]), F.lit(0)), r))
+    return out.withColumns({"peptide": changed, "changes": F.size("__form")}).drop("__form", sites)

@@ -13,6 +13,7 @@ from inspect import signature
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
 from ..functions.tolerance import Tolerance
 
 NAN = float("nan")
@@ -206,6 +207,42 @@ def decision_tree(node: dict | bool) -> Column:
     return F.when(test, decision_tree(node["yes"])).otherwise(decision_tree(node["no"]))
 
 
+def tree_outputs(scores: DataFrame, trees: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """scores with `trees`: a map from the name of each tree to what it says of the row.
+
+    trees: a row per node: tree, node (from 0, the root), score, at_most, yes, no (nodes), says (boolean, of leaves). A score that is
+    at most at_most goes to yes; larger, NaN and null ones go to no. All nodes are one array, which goes to every task once (trees are a
+    model, of bounded size), and a row walks it from each root, so many or deep trees don't become nested conditions.
+    A tree that says null, or that names a node it lacks, says null. names: the score columns, if not all that the trees name.
+    """
+    names = names or [r[0] for r in trees.where("score is not null").select("score").distinct().orderBy("score").collect()]
+    missing = set(names) - set(scores.columns)
+    if missing:
+        raise ValueError(f"no column for scores {sorted(missing)} of the trees")
+    listed = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    node = F.struct("tree", "node", F.array_position(listed, F.col("score")).cast("int").alias("score"), F.col("at_most").cast("double").alias("at_most"), F.col("yes").cast("int").alias("yes"), F.col("no").cast("int").alias("no"), F.col("says").cast("boolean").alias("says"))
+    model = trees.groupBy("tree").agg(F.sort_array(F.collect_list(node)).alias("nodes")).agg(F.sort_array(F.collect_list(F.struct("tree", "nodes"))).alias("__model"))
+    values = F.array(*[F.col(f"`{n}`").cast("double") for n in names]).cast("array<double>")
+
+    def says(nodes: Column, v: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            n = F.get(nodes, at)
+            x = F.get(v, n["score"] - 1)
+            low = F.coalesce(~F.isnan(x) & (x <= n["at_most"]), F.lit(False))
+            return F.when(n.isNull() | n["score"].isNull(), at).when(low, F.coalesce(n["yes"], F.lit(-1))).otherwise(F.coalesce(n["no"], F.lit(-1)))
+
+        return F.get(nodes, F.aggregate(nodes, F.lit(0), step))["says"]
+
+    walked = bound(values, lambda v: F.map_from_entries(F.transform("__model", lambda t: F.struct(t["tree"], says(t["nodes"], v)))))
+    return scores.join(F.broadcast(model), how="left").withColumn("trees", F.coalesce(walked, F.create_map().cast("map<string,boolean>"))).drop("__model")
+
+
+def tree_votes(outputs: DataFrame, most_against: int = 3) -> DataFrame:
+    """Rows of tree_outputs with auto_validation: 1 when at most most_against trees don't say true."""
+    against = F.size(F.filter(F.map_values("trees"), lambda t: ~F.coalesce(t, F.lit(False))))
+    return outputs.withColumn("auto_validation", (against <= most_against).cast("int"))
+
+
 def table_probability(df: DataFrame, table: DataFrame, on: list[str], match: str = "match_id", probability: str = "probability") -> DataFrame:
     """-ln of the product of probabilities looked up by key columns (intensity group, residue pair)."""
     return df.join(table, on).groupBy(match).agg(F.sum(-F.ln(probability)).alias("table_score"))

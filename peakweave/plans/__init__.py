@@ -1,3 +1,3 @@
 """Search configurations, searches and registered queries."""
 
-from . import match_queries, queries, search_queries, spectrum_queries  # noqa: F401
+from . import feature_queries, match_queries, queries, search_queries, spectrum_queries  # noqa: F401
