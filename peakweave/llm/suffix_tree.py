@@ -33,6 +33,7 @@ from .scratch import discard, materialise
 
 BLOCK_TOKENS = 1 << 20
 BUCKET_BYTES = 32 << 20  #: of requests that meet in one task
+UNIT = 1 << 16  #: sums of log-likelihood ratios are whole multiples of 1 / UNIT in a block
 HELD, NAMELESS = 1, 2  #: flags of a text: not learned from; without id
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = "block bigint, bucket int, data binary"
@@ -64,6 +65,17 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.int8 if top < 128 else np.int16 if top < 1 << 15 else np.int32 if top < 1 << 31 else np.int64)
 
 
+def _ranks(a: np.ndarray) -> dict[str, np.ndarray]:
+    """Ranks of frequency in two streams: a byte for the first 255, and the others."""
+    return {"low": np.minimum(a, 255).astype(np.uint8), "high": _small(a[a >= 255])}
+
+
+def _unranked(state: dict) -> np.ndarray:
+    out = state.pop("low").astype(np.int64)
+    out[out == 255] = state.pop("high")
+    return out
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Runs of bytes other than space, tab, line feed, vertical tab, form feed and return, A-Z in lower case."""
     return text.lower().split()
@@ -91,7 +103,7 @@ def _tokenised(block_tokens: int) -> Callable:
             ranked = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
             rank, place = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
             rank[ranked], place[order] = np.arange(len(words)), np.arange(len(words))
-            state = _pack(doc=np.array(docs, np.int64), flags=np.array(flags, np.uint8), lens=lens, toks=_small(rank[flat]), place=_small(place[ranked]))
+            state = _pack(doc=np.array(docs, np.int64), flags=np.array(flags, np.uint8), lens=lens, **_ranks(rank[flat]), place=_small(place[ranked]))
             asked = _pack(words=b"\n".join(words[i] for i in order), crc=crc[order], n=_small(learned[order]))
             return pa.RecordBatch.from_pydict({"block": [block], "tokens": [len(flat)], "words": [asked], "data": [state]}, schema=pa.schema([("block", pa.int64()), ("tokens", pa.int64()), ("words", pa.binary()), ("data", pa.binary())]))
 
@@ -129,9 +141,11 @@ def _word_requests(buckets: int) -> Callable:
     return run
 
 
-def _numbered(qualified: np.ndarray, bucket: int, buckets: int, none: int, first: int) -> np.ndarray:
-    """A number of its own for each qualified entry, different in all buckets; `none` for the others."""
-    numbers = np.where(qualified, (np.cumsum(qualified) - 1) * buckets + bucket + first, none)
+def _numbered(counts: np.ndarray, least: int, bucket: int, buckets: int, none: int, first: int) -> np.ndarray:
+    """A number of its own for each entry with a count of `least`, different in all buckets and small for large counts; `none` for the others."""
+    numbers = np.full(len(counts), none, np.int64)
+    often = np.flatnonzero(counts >= least)
+    numbers[often[np.argsort(-counts[often], kind="stable")]] = np.arange(len(often)) * buckets + bucket + first
     if numbers.max(initial=0) >= 1 << 31:
         raise OverflowError("2^31 words or contexts: raise frequent or least")
     return numbers
@@ -146,7 +160,7 @@ def _merge_words(buckets: int, frequent: int) -> Callable:
             for word, n in zip(asked["words"].split(b"\n"), asked["n"].tolist(), strict=True):
                 total[word] = total.get(word, 0) + n
         counts = np.fromiter(total.values(), np.int64, len(total))
-        number = dict(zip(total, _numbered(counts >= frequent, bucket, buckets, 0, 1).tolist(), strict=True))
+        number = dict(zip(total, _numbered(counts, frequent, bucket, buckets, 0, 1).tolist(), strict=True))
         rare = counts[(counts > 0) & (counts < frequent)]
         out = [(-1, bucket, _pack(sums=np.array([counts.sum(), (counts > 0).sum(), rare.sum(), len(rare)], np.int64)))]
         for block, data in zip(frame["block"], frame["data"], strict=True):
@@ -158,23 +172,23 @@ def _merge_words(buckets: int, frequent: int) -> Callable:
     return run
 
 
-def _merge_counts(buckets: int, least: int) -> Callable:
-    """Sums the counts of n-grams and the ratios of contexts that blocks ask for, and answers in their order."""
+def _merge_counts(buckets: int, least: int, divergence: float) -> Callable:
+    """Sums what blocks ask for, the counts of n-grams and the ratios of contexts, and answers in their order: counts, numbers, and which contexts are kept."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         bucket = int(frame["bucket"].iloc[0])
-        frame = frame.sort_values("block")
         asked = [_unpack(d) for d in frame["data"]]
         keys, inverse = np.unique(np.concatenate([np.cumsum(a["step"]) for a in asked]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([a["n"] for a in asked]), len(keys)).astype(np.int64)
-        number = _numbered(counts >= least, bucket, buckets, -1, 0)
-        contexts, which = np.unique(np.concatenate([a["ctx"] for a in asked]), return_inverse=True)
-        gains = np.bincount(which, np.concatenate([a["gain"] for a in asked]), len(contexts))
+        number = _numbered(counts, least, bucket, buckets, -1, 0)
+        contexts, which = np.unique(np.concatenate([np.cumsum(a["context"]) for a in asked]), return_inverse=True)
+        gain, seen = (np.bincount(which, np.concatenate([a[k] for a in asked]), len(contexts)) for k in ("gain", "seen"))
+        kept = (gain / UNIT >= divergence * seen).astype(np.uint8)
         out, i, j = [], 0, 0
         for block, a in zip(frame["block"], asked, strict=True):
-            own, ctx = inverse[i : i + len(a["step"])], which[j : j + len(a["ctx"])]
+            own, ctx = inverse[i : i + len(a["step"])], which[j : j + len(a["context"])]
             i, j = i + len(own), j + len(ctx)
-            out.append((block, bucket, _pack(n=_small(counts[own]), number=_small(number[own]), gain=gains[ctx])))
+            out.append((block, bucket, _pack(n=_small(counts[own]), number=_small(number[own]), kept=kept[ctx])))
         return pd.DataFrame(out, columns=["block", "bucket", "data"])
 
     return run
@@ -201,9 +215,10 @@ class _Grams(NamedTuple):
 class _Block:
     """A block's state of a round, with what its positions know by now. What is found per n-gram or context is stored so, in their order."""
 
-    def __init__(self, block: int, state: bytes, answers: list[bytes], weight: float, divergence: float, buckets: int) -> None:
+    def __init__(self, block: int, state: bytes, answers: list[bytes], weight: float, buckets: int) -> None:
         self.block, self.state, self.answers = block, _unpack(state), [_unpack(d) for d in answers]
-        self.weight, self.divergence, self.buckets = weight, divergence, buckets
+        self.state["sym"] = _unranked(self.state)
+        self.weight, self.buckets = weight, buckets
         self.known: dict[int, _Grams] = {}
 
     def answer(self, name: str) -> np.ndarray:
@@ -216,6 +231,13 @@ class _Block:
         inner[:1] = False
         return inner
 
+    def alone(self) -> np.ndarray:
+        """Probability of each position's symbol without a context."""
+        rare, size = self.state["rest"]
+        p = (self.state["count"] + 0.5) / size
+        p[0] = rare
+        return p[self.state["sym"]]
+
     def symbols(self) -> np.ndarray:
         return self.state["number"][self.state["sym"]].astype(np.int64)
 
@@ -254,7 +276,7 @@ class _Block:
 
     def probability(self, levels: int) -> np.ndarray:
         """Of each position's symbol in its longest retained context of up to `levels` words."""
-        p = self.state["p0"][self.state["sym"]]
+        p = self.alone()
         for k in range(1, levels + 1):
             p = np.where(self.kept(k), (self.counts(k) + self.weight * p) / (self.seen(k) + self.weight), p)
         return p
@@ -269,22 +291,25 @@ class _Block:
         n[order], number[order] = self.answer("n"), self.answer("number")
         self.state[f"n{level}"], self.state[f"number{level}"] = _small(n), _small(number)
 
-    def take_gains(self, level: int) -> None:
-        """Which contexts are retained, from the ratios handed in in the last round."""
-        g = self.grams(level)
-        order = _by_bucket(g.contexts, self.buckets)
-        gain, seen = np.zeros(len(order)), np.zeros(len(order), np.int64)
-        gain[order] = self.answer("gain")
-        seen[g.owner[g.inverse]] = self.seen(level)[g.at]
-        self.state[f"kept{level}"] = (gain >= self.divergence * seen).view(np.uint8)
-
-    def gains(self, level: int) -> np.ndarray:
-        """Of each context of the block, the summed log-likelihood ratios of its training occurrences, each left out of its count."""
+    def take_kept(self, level: int) -> None:
+        """Which contexts are retained, by the ratios handed in in the last round."""
+        order = _by_bucket(self.grams(level).contexts, self.buckets)
+        kept = np.zeros(len(order), np.uint8)
+        kept[order] = self.answer("kept")
+        self.state[f"kept{level}"] = kept
+
+    def gains(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each context of the block, the summed log-likelihood ratios of its training occurrences, each left out of its count, and their number.
+
+        Ratios are whole multiples of 1 / UNIT, so their sums don't depend on the order of blocks.
+        """
         g = self.grams(level)
         below = self.probability(level - 1)[g.at]
         own = (self.counts(level)[g.at] - 1 + self.weight * below) / (self.seen(level)[g.at] - 1 + self.weight)
         learned = self.train()[g.at]
-        return np.bincount(g.owner[g.inverse[learned]], np.log(own[learned] / below[learned]), len(g.contexts))
+        owner = g.owner[g.inverse[learned]]
+        ratio = np.bincount(owner, np.log(own[learned] / below[learned]), len(g.contexts))
+        return np.round(ratio * UNIT).astype(np.int64), np.bincount(owner, minlength=len(g.contexts))
 
     def requests(self, counts: int, gains: int) -> list[tuple]:
         """Rows that ask for the totals of n-grams after contexts of `counts` words and hand in ratios of contexts of `gains` words (0: none)."""
@@ -293,21 +318,23 @@ class _Block:
             g = self.grams(counts)
             order = _by_bucket(g.keys, self.buckets)
             keys, n = g.keys[order], np.bincount(g.inverse[self.train()[g.at]], minlength=len(g.keys))[order]
-        names, ratio = np.zeros(0, np.int64), np.zeros(0)
+        names = ratio = seen = np.zeros(0, np.int64)
         if gains:
             names = self.grams(gains).contexts
             order = _by_bucket(names, self.buckets)
-            names, ratio = names[order], self.gains(gains)[order]
+            names, (ratio, seen) = names[order], (x[order] for x in self.gains(gains))
         edges = np.arange(self.buckets + 1)
         cut, cut2 = np.searchsorted(_bucket(keys, self.buckets), edges).tolist(), np.searchsorted(_bucket(names, self.buckets), edges).tolist()
-        return [
-            (self.block, b, _pack(step=np.diff(keys[cut[b] : cut[b + 1]], prepend=0), n=_small(n[cut[b] : cut[b + 1]]), ctx=_small(names[cut2[b] : cut2[b + 1]]), gain=ratio[cut2[b] : cut2[b + 1]]))
-            for b in range(self.buckets)
-            if cut[b] < cut[b + 1] or cut2[b] < cut2[b + 1]
-        ]
+        out = []
+        for b in range(self.buckets):
+            k, c = slice(cut[b], cut[b + 1]), slice(cut2[b], cut2[b + 1])
+            if k.start < k.stop or c.start < c.stop:
+                out.append((self.block, b, _pack(step=np.diff(keys[k], prepend=0), n=_small(n[k]), context=np.diff(names[c], prepend=0), gain=ratio[c], seen=_small(seen[c]))))
+        return out
 
     def stored(self) -> pd.DataFrame:
-        return pd.DataFrame([(self.block, -1, _pack(**self.state))], columns=["block", "bucket", "data"])
+        kept = {k: v for k, v in self.state.items() if k != "sym"} | _ranks(self.state["sym"])
+        return pd.DataFrame([(self.block, -1, _pack(**kept))], columns=["block", "bucket", "data"])
 
 
 def _met(frame: pd.DataFrame, *options) -> _Block:
@@ -334,7 +361,7 @@ def _first_step(sums: tuple[int, int, int, int], *options) -> Callable:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b = _met(frame, *options)
-        place, toks = b.state.pop("place"), b.state.pop("toks")
+        place, toks = b.state.pop("place"), b.state.pop("sym")
         c, number = b.answer("n")[place], b.answer("number")[place]
         size = n_all + 0.5 * (v_all + 1)
         starts = np.cumsum(b.state["lens"]) - b.state["lens"]
@@ -344,8 +371,8 @@ def _first_step(sums: tuple[int, int, int, int], *options) -> Callable:
         often = np.flatnonzero(number > 0)
         place = np.zeros(len(c), np.int64)
         place[often] = np.arange(1, len(often) + 1)
-        b.state |= {"sym": _small(place[toks]), "number": np.concatenate([[0], number[often]]), "count": np.concatenate([[0], c[often]])}
-        b.state["p0"] = np.concatenate([[(n_rare + 0.5 * v_rare + 0.5) / size], (c[often] + 0.5) / size])
+        b.state |= {"sym": place[toks], "number": _small(np.concatenate([[0], number[often]])), "count": _small(np.concatenate([[0], c[often]]))}
+        b.state["rest"] = np.array([(n_rare + 0.5 * v_rare + 0.5) / size, size])
         return b.stored()
 
     return run
@@ -357,7 +384,7 @@ def _step(level: int, *options) -> Callable:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b = _met(frame, *options)
         if level > 1:
-            b.take_gains(level - 1)
+            b.take_kept(level - 1)
         b.take_counts(level)
         return b.stored()
 
@@ -371,10 +398,10 @@ def _last_step(depth: int, *options) -> Callable:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b = _met(frame, *options)
         if depth:
-            b.take_gains(depth)
+            b.take_kept(depth)
         s = b.state
         starts = np.cumsum(s["lens"]) - s["lens"]
-        ratio = np.log10(b.probability(depth) / s["p0"][s["sym"]])
+        ratio = np.log10(b.probability(depth) / b.alone())
         inside = np.zeros(len(s["sym"]), bool)
         for k in range(1, depth + 1):
             inside |= b.kept(k)
@@ -424,7 +451,7 @@ def lm_scores(
     asked = blocks.select("block", "words").mapInArrow(_word_requests(buckets), _ROWS)
     answers = materialise(asked.groupBy("bucket").applyInPandas(_merge_words(buckets, frequent), _ROWS), "lm-answers")
     sums = np.sum([_unpack(bytes(r["data"]))["sums"] for r in answers.where("block < 0").select("data").toLocalIterator()], axis=0).tolist()  # a row for each bucket
-    options = (weight, divergence, buckets)
+    options = (weight, buckets)
     state, held = blocks.select("block", F.lit(-1).alias("bucket"), "data"), blocks
     for level, step in enumerate([_first_step(tuple(sums), *options), *[_step(k, *options) for k in range(1, depth + 1)]]):
         done = materialise(state.unionByName(answers.where("block >= 0")).groupBy("block").applyInPandas(step, _ROWS), f"lm-step{level}")
@@ -432,7 +459,7 @@ def lm_scores(
         state = held = done
         # Requests are made from the stored state where they are sent, and are not stored themselves.
         asked = done.select("block", "data").mapInArrow(_asked(level, depth, *options), _ROWS)
-        answers = materialise(asked.groupBy("bucket").applyInPandas(_merge_counts(buckets, least), _ROWS), "lm-answers")
+        answers = materialise(asked.groupBy("bucket").applyInPandas(_merge_counts(buckets, least, divergence), _ROWS), "lm-answers")
     scored = materialise(state.unionByName(answers).groupBy("block").applyInPandas(_last_step(depth, *options), _SCORES), "lm-scores")
     discard(held, answers)
     return scored.select(F.col("doc").alias("id"), "held_out", "n_tokens", "n_known", F.lit(int(sums[0])).cast("long").alias("train_tokens"), "base_score", "score", "in_context")
