@@ -1,8 +1,8 @@
 """Exact deduplication as a streaming aggregation whose keyed state lives on disk and never expires.
 
 The stream keeps one state row per digest: the stable identifier and locator of the row that stays,
-and how many rows had the digest. State is held by RocksDB and checkpointed to the shared folder, so a
-query that is cut off goes on where it stopped. A hit (a second row with a digest) is not trusted:
+and how many rows had the digest. State is held by RocksDB and checkpointed to the shared folder; with a
+`state_home` a query that is cut off goes on where it stopped. A hit (a second row with a digest) is not trusted:
 the bytes of both rows are compared, and digests that cover different texts are regrouped by text.
 Only built-in functions run on the executors.
 """
@@ -38,8 +38,9 @@ def sha256(text: Column) -> Column:
 
 def _located(df: DataFrame, text: str, ident: str, digest: Callable[[Column], Column]) -> DataFrame:
     """id, digest and locator of each row; the locator (file, row) tells equal identifiers apart."""
-    at = F.struct(F.col(ident).alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return df.select(digest(normal(F.col(text))).alias("digest"), at.alias("at"), F.col(text).alias("text"))
+    file = df.metadataColumn("_metadata")  # not a column of that name that the table may have
+    at = F.struct(F.col(f"`{ident}`").alias("id"), file["file_path"].alias("file"), file["row_index"].alias("row"))
+    return df.select(digest(normal(F.col(f"`{text}`"))).alias("digest"), at.alias("at"), F.col(f"`{text}`").alias("text"))
 
 
 def _source_folder(docs: DataFrame) -> str | None:
@@ -98,6 +99,7 @@ def exact_dedup(
     ident: str = "doc_id",
     digest: Callable[[Column], Column] = sha256,
     max_bytes_per_trigger: int = 64 << 30,
+    state_home: str | None = None,
 ) -> DataFrame:
     """One row per row of source: id, digest, keep_id, group_size, kept, and the row's locator at.
 
@@ -106,16 +108,19 @@ def exact_dedup(
     with the largest identifier stays; null identifiers rank lowest, and of repeated identifiers the
     largest locator stays, so exactly one row of a group is kept. Very long texts are only hashed and
     compared. An empty table gives no rows. Other columns of source are ignored, whatever their names.
+    state_home: a folder of the caller's that keeps the stream's state. A run that is cut off and called again with it goes on
+    where it stopped, and files that come to source later are added to the state, and only they are hashed. Without it the
+    state is the application's own and ends with it.
     """
     path = source if isinstance(source, str) else _source_folder(source)
     if path is None:
         path = folder(spark, "dedup-input")
-        source.select(ident, text).write.parquet(path)
+        source.select(F.col(f"`{ident}`"), F.col(f"`{text}`")).write.parquet(path)
     scan = _located(spark.read.parquet(path), text, ident, digest)
     if spark.read.parquet(path).isEmpty():
         at = scan.schema["at"].dataType.simpleString()
         return spark.createDataFrame([], f"id {scan.select('at.id').schema[0].dataType.simpleString()}, digest string, keep_id {scan.select('at.id').schema[0].dataType.simpleString()}, group_size long, kept boolean, at {at}")
-    keys, state = keyed_state(spark, path, text, ident, digest, max_bytes_per_trigger)
+    keys, state = keyed_state(spark, path, text, ident, digest, max_bytes_per_trigger, state_home)
     state = materialise(state, "dedup-keys")
 
     # Full bytes of the hits only: rows of digests that were seen more than once. A digest of very many
@@ -149,5 +154,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, *, text: str = "text", ide
     gone = exact_dedup(spark, path, text=text, ident=ident).where("not kept").select(F.col("at.file").alias("file"), F.col("at.row").alias("row"))
     gone = broadcast_if_small(materialise(gone, "dedup-gone"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    full = spark.read.parquet(path).select(F.struct(*columns).alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    table = spark.read.parquet(path)
+    file = table.metadataColumn("_metadata")
+    full = table.select(F.struct(*columns).alias("doc"), file["file_path"].alias("file"), file["row_index"].alias("row"))
     return full.join(gone, ["file", "row"], "left_anti").select("doc.*")

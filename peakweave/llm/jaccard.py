@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import broadcast_if_small, discard, materialise, worker_table
+from .scratch import broadcast_if_small, discard, materialise, own_name, worker_table
 
 WORDS = 5
 SHARE = (4, 5)  #: least Jaccard similarity as a fraction
@@ -464,6 +464,6 @@ def drop_near_copies(docs: DataFrame, *, text: str = "text", ident: str = "doc_i
     texts stay, an empty table gives no rows. Only identifiers are shuffled unless very many rows go.
     """
     found = jaccard_components(docs, text=text, ident=ident).where("id is not null")
-    gone = found.groupBy("id").agg(F.max((F.col("id") == F.col("component")).cast("int")).alias("named")).where("named = 0").select(F.col("id").alias("__gone"))
+    gone = found.groupBy("id").agg(F.max((F.col("id") == F.col("component")).cast("int")).alias("named")).where("named = 0").select(F.col("id").alias(mark := own_name(docs, "__gone")))
     gone = broadcast_if_small(materialise(gone, "jaccard-gone"))
-    return docs.join(gone, F.col(f"`{ident}`").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col(f"`{ident}`").cast("long") == F.col(mark), "left_anti")

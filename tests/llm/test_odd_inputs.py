@@ -375,3 +375,31 @@ def test_exact_dedup_of_a_salted_digest(spark, monkeypatch):
     docs = frame(spark, [(i, "same" if i % 3 else f"own {i}", "a") for i in range(60)] + [(100, "SAME", "a")])
     got = {r.id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark, docs).collect()}
     assert got == {i: (100, 41) if i % 3 or i == 100 else (i, 1) for i in [*range(60), 100]}
+
+
+def test_clashing_and_dotted_names(spark, tmp_path):
+    rows = [(1, "A b c d e f", "m", "x", "g"), (2, "a b C d e f", "n", "y", "h"), (3, "other words stand in this text", None, None, "i"), (4, None, "", "", "")]
+    table = spark.createDataFrame(rows, "`doc.id` long, `the.text` string, _metadata string, at string, __gone string")
+    for source in (table, exact_dedup.materialise(table, "odd-names")):
+        got = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, source, ident="doc.id", text="the.text").collect()}
+        assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True), 4: (4, 1, True)}
+        kept = exact_dedup.drop_copies(spark, source, ident="doc.id", text="the.text")
+        assert kept.columns == table.columns and sorted(map(tuple, kept.collect())) == rows[1:]
+        near = jaccard.drop_near_copies(source, ident="doc.id", text="the.text")
+        assert near.columns == table.columns and sorted(map(tuple, near.collect())) == [rows[0], *rows[2:]]
+    docs = table.toDF("doc_id", "text", "_metadata", "at", "__gone")
+    assert corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.drop_exact_copies(spark, docs, SF), SF).count() == 3
+
+
+def test_exact_dedup_goes_on_with_its_state(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["", "x" * 3_000_000, *[f"text {k}" for k in range(30)]]
+    rows, home, path = [], str(tmp_path / "home"), str(tmp_path / "docs")
+    for part in range(3):
+        more = [(100 * part + k, rng.choice(texts)) for k in range(40)]
+        rows += more
+        spark.createDataFrame(more, "doc_id long, text string").repartition(2).write.mode("append").parquet(path)
+        if part in (0, 2):  # files that came in between are added; one file a batch
+            got = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, path, state_home=home, max_bytes_per_trigger=1).collect()}
+            groups = {t: [i for i, x in rows if x == t] for t in texts}
+            assert got == {i: (max(groups[x]), len(groups[x]), i == max(groups[x])) for i, x in rows}
