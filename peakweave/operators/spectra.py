@@ -238,6 +238,50 @@ def detect_precursors(clusters: DataFrame, spectra: DataFrame, spectrum: str, pr
     return near.groupBy(spectrum).agg(F.sort_array(F.collect_set(F.col(precursor_mz) + steps)).alias("mz_candidates"), F.sort_array(F.collect_set("charge")).alias("charge_candidates"))
 
 
+# Expected height of isotope peak k of a peptide, max(0, a * mass + b); the last pair holds for all later peaks.
+AVERAGINE_A = (-0.02576, 0.049889, 0.029321, 0.020406, 0.012126, 0.013333, 0.006667, 0.003333, 0.001667)
+AVERAGINE_B = (136.0, 0.0, -2.93, -2.04, -12.0, -26.0, -39.0, -58.0, -87.0)
+
+
+def averagine_height(mass: Column, k: Column) -> Column:
+    """Expected relative height of the k-th isotope peak (from 0) at this mass, by the linear model."""
+    at = F.least(k, F.lit(len(AVERAGINE_A) - 1)).cast("int")
+    table = lambda values: F.get(F.array(*[F.lit(v) for v in values]), at)
+    return F.greatest(mass * table(AVERAGINE_A) + table(AVERAGINE_B), F.lit(0.0))
+
+
+def longest_precursor(clusters: DataFrame, peaks: DataFrame, spectra: DataFrame, spectrum: str, precursor_mz: str, charge: str, tolerance: Tolerance, other_charges: bool = False, artefacts: int = 1, ratio: float = 3.0) -> DataFrame:
+    """Candidate precursors from the longest series that holds the precursor's peak: key, mz_candidates, charge_candidates.
+
+    The series has the precursor's charge (with other_charges: at most that); of equal ones that with the lowest m/z, then the
+    highest charge counts. It moves the precursor by whole C13 steps to where the series starts. Up to `artefacts` of its first
+    peaks may be artefacts: where the next peak is more than `ratio` times what the linear averagine model expects after
+    peak p, and at least three peaks follow, the precursor is also tried from peak p + 1's predecessor on. Spectra
+    without a peak at the precursor, or without such a series, give no row.
+    """
+    window = lambda x: (x >= tolerance.lower(F.col(precursor_mz))) & (x < tolerance.upper(F.col(precursor_mz)))
+    known = peaks.join(spectra.select(spectrum, precursor_mz, charge), spectrum).where(window(F.col("mz")))
+    known = known.groupBy(spectrum).agg(F.min_by("mz", F.struct(F.abs(F.col("mz") - F.col(precursor_mz)), "mz")).alias("__peak"), F.first(precursor_mz).alias("__pmz"), F.first(charge).alias("__pz"))
+    series = clusters.groupBy(spectrum, "cluster_id", F.col("charge").alias("__z")).agg(F.sort_array(F.collect_list(F.struct("place", "mz", "intensity"))).alias("__s"))
+    fits = (F.col("__z") <= F.col("__pz")) if other_charges else F.col("__z") == F.col("__pz")
+    held = series.join(known, spectrum).where(fits & F.exists("__s", lambda p: p["mz"] == F.col("__peak")))
+    start = F.col("__s")[0]["mz"]
+    best = held.groupBy(spectrum).agg(F.min_by(F.struct("__s", "__z", "__pmz", "__pz"), F.struct((-F.size("__s")).alias("n"), start.alias("m"), (-F.col("__z")).alias("z"))).alias("b")).select(spectrum, "b.*")
+    step = F.lit(C13_DIFF) / F.col("__z")
+    best = best.withColumn("__k", F.round((start - F.col("__pmz")) / step))
+    shift = lambda k: F.col("__pmz") + k * step
+
+    def artefact(p: Column) -> Column:
+        here, after = F.get("__s", p)["intensity"], F.get("__s", p + 1)["intensity"]
+        expected = here / averagine_height(start, p) * averagine_height(start, p + 1)
+        return (F.size("__s") > p + 3) & (p != -F.col("__k")) & F.coalesce(expected < after / ratio, F.lit(False)) & (F.col("__k") + p != 0)
+
+    extra = F.transform(F.filter(F.sequence(F.lit(0), F.lit(max(artefacts - 1, 0))), artefact), lambda p: shift(F.col("__k") + p)) if artefacts > 0 else F.array().cast("array<double>")
+    moved = F.when(F.col("__k") != 0, F.array(shift(F.col("__k")))).otherwise(F.array().cast("array<double>"))
+    charges = F.when(F.col("__z") != F.col("__pz"), F.array("__z")).otherwise(F.array().cast("array<int>"))
+    return best.select(spectrum, F.sort_array(F.array_distinct(F.concat(moved, extra))).alias("mz_candidates"), charges.alias("charge_candidates"))
+
+
 # Calibration: errors are measured - expected; each returns rows with a corrected m/z.
 
 
