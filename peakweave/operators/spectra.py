@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,23 +61,50 @@ def isotope_clusters(peaks: DataFrame, spectrum: list[str], most_charge: Column
     series extended downwards is another one; deisotoped() then chooses. Otherwise only the longest series of
     a start (of equals the lowest charge) counts, and only its extended form. split_factor: with 5 peaks or
     more, a series is cut where intensities differ from the averagine expectation by that factor. The scan is
-    order dependent, so a spectrum is one group.
+    order dependent; many spectra are scanned per batch.
     """
-    schema = ", ".join(f"{c} {peaks.schema[c].dataType.simpleString()}" for c in spectrum) + ", cluster_id int, charge int, peak int, place int, mz double, intensity double"
-    held = peaks.withColumn("__z", F.lit(most_charge) if isinstance(most_charge, int) else most_charge).select(*spectrum, F.col(mz).alias("mz"), F.col(intensity).alias("intensity"), "__z")
+    schema = ", ".join(f"`{c}` {peaks.schema[c].dataType.simpleString()}" for c in spectrum) + ", cluster_id int, charge int, peak int, place int, mz double, intensity double"
+    held = peaks.withColumn("__z", F.lit(most_charge) if isinstance(most_charge, int) else most_charge).select(*spectrum, F.col(mz).cast("double").alias("mz"), F.col(intensity).cast("double").alias("intensity"), "__z")
+
+    def scan(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        x, y, top = frame["mz"].to_numpy(float), frame["intensity"].to_numpy(float), frame["__z"].fillna(1).to_numpy(int)
+        rows: list[tuple[int, int, int, int]] = []
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            for number, (z, part) in enumerate(_series(x[at:end], y[at:end], int(top[at]) or 1, tolerance, most_ratio, split_factor, every)):
+                rows += [(at + j, number, z, p) for p, j in enumerate(part)]
+        row, number, z, place = np.array(rows, np.int64).reshape(-1, 4).T
+        first = np.array(cuts)[np.searchsorted(cuts, row, "right") - 1] if len(row) else row
+        out = frame[spectrum].iloc[row].reset_index(drop=True)
+        return out.assign(cluster_id=number, charge=z, peak=row - first, place=place, mz=x[row], intensity=y[row])
+
+    return _by_spectrum(held, spectrum, "mz", scan, schema)
+
 
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("mz", kind="stable")
-        x, y = frame["mz"].to_numpy(float), frame["intensity"].to_numpy(float)
-        rows = []
-        for number, (z, part) in enumerate(_series(x, y, int(frame["__z"].iloc[0] or 1), tolerance, most_ratio, split_factor, every)):
-            rows += [(number, z, j, p, x[j], y[j]) for p, j in enumerate(part)]
-        out = pd.DataFrame(rows, columns=["cluster_id", "charge", "peak", "place", "mz", "intensity"])
-        for c in spectrum:
-            out[c] = frame[c].iloc[0]
-        return out[[*spectrum, "cluster_id", "charge", "peak", "place", "mz", "intensity"]]
+def _by_spectrum(peaks: DataFrame, spectrum: list[str], mz: str, scan: Callable[[pd.DataFrame, list[int]], pd.DataFrame], schema) -> DataFrame:
+    """scan(frame, cuts) over whole spectra, many in a frame: spectrum k is rows cuts[k] to cuts[k + 1], by ascending m/z.
 
-    return held.groupBy(*spectrum).applyInPandas(scan, schema)
+    A spectrum that a frame ends in waits for the next frame, so only one spectrum has to fit beside a frame.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        for frame in frames:
+            if not len(frame):
+                continue
+            frame = pd.concat([*waiting, frame], ignore_index=True) if waiting else frame
+            keys = frame[spectrum]
+            before = keys.shift()
+            new = ((keys != before) & ~(keys.isna() & before.isna())).any(axis=1).to_numpy().copy()
+            new[0] = True
+            cuts = np.flatnonzero(new).tolist()
+            if len(cuts) > 1:
+                yield scan(frame.iloc[: cuts[-1]], cuts)
+            waiting = [frame.iloc[cuts[-1] :]]
+        if waiting:
+            last = waiting[0].reset_index(drop=True)
+            yield scan(last, [0, len(last)])
+
+    return peaks.repartition(*spectrum).sortWithinPartitions(*spectrum, mz).mapInPandas(run, schema)
 
 
 def _series(x: np.ndarray, y: np.ndarray, top: int, tolerance: Tolerance, most_ratio: float, split_factor: float | None, every: bool) -> list[tuple[int, list[int]]]:
@@ -185,21 +214,25 @@ def denoised(peaks: DataFrame, spectrum: list[str], n: int, window: float, most_
 
     Peaks below least_mz or from most_mz on go first. Then a series counts as one peak at its monoisotopic m/z,
     with its summed intensity, and rows of equal m/z as one peak. In the end every series (of any charge) of
-    which a peak is left comes back whole. Deletions change later windows, so a spectrum is one group.
+    which a peak is left comes back whole. Deletions change later windows, so a spectrum is rolled as a whole.
     keep: a boolean column of peaks that centre no window and that the limits spare.
     """
     schema = peaks.schema
     held = peaks.withColumn("__z", F.lit(most_charge) if isinstance(most_charge, int) else most_charge)
 
-    def roll(frame: pd.DataFrame) -> pd.DataFrame:
-        top = int(frame["__z"].iloc[0] or 1)
-        frame = frame.drop(columns="__z").sort_values(mz, kind="stable")
-        kept = frame[keep].fillna(False).to_numpy(bool) if keep else np.zeros(len(frame), bool)
-        inside = kept | (frame[mz].to_numpy(float) >= least_mz) & (frame[mz].to_numpy(float) < most_mz)
-        frame, kept = frame[inside], kept[inside]
-        x, peak = np.unique(frame[mz].to_numpy(float), return_inverse=True)
-        y = np.bincount(peak, frame[intensity].to_numpy(float), len(x))
-        done = np.bincount(peak, kept, len(x)) > 0
+    def roll(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        top = frame["__z"].fillna(1).to_numpy(int)
+        x, y = frame[mz].to_numpy(float), frame[intensity].to_numpy(float)
+        spared = frame[keep].fillna(False).to_numpy(bool) if keep else np.zeros(len(frame), bool)
+        left = [at + _rolled(x[at:end], y[at:end], spared[at:end], int(top[at]) or 1) for at, end in zip(cuts, cuts[1:], strict=False)]
+        return frame.drop(columns="__z").iloc[np.concatenate(left)]
+
+    def _rolled(x: np.ndarray, y: np.ndarray, kept: np.ndarray, top: int) -> np.ndarray:
+        """Rows of one spectrum that stay."""
+        rows = np.flatnonzero(kept | (x >= least_mz) & (x < most_mz))
+        x, peak = np.unique(x[rows], return_inverse=True)
+        y = np.bincount(peak, y[rows], len(x))
+        done = np.bincount(peak, kept[rows], len(x)) > 0
         clusters = [part for _, part in _series(x, y, top, tolerance, most_ratio, split_factor, True)]
         there, longest = np.ones(len(x), bool), {}
         for part in clusters:
@@ -220,9 +253,9 @@ def denoised(peaks: DataFrame, spectrum: list[str], n: int, window: float, most_
         for part in clusters:
             if there[part].any():
                 back[part] = True
-        return frame[back[peak]]
+        return rows[back[peak]]
 
-    return held.groupBy(*spectrum).applyInPandas(roll, schema)
+    return _by_spectrum(held, spectrum, mz, roll, schema)
 
 
 def without_single_peaks(peaks: DataFrame, clusters: DataFrame, spectrum: list[str], mz: str = "mz") -> DataFrame:

@@ -9,10 +9,16 @@ from ..functions.tolerance import Tolerance
 from ..operators import candidates as P
 from ..operators import decoys as C
 from ..operators import digest as D
+from ..operators import fragments as I
 from ..operators import scores as Q
+from ..operators import spectra as S
 from ..operators.crosslinkers import Crosslinker, Side
+from ..sources.tables import stored
+from . import registry as G
+from .config import parse
 from .queries import _MASS, _PIECES, _SEQ, _sequences, _t, query
-from .search_queries import _PEP, _peptides
+from .search import search
+from .search_queries import _LINK, _PEP, _peptides
 
 _TRIPLE_LINK = 205.1
 
@@ -87,3 +93,82 @@ def tree_validation(spark, sf_dir):
     voted = Q.tree_votes(Q.tree_outputs(_t(spark, sf_dir, "lineitem"), trees), 12)
     true = F.size(F.filter(F.map_values("trees"), lambda t: t)).cast("long")
     return voted.select("l_orderkey", "l_linenumber", true.alias("says_true"), "auto_validation", F.size("trees").cast("long").alias("n"))
+
+
+# The default search on spectra that are made of parts, and stages that a configuration names
+
+_LINKABLE = "[KST]"
+_CONFIG = f"""
+tolerance:precursor:6ppm
+tolerance:fragment:15ppm
+crosslinker:SymetricSingleAminoAcidRestrictedCrossLinker:Name:demo;MASS:{_LINK};LINKEDAMINOACIDS:K(0),S(0.2),T(0.2)
+digestion:PostAAConstrainedDigestion:DIGESTEDAMINOACIDS:K,R;ConstrainingAminoAcids:P
+missedcleavages:0
+topmgchits:10
+topmgxhits:10
+"""
+
+
+@query(f"""WITH {_SEQ}, c AS (SELECT p_partkey, unnest({_PIECES.format('seq')}) AS pep FROM q),
+    l AS (SELECT p_partkey, pep, row_number() OVER (PARTITION BY p_partkey ORDER BY length(pep) DESC, pep) AS k FROM c WHERE length(pep) BETWEEN 6 AND 40 AND regexp_matches(left(pep, length(pep) - 1), '{_LINKABLE}')),
+    one AS (SELECT p_partkey, pep FROM l WHERE k = 1)
+    SELECT s_suppkey AS spectrum_id, least(a.pep, b.pep) AS first, greatest(a.pep, b.pep) AS second, 'demo' AS linker, 1 AS match_rank
+    FROM supplier JOIN one a ON a.p_partkey = 2 * s_suppkey - 1 JOIN one b ON b.p_partkey = 2 * s_suppkey""")
+def planted_search(spark, sf_dir):
+    """A spectrum for each supplier, of the longest linkable peptides of two parts, searched in all parts and their decoys.
+
+    The SQL says which pair was planted: the search has to rank it first in every spectrum. (Another pair whose fragments have
+    the same masses, as parts with the same words make them, may share the rank.)
+    """
+    config = parse(_CONFIG)
+    proteins = _sequences(spark, sf_dir).select(F.col("p_partkey").alias("protein_id"), F.concat(F.lit("P"), F.col("p_partkey")).alias("header"), F.concat(F.lit("P"), F.col("p_partkey")).alias("accession"), "residues")
+    pieces = D.pieces(proteins.select("protein_id", "residues"), "residues", config.protease, 0, methionine_loss=False).withColumn("text", F.array_join("peptide", ""))
+    linkable = F.regexp_instr(F.expr("left(text, length(text) - 1)"), F.lit(f"({_LINKABLE})"))
+    pieces = pieces.withColumn("site", linkable - 1).where("length(text) between 6 and 40 and site >= 0")
+    longest = pieces.groupBy("protein_id").agg(F.min_by(F.struct("peptide", "mass", "site"), F.struct(-F.length("text"), F.col("text"))).alias("p"))
+    half = lambda i: longest.where(F.col("protein_id") % 2 == i).select(F.expr(f"(protein_id + {i}) div 2").alias("spectrum_id"), F.col("p").alias(f"p{i}"))
+    pairs = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("spectrum_id")).join(half(1), "spectrum_id").join(half(0), "spectrum_id")
+    whole = F.col("p0.mass") + F.col("p1.mass") + _LINK
+    sides = pairs.select("spectrum_id", whole.alias("whole"), F.inline(F.array("p0", "p1")))
+    ions = I.ions(sides, ["spectrum_id", "whole", "mass", "site"], "peptide", "by")
+    linked = F.when((F.col("first") <= F.col("site")) & (F.col("last") >= F.col("site")), F.col("whole") - F.col("mass")).otherwise(F.lit(0.0))
+    peaks = ions.select("spectrum_id", (F.col("mz1") + linked).alias("mz"), (50.0 + F.col("n")).alias("intensity"))
+    text, none = lambda c: F.col("spectrum_id").cast("string").alias(c), lambda kind: F.array().cast(kind)
+    spectra = pairs.select("spectrum_id", F.lit("run").alias("run"), F.col("spectrum_id").cast("int").alias("scan"), text("scan_title"), text("peak_file"), F.lit(0.0).alias("rt_start"), F.lit(0.0).alias("rt_end"),
+        (whole / 4 + M.PROTON).alias("precursor_mz"), F.lit(1.0).alias("precursor_intensity"), F.lit(4).alias("precursor_charge"), none("array<int>").alias("charge_alternatives"), none("array<double>").alias("additional_mz"))
+    spectra = stored(spectra.join(S.peak_arrays(peaks, ["spectrum_id"]), "spectrum_id"), "planted-spectra")
+    ends = lambda a, b: [F.least(a, b).alias("first"), F.greatest(a, b).alias("second")]
+    wanted = pairs.select("spectrum_id", *ends(F.array_join("p0.peptide", ""), F.array_join("p1.peptide", "")))
+    found = search(spectra, proteins, config).matches.select("spectrum_id", *ends(F.col("peptide1"), F.col("peptide2")), "linker", "match_rank")
+    return found.join(wanted, ["spectrum_id", "first", "second"]).select("spectrum_id", "first", "second", "linker", "match_rank")
+
+
+def _order_spectra(spark, sf_dir):
+    """Orders as spectra, their line items as peaks."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("spectrum_id"), F.col("o_orderpriority").alias("run"), (F.col("o_custkey") % 10).cast("int").alias("scan"), F.lit(2).alias("precursor_charge"), (F.col("o_totalprice") / 2).alias("precursor_mz"))
+    peaks = S.peak_arrays(_t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("spectrum_id"), F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity")), ["spectrum_id"])
+    return orders.join(peaks, "spectrum_id")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS spectrum_id FROM orders WHERE NOT (o_orderpriority = '1-URGENT' AND o_custkey % 10 IN (1, 2)) AND o_orderpriority <> '5-LOW'),
+    b AS (SELECT l_orderkey, max(CASE WHEN l_extendedprice >= 25000 AND l_extendedprice < 35000 THEN 1 ELSE 0 END) + max(CASE WHEN l_extendedprice >= 45000 AND l_extendedprice < 55000 THEN 1 ELSE 0 END)
+        + max(CASE WHEN l_extendedprice >= 5000 AND l_extendedprice < 15000 THEN 1 ELSE 0 END) AS hits, count(*) AS n FROM lineitem GROUP BY 1) SELECT spectrum_id, n AS peaks FROM s JOIN b ON l_orderkey = spectrum_id WHERE hits >= 2""")
+def filter_chain(spark, sf_dir):
+    lines = parse("filter:ScanFilteredSpectrumAccess:1-URGENT:1,2;5-LOW:*;blacklist\nfilter:rebase\nfilter:containspeaks:peaks:30000,50000,10000;tolerance:5000 Da;match:2").filters
+    out = G.filtered(_order_spectra(spark, sf_dir), lines, Tolerance(20.0))
+    return out.select("spectrum_id", F.size("origin_peaks").cast("long").alias("peaks"))
+
+
+@query(None)
+def filter_chain_of_series(spark, sf_dir):
+    """Stages that depend on the order of peaks: brute force in the tests of denoising and of isotope series."""
+    lines = parse("filter:MS2PrecursorDetection:window:3;charge:true\nfilter:denoise:peaks:2;window:20000\nfilter:deisotope").filters
+    out = G.filtered(_order_spectra(spark, sf_dir).withColumns({"charge_alternatives": F.array().cast("array<int>"), "additional_mz": F.array().cast("array<double>")}), lines, Tolerance(5000.0))
+    return out.select("spectrum_id", F.size("peaks").alias("peaks"), F.size("additional_mz").alias("candidates"))
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, o_totalprice / 100 AS mass, unnest(range(0, 12)) AS k FROM orders)
+    SELECT o_orderkey, k::INTEGER AS k, round(greatest(0, mass * ({list(S.AVERAGINE_A)})[least(k, 8) + 1] + ({list(S.AVERAGINE_B)})[least(k, 8) + 1]), 6) AS height FROM p""")
+def averagine_heights(spark, sf_dir):
+    t = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("mass"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
+    return t.select("o_orderkey", "k", F.round(S.averagine_height(F.col("mass"), F.col("k")), 6).alias("height"))
