@@ -143,3 +143,27 @@ def residue_pair_counts(df: DataFrame, sequence: str, site: str) -> DataFrame:
     """Counts of the residues before and after a fragmentation site, with row and column totals (cube)."""
     pair = df.select(F.substring(sequence, F.col(site), 1).alias("n_side"), F.substring(sequence, F.col(site) + 1, 1).alias("c_side"))
     return pair.cube("n_side", "c_side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def matched_groups(matched: DataFrame, kinds: list[str], spectrum: str, intensity: str) -> DataFrame:
+    """Peaks, spectra and intensity by kinds of explanation (ion type, losses, crosslinked or not), with totals over each kind (cube)."""
+    return matched.cube(*kinds).agg(F.count(F.lit(1)).alias("peaks"), F.count_distinct(spectrum).alias("spectra"), F.sum(intensity).alias("intensity"))
+
+
+def residue_occurrence(peptides: DataFrame, residues: str) -> DataFrame:
+    """How often each residue stands in peptides, at their first place and at their last."""
+    each = peptides.select(F.posexplode(residues).alias("place", "residue"), F.size(residues).alias("n"))
+    return each.groupBy("residue").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("place") == 0).cast("long")).alias("n_first"), F.sum((F.col("place") == F.col("n") - 1).cast("long")).alias("n_last"))
+
+
+def terminal_distance(matched: DataFrame, first: Column, last: Column, length: Column, intensity: str) -> DataFrame:
+    """Fragmentation sites by their distance from the nearer terminus of the peptide: how many, and their mean intensity."""
+    from_start = F.when(first > 0, first).otherwise(last + 1)
+    return matched.groupBy(F.least(from_start, length - from_start).alias("distance")).agg(F.count(F.lit(1)).alias("n"), F.avg(intensity).alias("mean_intensity"))
+
+
+def top_peaks_explained(peaks: DataFrame, spectrum: list[str], intensity: str, explained: Column, most: int) -> DataFrame:
+    """Of the k-th most intense peaks of spectra (k up to most), how many there are and how many are explained."""
+    order = Window.partitionBy(*spectrum).orderBy(F.desc(intensity), *[c for c in peaks.columns if c not in (intensity, *spectrum)])
+    ranked = peaks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return ranked.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.sum(explained.cast("long")).alias("n_explained"))

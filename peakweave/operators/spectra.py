@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.masses import C13_DIFF, PROTON
+from ..functions.masses import C13_DIFF, PROTON, RESIDUES, WATER
 from ..functions.tolerance import Tolerance
 
 
@@ -344,6 +344,50 @@ def calibrate_two_groups(rows: DataFrame, run: list[str], measured: str, expecte
     return calibrate_shift(rows.withColumn("__g", F.col(measured) < split), [*run, "__g"], measured, expected, exact=exact).drop("__g")
 
 
+def known_peak_errors(peaks: DataFrame, known: DataFrame, spectrum: list[str], tolerance: Tolerance, mz: str = "mz", intensity: str = "intensity") -> DataFrame:
+    """spectrum, known_mz, error (relative), weight: of each known peak (known_mz, known_weight) the nearest one of a spectrum in its window.
+
+    The weight is the known peak's times the intensity that was found.
+    """
+    from .range_join import tolerance_join
+
+    near = tolerance_join(known.select("known_mz", "known_weight"), peaks.select(*spectrum, F.col(mz).alias("__mz"), F.col(intensity).alias("__i")), "known_mz", "__mz", tolerance)
+    best = near.groupBy(*spectrum, "known_mz", "known_weight").agg(F.min_by(F.struct("__mz", "__i"), F.struct(F.abs(F.col("__mz") - F.col("known_mz")), F.col("__mz"), F.col("__i"))).alias("p"))
+    return best.select(*spectrum, "known_mz", ((F.col("p.__mz") - F.col("known_mz")) / F.col("known_mz")).alias("error"), (F.col("known_weight") * F.col("p.__i")).alias("weight"))
+
+
+def run_corrections(errors: DataFrame, run: list[str], step: float = 1e-9) -> DataFrame:
+    """run, offset, found: the weighted median of each run's relative errors, and how many there are.
+
+    Errors are first summed up in steps of 0.001 ppm, so what is sorted per run is bounded by the tolerance's width
+    and not by the run's spectra; the smallest error in the median's step is the offset.
+    """
+    binned = errors.where("weight > 0").groupBy(*run, F.floor(F.col("error") / F.lit(step)).alias("__bin")).agg(F.sum("weight").alias("__w"), F.min("error").alias("__e"), F.count(F.lit(1)).alias("__n"))
+    upto, whole = Window.partitionBy(*run).orderBy("__bin"), Window.partitionBy(*run)
+    placed = binned.withColumns({"__upto": F.sum("__w").over(upto), "__all": F.sum("__w").over(whole), "found": F.sum("__n").over(whole)})
+    return placed.where(F.col("__upto") * 2 >= F.col("__all")).groupBy(*run).agg(F.min_by("__e", "__bin").alias("offset"), F.max("found").alias("found"))
+
+
+def corrected(rows: DataFrame, corrections: DataFrame, run: list[str], columns: list[str], least: int = 1, cutoff: float = 0.0) -> DataFrame:
+    """rows with the m/z columns freed from their run's offset, where it was found in `least` peaks and is beyond the cutoff."""
+    use = F.col("found").isNotNull() & (F.col("found") >= least) & (F.abs("offset") > cutoff)
+    out = rows.join(F.broadcast(corrections), run, "left")
+    return out.withColumns({c: F.when(use, F.col(c) / (1 + F.col("offset"))).otherwise(F.col(c)) for c in columns}).drop("offset", "found")
+
+
+def y_ions(cleaved: tuple[str, ...] = ("K", "R"), weights: dict[str, float] | None = None) -> list[tuple[float, float]]:
+    """Known peaks (m/z, weight) of tryptic spectra: y1 of weight 1, and y2 of the residues given with their shares (else none)."""
+    one = [(RESIDUES[r] + WATER + PROTON, 1.0) for r in cleaved]
+    return one + [(RESIDUES[x] + RESIDUES[r] + WATER + PROTON, w) for r in cleaved for x, w in (weights or {}).items()]
+
+
+def with_top_copies(peaks: DataFrame, spectrum: list[str], n: int, mz: str = "mz", by: float = 0.0, intensity: str = "intensity", copy: str = "is_copy") -> DataFrame:
+    """The peaks and a copy, moved by a mass, of the n most intense ones of each spectrum (ties by m/z)."""
+    order = Window.partitionBy(*spectrum).orderBy(F.desc(intensity), mz)
+    top = peaks.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).drop("__r")
+    return peaks.withColumn(copy, F.lit(False)).unionByName(shifted(top, mz, by).withColumn(copy, F.lit(True)))
+
+
 def peak_arrays(peaks: DataFrame, spectrum: list[str], mz: str = "mz", intensity: str = "intensity") -> DataFrame:
     """Peaks as one sorted array per spectrum."""
     return peaks.groupBy(*spectrum).agg(F.sort_array(F.collect_list(F.struct(F.col(mz).alias("mz"), F.col(intensity).alias("intensity")))).alias("peaks"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import isotopes as Z
 from ..functions import masses as M
 from ..functions.tolerance import Tolerance
+from ..operators import aggregates as A
 from ..operators import candidates as P
 from ..operators import decoys as C
 from ..operators import digest as D
@@ -14,6 +16,7 @@ from ..operators import scores as Q
 from ..operators import spectra as S
 from ..operators.crosslinkers import Crosslinker, Side
 from ..sources.tables import stored
+from . import open_search as O
 from . import registry as G
 from .config import parse
 from .queries import _MASS, _PIECES, _SEQ, _sequences, _t, query
@@ -140,7 +143,7 @@ def planted_search(spark, sf_dir):
     ends = lambda a, b: [F.least(a, b).alias("first"), F.greatest(a, b).alias("second")]
     wanted = pairs.select("spectrum_id", *ends(F.array_join("p0.peptide", ""), F.array_join("p1.peptide", "")))
     found = search(spectra, proteins, config).matches.select("spectrum_id", *ends(F.col("peptide1"), F.col("peptide2")), "linker", "match_rank")
-    return found.join(wanted, ["spectrum_id", "first", "second"]).select("spectrum_id", "first", "second", "linker", "match_rank")
+    return found.join(wanted, ["spectrum_id", "first", "second"]).select("spectrum_id", "first", "second", "linker", "match_rank").distinct()  # a peptide inside and at the end of a protein is two
 
 
 def _order_spectra(spark, sf_dir):
@@ -172,3 +175,99 @@ def filter_chain_of_series(spark, sf_dir):
 def averagine_heights(spark, sf_dir):
     t = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("mass"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
     return t.select("o_orderkey", "k", F.round(S.averagine_height(F.col("mass"), F.col("k")), 6).alias("height"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS match_id, unnest(range(0, 9)) AS site FROM orders), f AS (SELECT l_orderkey AS match_id, l_linenumber - 1 AS a, l_linenumber + l_suppkey % 4 AS b, l_returnflag = 'N' AS carries FROM lineitem),
+    l AS (SELECT match_id, site, sum(CASE WHEN carries IS NULL THEN 0 WHEN carries = (site BETWEEN a AND b) THEN ln(0.9) ELSE ln(0.1) END) AS ll FROM s LEFT JOIN f USING (match_id) GROUP BY 1, 2)
+    SELECT match_id, site, round(exp(ll - max(ll) OVER w) / sum(exp(ll)) OVER w * exp(max(ll) OVER w), 9) AS probability FROM l WINDOW w AS (PARTITION BY match_id)""")
+def site_probabilities(spark, sf_dir):
+    matched = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("match_id"), (F.col("l_linenumber") - 1).alias("first"), (F.col("l_linenumber") + F.col("l_suppkey") % 4).alias("last"), (F.col("l_returnflag") == "N").alias("is_crosslinked"))
+    out = P.site_probabilities(matched, _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("match_id")), "match_id", F.lit(9))
+    return out.select("match_id", F.col("site").cast("long").alias("site"), F.round("probability", 9).alias("probability"))
+
+
+@query("""WITH k AS (SELECT 1000.0 + 3000 * n_nationkey AS km, 1.0 + n_nationkey % 3 AS kw FROM nation), p AS (SELECT l_orderkey, l_returnflag, l_extendedprice AS mz, l_quantity AS i FROM lineitem),
+    c AS (SELECT l_orderkey, l_returnflag, km, kw, mz, i, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, km ORDER BY abs(mz - km), mz, i) AS r FROM k JOIN p ON mz >= km - km * 0.000001 * 20000 AND mz < km + km * 0.000001 * 20000),
+    e AS (SELECT l_returnflag, (mz - km) / km AS error, kw * i AS w FROM c WHERE r = 1), b AS (SELECT l_returnflag, floor(error / 1e-9) AS bin, sum(w) AS w, min(error) AS e, count(*) AS n FROM e GROUP BY 1, 2),
+    u AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY bin) AS upto, sum(w) OVER (PARTITION BY l_returnflag) AS total, sum(n) OVER (PARTITION BY l_returnflag) AS found FROM b),
+    o AS (SELECT l_returnflag, arg_min(e, bin) AS o, max(found) AS found FROM u WHERE 2 * upto >= total GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, round(CASE WHEN found >= 20 AND abs(o) > 0.000002 THEN l_extendedprice / (1 + o) ELSE l_extendedprice END, 4) AS mz FROM lineitem LEFT JOIN o USING (l_returnflag)""")
+def mass_correction(spark, sf_dir):
+    """Two passes: errors of known peaks by run and their weighted median, then every peak corrected."""
+    peaks = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"))
+    known = _t(spark, sf_dir, "nation").select((1000.0 + 3000 * F.col("n_nationkey")).alias("known_mz"), (1.0 + F.col("n_nationkey") % 3).alias("known_weight"))
+    errors = S.known_peak_errors(peaks, known, ["l_orderkey", "l_returnflag"], Tolerance(20000.0))
+    out = S.corrected(peaks, S.run_corrections(errors, ["l_returnflag"]), ["l_returnflag"], ["mz"], least=20, cutoff=2e-6)
+    return out.select("l_orderkey", "l_linenumber", F.round("mz", 4).alias("mz"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey % 700 AS n FROM lineitem), k AS (SELECT *, unnest(range(0, 6)) AS k FROM c)
+    SELECT l_orderkey, l_linenumber, k::INTEGER AS k, round(CASE WHEN k > n THEN 0 ELSE list_reduce(list_prepend(1.0::DOUBLE, range(1, k + 1)), lambda acc, i: acc * (n - i + 1) / i) * pow(0.0107, k) * pow(0.9893, n - k) END, 9) AS share FROM k""")
+def carbon_isotopes(spark, sf_dir):
+    """Isotopes of a number of carbons, whose distribution is binomial; formulas of several elements are in the tests."""
+    counts = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 700).alias("n"))
+    shares = Z.of_formula(F.concat(F.lit("C"), F.col("n").cast("string")), 6)
+    return counts.select("l_orderkey", "l_linenumber", F.posexplode(shares).alias("k", "share")).withColumn("share", F.round("share", 9))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_extendedprice AS mz, l_quantity AS intensity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_extendedprice) AS k FROM lineitem)
+    SELECT l_orderkey, mz, intensity, false AS is_copy FROM r UNION ALL SELECT l_orderkey, mz + 18.5, intensity, true FROM r WHERE k <= 2""")
+def duplicated_top_peaks(spark, sf_dir):
+    peaks = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"))
+    return S.with_top_copies(peaks, ["l_orderkey"], 2, by=18.5)
+
+
+@query("""WITH a AS (SELECT l_orderkey AS scan, list_sort(list(DISTINCT l_suppkey % 5)) AS mine FROM lineitem WHERE l_linenumber < 3 GROUP BY 1), b AS (SELECT o_orderkey AS scan, [o_custkey % 5] AS other FROM orders)
+    SELECT scan, array_to_string(mine, ';') AS mine, array_to_string(other, ';') AS other, CASE WHEN other IS NULL THEN 'only mine' WHEN mine IS NULL THEN 'only other' WHEN list_has_any(mine, other) THEN 'same' ELSE 'different' END AS verdict
+    FROM a FULL JOIN b USING (scan)""")
+def compared_matches(spark, sf_dir):
+    mine = _t(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").alias("scan"), (F.col("l_suppkey") % 5).cast("string").alias("peptide"))
+    other = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan"), (F.col("o_custkey") % 5).cast("string").alias("peptide"))
+    return O.compared(mine, other, ["scan"], "peptide")
+
+
+@query("""SELECT l_returnflag AS ion_type, l_linestatus AS kind, count(*) AS peaks, count(DISTINCT l_orderkey) AS spectra, round(sum(l_quantity), 2) AS intensity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def matched_groups(spark, sf_dir):
+    t = _t(spark, sf_dir, "lineitem").withColumnsRenamed({"l_returnflag": "ion_type", "l_linestatus": "kind"})
+    return A.matched_groups(t, ["ion_type", "kind"], "l_orderkey", "l_quantity").withColumn("intensity", F.round("intensity", 2))
+
+
+@query(f"""WITH {_SEQ}, e AS (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM q) SELECT substr(seq, i, 1) AS residue, count(*) AS n, count(*) FILTER (i = 1) AS n_first, count(*) FILTER (i = length(seq)) AS n_last FROM e GROUP BY 1""")
+def residue_occurrence(spark, sf_dir):
+    return A.residue_occurrence(_sequences(spark, sf_dir), "residues")
+
+
+@query("""WITH m AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE l_linenumber END AS a, l_linenumber + 2 AS b, l_quantity AS i FROM lineitem), d AS (SELECT CASE WHEN a > 0 THEN a ELSE b + 1 END AS s, i FROM m)
+    SELECT least(s, 12 - s)::INTEGER AS distance, count(*) AS n, round(avg(i), 6) AS mean_intensity FROM d GROUP BY 1""")
+def terminal_distance(spark, sf_dir):
+    n = F.col("l_linenumber")
+    out = A.terminal_distance(_t(spark, sf_dir, "lineitem"), F.when(n % 2 == 0, 0).otherwise(n), n + 2, F.lit(12), "l_quantity")
+    return out.select(F.col("distance").cast("int").alias("distance"), "n", F.round("mean_intensity", 6).alias("mean_intensity"))
+
+
+@query("""WITH r AS (SELECT l_tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_extendedprice, l_tax) AS place FROM lineitem) SELECT place::INTEGER AS place, count(*) AS n, count(*) FILTER (l_tax > 0.03) AS n_explained FROM r WHERE place <= 5 GROUP BY 1""")
+def top_peaks_explained(spark, sf_dir):
+    peaks = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_tax")
+    return A.top_peaks_explained(peaks, ["l_orderkey"], "l_quantity", F.col("l_tax") > 0.03, 5)
+
+
+@query(f"""WITH {_SEQ}, c AS (SELECT p_partkey, unnest({_PIECES.format('seq')}) AS pep FROM q), l AS (SELECT p_partkey, pep, row_number() OVER (PARTITION BY p_partkey ORDER BY length(pep) DESC, pep) AS k FROM c WHERE length(pep) BETWEEN 6 AND 40)
+    SELECT s_suppkey AS spectrum_id, pep AS peptide, 20.25 + s_suppkey % 300 AS open_mass, (length(pep) // 2)::INTEGER AS site FROM supplier JOIN l ON p_partkey = 2 * s_suppkey AND k = 1""")
+def planted_open_search(spark, sf_dir):
+    """A spectrum for each supplier, of the longest peptide of a part with a mass of the supplier's on its middle residue; the SQL says what was planted."""
+    config = parse(_CONFIG + "om_min_mass:10\nom_max_mass:400\n")
+    proteins = _sequences(spark, sf_dir).select(F.col("p_partkey").alias("protein_id"), F.concat(F.lit("P"), F.col("p_partkey")).alias("header"), F.concat(F.lit("P"), F.col("p_partkey")).alias("accession"), "residues")
+    pieces = D.pieces(proteins.select("protein_id", "residues"), "residues", config.protease, 0, methionine_loss=False).withColumn("text", F.array_join("peptide", "")).where("length(text) between 6 and 40")
+    longest = pieces.groupBy("protein_id").agg(F.min_by(F.struct("peptide", "mass", "text"), F.struct(-F.length("text"), F.col("text"))).alias("p"))
+    held = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("spectrum_id"), (2 * F.col("s_suppkey")).alias("protein_id"), (20.25 + F.col("s_suppkey") % 300).alias("more")).join(longest, "protein_id").select("spectrum_id", "more", "p.*")
+    held = held.withColumn("site", F.expr("length(text) div 2"))
+    ions = I.ions(held, ["spectrum_id", "more", "site"], "peptide", "by")
+    shifted = F.when((F.col("first") <= F.col("site")) & (F.col("last") >= F.col("site")), F.col("more")).otherwise(F.lit(0.0))
+    peaks = ions.select("spectrum_id", (F.col("mz1") + shifted).alias("mz"), (50.0 + F.col("n")).alias("intensity"))
+    text, none = lambda c: F.col("spectrum_id").cast("string").alias(c), lambda kind: F.array().cast(kind)
+    spectra = held.select("spectrum_id", F.lit("run").alias("run"), F.col("spectrum_id").cast("int").alias("scan"), text("scan_title"), text("peak_file"), F.lit(0.0).alias("rt_start"), F.lit(0.0).alias("rt_end"),
+        ((F.col("mass") + F.col("more")) / 2 + M.PROTON).alias("precursor_mz"), F.lit(1.0).alias("precursor_intensity"), F.lit(2).alias("precursor_charge"), none("array<int>").alias("charge_alternatives"), none("array<double>").alias("additional_mz"))
+    spectra = stored(spectra.join(S.peak_arrays(peaks, ["spectrum_id"]), "spectrum_id"), "planted-spectra")
+    found = O.open_search(spectra, proteins, config).matches.where("match_rank = 1")
+    wanted = held.select("spectrum_id", F.col("text").alias("peptide1"))
+    return found.join(wanted, ["spectrum_id", "peptide1"]).select("spectrum_id", F.col("peptide1").alias("peptide"), F.round("open_mass", 4).alias("open_mass"), F.col("site").cast("int").alias("site")).distinct()
