@@ -1,15 +1,19 @@
-"""Readers of peak lists: MGF, APL and mzML text, plain, gzipped or zipped."""
+"""Readers of peak lists: MGF, APL and mzML text, plain, gzipped or in archives."""
 
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import io
 import shutil
+import tarfile
 import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from typing import IO
 from urllib.parse import quote
 
 import numpy as np
@@ -151,51 +155,81 @@ def parse_mzml(blocks: DataFrame, level: int = 2) -> DataFrame:
 _ENDS = {"mgf": "END IONS", "apl": "peaklist end", "mzml": "</spectrum>"}
 
 
+_ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz")
+_BATCH = 8 << 20  #: characters of blocks that are handed on at once
+
+
 def _format(name: str) -> str:
-    """Format of a zip's member, by suffix; what has no suffix of its own is MGF."""
-    bare = name.lower().removesuffix(".gz")
+    """Format of a file, by suffix; what has no suffix of its own is MGF."""
+    low = name.lower()
+    if low.endswith(_ARCHIVES):
+        return "zip" if low.endswith(".zip") else "tar"
+    bare = low.removesuffix(".gz")
     return "zip" if bare.endswith(".zip") else "apl" if bare.endswith(".apl") else "mzml" if bare.endswith(".mzml") else "mgf"
 
 
+def _wanted(member: str, suffix: str) -> bool:
+    junk = member.startswith("__MACOSX") or member.rpartition("/")[2].startswith(("._", ".DS_Store"))
+    return not junk and (member.lower().endswith(suffix) or _format(member) in ("zip", "tar"))
+
+
 def _members(z: zipfile.ZipFile, suffix: str) -> list[str]:
-    names = [i.filename for i in z.infolist() if not i.is_dir()]
-    junk = lambda n: n.startswith("__MACOSX") or n.rpartition("/")[2].startswith(("._", ".DS_Store"))
-    return [n for n in names if not junk(n) and (n.lower().endswith(suffix) or _format(n) == "zip")]
+    return [i.filename for i in z.infolist() if not i.is_dir() and _wanted(i.filename, suffix)]
 
 
-def _blocks(z: zipfile.ZipFile, member: str, name: str, kind: str, suffix: str) -> Iterator[tuple[str, str]]:
-    """Blocks of one format in a member, nested zips too, each with the file it is from."""
-    found = _format(member)
-    if found not in ("zip", kind):
+def _blocks(f: IO[bytes], name: str, suffix: str) -> Iterator[tuple[str, str, str]]:
+    """Format, text and file of each block of an open file, in archives of archives too."""
+    kind = _format(name)
+    if kind == "tar":
+        with tarfile.open(fileobj=f, mode="r|*") as t:  # read in one go, as a compressed archive has to be
+            for info in t:
+                if info.isfile() and _wanted(info.name, suffix):
+                    yield from _blocks(t.extractfile(info), f"{name}!{info.name}", suffix)
         return
-    with z.open(member) as packed, gzip.open(packed) if member.lower().endswith(".gz") else packed as f:
-        if found == "zip":
-            with tempfile.TemporaryFile() as copy:
-                shutil.copyfileobj(f, copy)
+    with gzip.open(f) if name.lower().endswith(".gz") else f as plain:
+        if kind == "zip":
+            with tempfile.TemporaryFile() as copy:  # a zip is read from its end
+                shutil.copyfileobj(plain, copy)
                 with zipfile.ZipFile(copy) as inner:
                     for m in _members(inner, suffix):
-                        yield from _blocks(inner, m, f"{name}!{m}", kind, suffix)
+                        yield from _blocks(inner.open(m), f"{name}!{m}", suffix)
             return
-        if member.lower().endswith((".list", ".msmlist")):
-            raise ValueError(f"{name} lists files, which a zip can't name")
-        held, text = "", io.TextIOWrapper(f, "utf-8", errors="replace")
-        while more := text.read(1 << 20):
-            if "\0" in more:
+        if name.lower().endswith((".list", ".msmlist")):
+            raise ValueError(f"{name} lists files, which an archive can't name")
+        held, decode = "", codecs.getincrementaldecoder("utf-8")("replace").decode
+        while data := plain.read(1 << 20):
+            if "\0" in (more := decode(data)):
                 raise ValueError(f"{name} is not a peak list")
             *whole, held = (held + more).split(_ENDS[kind])
-            yield from ((block, name) for block in whole)
+            yield from ((kind, block, name) for block in whole)
         if held.strip():
-            yield held, name
+            yield kind, held, name
 
 
-def read_zip(spark: SparkSession, path: str, suffix: str = "", **options) -> DataFrame:
-    """Spectra of the members of zip files whose names end in suffix: by their own suffix APL, mzML or nested zips, else MGF.
+def _frames(blocks: Iterator[tuple[str, str, str]]) -> Iterator[pd.DataFrame]:
+    """Blocks in frames of about _BATCH characters."""
+    rows, held = [], 0
+    for row in blocks:
+        rows.append(row)
+        held += len(row[1])
+        if held >= _BATCH:
+            yield pd.DataFrame(rows, columns=["kind", "value", "peak_file"])
+            rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["kind", "value", "peak_file"])
 
-    Each member is a row, and many tasks unpack them, block by block; a nested zip is one row. Where only Spark
-    can open the store, a zip is one task's input and held whole. A member that is no text, or a list, is an error.
+
+def read_archive(spark: SparkSession, path: str | list[str], suffix: str = "", **options) -> DataFrame:
+    """Spectra of the members of archives (zip; tar, plain or compressed) whose names end in suffix: by their own suffix APL, mzML, or archives again, else MGF.
+
+    Each member of a zip is a row, and many tasks unpack them; a tar, and an archive in an archive, is one task's work, as it can only be
+    read from its start. Blocks are unpacked once and stored in the shared folder for the parsers of the formats. Where only
+    Spark can open the store, an archive is one task's input and held whole. A member that is no text, or a list, is an error.
     """
     from pyarrow import ArrowInvalid, fs
 
+    from .tables import stored
+
     def opened(name: str):
         store, inner = fs.FileSystem.from_uri(quote(name, safe="/:@"))
         return store.open_input_file(inner)
@@ -210,45 +244,61 @@ def read_zip(spark: SparkSession, path: str, suffix: str = "", **options) -> Dat
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name in frame["path"]:
+                if _format(name) == "tar":
+                    yield pd.DataFrame({"path": [name], "member": [""]})
+                    continue
                 with opened(name) as f, zipfile.ZipFile(f) as z:
                     yield pd.DataFrame({"path": name, "member": _members(z, suffix)})
 
-    def unpack(kind: str):
-        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for name, what in zip(frame["path"], frame[frame.columns[1]], strict=True):
-                    with opened(name) if seekable else io.BytesIO(what) as f, zipfile.ZipFile(f) as z:
-                        for member in [what] if seekable else _members(z, suffix):
-                            for block, file in _blocks(z, member, f"{name}!{member}", kind, suffix):
-                                yield pd.DataFrame({"value": [block], "peak_file": [file]})
-
-        return each
+    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, what in zip(frame["path"], frame[frame.columns[1]], strict=True):
+                with opened(name) if seekable else io.BytesIO(what) as f:
+                    if _format(name) == "tar" or not seekable:
+                        yield from _frames(_blocks(f, name, suffix))
+                        continue
+                    with zipfile.ZipFile(f) as z, z.open(what) as member:
+                        yield from _frames(_blocks(member, f"{name}!{what}", suffix))
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = files.select("path").mapInPandas(listed, "path string, member string").repartition(parts) if seekable else files.select("path", "content")
-    mgf, apl, mzml = (rows.mapInPandas(unpack(kind), "value string, peak_file string") for kind in _ENDS)
-    out = parse_mgf(mgf, **options).unionByName(parse_apl(apl), allowMissingColumns=True)
-    return out.unionByName(parse_mzml(mzml), allowMissingColumns=True)
-
-
-def read_spectra(spark: SparkSession, path: str, **options) -> DataFrame:
-    """By suffix: .list and .msmlist (a path per line), .zip, .apl, .mzML, else MGF; .gz is transparent."""
-    bare = path.lower().removesuffix(".gz")
-    if bare.endswith((".list", ".msmlist")):
-        paths = [r[0].strip() for r in spark.read.text(path).collect() if r[0].strip() and not r[0].startswith("#")]
-        if not paths:
-            raise ValueError(f"{path} lists no files")
-        out = read_spectra(spark, paths[0], **options)
-        for p in paths[1:]:
-            out = out.unionByName(read_spectra(spark, p, **options), allowMissingColumns=True)
-        return out
-    if bare.endswith(".zip"):
-        return read_zip(spark, path, **options)
-    if bare.endswith(".apl"):
-        return read_apl(spark, path)
-    if bare.endswith(".mzml"):
-        return read_mzml(spark, path)
-    return read_mgf(spark, path, **options)
+    blocks = stored(rows.mapInPandas(unpack, "kind string, value string, peak_file string"), "archive-blocks")
+    of = lambda kind: blocks.where(F.col("kind") == kind).drop("kind")
+    out = parse_mgf(of("mgf"), **options).unionByName(parse_apl(of("apl")), allowMissingColumns=True)
+    return out.unionByName(parse_mzml(of("mzml")), allowMissingColumns=True)
+
+
+def read_spectra(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """By suffix: .list and .msmlist (a path per line), archives (.zip, .tar, .tar.gz and the like), .apl, .mzML, else MGF; .gz is transparent.
+
+    A list, or a folder with a / at its end, is sorted by format, and each format's files are one reader's, so its plan doesn't grow with their number.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    readers = {"archive": read_archive, "mgf": read_mgf, "apl": lambda s, p, **_: read_apl(s, p), "mzml": lambda s, p, **_: read_mzml(s, p)}
+    found: dict[str, list[str]] = {}
+    while paths:
+        p = paths.pop(0)
+        if p.lower().endswith((".list", ".msmlist")):
+            named = [r[0].strip() for r in spark.read.text(p).collect() if r[0].strip() and not r[0].startswith("#")]
+            if not named:
+                raise ValueError(f"{p} lists no files")
+            paths += named
+        elif p.endswith("/"):
+            paths += _listed(spark, p)
+        else:
+            kind = _format(p)
+            found.setdefault("archive" if kind in ("zip", "tar") else kind, []).append(p)
+    if not found:
+        raise ValueError(f"no files in {path}")
+    parts = [readers[kind](spark, files if len(files) > 1 else files[0], **options) for kind, files in found.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    """Files of a folder, in name order, those whose names begin with . or _ left out."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [str(f.getPath().toString()) for f in hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop) if f.isFile()]
+    return sorted(f for f in found if not f.rpartition("/")[2].startswith((".", "_")))
 
 
 def numbered(spectra: DataFrame) -> DataFrame:

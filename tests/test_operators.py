@@ -287,6 +287,25 @@ def test_zip_members_of_every_format(spark, tmp_path):
     assert sorted(r.scan for r in got) == [1, 2, 3, 4, 5, 7, 8, 9]
     assert {r.precursor_intensity for r in got if r.precursor_mz == 500.5} == {15000.0}
     assert {len(r.peaks) for r in got if r.precursor_charge == 3} == {2}
+    import tarfile
+
+    for suffix, mode in ((".tar", "w"), (".tar.gz", "w:gz"), (".tar.bz2", "w:bz2")):
+        with tarfile.open(tmp_path / f"acc{suffix}", mode) as t:
+            for name, data in (("x/a.mgf", mgf(1) + mgf(2)), ("d.apl", apl), ("z/c.mgf.gz", gzip.compress(mgf(4).encode())), ("in.zip", (tmp_path / "all of it.zip").read_bytes()), ("._a.mgf", b"\0")):
+                data = data.encode() if isinstance(data, str) else data
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+        tarred = peaklists.read_spectra(spark, str(tmp_path / f"acc{suffix}")).collect()
+        assert sorted(r.scan for r in tarred) == sorted([1, 2, 4, 7, 1, 2, 3, 4, 5, 7, 8, 9])
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder/a.mgf").write_text(mgf(1))
+    (tmp_path / "folder/b.apl").write_text(apl)
+    (tmp_path / "folder/c.mgf").write_text(mgf(3))
+    (tmp_path / "folder/_SUCCESS").write_text("")
+    assert sorted(r.scan for r in peaklists.read_spectra(spark, f"{tmp_path}/folder/").collect()) == [1, 3, 7]
+    (tmp_path / "these.list").write_text(f"# files\n{tmp_path}/folder/a.mgf\n{tmp_path}/acc.tar\n{tmp_path}/folder/c.mgf\n")
+    assert sorted(r.scan for r in peaklists.read_spectra(spark, f"{tmp_path}/these.list").collect()) == sorted([1, 3, *[r.scan for r in tarred]])
     with zipfile.ZipFile(tmp_path / "raw.zip", "w") as z:
         z.writestr("a.raw", b"\0\1\2")
     with pytest.raises(Exception, match="not a peak list"):
