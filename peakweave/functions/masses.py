@@ -56,6 +56,13 @@ def residue_mass(residue: Column, extra: dict[str, float] | None = None) -> Colu
     return F.coalesce(F.element_at(residue_map(extra), residue), custom, F.lit(float("inf")))
 
 
+def weighable(residue: Column, extra: dict[str, float] | None = None) -> Column:
+    """Whether residue_mass() is finite, by a set lookup."""
+    table = RESIDUES | (extra or {})
+    custom = residue.rlike(r"^[A-WYZ].*\[[-+]?[0-9.]+\]$")
+    return residue.isin(*[r for r, m in table.items() if m < float("inf")]) | custom
+
+
 def peptide_mass(residues: Column, extra: dict[str, float] | None = None) -> Column:
     """Sum over the residue array, from the left, starting at water."""
     return F.aggregate(residues, F.lit(WATER), lambda acc, r: acc + residue_mass(r, extra))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import bound
-from ..functions.masses import WATER, residue_mass
+from ..functions.masses import WATER, residue_mass, weighable
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,8 @@ def pieces(proteins: DataFrame, residues: str, protease: Protease, missed: int,
 
     spans = F.get(F.transform(F.array(protease.cuts(r)), spans_of), F.lit(0))
     out = held.select(*[F.col(f"`{c}`") for c in others], spans.alias("__spans")).select(*[F.col(f"`{c}`") for c in others], F.inline("__spans"))
-    out = out.withColumn("mass", F.aggregate("peptide", F.lit(WATER), lambda acc, x: acc + residue_mass(x, extra))).where(F.col("mass") < float("inf"))
+    # Not a condition on the mass, which so is added up only where it is wanted.
+    out = out.where(F.forall("peptide", lambda x: weighable(x, extra))).withColumn("mass", F.aggregate("peptide", F.lit(WATER), lambda acc, x: acc + residue_mass(x, extra)))
     return out.where(F.col("mass") <= most_mass) if most_mass is not None else out
 
 

@@ -520,7 +520,11 @@ def decoy_shuffle(spark, sf_dir):
     return _sequences(spark, sf_dir).select("p_partkey", F.array_join(C.shuffle(F.col("residues"), F.col("p_partkey"), ["K", "R"]), "").alias("decoy"))
 
 
-@query(None)
+@query(f"""WITH {_SEQ}, e AS (SELECT p_partkey, seq, unnest(list_filter(range(1, length(seq) + 1), lambda k: substr(seq, k::INT, 1) IN ('M', 'S')))::INT AS i FROM q),
+    t AS (SELECT *, CASE substr(seq, i, 1) WHEN 'M' THEN 'ox' ELSE 'ph' END AS m FROM e),
+    f AS (SELECT p_partkey, 1 AS k, i, 0 AS j, left(seq, i) || m || substr(seq, i + 1) AS peptide FROM t
+        UNION ALL SELECT a.p_partkey, 2, a.i, b.i, left(a.seq, a.i) || a.m || substr(a.seq, a.i + 1, b.i - a.i) || b.m || substr(a.seq, b.i + 1) FROM t a JOIN t b ON a.p_partkey = b.p_partkey AND a.i < b.i),
+    r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY k, i, j) AS n FROM f) SELECT p_partkey, peptide FROM r WHERE n <= 10 UNION ALL SELECT p_partkey, seq FROM q""")
 def variable_modifications(spark, sf_dir):
     mods = [D.Modification("Mox", "M", 15.99491), D.Modification("Sph", "S", 79.966331)]
     out = D.variable(_sequences(spark, sf_dir).select("p_partkey", F.col("residues").alias("peptide")), mods, 2, 10)

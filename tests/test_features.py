@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_search import CONFIG, PROTEINS, ladder, mass
 
+from peakweave.functions import isotopes as Z
 from peakweave.functions import masses as M
 from peakweave.functions.tolerance import Tolerance
 from peakweave.operators import candidates as P
@@ -17,8 +18,10 @@ from peakweave.operators import range_join as J
 from peakweave.operators import scores as Q
 from peakweave.operators import spectra as S
 from peakweave.plans import config as conf
+from peakweave.plans import open_search as O
 from peakweave.plans import registry as G
 from peakweave.plans import search as X
+from peakweave.sources import tables as T
 
 SPECTRA = "spectrum_id long, run string, scan int, scan_title string, peak_file string, rt_start double, rt_end double, precursor_mz double, precursor_intensity double, precursor_charge int, charge_alternatives array<int>, additional_mz array<double>, peaks array<struct<mz:double,intensity:double>>"
 
@@ -257,3 +260,126 @@ def test_shifted_pairs_equal_a_nested_loop(spark):
     assert set(got) == set(want)
     for h, (pair, single) in want.items():
         assert got[h] == (pytest.approx(pair) if pair is not None else None, single)
+
+
+def convolve(a, b, peaks):
+    return [sum(a[i] * b[k - i] for i in range(k + 1)) for k in range(peaks)]
+
+
+def test_isotopes_equal_direct_convolution(spark):
+    peaks = 8
+    formulas = {"C6H12O6": {"C": 6, "H": 12, "O": 6}, "C254H377N65O75S6": {"C": 254, "H": 377, "N": 65, "O": 75, "S": 6}, "NaCl2": {"Na": 1, "Cl": 2}, "H": {"H": 1}, "CCl4C2": {"C": 3, "Cl": 4}, "": {}, "C5H-3": {"C": 5}}
+    got = {r.f: r.d for r in spark.createDataFrame([(f,) for f in formulas], "f string").select("f", Z.of_formula(F.col("f"), peaks).alias("d")).collect()}
+
+    def direct(counts):
+        out = [1.0] + [0.0] * (peaks - 1)
+        for e, n in counts.items():
+            for _ in range(n):
+                out = convolve(out, (list(Z.SHARES[e]) + [0.0] * peaks)[:peaks], peaks)
+        return out
+
+    for f, counts in formulas.items():
+        assert got[f] == pytest.approx(direct(counts), abs=1e-9)
+    peptide = spark.createDataFrame([(list("PEPTIDEM"),)], "r array<string>").select(Z.of_peptide(F.col("r"), peaks)).first()[0]
+    total = {e: sum(Z.ATOMS[x][k] for x in "PEPTIDEM") + more for k, (e, more) in enumerate((("C", 0), ("H", 2), ("N", 0), ("O", 1), ("S", 0)))}
+    assert peptide == pytest.approx(direct(total), abs=1e-9)
+
+
+def test_planted_shift_is_removed(spark):
+    rng = random.Random(5)
+    known = S.y_ions(weights={"A": 0.5, "L": 0.3})
+    assert known[0] == (pytest.approx(M.RESIDUES["K"] + M.WATER + M.PROTON), 1.0) and len(known) == 6
+    shift = {"a": 12e-6, "b": -7e-6, "c": 0.0}
+    rows = []
+    for run, d in shift.items():
+        for s in range(60):
+            rows += [(run, f"{run}{s}", mz * (1 + d + rng.gauss(0, 3e-7)), rng.uniform(1, 9)) for mz, _ in known if rng.random() < 0.8]
+            rows += [(run, f"{run}{s}", rng.uniform(100, 900), 1.0) for _ in range(10)]
+    peaks = spark.createDataFrame(rows, "run string, spectrum string, mz double, intensity double")
+    errors = S.known_peak_errors(peaks, spark.createDataFrame(known, "known_mz double, known_weight double"), ["run", "spectrum"], Tolerance(50.0))
+    found = S.run_corrections(errors, ["run"])
+    offsets = {r.run: r.offset for r in found.collect()}
+    assert all(abs(offsets[run] - d) < 3e-7 for run, d in shift.items())
+    fixed = S.corrected(peaks, found, ["run"], ["mz"], least=50, cutoff=1e-6).collect()
+    near = [min((r.mz / mz - 1 for mz, _ in known), key=abs) for r in fixed]
+    assert sum(abs(e) < 2e-6 for e in near) > 0.95 * sum(abs(e) < 50e-6 for e in near)
+    untouched = S.corrected(peaks, found, ["run"], ["mz"], least=10**6).collect()
+    assert sorted(map(tuple, untouched)) == sorted(map(tuple, peaks.collect()))
+
+
+def test_flavours_and_open_modifications(spark):
+    assert O.flavour(conf.parse("")) == "default" and O.flavour(conf.parse("flavour:Open")) == "open"
+    assert O.flavour(conf.parse("crosslinker:LinearCrosslinker:Name:OpenModification")) == "open"
+    with pytest.raises(ValueError):
+        O.flavour(conf.parse("flavour:mine"))
+    seq, at, more = "TYSSEEKVILQMR", 3, 79.966331
+    peaks = sorted(((m + more if first <= at <= last else m) + M.PROTON, 50.0) for _, _, first, last, m in ladder(seq))
+    spectra = spectra_of(spark, [(9, "run", 9, (mass(seq) + more) / 2 + M.PROTON, 2, peaks)])
+    proteins = spark.createDataFrame([(k, n, n, list(s)) for k, (n, s) in enumerate(PROTEINS.items())], "protein_id long, header string, accession string, residues array<string>")
+    for text in ("flavour:open\nom_min_mass:50\nom_max_mass:100\n", "flavour:targeted\ntargetmodificationmasses:15.99491,79.966331\n"):
+        found = O.run(spectra, proteins, conf.parse(CONFIG + text))
+        top = found.matches.where("match_rank = 1").collect()
+        assert [(r.peptide1, r.site) for r in top] == [(seq, at)] and math.isclose(top[0].open_mass, more, abs_tol=1e-3) and top[0].pseudo_peptide.startswith("X79.966")
+        sums = found.sites.groupBy("match_id").agg(F.sum("probability").alias("p")).collect()
+        assert sums and all(math.isclose(r.p, 1.0, rel_tol=1e-9) for r in sums)
+        assert top[0].site_probability > 0.9
+    none = O.run(spectra, proteins, conf.parse(CONFIG + "flavour:open\nom_min_mass:200\nom_max_mass:300\n")).matches
+    assert none.where(F.col("peptide1") == seq).count() == 0
+
+
+def test_numbers_of_distinct_values(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("zz",)] + [(f"k{i:03d}",) for i in range(300)], "v string")
+    got = {r.v: r.n for r in T.auto_increment(df, "v", "n").collect()}
+    order = sorted(got, key=lambda x: (x is not None, x or ""))
+    assert [got[v] for v in order] == list(range(1, len(order) + 1)) and T.auto_increment(df.limit(0), "v", "n").count() == 0
+
+
+def series_by_hand(x, y, top, near, ratio=8.0):
+    """Isotope series of one spectrum by plain scans: every charge, and series extended below."""
+    def at(v):
+        hits = [j for j, m in enumerate(x) if v - near(v) <= m < v + near(v)]
+        return min(hits, key=lambda j: (abs(x[j] - v), j)) if hits else -1
+
+    taken, out = set(), []
+    for i in range(len(x) - 1):
+        if i in taken or x[i + 1] - x[i] > 1.1:
+            continue
+        found = []
+        for z in range(1, top + 1):
+            part, k = [i], 1
+            while (j := at(x[i] + k * (M.C13_DIFF / z))) > i and not (k == 1 and y[j] >= ratio * y[i]):
+                part.append(j)
+                k += 1
+            if len(part) > 1:
+                found.append((z, part))
+        for z, part in found:
+            below, k = [], 1
+            while 0 <= (j := at(x[i] - k * M.C13_DIFF / z)) < i:
+                below.insert(0, j)
+                k += 1
+            taken |= {*below, *part}
+            out += [(z, part)] + ([(z, below + part)] if below else [])
+    return out
+
+
+def test_isotope_series_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for s in range(80):
+        peaks = {}
+        for _ in range(rng.randrange(1, 6)):
+            start, z = rng.uniform(200, 210), rng.randint(1, 4)
+            for k in range(rng.randint(1, 6)):
+                peaks[round(start + k * M.C13_DIFF / z + rng.gauss(0, 0.0005), 5)] = round(rng.uniform(1, 30), 2)
+        rows += [(f"r{s % 3}", s if s else None, mz, i) for mz, i in peaks.items()]
+    table = spark.createDataFrame(rows, "run string, scan int, mz double, intensity double").repartition(5)
+    got = {}
+    for r in S.isotope_clusters(table, ["run", "scan"], 4, Tolerance(0.002, "da"), every=True).collect():
+        got.setdefault((r.run, r.scan), {}).setdefault((r.cluster_id, r.charge), []).append((r.place, r.peak, r.mz, r.intensity))
+    for key in {r[:2] for r in rows}:
+        own = sorted(r[2:] for r in rows if r[:2] == key)
+        x, y = [p[0] for p in own], [p[1] for p in own]
+        want = [(z, [(x[j], y[j]) for j in part]) for z, part in series_by_hand(x, y, 4, lambda v: 0.002)]
+        have = got.get(key, {})
+        assert [(z, [(m, i) for _, _, m, i in sorted(have[n, z])]) for n, z in sorted(have)] == want
+        assert all(x[j] == m for part in have.values() for _, j, m, _ in part)
