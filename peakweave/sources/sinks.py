@@ -27,6 +27,25 @@ def write_annotated_peaks(matched: DataFrame, path: str, columns: list[str]) ->
     matched.select(*columns).write.option("header", True).option("sep", "\t").csv(path)
 
 
+def deisotoped_list(charged: DataFrame, matched: DataFrame) -> DataFrame:
+    """Peaks of spectra after isotope series became one peak each, with what explains them: spectrum_id, match_id, mz, charge, intensity, explanations.
+
+    charged: spectrum_id, mz, intensity, charge; matched: match_id, spectrum_id, mz, and the fragment's columns. Peaks that nothing
+    explains stand once for each match of their spectrum, without an explanation; of several explanations the primary one is first.
+    """
+    name = F.concat(F.when(F.col("is_crosslinked"), F.lit("+")).otherwise(F.lit("")), "ion_type", F.col("n").cast("string"), "loss_name", F.lit("_p"), (F.col("peptide_index") + 1).cast("string"))
+    told = matched.groupBy("match_id", "spectrum_id", "mz").agg(F.sort_array(F.collect_set(F.struct((~F.col("is_primary")).alias("later"), name.alias("name")))).alias("e"))
+    every = charged.join(matched.select("match_id", "spectrum_id").distinct(), "spectrum_id")
+    out = every.join(told, ["match_id", "spectrum_id", "mz"], "left")
+    return out.select("spectrum_id", "match_id", "mz", "charge", "intensity", F.coalesce(F.array_join(F.transform("e", lambda x: x["name"]), ";"), F.lit("")).alias("explanations"))
+
+
+def write_deisotoped_list(charged: DataFrame, matched: DataFrame, path: str, digits: int = 6) -> None:
+    """deisotoped_list() as tab separated text."""
+    out = deisotoped_list(charged, matched)
+    write_annotated_peaks(out.withColumns({c: number(F.col(c), digits) for c in ("mz", "intensity")}), path, out.columns)
+
+
 def mgf_block(title: Column, mz: Column, charge: Column, rt: Column, peaks: Column) -> Column:
     """One MGF block; peaks is an array of (mz, intensity)."""
     lines = F.transform(peaks, lambda p: F.concat_ws(" ", p["mz"].cast("string"), p["intensity"].cast("string")))

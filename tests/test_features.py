@@ -18,9 +18,11 @@ from peakweave.operators import range_join as J
 from peakweave.operators import scores as Q
 from peakweave.operators import spectra as S
 from peakweave.plans import config as conf
+from peakweave.plans import database as B
 from peakweave.plans import open_search as O
 from peakweave.plans import registry as G
 from peakweave.plans import search as X
+from peakweave.sources import sinks
 from peakweave.sources import tables as T
 
 SPECTRA = "spectrum_id long, run string, scan int, scan_title string, peak_file string, rt_start double, rt_end double, precursor_mz double, precursor_intensity double, precursor_charge int, charge_alternatives array<int>, additional_mz array<double>, peaks array<struct<mz:double,intensity:double>>"
@@ -383,3 +385,47 @@ def test_isotope_series_by_brute_force(spark):
         have = got.get(key, {})
         assert [(z, [(m, i) for _, _, m, i in sorted(have[n, z])]) for n, z in sorted(have)] == want
         assert all(x[j] == m for part in have.values() for _, j, m, _ in part)
+
+
+def test_search_in_a_database(spark, tmp_path):
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    seq = "TYSSEEKVILQMR"
+    lines = CONFIG.strip().splitlines()
+    put = lambda df, name: df.write.mode("overwrite").jdbc(url, name)
+    put(spark.createDataFrame(list(enumerate(lines)), "line_number int, line string"), "configuration")
+    put(spark.createDataFrame([(7, "run", 7, "run.7", "f", 1.0, 1.0, mass(seq) / 2 + M.PROTON, 1.0, 2)], "spectrum_id long, run string, scan int, scan_title string, peak_file string, rt_start double, rt_end double, precursor_mz double, precursor_intensity double, precursor_charge int"), "spectrum")
+    put(spark.createDataFrame([(7, m + M.PROTON, 50.0) for *_, m in ladder(seq)], "spectrum_id long, mz double, intensity double"), "spectrum_peak")
+    put(spark.createDataFrame([(k, n, n, s) for k, (n, s) in enumerate(PROTEINS.items())], "protein_id long, header string, accession string, sequence string"), "protein")
+    found = B.search_database(spark, url)
+    top = found.matches.where("match_rank = 1").first()
+    assert top.peptide1 == seq
+    back = {n: T.read_jdbc(spark, url, n) for n in B.result_tables(found)}
+    assert {n: df.count() for n, df in back.items()} == {n: df.count() for n, df in B.result_tables(found).items()}
+    stored = {(r[0], r[1]): r[2] for r in back["match_value"].collect()}
+    assert math.isclose(stored[top.match_id, "match_score"], top.match_score, rel_tol=1e-12)
+    with pytest.raises(Exception, match="already exists"):
+        B.search_database(spark, url)
+
+
+def test_deisotoped_list_names_every_peak(spark, tmp_path):
+    charged = spark.createDataFrame([(1, 100.0, 5.0, 1), (1, 200.0, 6.0, None), (2, 50.0, 1.0, 1)], "spectrum_id int, mz double, intensity double, charge int")
+    matched = spark.createDataFrame([(11, 1, 100.0, "b", 2, "", False, 0, False), (11, 1, 100.0, "y", 3, "_H2Ox1", True, 1, True), (12, 1, 200.0, "b", 4, "", False, 0, True)], "match_id int, spectrum_id int, mz double, ion_type string, n int, loss_name string, is_crosslinked boolean, peptide_index int, is_primary boolean")
+    got = sorted((r.match_id, r.mz, r.explanations) for r in sinks.deisotoped_list(charged, matched).collect())
+    assert got == [(11, 100.0, "+y3_H2Ox1_p2;b2_p1"), (11, 200.0, ""), (12, 100.0, ""), (12, 200.0, "b4_p1")]
+    sinks.write_deisotoped_list(charged, matched, str(tmp_path / "list"))
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "list")).count() == 4
+
+
+def test_relaxed_precursors_and_readded_decoys(spark):
+    spectra = spectra_of(spark, [(1, "r", 1, 1200.0, 4, PEAKS[0]), (2, "r", 2, 400.0, 2, PEAKS[1])])
+    plain, more = (X.hypotheses(spectra, conf.parse(t)).groupBy("spectrum_id").count().collect() for t in ("", "relaxed_precursor_matching:true"))
+    assert {r[0]: r[1] for r in plain} == {1: 1, 2: 1} and {r[0]: r[1] for r in more} == {1: 2, 2: 1}
+    # The second protein is the first one's decoy, so its peptides oust the decoys, which come back permuted.
+    one = list("MAEGVTTWGESKDLVYNR")
+    two = spark.createDataFrame([(one,)], "r array<string>").select(C.reverse_digest_aware(F.col("r"), ["K", "R"])).first()[0]
+    proteins = spark.createDataFrame([(1, "P", "P", one), (2, "Q", "Q", two)], "protein_id long, header string, accession string, residues array<string>")
+    peptides = lambda text: X.peptide_table(proteins, conf.parse(CONFIG + text)).collect()
+    without, with_ = peptides(""), peptides("readd_decoys:yes\n")
+    assert sum(r.is_decoy for r in with_) > sum(r.is_decoy for r in without)
+    assert not {r.seq for r in with_ if r.is_decoy} & {r.seq for r in with_ if not r.is_decoy}
