@@ -5,7 +5,7 @@ import pytest
 
 from peakweave.plans.queries import QUERIES
 
-SIZES = ("sf0.001", "sf0.01")  # keys that are unique in the small tables repeat in the larger ones
+SIZES = ("sf0.01",)  # keys that are unique in the smallest tables repeat here
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
 
