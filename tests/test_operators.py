@@ -258,8 +258,10 @@ def test_range_joins_after_a_shuffle(spark):
     n = sum(i % 7 in (1, 5) for i in range(60))
     twice = sum(i % 7 == 1 for i in range(60))
     assert (rows("left_semi").count(), rows("left_anti").count(), rows("left").count(), rows("inner").count()) == (n, 61 - n, 61 + twice, n + twice)
-    with pytest.raises(ValueError, match="bins"):
-        window_join(left, right, F.col("x"), F.col("x") + 500, F.col("y"), 0.25, "left_semi")
+    wide = lambda how: window_join(left, right, F.col("x") - 500, F.col("x") + 500, F.col("y"), 0.25, how).count()
+    assert (wide("left_semi"), wide("left_anti"), wide("left")) == (60, 1, 181)
+    with pytest.raises(ValueError, match="unknown join"):
+        rows("full")
 
 
 def test_zip_members_of_every_format(spark, tmp_path):
