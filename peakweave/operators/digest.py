@@ -55,18 +55,17 @@ def pieces(proteins: DataFrame, residues: str, protease: Protease, missed: int,
     """
     others = [c for c in proteins.columns if c != residues]
     held = proteins.where(F.size(residues) > 0)
-    r = F.col(residues)
-    lost = (F.get(r, F.lit(0)) == "M") if methionine_loss else F.lit(False)
-
-    def span(start: Column, stop: Column, m: Column, first: Column) -> Column:
-        return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), m.alias("missed"), first.alias("n_term"), (stop == F.size(r)).alias("c_term"), F.slice(r, start + 1, stop - start).alias("peptide"))
 
-    def spans_of(cuts: Column) -> Column:
-        """Spans over cut positions, which are the lambda's variable: they are found once per protein."""
+    def spans_of(r: Column, cuts: Column) -> Column:
+        """Spans over cut positions; both are lambda variables, so residues and cuts are found once per protein."""
         n = F.size(cuts)
+        lost = (F.get(r, F.lit(0)) == "M") if methionine_loss else F.lit(False)
         start_of = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1) + 1)
         stop_of = lambda i: F.when(i >= n, F.size(r)).otherwise(F.get(cuts, i) + 1)
 
+        def span(start: Column, stop: Column, m: Column, first: Column) -> Column:
+            return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), m.alias("missed"), first.alias("n_term"), (stop == F.size(r)).alias("c_term"), F.slice(r, start + 1, stop - start).alias("peptide"))
+
         def from_start(i: Column) -> Column:
             def to(m: Column) -> Column:
                 start, stop = start_of(i), stop_of(i + m)
@@ -77,10 +76,15 @@ def pieces(proteins: DataFrame, residues: str, protease: Protease, missed: int,
 
         return F.flatten(F.transform(F.sequence(F.lit(0), n), from_start))
 
-    spans = F.get(F.transform(F.array(protease.cuts(r)), spans_of), F.lit(0))
-    out = held.select(*[F.col(f"`{c}`") for c in others], spans.alias("__spans")).select(*[F.col(f"`{c}`") for c in others], F.inline("__spans"))
-    # Not a condition on the mass, which so is added up only where it is wanted.
-    out = out.where(F.forall("peptide", lambda x: weighable(x, extra))).withColumn("mass", F.aggregate("peptide", F.lit(WATER), lambda acc, x: acc + residue_mass(x, extra)))
+    def cut(r: Column) -> Column:
+        # Residues without a mass are looked up once per protein; the mass itself is added up only where it is wanted.
+        bad = F.filter(F.transform(r, lambda x, i: F.when(~weighable(x, extra), i)), lambda i: i.isNotNull())
+        return F.struct(bound(protease.cuts(r), lambda cuts: spans_of(r, cuts)).alias("spans"), bad.alias("bad"))
+
+    own = [F.col(f"`{c}`") for c in others]
+    out = held.select(*own, bound(F.col(residues), cut).alias("__cut")).select(*own, F.col("__cut.bad").alias("__bad"), F.inline("__cut.spans"))
+    whole = (F.size("__bad") == 0) | ~F.exists("__bad", lambda i: (i >= F.col("start")) & (i < F.col("stop")))
+    out = out.where(whole).drop("__bad").withColumn("mass", F.aggregate("peptide", F.lit(WATER), lambda acc, x: acc + residue_mass(x, extra)))
     return out.where(F.col("mass") <= most_mass) if most_mass is not None else out
 
 
