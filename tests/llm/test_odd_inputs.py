@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from peakweave.llm import bpe, chat, embed_dedup, exact_dedup, jaccard, licenses, mixing, quality, sharding, warc
+from peakweave.llm import bpe, chat, embed_dedup, exact_dedup, jaccard, licenses, mixing, quality, sharding, trie, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -420,3 +420,24 @@ def test_exact_dedup_goes_on_with_its_state(spark, tmp_path):
             got = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, path, state_home=home, max_bytes_per_trigger=1).collect()}
             groups = {t: [i for i, x in rows if x == t] for t in texts}
             assert got == {i: (max(groups[x]), len(groups[x]), i == max(groups[x])) for i, x in rows}
+
+
+def test_very_long_texts(spark, tmp_path):
+    long = "Word mit license and more\n" * 150_000  # 750,000 words, 3.9 MB
+    docs = frame(spark, [(1, long, "a"), (2, "short text", "a"), (3, None, "b")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "u", long), (2, "v", "<p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: {r[0]: r for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    assert run("op4_hilbert_shards")[1].size == len(long) + 1
+    assert run("op5_chat_format")[1].loss_chars == len(long)
+    found = run("op6_license_scan")[1]
+    assert (found.n_words, found.n_base, found.base_labels) == (750_000, 150_000, "mit")
+    assert run("op7_mix_sources")[1].size == 750_000
+    scores = run("op8_quality")
+    assert len(scores) == 3 and all(0 <= r.score <= 1 for r in scores.values())
+    assert run("op10_warc_archives")[1].payload_bytes == len(long)
+    assert trie.conversation_trie(spark.read.parquet(f"{tmp_path}/conversations.parquet")).count() == 3
+    scored = run("op13_lm_scores")[1]
+    assert scored.n_tokens == 750_001
