@@ -164,13 +164,18 @@ def _split(series: list[int], x: np.ndarray, y: np.ndarray, z: int, factor: floa
     return [series]
 
 
-def deisotoped(peaks: DataFrame, clusters: DataFrame, spectrum: list[str], mz: str = "mz", intensity: str = "intensity") -> DataFrame:
-    """One peak per series (at its monoisotopic m/z, the longest series winning, intensities summed) and the peaks of no series."""
+def deisotoped(peaks: DataFrame, clusters: DataFrame, spectrum: list[str], mz: str = "mz", intensity: str = "intensity", each: bool = False) -> DataFrame:
+    """One peak per series (at its monoisotopic m/z, the longest series winning, intensities summed) and the peaks of no series.
+
+    each: series that start at the same m/z keep one peak each.
+    """
     series = clusters.groupBy(*spectrum, "cluster_id", "charge").agg(F.min("mz").alias(mz), F.sum("intensity").alias(intensity), F.count(F.lit(1)).alias("size"))
-    best = series.groupBy(*spectrum, mz).agg(F.max(F.struct("size", intensity, "charge")).alias("c"))
-    merged = best.select(*spectrum, mz, F.col(f"c.{intensity}").alias(intensity), F.col("c.charge").alias("charge"))
     members = clusters.select(*spectrum, F.col("mz").alias(mz)).distinct()
     single = peaks.select(*spectrum, mz, intensity).join(members, [*spectrum, mz], "left_anti").withColumn("charge", F.lit(None).cast("int"))
+    if each:
+        return series.select(*spectrum, mz, intensity, "charge").unionByName(single)
+    best = series.groupBy(*spectrum, mz).agg(F.max(F.struct("size", intensity, "charge")).alias("c"))
+    merged = best.select(*spectrum, mz, F.col(f"c.{intensity}").alias(intensity), F.col("c.charge").alias("charge"))
     return merged.unionByName(single)
 
 
