@@ -12,3 +12,19 @@ def test_series_of_one_start_keep_a_peak_each(spark, tmp_path):
     run = lineitem(spark, tmp_path, [(1, 1, 4, 1000.0, 2.0), (1, 2, 5, 1000.0, 3.0), (1, 3, 5, 1001.0, 4.0), (1, 4, 6, 1000.5, 5.0)])
     assert run("deisotoped_peaks") == [(1, 1000.0, 2.0, 1), (1, 1000.0, 7.0, 2), (1, 1000.5, 5.0, None)]
     assert run("deisotoped_decharged") == [(1, 1000.0, 2.0), (1, 1000.5, 5.0), (1, 1998.9927, 7.0)]
+
+
+def test_nearest_reporter_ties_go_to_the_smaller_mz(spark, tmp_path):
+    run = lineitem(spark, tmp_path, [(1, 1, 1, 33714.89, 3.0), (1, 2, 1, 26285.11, 20.0), (2, 1, 1, 31000.0, 7.0), (2, 2, 1, 31000.0, 4.0), (3, 1, 1, 1.0, 9.0)])
+    assert run("reporter_intensities") == [(1, 20.0), (2, 4.0), (3, 0.0)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sequences_are_never_broadcast_and_run_in_many_tasks(spark):
+    for name in ("crosslinked_ions", "fragment_losses", "linker_modified_ions"):
+        assert "Broadcast" not in plan(QUERIES[name].run(spark, "/root/testdata/sf0.001")), name
+    for name in ("decoy_shuffle", "linear_candidates"):
+        assert "REPARTITION_BY_NUM" in plan(QUERIES[name].run(spark, "/root/testdata/sf0.001")), name
