@@ -1,5 +1,9 @@
 """What only larger tables show: ties, rows of one group, plans that broadcast or run in one task."""
 
+from pyspark.sql import functions as F
+
+from peakweave.functions.tolerance import Tolerance
+from peakweave.operators import range_join as J
 from peakweave.plans.queries import QUERIES
 
 
@@ -28,3 +32,25 @@ def test_sequences_are_never_broadcast_and_run_in_many_tasks(spark):
         assert "Broadcast" not in plan(QUERIES[name].run(spark, "/root/testdata/sf0.001")), name
     for name in ("decoy_shuffle", "linear_candidates"):
         assert "REPARTITION_BY_NUM" in plan(QUERIES[name].run(spark, "/root/testdata/sf0.001")), name
+
+
+def test_wide_relative_windows_touch_few_bins(spark):
+    a = spark.createDataFrame([(1, 60000.0, 20000.0), (2, 900.0, 100.0), (3, 60000.0, 59999.0)], "a long, total double, alpha double")
+    b = spark.createDataFrame([(k, k / 2) for k in range(100_000)], "b long, beta double")
+    got = J.gap_join(a, b, spark.createDataFrame([("x", 0.0), ("y", 138.0)], "linker string, m double"), "total", "alpha", "beta", "m", Tolerance(300.0))
+    want = {(i, lk, k) for i, t, m in ((1, 60000.0, 20000.0), (2, 900.0, 100.0), (3, 60000.0, 59999.0)) for lk, x in (("x", 0.0), ("y", 138.0)) if t - m - x > 0 for k in range(100_000) if t - m - x - t * 1e-6 * 300 <= k / 2 < t - m - x + t * 1e-6 * 300}
+    assert {(r.a, r.linker, r.b) for r in got.collect()} == want
+    # one bin of 0.05 as before would make 720 rows of a window
+    assert "__level" in plan(got)
+
+
+def test_nearest_and_limited_candidates_make_no_pairs(spark):
+    """A thousand masses in each of a thousand windows: no operator of the plan may hand on a million rows."""
+    left = spark.range(1000).select(F.col("id").alias("k"), (1000.0 + F.col("id") * 1e-5).alias("x"))
+    right = spark.range(1000).select((1000.0 + F.col("id") * 1e-5 + 2e-6).alias("y"))
+    got = {r.k: r.y for r in J.nearest_join(left, right, "x", "y", ["k"], Tolerance(100.0), ["y"]).collect()}
+    assert len(got) == 1000 and all(abs(y - (1000.0 + k * 1e-5 + 2e-6)) < 1e-9 for k, y in got.items())
+    assert J.limited_candidates(left, right, "x", "y", ["k"], Tolerance(100.0), 999).count() == 0
+    assert J.limited_candidates(left.limit(3), right, "x", "y", ["k"], Tolerance(100.0), 1000).count() == 3000
+    for made in (J.nearest_join(left, right, "x", "y", ["k"], Tolerance(100.0), ["y"]),):
+        assert "__low" not in plan(made) and "__high" not in plan(made)
