@@ -54,3 +54,13 @@ def test_nearest_and_limited_candidates_make_no_pairs(spark):
     assert J.limited_candidates(left.limit(3), right, "x", "y", ["k"], Tolerance(100.0), 1000).count() == 3000
     for made in (J.nearest_join(left, right, "x", "y", ["k"], Tolerance(100.0), ["y"]),):
         assert "__low" not in plan(made) and "__high" not in plan(made)
+
+
+def test_pairs_of_one_mass_are_dealt_to_many_tasks(spark):
+    items = spark.range(200).select("id", F.lit(900.0).alias("m"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    pairs = J.pair_enumeration(items, "id", "m", 138.0, 1990.0, 100.0).withColumn("task", F.spark_partition_id())
+    found = pairs.collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.a, r.b) for r in found) == [(a, b) for a in range(200) for b in range(a, 200)]
+    assert len({r.task for r in found}) > 1
