@@ -64,3 +64,24 @@ def test_pairs_of_one_mass_are_dealt_to_many_tasks(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted((r.a, r.b) for r in found) == [(a, b) for a in range(200) for b in range(a, 200)]
     assert len({r.task for r in found}) > 1
+
+
+def test_repeated_points_meet_each_window_once(spark):
+    """Windows of no, one and many bins: the same pairs whichever side is repeated."""
+    left = spark.range(400).select(F.col("id").alias("w"), (F.col("id") * 0.37 - 20).alias("x"))
+    right = spark.range(900).select(F.col("id").alias("n"), (F.col("id") * 0.17 - 25).alias("y"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for wide in (0.1, 0.5, 3.3):
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            one, two = (J.window_join(left, right, F.col("x"), F.col("x") + wide, F.col("y"), 0.5, how, repeat=r) for r in ("windows", "points"))
+            assert rows(one) == rows(two) and one.columns == two.columns, (wide, how)
+    for t in (Tolerance(50000.0), Tolerance(0.4, "da")):
+        got = J.tolerance_join(left, right, "x", "y", t, repeat="points")
+        assert rows(got) == rows(J.tolerance_join(left, right, "x", "y", t)) and got.columns == ["w", "x", "n", "y"]
+
+
+def test_range_joins_repeat_no_window(spark):
+    """A peak goes to one bin, the fewer masses to two, and no bounds travel with them."""
+    for name in ("range_join_da", "range_join_ppm", "range_left_join"):
+        made = plan(QUERIES[name].run(spark, "/root/testdata/sf0.001"))
+        assert "__low" not in made and "__high" not in made and "array(__rbin" not in made, name
