@@ -323,11 +323,36 @@ def longest_precursor(clusters: DataFrame, peaks: DataFrame, spectra: DataFrame,
 # Calibration: errors are measured - expected; each returns rows with a corrected m/z.
 
 
+def exact_medians(rows: DataFrame, group: list[str], value: Column, name: str, cells: int = 4096) -> DataFrame:
+    """group (not null) and its exact median of value, without all values of a group in one task.
+
+    Values are counted in equal cells between the ends of a group; only the one or two cells that hold the middle ranks are then
+    put in order, equal values as one. Infinities and NaN (the largest) have cells of their own. A group of nulls alone has a null median.
+    """
+    x = F.col("__x")
+    finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    held = rows.select(*group, value.cast("double").alias("__x"))
+    ends = held.groupBy(*group).agg(F.min(finite).alias("__lo"), F.max(finite).alias("__hi"), F.count("__x").alias("__n"))
+    spread = F.col("__hi") / 2 - F.col("__lo") / 2  # halves, so that the difference of the ends can't overflow
+    cell = F.when(F.isnan(x), cells + 2).when(x == float("inf"), cells + 1).when(x == -float("inf"), -1).when(spread > 0, F.floor((x / 2 - F.col("__lo") / 2) / spread * cells)).otherwise(0)
+    held = held.where("__x is not null").join(ends, group).withColumn("__cell", cell.cast("int"))
+    own = Window.partitionBy(*group).orderBy("__cell")
+    counts = held.groupBy(*group, "__cell", "__n").agg(F.count(F.lit(1)).alias("__k")).withColumn("__upto", F.sum("__k").over(own))
+    low, high = F.expr("(__n - 1) div 2"), F.expr("__n div 2")  # the middle ranks, from 0
+    middle = counts.where((F.col("__upto") > low) & (F.col("__upto") - F.col("__k") <= high)).select(*group, "__cell", (F.col("__upto") - F.col("__k")).alias("__before"))
+    few = held.join(middle, [*group, "__cell"]).groupBy(*group, "__cell", "__n", "__before", "__x").agg(F.count(F.lit(1)).alias("__k"))
+    last = F.col("__before") + F.sum("__k").over(Window.partitionBy(*group, "__cell").orderBy("__x"))
+    few = few.withColumn("__last", last)
+    at = lambda rank: F.max(F.when((F.col("__last") > rank) & (F.col("__last") - F.col("__k") <= rank), x))
+    found = few.groupBy(*group).agg(at(low).alias("__a"), at(high).alias("__b")).withColumn(name, F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(F.col("__a") * 0.5 + F.col("__b") * 0.5))
+    return ends.select(*group).join(found.select(*group, name), group, "left")
+
+
 def calibrate_shift(rows: DataFrame, run: list[str], measured: str, expected: str, relative: bool = False, exact: bool = False) -> DataFrame:
-    """Subtract the run's median error, absolute or relative; the median is a sketch's, or exact for runs of bounded size."""
+    """Subtract the run's median error, absolute or relative; the median is a sketch's, or exact (more passes, for runs of any size)."""
     error = F.col(measured) - F.col(expected)
     error = error / F.col(expected) if relative else error
-    shift = rows.groupBy(*run).agg((F.median(error) if exact else F.percentile_approx(error, 0.5)).alias("shift"))
+    shift = exact_medians(rows, run, error, "shift") if exact else rows.groupBy(*run).agg(F.percentile_approx(error, 0.5).alias("shift"))
     fixed_ = F.col(measured) / (1 + F.col("shift")) if relative else F.col(measured) - F.col("shift")
     return rows.join(shift, run).withColumn("calibrated", fixed_)
 

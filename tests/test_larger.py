@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from peakweave.functions.tolerance import Tolerance
 from peakweave.operators import range_join as J
+from peakweave.operators import spectra as S
 from peakweave.plans.queries import QUERIES
 
 
@@ -94,3 +95,15 @@ def test_triples_are_not_shuffled_after_they_are_made(spark):
     assert made.count("Window") <= 3 and "count(1) windowspecdefinition" not in made
     rows = [(r.hyp, r.alpha_id, r.beta_id, r.gamma_id) for r in query.collect()]
     assert len({(h, *sorted(x)) for h, *x in rows}) == len(rows) == 6180
+
+
+def test_exact_medians_hold_no_group_in_one_aggregate(spark):
+    rows = [("a", 1.0), ("a", 9.0), ("b", 1.0), ("b", 2.0), ("b", 1e9), ("c", float("nan")), ("c", 3.0), ("c", float("-inf")), ("d", None), ("e", 5.0), ("e", 5.0), ("e", 5.0), ("e", 7.0), *[("f", (k * 37 % 1000) / 7) for k in range(1000)]]
+    df = spark.createDataFrame(rows, "g string, v double")
+    made = S.exact_medians(df, ["g"], F.col("v"), "m", 8)
+    assert {r.g: r.m for r in made.collect()} == {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert "median" not in plan(QUERIES["shift_calibrate"].run(spark, "/root/testdata/sf0.001")).lower() and "ObjectHashAggregate" not in plan(made)
+
+
+def test_a_formula_is_computed_once(spark):
+    assert "Join" in plan(QUERIES["carbon_isotopes"].run(spark, "/root/testdata/sf0.001"))
