@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from peakweave.functions.tolerance import Tolerance
+from peakweave.operators import aggregates as A
 from peakweave.operators import range_join as J
+from peakweave.operators import ranking as R
 from peakweave.operators import spectra as S
 from peakweave.plans.queries import QUERIES
 
@@ -107,3 +109,17 @@ def test_exact_medians_hold_no_group_in_one_aggregate(spark):
 
 def test_a_formula_is_computed_once(spark):
     assert "Join" in plan(QUERIES["carbon_isotopes"].run(spark, "/root/testdata/sf0.001"))
+
+
+def test_copies_of_spectra_and_entries_are_joined_once(spark):
+    """Copies of a spectrum, of an entry, repeated peaks and null keys: rows as from all pairs; the pairs of copies are shuffled nowhere."""
+    rows = [(s + 10 * i, p, mz) for i in range(5) for s, p, mz in ((1, 1, 100.0), (1, 1, 100.0), (1, 2, 200.0), (2, 1, 100.0), (2, 2, None), (3, 1, 300.0))]
+    peaks = spark.createDataFrame([*rows, (None, 1, 100.0), (4, None, 100.0)], "s long, p int, mz double")
+    index = spark.createDataFrame([*[(e + 1000 * i, m) for i in range(300) for e, m in ((1, 100.0), (1, 100.001), (2, 200.0), (3, 300.0), (3, None))], (None, 100.0), (7, 100.0), (7, 300.0)], "e long, m double")
+    got = A.top_alphas(peaks, index, "s", "p", "mz", "e", "m", Tolerance(100.0), 2, 6)
+    pairs = J.tolerance_join(peaks.where("s is not null and p is not null"), index, "mz", "m", Tolerance(100.0))
+    plain = A.alpha_scores(pairs, ["s", "p"], ["s", "e"], index.count()).select("s", "e", F.round("score", 6).alias("score"))
+    rows = lambda df: sorted(map(tuple, df.select("s", "e", "score", "score_rank").collect()), key=str)
+    assert rows(got) == rows(R.top_scores(plain, ["s"], "score", 2)) and got.columns == ["s", "e", "score", "score_rank"]
+    made = plan(QUERIES["alpha_candidates"].run(spark, "/root/testdata/sf0.001"))
+    assert "inline(__entries" in made and "Exchange" not in made[: made.index("inline(__entries")]
