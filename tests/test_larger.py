@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from peakweave.functions.tolerance import Tolerance
 from peakweave.operators import aggregates as A
+from peakweave.operators import matching as K
 from peakweave.operators import range_join as J
 from peakweave.operators import ranking as R
 from peakweave.operators import spectra as S
@@ -123,3 +124,15 @@ def test_copies_of_spectra_and_entries_are_joined_once(spark):
     assert rows(got) == rows(R.top_scores(plain, ["s"], "score", 2)) and got.columns == ["s", "e", "score", "score_rank"]
     made = plan(QUERIES["alpha_candidates"].run(spark, "/root/testdata/sf0.001"))
     assert "inline(__entries" in made and "Exchange" not in made[: made.index("inline(__entries")]
+
+
+def test_fragments_that_meet_no_peak_are_left_out_before_the_shuffle(spark):
+    """Those left out change no match: known and unknown charges, C13 lower, relative and absolute windows, masses below 0."""
+    peaks = spark.createDataFrame([(s, s * 100 + k, 400.0 + 37.3 * k + s, 1.0, [None, 1, 2, 3][k % 4]) for s in (1, 2) for k in range(40)], "s long, peak_id long, mz double, intensity double, charge int")
+    fragments = spark.createDataFrame([(s, k, 397.0 + 0.31 * k, k % 3) for s in (1, 2, 3) for k in range(-1500, 9000)], "s long, fragment_id long, neutral_mass double, loss_count int")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for t in (Tolerance(60.0), Tolerance(0.05, "da")):
+        near = fragments.join(K.met_bins(peaks, "s", t), "s").where(K.may_meet(F.col("neutral_mass"), t)).drop("__met")
+        want = rows(K.match_fragments(peaks, fragments, "s", t))
+        assert want and rows(K.match_fragments(peaks, near, "s", t)) == want, t
+        assert near.count() < fragments.count() / 10
