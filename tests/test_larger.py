@@ -1,9 +1,12 @@
 """What only larger tables show: ties, rows of one group, plans that broadcast or run in one task."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from peakweave.functions.tolerance import Tolerance
 from peakweave.operators import aggregates as A
+from peakweave.operators import candidates as P
 from peakweave.operators import matching as K
 from peakweave.operators import range_join as J
 from peakweave.operators import ranking as R
@@ -136,3 +139,17 @@ def test_fragments_that_meet_no_peak_are_left_out_before_the_shuffle(spark):
         want = rows(K.match_fragments(peaks, fragments, "s", t))
         assert want and rows(K.match_fragments(peaks, near, "s", t)) == want, t
         assert near.count() < fragments.count() / 10
+
+
+def test_sites_are_opened_after_the_last_shuffle(spark):
+    """A row for each match is shuffled, not one for each site and fragment; nulls, repeated matches and matches without fragments count as in rows."""
+    matched = spark.createDataFrame([(1, 0, 2, True), (1, 1, 3, False), (1, None, 0, True), (2, 0, 0, None), (3, 2, 2, True), (3, 2, 2, True)], "m long, first int, last int, is_crosslinked boolean")
+    peptides = spark.createDataFrame([(1, 4), (2, 2), (3, 3), (3, 3), (4, 5)], "m long, n int")
+    out = P.site_probabilities(matched, peptides, "m", F.col("n"))
+    log = {(1, s): (math.log(0.9) if 0 <= s <= 2 else math.log(0.1)) + (math.log(0.1) if 1 <= s <= 3 else math.log(0.9)) + (math.log(0.1) if s > 0 else 0) for s in range(4)}
+    log |= {(2, 0): 0, (2, 1): 0} | {(3, s): 4 * math.log(0.9 if s == 2 else 0.1) for s in range(3)} | {(4, s): 0 for s in range(5)}
+    want = {k: math.exp(x) / sum(math.exp(y) for (m, _), y in log.items() if m == k[0]) for k, x in log.items()}
+    got = {(r.m, r.site): r.probability for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    made = plan(out)
+    assert "posexplode" in made and "Exchange" not in made[: made.index("posexplode")] and "Window" not in made
