@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from peakweave.functions.tolerance import Tolerance
@@ -153,3 +155,19 @@ def test_sites_are_opened_after_the_last_shuffle(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     made = plan(out)
     assert "posexplode" in made and "Exchange" not in made[: made.index("posexplode")] and "Window" not in made
+
+
+def test_plain_spectra_are_denoised_side_by_side(spark):
+    """Spectra without series, those with one, repeated m/z and long ones: the same peaks as when each is rolled by itself."""
+    rng = np.random.default_rng(3)
+    rows = [(s, float(m), float(rng.integers(1, 9)), bool(rng.random() < 0.1)) for s in range(300) for m in np.cumsum(rng.uniform(1.2 if s % 3 else 0.3, 30, 80 if s == 7 else s % 9 + 1)) + 100]
+    rows += [(s, m, 5.0, False) for s, m, *_ in rows[:40]]
+    peaks = spark.createDataFrame(rows, "s int, mz double, intensity double, keep boolean")
+    run = lambda **more: sorted(tuple(r) for r in S.denoised(peaks, ["s"], 2, 40.0, 3, Tolerance(20.0), keep="keep", least_mz=103.0, **more).collect())
+    at_once, short = run(), S._SHORT
+    S._SHORT = 0  # each by itself
+    try:
+        assert run() == at_once and len(at_once) < len(rows) - 200
+    finally:
+        S._SHORT = short
+    assert S._with_near_peaks(np.array([1.0, 2.0, 4.0, 4.5, 9.0, 9.0, float("nan"), 3.0]), [0, 2, 3, 5, 6, 8]).tolist() == [True, False, False, False, True]
