@@ -197,3 +197,18 @@ def test_modified_forms_are_not_shuffled(spark, tmp_path):
     query = QUERIES["modified_forms"].run(spark, str(tmp_path))
     assert {r.p_partkey: r.forms for r in query.collect()} == {1: 14, 2: 1}
     assert "distinct peptide" not in plan(query) and all("peptide" not in line for line in plan(query).split("\n") if "Exchange" in line)
+
+
+def test_site_weights_meet_as_arrays(spark):
+    """Null sites, repeated pairs, ties, losses, matches without fragments and null matches, held against plain Python; one shuffle a side."""
+    pairs = spark.createDataFrame([(1, 0, 2, "x"), (1, 0, 2, "y"), (1, 1, 2, "x"), (1, None, 2, "z"), (2, 5, 5, "x"), (2, 6, 5, "x"), (None, 1, 1, "n")], "m int, site_a int, site_b int, note string")
+    hits = spark.createDataFrame([(1, 0, 0, 0, 0, False, 0.5), (1, 1, 2, 3, 2, False, 0.4), (1, 0, 0, 9, 3, False, 9.0), (1, 0, 0, 9, 0, True, 9.0), (1, 0, 0, 9, 0, False, None), (1, 0, None, 9, 0, False, 1.0), (None, 0, 0, 9, 0, False, 1.0)], "m int, peptide_index int, first int, last int, loss_count int, is_crosslinked boolean, rel_intensity double")
+    out = K.link_site_weights(pairs, hits, "m", F.lit(0.1))
+    made = plan(out)
+    want = [(None, 1, 1, "n", 0.1, True), (1, None, 2, "z", 0.1, True), (1, 0, 2, "x", 0.62, False), (1, 0, 2, "y", 0.62, False), (1, 1, 2, "x", 0.12, False), (2, 5, 5, "x", 0.1, False), (2, 6, 5, "x", 0.1, True)]
+    got = out.collect()
+    assert sorted(((r.m, r.site_a, r.site_b, r.note, round(r.weight, 9), r.is_best) for r in got), key=str) == sorted(want, key=str)
+    for m in (None, 1, 2):
+        total = sum(1 / (w[4] + 1e-4) for w in want if w[0] == m)
+        assert all(abs(r.share - 1 / (r.weight + 1e-4) / total) < 1e-9 for r in got if r.m == m)
+    assert "Window" not in made and made.count("Join") == 1
