@@ -169,7 +169,8 @@ def normalised_score(long: DataFrame, parameters: DataFrame, match: str = "match
     that gives no number counts as `missing`, if that is set.
     """
     p = parameters.where("weight is not null and weight <> 0 and not isnan(weight)")
-    rows = long.join(p, "score_name").where(F.col("score_value") < 999999)
+    rows = long.join(p, "score_name", "left")
+    counts = F.coalesce(F.col("score_value") < 999999, F.lit(False)) & F.col("weight").isNotNull()
     z = F.try_divide(F.col("score_value") - F.col("average"), F.col("stdev"))
     split, d, w = F.col("normalised_split"), F.col("direction"), F.col("weight")
     part = F.when(split == 0, F.try_divide(z, d) * w).otherwise(F.try_divide(z, split) * d * w)
@@ -177,9 +178,10 @@ def normalised_score(long: DataFrame, parameters: DataFrame, match: str = "match
     value = F.when(good, part)
     if missing is not None:
         value = F.when(good, part).otherwise(F.lit(missing))
-    rows = rows.withColumn("__v", value).where("__v is not null")
-    found = rows.groupBy(match).agg((F.sum("__v") / F.sum(F.abs(w)) * scale).alias("match_score"))
-    return long.select(match).distinct().join(found, match, "left").na.fill(0.0, ["match_score"])
+    rows = rows.withColumn("__v", F.when(counts, value))
+    # One aggregate: a match none of whose rows count has a null sum, and the score 0.
+    score = F.sum("__v") / F.sum(F.when(F.col("__v").isNotNull(), F.abs(w))) * scale
+    return rows.groupBy(match).agg(score.alias("match_score")).na.fill(0.0, ["match_score"])
 
 
 def mean_z_score(long: DataFrame, parameters: DataFrame, match: str = "match_id") -> DataFrame:
@@ -256,4 +258,5 @@ def peak_intensities(peaks: DataFrame, spectrum: str, wanted: list[float], toler
 
 
 def to_long(scores: DataFrame, match: str, names: list[str]) -> DataFrame:
-    return scores.select(match, *[F.col(n).cast("double").alias(n) for n in names]).unpivot([match], names, "score_name", "score_value")
+    """(match, score_name, score_value); rows stay where they are, so scores dealt by match need no other shuffle."""
+    return scores.select(match, F.inline(F.array(*[F.struct(F.lit(n).alias("score_name"), F.col(n).cast("double").alias("score_value")) for n in names])))

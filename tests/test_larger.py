@@ -12,6 +12,7 @@ from peakweave.operators import candidates as P
 from peakweave.operators import matching as K
 from peakweave.operators import range_join as J
 from peakweave.operators import ranking as R
+from peakweave.operators import scores as Q
 from peakweave.operators import spectra as S
 from peakweave.plans.queries import QUERIES
 
@@ -212,3 +213,14 @@ def test_site_weights_meet_as_arrays(spark):
         total = sum(1 / (w[4] + 1e-4) for w in want if w[0] == m)
         assert all(abs(r.share - 1 / (r.weight + 1e-4) / total) < 1e-9 for r in got if r.m == m)
     assert "Window" not in made and made.count("Join") == 1
+
+
+def test_scores_are_normalised_in_one_aggregate(spark):
+    """Matches none of whose scores count have the score 0; nulls, NaN, 999999 and scores without parameters don't count."""
+    nan = float("nan")
+    wide = spark.createDataFrame([(1, 3.0, 5.0), (2, None, nan), (3, 999999.0, 1.0), (4, 999999.0, nan)], "match_id int, a double, b double")
+    parameters = spark.createDataFrame([("a", 1.0, 2.0, 1, 0.5, 2.0), ("b", 1.0, 2.0, -1, 0.0, 1.0), ("c", 0.0, 1.0, 1, 1.0, 1.0)], "score_name string, average double, stdev double, direction int, normalised_split double, weight double")
+    score = lambda **more: {r.match_id: round(r.match_score, 6) for r in Q.normalised_score(Q.to_long(wide.withColumn("d", F.lit(1)), "match_id", ["a", "b", "d"]), parameters, **more).collect()}
+    assert score() == {1: round((4.0 - 2.0) / 3 * 7, 6), 2: 0.0, 3: 0.0, 4: 0.0} and score(missing=-1.0)[4] == 0.0
+    made = plan(Q.normalised_score(Q.to_long(wide, "match_id", ["a", "b"]), parameters))
+    assert made.count("HashAggregate") <= 4 and made.count("Join") == 1 and "Expand" not in made
