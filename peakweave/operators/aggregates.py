@@ -179,8 +179,18 @@ def residue_pair_counts(df: DataFrame, sequence: str, site: str) -> DataFrame:
 
 
 def matched_groups(matched: DataFrame, kinds: list[str], spectrum: str, intensity: str) -> DataFrame:
-    """Peaks, spectra and intensity by kinds of explanation (ion type, losses, crosslinked or not), with totals over each kind (cube)."""
-    return matched.cube(*kinds).agg(F.count(F.lit(1)).alias("peaks"), F.count_distinct(spectrum).alias("spectra"), F.sum(intensity).alias("intensity"))
+    """Peaks, spectra and intensity by kinds of explanation (ion type, losses, crosslinked or not), with totals over each kind (cube).
+
+    Peaks are added up by spectrum and kinds before the totals are formed. All totals of a spectrum come from the task that has it, so only
+    one shuffle moves peaks.
+    """
+    one = matched.groupBy(spectrum, *kinds).agg(F.count(F.lit(1)).alias("peaks"), F.sum(intensity).alias("intensity"))
+    level = lambda g: F.struct(F.lit(g).alias("__level"), *[(F.lit(None).cast(matched.schema[k].dataType) if g >> i & 1 else F.col(k)).alias(f"__{k}") for i, k in enumerate(kinds)])
+    key = ["__level", *[f"__{k}" for k in kinds]]
+    each = one.select(F.col(spectrum).alias("__spectrum"), "peaks", "intensity", F.inline(F.array(*[level(g) for g in range(1 << len(kinds))])))
+    each = each.groupBy("__spectrum", *key).agg(F.sum("peaks").alias("peaks"), F.sum("intensity").alias("intensity"))
+    out = each.groupBy(*key).agg(F.sum("peaks").alias("peaks"), F.count("__spectrum").alias("spectra"), F.sum("intensity").alias("intensity"))
+    return out.select(*[F.col(f"__{k}").alias(k) for k in kinds], "peaks", "spectra", "intensity")
 
 
 def residue_occurrence(peptides: DataFrame, residues: str) -> DataFrame:

@@ -224,3 +224,13 @@ def test_scores_are_normalised_in_one_aggregate(spark):
     assert score() == {1: round((4.0 - 2.0) / 3 * 7, 6), 2: 0.0, 3: 0.0, 4: 0.0} and score(missing=-1.0)[4] == 0.0
     made = plan(Q.normalised_score(Q.to_long(wide, "match_id", ["a", "b"]), parameters))
     assert made.count("HashAggregate") <= 4 and made.count("Join") == 1 and "Expand" not in made
+
+
+def test_totals_of_kinds_come_from_one_shuffle_of_peaks(spark):
+    """As the cube with distinct spectra; null kinds, null spectra and null intensities too."""
+    rows = spark.createDataFrame([(s if s else None, "abc"[k % 3] if k % 5 else None, k % 2, float(k) if k % 7 else None) for s in range(6) for k in range(40 + s)], "s int, ion string, kind int, i double")
+    cube = rows.cube("ion", "kind").agg(F.count(F.lit(1)).alias("peaks"), F.count_distinct("s").alias("spectra"), F.sum("i").alias("intensity"))
+    got = A.matched_groups(rows, ["ion", "kind"], "s", "i")
+    ordered = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert ordered(got) == ordered(cube) and got.columns == cube.columns
+    assert "Expand" not in plan(got)
