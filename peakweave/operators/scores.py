@@ -10,10 +10,11 @@ from collections.abc import Callable
 from functools import reduce
 from inspect import signature
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import bound
 from ..functions.tolerance import Tolerance
 
 NAN = float("nan")
@@ -213,8 +214,8 @@ def tree_outputs(scores: DataFrame, trees: DataFrame, names: list[str] | None =
     """scores with `trees`: a map from the name of each tree to what it says of the row.
 
     trees: a row per node: tree, node (from 0, the root), score, at_most, yes, no (nodes), says (boolean, of leaves). A score that is
-    at most at_most goes to yes; larger, NaN and null ones go to no. All nodes are one array, which goes to every task once (trees are a
-    model, of bounded size), and a row walks it from each root, so many or deep trees don't become nested conditions.
+    at most at_most goes to yes; larger, NaN and null ones go to no. The nodes go to every worker once (trees are a
+    model, of bounded size), and the rows of a batch walk a tree side by side, so many or deep trees don't become nested conditions.
     A tree that says null, or that names a node it lacks, says null. names: the score columns, if not all that the trees name.
     """
     names = names or [r[0] for r in trees.where("score is not null").select("score").distinct().orderBy("score").collect()]
@@ -224,19 +225,38 @@ def tree_outputs(scores: DataFrame, trees: DataFrame, names: list[str] | None =
     listed = F.array(*[F.lit(n) for n in names]).cast("array<string>")
     node = F.struct("tree", "node", F.array_position(listed, F.col("score")).cast("int").alias("score"), F.col("at_most").cast("double").alias("at_most"), F.col("yes").cast("int").alias("yes"), F.col("no").cast("int").alias("no"), F.col("says").cast("boolean").alias("says"))
     model = trees.groupBy("tree").agg(F.sort_array(F.collect_list(node)).alias("nodes")).agg(F.sort_array(F.collect_list(F.struct("tree", "nodes"))).alias("__model"))
-    values = F.array(*[F.col(f"`{n}`").cast("double") for n in names]).cast("array<double>")
-
-    def says(nodes: Column, v: Column) -> Column:
-        def step(at: Column, _: Column) -> Column:
-            n = F.get(nodes, at)
-            x = F.get(v, n["score"] - 1)
-            low = F.coalesce(~F.isnan(x) & (x <= n["at_most"]), F.lit(False))
-            return F.when(n.isNull() | n["score"].isNull(), at).when(low, F.coalesce(n["yes"], F.lit(-1))).otherwise(F.coalesce(n["no"], F.lit(-1)))
-
-        return F.get(nodes, F.aggregate(nodes, F.lit(0), step))["says"]
-
-    walked = bound(values, lambda v: F.map_from_entries(F.transform("__model", lambda t: F.struct(t["tree"], says(t["nodes"], v)))))
-    return scores.join(F.broadcast(model), how="left").withColumn("trees", F.coalesce(walked, F.create_map().cast("map<string,boolean>"))).drop("__model")
+    model = model.first()["__model"]
+    if not model:
+        return scores.withColumn("trees", F.create_map().cast("map<string,boolean>"))
+    number = lambda values, none: np.array([none if v is None else v for v in values])
+    held = scores.sparkSession.sparkContext.broadcast([
+        (t["tree"], number([n["score"] for n in t["nodes"]], -1), np.array([np.nan if n["at_most"] is None else np.inf if n["at_most"] != n["at_most"] else n["at_most"] for n in t["nodes"]]),
+         number([n["yes"] for n in t["nodes"]], -1), number([n["no"] for n in t["nodes"]], -1), number([None if n["says"] is None else int(n["says"]) for n in t["nodes"]], -1))
+        for t in model
+    ])
+
+    @F.arrow_udf("map<string,boolean>")
+    def walked(any_: pa.Array, *columns: pa.Array) -> pa.Array:
+        rows = len(any_)
+        values = np.array([np.full(rows, np.nan), *[c.to_numpy(zero_copy_only=False) for c in columns]])
+        said = np.empty((rows, len(held.value)), np.int64)
+        for k, (_, score, at_most, yes, no, says) in enumerate(held.value):
+            at = np.zeros(rows, np.int64)
+            for _ in range(len(score)):
+                there = (at >= 0) & (at < len(score))
+                here = np.where(there, at, 0)
+                going = there & (score[here] >= 0)
+                if not going.any():
+                    break
+                low = values[score[here], np.arange(rows)] <= at_most[here]
+                at = np.where(going, np.where(low, yes[here], no[here]), at)
+            there = (at >= 0) & (at < len(score))
+            said[:, k] = np.where(there, says[np.where(there, at, 0)], -1)
+        names_ = pa.array([t[0] for t in held.value], pa.string()).take(pa.array(np.tile(np.arange(said.shape[1]), rows)))
+        offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * said.shape[1], pa.int32())
+        return pa.MapArray.from_arrays(offsets, names_, pa.array(said.ravel() == 1, mask=said.ravel() < 0))
+
+    return scores.withColumn("trees", walked(F.lit(True), *[F.col(f"`{n}`").cast("double") for n in names]))
 
 
 def tree_votes(outputs: DataFrame, most_against: int = 3) -> DataFrame:
