@@ -257,12 +257,18 @@ def embedded_sites(residues: Column, known: list[str] | None = None) -> Column:
     return F.filter(every, lambda s: F.size(s["options"]) > 0)
 
 
-def embedded_forms(peptides: DataFrame, sites: str = "embedded", most_mods: int = 3, most_forms: int = 20) -> DataFrame:
+_FORMS = 4096  #: forms of a peptide that one row lists before they are opened
+
+
+def embedded_forms(peptides: DataFrame, sites: str = "embedded", most_mods: int | None = 3, most_forms: int | None = 20) -> DataFrame:
     """peptides and their forms by the sites of the protein that lie in them: `peptide` replaced and `changes` (their number) added; sites is dropped.
 
     Forms come by how many sites they change, up to most_mods. A number of changes is taken whole, and no larger one once
-    most_forms are reached, so what is made of a peptide is bounded by its sites and that limit.
+    most_forms are reached, so what is made of a peptide is bounded by its sites and that limit. With None for both every form is
+    made: it is numbered by its choices at the sites, and a peptide's numbers are opened in pieces, so no row holds all its forms.
     """
+    if (most_mods is None) != (most_forms is None):
+        raise ValueError("give most_mods and most_forms, or neither")
     form = "array<struct<at:int,token:string>>"
     none = F.array().cast(f"array<{form}>")
 
@@ -282,8 +288,26 @@ def embedded_forms(peptides: DataFrame, sites: str = "embedded", most_mods: int
 
     inside = F.filter(F.col(sites), lambda s: (s["at"] >= F.col("start")) & (s["at"] < F.col("stop")))
     own = F.transform(inside, lambda s: F.struct((s["at"] - F.col("start")).alias("at"), s["options"].alias("options")))
+    if most_mods is None:
+        ways = F.aggregate("__own", F.lit(1).cast("long"), lambda n, s: n * (F.size(s["options"]) + 1))
+        out = peptides.withColumn("__own", own).withColumn("__ways", ways).withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__ways - 1) div {_FORMS}"))))
+        out = out.withColumn("__k", F.explode(F.sequence(F.col("__piece") * _FORMS, F.least(F.col("__piece") * _FORMS + _FORMS - 1, F.col("__ways") - 1))))
+
+        def chosen(acc: Column, s: Column) -> Column:
+            size = F.size(s["options"]) + 1
+            pick = (acc["k"] % size).cast("int")
+            more = F.when(pick > 0, F.array(F.struct(s["at"].alias("at"), F.get(s["options"], pick - 1).alias("token")))).otherwise(F.array().cast(form))
+            return F.struct(F.call_function("div", acc["k"], size).alias("k"), F.concat(acc["form"], more).alias("form"))
+
+        start = F.struct(F.col("__k").alias("k"), F.array().cast(form).alias("form"))
+        out = out.withColumn("__form", F.aggregate("__own", start, chosen, lambda acc: acc["form"])).drop("__own", "__ways", "__piece", "__k")
+        return _changed(out, sites)
     empty = F.array(F.array().cast(form))
     forms = F.when(F.size(own) > 0, bound(own, lambda o: F.concat(empty, bound(longer(empty, o), lambda first: level(o, first, first, 2))))).otherwise(empty)
-    out = peptides.withColumn("__form", F.explode(forms))
+    return _changed(peptides.withColumn("__form", F.explode(forms)), sites)
+
+
+def _changed(out: DataFrame, sites: str) -> DataFrame:
+    """Rows with `peptide` as __form (at, token) says, `changes`, and neither __form nor sites."""
     changed = F.transform("peptide", lambda r, i: F.coalesce(F.get(F.transform(F.filter("__form", lambda c: c["at"] == i), lambda c: c["token"]), F.lit(0)), r))
     return out.withColumns({"peptide": changed, "changes": F.size("__form")}).drop("__form", sites)

@@ -1,7 +1,9 @@
 """Registries, triples, embedded modifications, trees, cyclic decoys and precursor detection against plain Python."""
 
+import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from peakweave.plans import database as B
 from peakweave.plans import open_search as O
 from peakweave.plans import registry as G
 from peakweave.plans import search as X
+from peakweave.plans.queries import QUERIES
 from peakweave.sources import sinks
 from peakweave.sources import tables as T
 
@@ -189,6 +192,29 @@ def test_embedded_forms_by_hand(spark):
             assert sorted(got[k]) == sorted(forms_by_hand(sites, most_mods, most_forms))
 
 
+def test_every_embedded_form_by_hand(spark):
+    """Without limits all choices at all sites are made, also of peptides with more forms than one row lists."""
+    sites = [(k, [f"m{j}" for j in range(1 + k % 3)]) for k in range(9)]
+    cases = [[], sites[:1], sites[:5], sites]
+    rows = spark.createDataFrame([(k, ["A"] * 12, 0, 12, s) for k, s in enumerate(cases)], "k int, peptide array<string>, start int, stop int, embedded array<struct<at:int,options:array<string>>>")
+    got = Counter((r.k, r.changes, tuple(r.peptide)) for r in D.embedded_forms(rows, most_mods=None, most_forms=None).collect())
+    want = Counter()
+    for k, case in enumerate(cases):
+        for picks in itertools.product(*[[None, *options] for _, options in case]):
+            tokens = ["A"] * 12
+            for (at, _), pick in zip(case, picks, strict=True):
+                tokens[at] = pick or "A"
+            want[k, sum(p is not None for p in picks), tuple(tokens)] += 1
+    assert got == want and max(Counter(k for k, *_ in got).values()) > 4096
+
+
+def test_pieces_with_many_changes_are_whole(spark, tmp_path):
+    """Three M make 27 forms, the last of which changes all three; the query made 7 of them before."""
+    spark.createDataFrame([(1, "aMcMdMe", "f", "g")], "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["embedded_modifications"].run(spark, str(tmp_path)).collect()
+    assert len(found) == 27 and sum(r.changes == 3 for r in found) == 8
+
+
 def test_trees_equal_plain_python(spark):
     rng = random.Random(6)
     rows, trees = [], {}
