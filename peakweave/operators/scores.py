@@ -271,8 +271,8 @@ def table_probability(df: DataFrame, table: DataFrame, on: list[str], match: str
 
 
 def peak_intensities(peaks: DataFrame, spectrum: str, wanted: list[float], tolerance: Tolerance, mz: str = "mz", intensity: str = "intensity") -> DataFrame:
-    """A column per wanted m/z: intensity of the nearest peak in its window, else 0. Ties go to the smaller m/z, then to the smaller intensity."""
-    inside = lambda w: (F.col(mz) >= tolerance.lower(F.lit(w))) & (F.col(mz) < tolerance.upper(F.lit(w)))
+    """A column per wanted m/z: intensity of the nearest peak in its window, else 0. Ties go to the smaller m/z, then to the smaller intensity. Peaks of no (null) spectrum are in no window."""
+    inside = lambda w: F.col(spectrum).isNotNull() & (F.col(mz) >= tolerance.lower(F.lit(w))) & (F.col(mz) < tolerance.upper(F.lit(w)))
     near = lambda w: F.coalesce(F.min(F.when(inside(w), F.struct(F.abs(F.col(mz) - F.lit(w)).alias("d"), F.col(mz).alias("m"), F.col(intensity).alias("i"))))["i"], F.lit(0.0))
     return peaks.groupBy(spectrum).agg(*[near(w).alias(f"mz_{w:g}".replace(".", "_")) for w in wanted])
 

@@ -33,6 +33,12 @@ def test_nearest_reporter_ties_go_to_the_smaller_mz(spark, tmp_path):
     assert run("reporter_intensities") == [(1, 20.0), (2, 4.0), (3, 0.0)]
 
 
+def test_reporters_of_no_spectrum_are_zero(spark, tmp_path):
+    """The SQL joins peaks by their order, and null equals nothing."""
+    run = lineitem(spark, tmp_path, [(None, 1, 1, 30000.0, 3.0), (7, 1, 1, 30000.0, 5.0)])
+    assert run("reporter_intensities") == [(7, 5.0), (None, 0.0)]
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
