@@ -39,6 +39,14 @@ def test_reporters_of_no_spectrum_are_zero(spark, tmp_path):
     assert run("reporter_intensities") == [(7, 5.0), (None, 0.0)]
 
 
+def test_matched_peaks_of_one_mz_go_to_the_smallest_id(spark):
+    peaks = spark.createDataFrame([(m, k, 100.0, 1.0, 1) for m in range(20) for k in (5, 3, 9, 1, 7)], "match_id long, peak_id int, mz double, intensity double, charge int")
+    fragments = spark.createDataFrame([(m, 1, 99.0, 0) for m in range(20)], "match_id long, fragment_id int, neutral_mass double, loss_count int")
+    for order in ("peak_id", "-peak_id"):
+        found = K.match_fragments(peaks.coalesce(1).sortWithinPartitions(F.expr(order)), fragments, "match_id", Tolerance(1.0, "da")).collect()
+        assert len(found) == 20 and {r.peak_id for r in found} == {1}
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
