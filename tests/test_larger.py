@@ -68,6 +68,27 @@ def test_wide_relative_windows_touch_few_bins(spark):
     assert "__level" in plan(got)
 
 
+def test_points_meet_windows_in_lists(spark):
+    """Results far larger than both sides: hot values, narrow windows and bounds are right, and nothing is shuffled once lists are open."""
+    rng = np.random.default_rng(5)
+    values = [float(x) for x in np.concatenate([np.full(700, 1000.0), 1000.0 + rng.integers(0, 400, 900) / 1000, rng.integers(900, 1100, 50), [1000.1] * 300])]
+    points = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None, float("nan")])], "p long, y double")
+    windows = spark.createDataFrame([(i, v, v and v * 1.5) for i, v in enumerate([*values[::40], None])], "w long, x double, total double")
+    for parts in (1, 3):
+        for tolerance, reference in ((Tolerance(100.0), None), (Tolerance(0.1, "da"), None), (Tolerance(70.0), "total")):
+            found = J.tolerance_join(windows, points, "x", "y", tolerance, reference=reference and F.col(reference), repeat="windows" if parts == 1 else "points", lists=parts)
+            width = lambda x: tolerance.value * (x * (1.5 if reference else 1.0) * 1e-6 if tolerance.relative else 1.0)
+            want = sorted((i, k) for i, x in enumerate(values[::40]) for k, y in enumerate(values) if x - width(x) <= y < x + width(x))
+            assert sorted((r.w, r.p) for r in found.collect()) == want
+            text = plan(found)
+            assert "inline" in text and "Exchange" not in text[: text.index("inline")]
+
+
+def test_large_results_come_from_lists(spark):
+    for name in ("gap_join", "linear_candidates", "range_join_ppm"):
+        assert "inline(__list" in plan(QUERIES[name].run(spark, "/root/testdata/sf0.001")), name
+
+
 def test_nearest_and_limited_candidates_make_no_pairs(spark):
     """A thousand masses in each of a thousand windows: no operator of the plan may hand on a million rows."""
     left = spark.range(1000).select(F.col("id").alias("k"), (1000.0 + F.col("id") * 1e-5).alias("x"))
