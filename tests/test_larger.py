@@ -14,6 +14,7 @@ from peakweave.operators import range_join as J
 from peakweave.operators import ranking as R
 from peakweave.operators import scores as Q
 from peakweave.operators import spectra as S
+from peakweave.operators.crosslinkers import Crosslinker, Side
 from peakweave.plans.queries import QUERIES
 
 
@@ -84,6 +85,29 @@ def test_points_meet_windows_in_lists(spark):
             assert "inline" in text and "Exchange" not in text[: text.index("inline")]
 
 
+def test_pairs_of_one_hypothesis_are_not_shuffled(spark):
+    """Both orders of a pair, alphas of one rank and copies of one mass, against plain Python."""
+    linker = Crosslinker("x", 138.0, Side({"K": 0.0}), Side({"S": 0.0}), kind="asymmetric")
+    residues = [list("KAG"), list("SAG"), list("GAG"), list("KSG")]
+    mass = lambda i: 1000.0 + i % 5
+    peptides = spark.createDataFrame([(i, residues[i % 4], mass(i), False, False) for i in range(60)], "peptide_id long, peptide array<string>, mass double, n_term boolean, c_term boolean")
+    lists = {h: (2142.0 + h % 3, [(i, (i * 7 + h) % 3) for i in range(h, 60, 7)]) for h in range(6)}
+    alphas = spark.createDataFrame([(h, pre, i, rank) for h, (pre, own) in lists.items() for i, rank in own], "hyp long, precursor double, peptide_id long, alpha_rank int")
+    found = P.crosslinked_pairs(alphas, peptides, [linker], ["hyp"], "precursor", Tolerance(1.0))
+    has = lambda i, r: r in residues[i % 4][:-1]
+    want = {}
+    for h, (pre, own) in lists.items():
+        for i, rank in own:
+            betas = [b for b in range(60) if abs(pre - mass(i) - 138.0 - mass(b)) < 1e-3]
+            for b in betas:
+                if has(i, "K") and has(b, "S") or has(i, "S") and has(b, "K"):
+                    key = (h, min(i, b), max(i, b))
+                    want[key] = min(want.get(key, (9,)), (rank, i, b, len(betas)))
+    assert sorted((r.hyp, r.alpha_rank, r.alpha_id, r.beta_id, r.beta_count) for r in found.collect()) == sorted((h, *x) for (h, _, _), x in want.items()) and len(want) > 100
+    text = plan(found)
+    assert "Exchange" not in text[: text.index("inline")] and "Window" not in text[: text.index("inline")]
+
+
 def test_large_results_come_from_lists(spark):
     for name in ("gap_join", "linear_candidates", "range_join_ppm"):
         assert "inline(__list" in plan(QUERIES[name].run(spark, "/root/testdata/sf0.001")), name
