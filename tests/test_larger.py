@@ -16,6 +16,7 @@ from peakweave.operators import scores as Q
 from peakweave.operators import spectra as S
 from peakweave.operators.crosslinkers import Crosslinker, Side
 from peakweave.plans.queries import QUERIES
+from peakweave.sources.tables import stored
 
 
 def lineitem(spark, path, rows):
@@ -108,8 +109,14 @@ def test_pairs_of_one_hypothesis_are_not_shuffled(spark):
     assert "Exchange" not in text[: text.index("inline")] and "Window" not in text[: text.index("inline")]
 
 
+def test_stored_tables_are_not_broadcast(spark):
+    a, b = (stored(spark.range(100).withColumnRenamed("id", c).withColumn("k", F.col(c) % 7), c) for c in "ab")
+    found = a.join(b.where("b > 3").groupBy("k").agg(F.max("b").alias("b")), "k")
+    assert "Broadcast" not in plan(found) and found.count() == 100
+
+
 def test_large_results_come_from_lists(spark):
-    for name in ("gap_join", "linear_candidates", "range_join_ppm"):
+    for name in ("gap_join", "linear_candidates", "range_join_ppm", "crosslinked_triples", "crosslinked_candidates"):
         assert "inline(__list" in plan(QUERIES[name].run(spark, "/root/testdata/sf0.001")), name
 
 
