@@ -109,6 +109,15 @@ def test_pairs_of_one_hypothesis_are_not_shuffled(spark):
     assert "Exchange" not in text[: text.index("inline")] and "Window" not in text[: text.index("inline")]
 
 
+def test_pair_enumeration_shuffles_items_once_for_each_part(spark):
+    items = spark.createDataFrame([(i, 900.0 + i % 100) for i in range(900)] + [(None, 900.0), (901, None)], "id long, m double")
+    found = J.pair_enumeration(items, "id", "m", 138.0, 1990.0, 100.0)
+    want = {(a, b) for a in range(900) for b in range(a, 900) if a % 100 + b % 100 + 1938.0 <= 1990.0}
+    rows = [(r.a, r.b) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert "sequence(0, 31" not in plan(found) and "inline(__b" in plan(found)
+
+
 def test_stored_tables_are_not_broadcast(spark):
     a, b = (stored(spark.range(100).withColumnRenamed("id", c).withColumn("k", F.col(c) % 7), c) for c in "ab")
     found = a.join(b.where("b > 3").groupBy("k").agg(F.max("b").alias("b")), "k")
